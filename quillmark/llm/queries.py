@@ -2,9 +2,24 @@
 
 from __future__ import annotations
 
+from .avi import media_features
 from .common import table
+from .repetition import repetition_rules
 from .sharding import shard_documents
 from .simhash import simhash_components
+from .toxicity import toxicity_scores
+
+
+def op1_suffix_repetition(spark, sf_dir):
+    return repetition_rules(table(spark, sf_dir, "documents"))
+
+
+def op3_avi_mjpeg(spark, sf_dir):
+    return media_features(table(spark, sf_dir, "documents"))
+
+
+def op7_noisy_channel_toxicity(spark, sf_dir):
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_minimax_shards(spark, sf_dir):
@@ -15,6 +30,6 @@ def op10_simhash_components(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_minimax_shards, op10_simhash_components)}
+QUERIES = {f.__name__: f for f in (op1_suffix_repetition, op3_avi_mjpeg, op7_noisy_channel_toxicity, op8_minimax_shards, op10_simhash_components)}
 
 ORACLES: dict[str, str] = {}
