@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .avi import media_features
 from .common import table
+from .langid import identify_languages
+from .pieces import segment_documents
 from .repetition import repetition_rules
 from .sharding import shard_documents
 from .simhash import simhash_components
@@ -18,6 +20,10 @@ def op3_avi_mjpeg(spark, sf_dir):
     return media_features(table(spark, sf_dir, "documents"))
 
 
+def op6_marginal_unigram_language(spark, sf_dir):
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op7_noisy_channel_toxicity(spark, sf_dir):
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -26,10 +32,25 @@ def op8_minimax_shards(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_nbest_pieces(spark, sf_dir):
+    return segment_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_components(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_repetition, op3_avi_mjpeg, op7_noisy_channel_toxicity, op8_minimax_shards, op10_simhash_components)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_suffix_repetition,
+        op3_avi_mjpeg,
+        op6_marginal_unigram_language,
+        op7_noisy_channel_toxicity,
+        op8_minimax_shards,
+        op9_nbest_pieces,
+        op10_simhash_components,
+    )
+}
 
 ORACLES: dict[str, str] = {}
