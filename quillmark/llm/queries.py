@@ -5,6 +5,8 @@ from __future__ import annotations
 from .avi import media_features
 from .common import table
 from .langid import identify_languages
+from .linededup import line_dedup_digest
+from .mixing import mix
 from .pieces import segment_documents
 from .repetition import repetition_rules
 from .sharding import shard_documents
@@ -20,6 +22,14 @@ def op3_avi_mjpeg(spark, sf_dir):
     return media_features(table(spark, sf_dir, "documents"))
 
 
+def op4_temperature_mixture(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op5_minhash_lines(spark, sf_dir):
+    return line_dedup_digest(table(spark, sf_dir, "documents"))
+
+
 def op6_marginal_unigram_language(spark, sf_dir):
     return identify_languages(table(spark, sf_dir, "documents"))
 
@@ -45,6 +55,8 @@ QUERIES = {
     for f in (
         op1_suffix_repetition,
         op3_avi_mjpeg,
+        op4_temperature_mixture,
+        op5_minhash_lines,
         op6_marginal_unigram_language,
         op7_noisy_channel_toxicity,
         op8_minimax_shards,
