@@ -237,21 +237,24 @@ class Reader:
         return set().union(*(self.hits[t] for t in tokens & self.hits.keys()))
 
 
-def greedy_lexicon(toxic: list[set[str]], clean: Counter, n_clean: int, share: float) -> dict[str, float]:
+def stem_odds(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, share: float) -> dict[str, float]:
+    """P(toxic | stem) of stems where it reaches LEAST_SHARE, from document counts of either class."""
+    out = {}
+    for s, t in toxic.items():
+        a, b = share * t / n_toxic, (1 - share) * (clean.get(s, 0) + 0.5) / (n_clean + 1)
+        if t >= LEAST_DOCS and a / (a + b) >= LEAST_SHARE:
+            out[s] = a / (a + b)
+    return out
+
+
+def greedy_lexicon(toxic: list[list[str]], odds: dict[str, float]) -> dict[str, float]:
     """Stem -> P(toxic | stem), chosen one by one so that each explains toxic texts no earlier one does.
 
     That keeps the words that copies of a toxic text happen to share out of it.
     """
-    df = Counter(s for t in toxic for s in t)
-    odds = {}
-    for s, t in df.items():
-        if t >= LEAST_DOCS:
-            a, b = share * t / len(toxic), (1 - share) * (clean[s] + 0.5) / (n_clean + 1)
-            if a / (a + b) >= LEAST_SHARE:
-                odds[s] = a / (a + b)
     holders: dict[str, set[int]] = {}
     for i, t in enumerate(toxic):
-        for s in t & odds.keys():
+        for s in t:
             holders.setdefault(s, set()).add(i)
     out = {}
     while holders:
@@ -282,35 +285,44 @@ def fit(docs: DataFrame, labels: DataFrame, lm: CharModel) -> tuple[dict[str, fl
     some = known.where("toxic").orderBy("h").limit(MAX_TOXIC).union(known.where("not toxic").orderBy("h").limit(MAX_CLEAN)).select("doc_id", "toxic")
     n = known.agg(F.count("*").alias("n"), F.coalesce(F.count_if("toxic"), F.lit(0)).alias("t")).first()
     texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most MAX_TOXIC + MAX_CLEAN rows
-    lm_b = docs.sparkSession.sparkContext.broadcast(lm)
+    share = lambda x: docs.sparkSession.sparkContext.broadcast(x)
+    lm_b = share(lm)
 
-    def of_toxic(batches):
-        r = Reader(lm_b.value)
-        for b in batches:
-            yield pd.DataFrame({"stems": [sorted(r.stems(t)) for t in b["text"]]})
+    def found(wanted):
+        """Wanted stems of each text."""
 
-    rows = texts.where("toxic").mapInPandas(of_toxic, "stems array<string>").persist()
-    few = rows.select(F.explode("stems").alias("s")).groupBy("s").count().where(F.col("count") >= LEAST_DOCS)
-    few = {r["s"] for r in few.orderBy(F.desc("count"), "s").limit(MAX_CANDIDATES).collect()}
-    toxic = [few.intersection(r["stems"]) for r in rows.collect()]
-    rows.unpersist()
-    few_b = docs.sparkSession.sparkContext.broadcast(few)
+        def run(batches):
+            r = Reader(lm_b.value, wanted.value if wanted else None)
+            for b in batches:
+                yield pd.DataFrame({"stems": [sorted(r.stems(t)) for t in b["text"]]})
 
-    def of_clean(batches):
-        r, c, n = Reader(lm_b.value, few_b.value), Counter(), 0
-        for b in batches:
-            for t in b["text"]:
-                c.update(r.stems(t))
-                n += 1
-        yield pd.DataFrame({"s": ["", *c], "n": [n, *c.values()]})
+        return run
+
+    def counted(wanted):
+        """Texts of a task that have a stem; the number of texts under ''."""
+
+        def run(batches):
+            r, c, n = Reader(lm_b.value, wanted.value), Counter(), 0
+            for b in batches:
+                for t in b["text"]:
+                    c.update(r.stems(t))
+                    n += 1
+            yield pd.DataFrame({"s": ["", *c], "n": [n, *c.values()]})
+
+        return run
 
-    got = texts.where("not toxic").mapInPandas(of_clean, "s string, n long").groupBy("s").agg(F.sum("n").alias("n")).collect()
-    clean = Counter({r["s"]: r["n"] for r in got})
-    n_clean = clean.pop("", 0)
+    few = texts.where("toxic").mapInPandas(found(None), "stems array<string>").select(F.explode("stems").alias("s"))
+    few = few.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "s").limit(MAX_CANDIDATES)
+    toxic = {r["s"]: r["n"] for r in few.collect()}
     if not toxic:
         return {}, 0.0
-    lexicon = greedy_lexicon(toxic, clean, n_clean, (n["t"] + 0.5) / (n["n"] + 1))
-    missed = sum(lexicon.keys().isdisjoint(t) for t in toxic) / len(toxic) * n["t"]
+    got = texts.where("not toxic").mapInPandas(counted(share(set(toxic))), "s string, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    clean = {r["s"]: r["n"] for r in got.collect()}
+    n_clean, n_toxic = clean.pop("", 0), min(n["t"], MAX_TOXIC)
+    odds = stem_odds(toxic, clean, n_toxic, n_clean, (n["t"] + 0.5) / (n["n"] + 1))
+    held = [r["stems"] for r in texts.where("toxic").mapInPandas(found(share(set(odds))), "stems array<string>").collect()]
+    lexicon = greedy_lexicon(held, odds)
+    missed = sum(lexicon.keys().isdisjoint(t) for t in held) / len(held) * n["t"]
     return lexicon, min(0.4, (missed + 0.5) / (n["n"] - n["t"] + missed + 1))
 
 
