@@ -48,6 +48,23 @@ def phrase_anchors(spans: DataFrame, pages: DataFrame, on: list[str], phrase: st
     return out.groupBy(*spans.columns).agg(F.bool_or("_hit").alias("anchored"))
 
 
+def phrase_anchors_few(spans: DataFrame, pages: DataFrame, on: list[str], phrase: str = "phrase", text: str = "text") -> DataFrame:
+    """phrase_anchors for a fixed list of phrases over a large source whose key says little.
+
+    The pages are read once: every page is held against each phrase of its key where it lies, the list being
+    broadcast, and only phrases that hit go on.  The driver counts the list first and turns down one of over
+    100,000 phrases.
+    """
+    if spans.count() > 100_000:
+        raise ValueError("too many phrases to broadcast; use phrase_anchors with a page key")
+    same = lambda c: F.lower(collapse(F.col(c)))
+    listed = spans.select(*on, same(phrase).alias("_phrase")).distinct().groupBy(*on).agg(F.collect_list("_phrase").alias("_phrases"))
+    near = pages.select(*on, same(text).alias("_text")).join(F.broadcast(listed), on)
+    hits = near.select(*on, F.explode(F.filter("_phrases", lambda p: F.contains(F.col("_text"), p))).alias("_phrase")).distinct()
+    out = spans.withColumn("_phrase", same(phrase)).join(hits.withColumn("_hit", F.lit(True)), [*on, "_phrase"], "left")
+    return out.select(*spans.columns, F.coalesce("_hit", F.lit(False)).alias("anchored"))
+
+
 def long_spans(spans: DataFrame, phrase: str = "phrase", cap: int = 15) -> DataFrame:
     return spans.where(is_long_span(F.col(phrase), cap)).withColumn("n_words", words(F.col(phrase)))
 
