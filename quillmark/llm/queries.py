@@ -8,6 +8,7 @@ from .langid import identify_languages
 from .linededup import line_dedup_digest
 from .mixing import mix
 from .pieces import segment_documents
+from .quality import quality_scores
 from .repetition import repetition_rules
 from .sharding import shard_documents
 from .simhash import simhash_components
@@ -18,6 +19,10 @@ def op1_suffix_repetition(spark, sf_dir):
     return repetition_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_additive_quality(spark, sf_dir):
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_avi_mjpeg(spark, sf_dir):
     return media_features(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_repetition,
+        op2_additive_quality,
         op3_avi_mjpeg,
         op4_temperature_mixture,
         op5_minhash_lines,
