@@ -52,4 +52,14 @@ def chunks(texts: list[str], most: int = 1_500_000):
         yield start, len(texts)
 
 
+_kept: dict[str, tuple] = {}
+
+
+def per_worker(kind: str, key, make):
+    """make()'s result, kept in a Python worker from task to task for as long as the key stays the same."""
+    if kind not in _kept or _kept[kind][0] != key:
+        _kept[kind] = (key, make())
+    return _kept[kind][1]
+
+
 LETTER = re.compile(r"[^\W\d_]")

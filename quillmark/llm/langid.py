@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import LETTER, crc_mod
+from .common import LETTER, crc_mod, per_worker
 from .vocabulary import SPACE, Vocabulary, load_vocabulary
 
 #: Labelled documents to learn from, by language: those with the least hash of their id.
@@ -191,7 +192,7 @@ def training_counts(docs: DataFrame, max_docs: int = MAX_DOCS, max_words: int =
 class Scorer:
     """Predictions of texts; log-probabilities of recent words are kept."""
 
-    MOST = 300_000
+    MOST = 500_000
 
     def __init__(self, langs: list[str], probs: np.ndarray, vocab: Vocabulary):
         self.langs, self.probs, self.vocab = langs, probs, vocab
@@ -238,10 +239,10 @@ def identify_languages(docs: DataFrame, vocab_path: str | None = None) -> DataFr
     vocab = load_vocabulary(vocab_path)
     langs, probs = estimate(training_counts(docs), vocab)
     model = docs.sparkSession.sparkContext.broadcast((langs, probs, vocab))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind, key = docs.schema["doc_id"].dataType.simpleString(), uuid.uuid4().hex
 
     def run(batches):
-        scorer = Scorer(*model.value)
+        scorer = per_worker("langid", key, lambda: Scorer(*model.value))
         for b in batches:
             pred, score = scorer.predict(list(b["text"]))
             yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "lang_pred": pred, "score": score})

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import per_worker
 from .langid import Lattice
 from .vocabulary import SPACE, Vocabulary, load_vocabulary
 
@@ -47,13 +48,15 @@ def chunk_pattern(vocab: Vocabulary) -> re.Pattern:
 class Encoder:
     """Best and N-best segmentations of texts; recent chunks are kept."""
 
-    MOST = 250_000
+    MOST = 700_000
 
     def __init__(self, vocab: Vocabulary, n_best: int = N_BEST):
         self.vocab, self.n = vocab, n_best
         self.score = zipf_scores(vocab)
         self.pattern = chunk_pattern(vocab)
         self.shown = [p.replace(SPACE, " ") for p in vocab.pieces]
+        #: Characters that are pieces themselves; chunks with others need bytes and go one by one.
+        self.plain = {" "}.union(p for p in vocab.ids if len(p) == 1) - {SPACE}
         self.byte_of = {i: b for b, i in vocab.bytes.items()}
         self.reset()
 
@@ -111,7 +114,7 @@ class Encoder:
 
     def learn(self, chunks: list[str]) -> None:
         """Best segmentation, score and loss of the second best of new chunks: Viterbi, all in step."""
-        usual = [c for c in chunks if len(c) <= LONG and SPACE not in c]
+        usual = [c for c in chunks if len(c) <= LONG and self.plain.issuperset(c)]
         usual.sort(key=len)
         for a in range(0, len(usual), 10_000):
             self._learn(usual[a : a + 10_000])
@@ -127,12 +130,6 @@ class Encoder:
 
     def _learn(self, chunks: list[str]) -> None:
         lat = Lattice([self.form(c) for c in chunks], self.vocab)
-        if lat.spelt:  # characters that need bytes: those chunks go one by one
-            odd = {int(lat.word[k]) for k in lat.spelt}
-            chunks = [c for i, c in enumerate(chunks) if i not in odd]
-            if not chunks:
-                return
-            lat = Lattice([self.form(c) for c in chunks], self.vocab)
         n, w = lat.n, self.score[lat.piece]
         alpha, beta = np.full((n, lat.top + 1), -np.inf), np.full((n, lat.top + 1), -np.inf)
         back = np.full((n, lat.top + 1), -1)
@@ -227,7 +224,7 @@ class Encoder:
 
 def _encoders(docs: DataFrame, n_best: int, vocab_path: str | None):
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(vocab_path))
-    return lambda: Encoder(shared.value, n_best)
+    return lambda: per_worker("pieces", (vocab_path, n_best), lambda: Encoder(shared.value, n_best))
 
 
 def encode(docs: DataFrame, n_best: int = N_BEST, vocab_path: str | None = None, text_col: str = "text") -> DataFrame:

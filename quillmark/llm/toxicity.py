@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, per_worker
 
 # What a symbol may stand for.
 LEET = {
@@ -330,11 +331,11 @@ def scorer(docs: DataFrame, labels: DataFrame):
     """A function for executors that gives a batch's scores, after fitting on docs and labels."""
     lm = char_model(docs)
     lexicon, base = fit(docs, labels, lm)
-    model = docs.sparkSession.sparkContext.broadcast((lm, lexicon, base))
+    model, key = docs.sparkSession.sparkContext.broadcast((lm, lexicon, base)), uuid.uuid4().hex
 
     def scores():
         lm, lexicon, base = model.value
-        reader = Reader(lm, lexicon.keys())
+        reader = per_worker("toxicity", key, lambda: Reader(lm, lexicon.keys()))
         return lambda texts: np.array([text_score(reader.stems(t), lexicon, base) for t in texts], dtype=float)
 
     return scores
