@@ -215,11 +215,16 @@ class FrameInfo:
         return out
 
 
-def decode_blocks(frames: list[bytes], info: FrameInfo, blocks: int) -> np.ndarray:
+class NotFlat(ValueError):
+    """A block has more than its level."""
+
+
+def decode_blocks(frames: list[bytes], info: FrameInfo, blocks: int, flat: bool = False) -> np.ndarray:
     """Coefficients (frame, block, 64) in zigzag order, undone of quantisation; frames go in step.
 
     All frames share info's tables.  Each pass decodes one symbol of every frame that still has some, so
-    Python's work is by symbols of one frame and not of all.
+    Python's work is by symbols of one frame and not of all.  flat: only levels are wanted, one a block;
+    NotFlat is raised where a block has more.
     """
     parts = [f[info.scan : f.rindex(b"\xff\xd9")].replace(b"\xff\x00", b"\xff") for f in frames]
     sizes = np.array([len(p) + 8 for p in parts], dtype=np.int64)
@@ -229,7 +234,7 @@ def decode_blocks(frames: list[bytes], info: FrameInfo, blocks: int) -> np.ndarr
     pos, end = 8 * base, 8 * (base + sizes - 8)
     dc, ac, quant = info.dc[info.dc_at], info.ac[info.ac_at], info.quant[info.table]
     n = len(frames)
-    out = np.zeros((n, blocks, 64), np.int32) if not _flat(ac) else None
+    out = None if flat else np.zeros((n, blocks, 64), np.int32)
     level, levels = np.zeros(n, np.int64), np.empty((n, blocks), np.int64)
 
     def amplitude(size):
@@ -249,9 +254,9 @@ def decode_blocks(frames: list[bytes], info: FrameInfo, blocks: int) -> np.ndarr
         levels[:, b] = level
         if out is None:
             s = symbol(ac)
-            if (s != (0 << 5 | 2)).any():
-                raise ValueError("a block isn't flat")
-            pos = pos + 2
+            if ((s >> 5) != 0).any() or not (s & 31).all():
+                raise NotFlat("a block isn't flat")
+            pos = pos + (s & 31)
             continue
         k, live = np.ones(n, np.int64), np.arange(n)
         while len(live):
@@ -279,11 +284,6 @@ def decode_blocks(frames: list[bytes], info: FrameInfo, blocks: int) -> np.ndarr
     return out
 
 
-def _flat(ac: np.ndarray) -> bool:
-    """Whether the AC table is the one of flat blocks, so that only ends of blocks can follow."""
-    return int(ac[0]) == (0 << 5 | 2)
-
-
 _K = np.arange(8)
 DCT = np.sqrt(np.where(_K[:, None] == 0, 1, 2) / 8) * np.cos((2 * _K[None, :] + 1) * _K[:, None] * np.pi / 16)
 
@@ -295,7 +295,10 @@ def decode_frames(frames: list[bytes]) -> np.ndarray:
     if any(f[: info.scan] != head for f in frames):
         raise ValueError("frames with different headers are decoded apart")
     blocks = -(-info.height // 8) * -(-info.width // 8)
-    coef = decode_blocks(frames, info, blocks)
+    try:
+        coef = decode_blocks(frames, info, blocks, flat=True)
+    except NotFlat:
+        coef = decode_blocks(frames, info, blocks)
     if coef.shape[2] == 1:
         return np.clip((coef + 1024 + 4) >> 3, 0, 255).astype(np.uint8)
     grid = np.zeros(coef.shape, np.float64)

@@ -1,0 +1,78 @@
+"""AVI motion-JPEG: exact round trips, the index, shots."""
+
+import hashlib
+import zlib
+
+import numpy as np
+import pytest
+
+from quillmark.llm import avi as A
+
+
+@pytest.mark.parametrize("text", ["", None, "a", "x" * 192, "é" * 1000, "\x00\xff\U0001f600" * 500])
+def test_round_trip(text):
+    n, payload = A.padded(text)
+    media = A.write_avi(payload)
+    micros, pixels = A.read_avi(media)
+    assert pixels[:, :, 0].tobytes() == payload and micros == 40_000
+    got = A.digest_files([media])[0]
+    assert n == len((text or "").encode()) and len(payload) % 192 == 0 and payload
+    assert got["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+    assert got["tail_crc32"] == zlib.crc32(payload[-16:])
+
+
+def test_frames_together_equal_frames_alone():
+    texts = ["one", "two " * 300, "", "one"]
+    together = A.store_texts(texts)
+    assert [m for _, m in together] == [A.write_avi(A.padded(t)[1]) for t in texts]
+    assert together[0] == together[3]
+
+
+def test_without_an_index():
+    raw = np.random.default_rng(0).integers(0, 256, 192 * 20).astype(np.uint8).tobytes()
+    media = A.write_avi(raw)
+    at = media.rindex(b"idx1")
+    assert A.read_avi(media[:at] + b"JUNK" + media[at + 4 :])[1].tobytes() == raw
+
+
+def test_general_blocks():
+    """A frame with alternating coefficients, coded here by hand, decodes to its cosine."""
+    dc, ac = A.huffman(A.DC_COUNTS, A.DC_VALUES), A.huffman((0, 2, 1) + (0,) * 13, (0x00, 0x03, 0x11))
+    blocks = A.COLS * A.ROWS
+    bits = ""
+    for _ in range(blocks):
+        code, n = dc[0]
+        bits += f"{code:0{n}b}"
+        code, n = ac[0x03]
+        bits += f"{code:0{n}b}" + f"{5:03b}"  # first alternating coefficient: 5
+        code, n = ac[0x00]
+        bits += f"{code:0{n}b}"
+    bits += "1" * (-len(bits) % 8)
+    data = int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
+    quant = bytes([0, 8]) + bytes([16]) * 63
+    sof = A.struct.pack(">BHHB", 8, A.ROWS * 8, A.COLS * 8, 1) + bytes([1, 0x11, 0])
+    tables = bytes([0x00, *A.DC_COUNTS, *A.DC_VALUES, 0x10, 0, 2, 1, *([0] * 13), 0x00, 0x03, 0x11])
+    head = b"\xff\xd8" + A._segment(0xDB, quant) + A._segment(0xC0, sof) + A._segment(0xC4, tables) + A._segment(0xDA, bytes([1, 1, 0, 0, 63, 0]))
+    pixels = A.decode_frames([head + data + b"\xff\xd9"])[0, 0].reshape(8, 8)
+    want = np.rint(128 + 80 * np.sqrt(1 / 8) * np.sqrt(2 / 8) * np.cos((2 * np.arange(8) + 1) * np.pi / 16))
+    assert np.array_equal(pixels, np.tile(want, (8, 1)).astype(np.uint8))
+
+
+def test_shots():
+    dark, light = np.full((10, 192), 10, np.uint8), np.full((10, 192), 200, np.uint8)
+    media = A.write_avi(np.concatenate([dark, light, dark]).tobytes())
+    micros, pixels = A.read_avi(media)
+    cut = A.clips(micros, A.differences(A.histograms(pixels)))
+    assert [(c["first_frame"], c["last_frame"]) for c in cut] == [(0, 9), (10, 19), (20, 29)]
+    assert cut[1]["start_us"] == 400_000 and cut[2]["end_us"] == 1_200_000
+
+
+def test_frame(spark):
+    docs = spark.createDataFrame([(1, "hello " * 100, 5), (None, None, 6), (1, "hello " * 100, 7)], "doc_id long, text string, n_bytes int")
+    rows = A.media_features(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["n_bytes"], r["payload_bytes"]) for r in rows) == [(0, 0, 192), (1, 600, 768), (1, 600, 768)]
+    clips = A.avi_clips(A.store_documents(docs)).collect()
+    assert all(c["error"] is None for c in clips)
+    bad = spark.createDataFrame([(1, b"no file"), (2, None)], "doc_id long, media binary")
+    assert all(c["error"] for c in A.avi_clips(bad).collect())
+    assert A.media_features(docs.limit(0)).count() == 0
