@@ -66,7 +66,8 @@ def block_keys(fp, agree: int, widths=BLOCKS):
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
+    """Bits set in signed longs; numpy counts those of the absolute value."""
+    return np.bitwise_count(x.view(np.uint64))
 
 
 def tile_forest(a: np.ndarray, b: np.ndarray, distance: int) -> list[tuple[int, int]]:
