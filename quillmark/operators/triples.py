@@ -11,6 +11,8 @@ from quillmark.functions import values as V
 from quillmark.functions.text import escape, node_name
 from quillmark.plans import rules as R
 
+#: Of names in Turtle text; pass the vocabulary's own.
+NAMESPACE = "https://example.org/evidence/"
 COLUMNS = ("path", "s", "p", "o", "o_kind")
 
 
@@ -62,8 +64,8 @@ def node_collisions(items: DataFrame) -> DataFrame:
     return items.groupBy("path", node_name(F.col("item_id")).alias("node")).agg(F.sort_array(F.collect_list("item_id")).alias("ids")).where(F.size("ids") > 1)
 
 
-def turtle(triples: DataFrame) -> DataFrame:
-    """(path, text): a Turtle document of each path; subjects and their lines in order."""
+def turtle(triples: DataFrame, namespace: str = NAMESPACE) -> DataFrame:
+    """(path, text): a Turtle document of each path; subjects and their lines in order; gem: stands for namespace."""
     shown = (
         F.when(F.col("o_kind") == "iri", F.concat(F.lit("gem:"), "o"))
         .when(F.col("o_kind").isin("integer", "boolean"), F.col("o"))
@@ -73,11 +75,11 @@ def turtle(triples: DataFrame) -> DataFrame:
     lines = triples.select("path", "s", F.struct((F.col("p") != "type").alias("later"), "p", line.alias("line")).alias("x"))
     blocks = lines.groupBy("path", "s").agg(F.sort_array(F.collect_list("x")).alias("x"))
     blocks = blocks.select("path", "s", F.concat(F.lit("gem:"), "s", F.lit(" "), F.array_join(F.transform("x", lambda x: x["line"]), " ;\n    "), F.lit(" .")).alias("block"))
-    head = f"@prefix gem: <{R.NAMESPACE}> .\n@prefix xsd: <http://www.w3.org/2001/XMLSchema#> .\n\n"
+    head = f"@prefix gem: <{namespace}> .\n@prefix xsd: <http://www.w3.org/2001/XMLSchema#> .\n\n"
     text = F.transform(F.sort_array(F.collect_list(F.struct("s", "block"))), lambda x: x["block"])
     return blocks.groupBy("path").agg(F.concat(F.lit(head), F.array_join(text, "\n\n"), F.lit("\n")).alias("text"))
 
 
-def write_turtle(triples: DataFrame, path: str) -> None:
+def write_turtle(triples: DataFrame, path: str, namespace: str = NAMESPACE) -> None:
     """One text file a document, by path."""
-    turtle(triples).select(F.col("text").alias("value"), F.regexp_replace("path", r"^.*/|\.[^.]*$", "").alias("name")).write.mode("overwrite").partitionBy("name").text(path)
+    turtle(triples, namespace).select(F.col("text").alias("value"), F.regexp_replace("path", r"^.*/|\.[^.]*$", "").alias("name")).write.mode("overwrite").partitionBy("name").text(path)

@@ -53,7 +53,6 @@ CATEGORICAL = {
 LITERAL = {"organism": "organism", "target": "target", "specificity_of_phenotype": "specificityOfPhenotype", "subdomain": "subdomain"}
 BOOLEAN = {"mendelian_segregation": "mendelianSegregation", "exact_variant": "exactVariant", "genetic_background_considered": "geneticBackgroundConsidered"}
 ALIASES = {"target_resolution": "resolution"}
-NAMESPACE = "https://w3id.org/genetic-evidence-model/"
 # Ordinal scales, least first.
 ORDINALS = {"credibility": ["LOW", "MEDIUM", "HIGH", "VERY_HIGH"], "phenotype_scale": ["MOLECULAR", "CELLULAR", "HISTOLOGICAL", "ORGANISMAL", "CLINICAL"]}
 # Fixed values: (rule, property, dimension of its enumeration, least, most, message).

@@ -29,7 +29,7 @@ def scan_marks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_files(spark: SparkSession, path: str, glob: str = "*.yaml", skip: str | None = "reviews") -> DataFrame:
-    """(path, text) of files below path, without those that have a folder named skip."""
+    """(path, text) of files below path, without those that have a folder named skip; files of no bytes are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
     if skip:
         files = files.where(~F.array_contains(F.split("path", "/"), skip))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmark.operators.lineage import settle
 from quillmark.operators.triples import item_triples
 from quillmark.operators.validate import verdicts, violations
 from quillmark.sources.annotations import assertions, item_dims, items, parse_yaml
@@ -12,8 +13,9 @@ from quillmark.sources.annotations import assertions, item_dims, items, parse_ya
 
 def validate(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(verdicts, violations) of parsed documents."""
-    found = items(documents)
-    results = violations(item_triples(found, item_dims(found), assertions(found)))
+    found = settle(items(documents))
+    # The rules read the triples some thirty times.
+    results = settle(violations(settle(item_triples(found, item_dims(found), assertions(found)))))
     return verdicts(documents, results), results
 
 
