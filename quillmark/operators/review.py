@@ -77,7 +77,7 @@ def version_diff(left: DataFrame, right: DataFrame) -> DataFrame:
 def same_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     """(same, n_left, n_right): whether two bags are alike."""
     d = version_diff(left, right)
-    return d.agg((F.count("*") == 0).alias("same"), F.count_if("side = 'left'").alias("n_left"), F.count_if("side = 'right'").alias("n_right"))
+    return d.agg((F.count("*") == 0).alias("same"), F.count_if(F.col("side") == "left").alias("n_left"), F.count_if(F.col("side") == "right").alias("n_right"))
 
 
 def unmatched(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -135,7 +135,7 @@ def apply_verdicts(items: DataFrame, verdicts: DataFrame, edits: DataFrame, adde
 
 def second_round(verdicts: DataFrame, cross_cutting: DataFrame, several: int = 2) -> DataFrame:
     """Documents to review again: an item added, several edited, or a cross-cutting matter noted."""
-    out = verdicts.groupBy("path").agg(F.bool_or(F.col("added_in_phase").isNotNull()).alias("added"), F.count_if("decision = 'marked_for_edit'").alias("edits"))
+    out = verdicts.groupBy("path").agg(F.bool_or(F.col("added_in_phase").isNotNull()).alias("added"), F.count_if(F.col("decision") == "marked_for_edit").alias("edits"))
     noted = cross_cutting.select("path").distinct().withColumn("_c", F.lit(True))
     return out.join(noted, "path", "left").select("path", (F.col("added") | (F.col("edits") >= several) | F.coalesce("_c", F.lit(False))).alias("warranted"))
 
