@@ -52,14 +52,18 @@ def chunks(texts: list[str], most: int = 1_500_000):
         yield start, len(texts)
 
 
-_kept: dict[str, tuple] = {}
+_kept: list = [None, None]
 
 
-def per_worker(kind: str, key, make):
-    """make()'s result, kept in a Python worker from task to task for as long as the key stays the same."""
-    if kind not in _kept or _kept[kind][0] != key:
-        _kept[kind] = (key, make())
-    return _kept[kind][1]
+def per_worker(key, make):
+    """make()'s result, kept in a Python worker from task to task until another key comes.
+
+    A worker keeps one such thing at a time, whatever ran in it before; None as the key lets it go.
+    """
+    if _kept[0] != key:
+        _kept[:] = [None, None]
+        _kept[:] = [key, make() if key is not None else None]
+    return _kept[1]
 
 
 LETTER = re.compile(r"[^\W\d_]")

@@ -192,7 +192,7 @@ def training_counts(docs: DataFrame, max_docs: int = MAX_DOCS, max_words: int =
 class Scorer:
     """Predictions of texts; log-probabilities of recent words are kept."""
 
-    MOST = 500_000
+    MOST = 400_000
 
     def __init__(self, langs: list[str], probs: np.ndarray, vocab: Vocabulary):
         self.langs, self.probs, self.vocab = langs, probs, vocab
@@ -242,7 +242,7 @@ def identify_languages(docs: DataFrame, vocab_path: str | None = None) -> DataFr
     kind, key = docs.schema["doc_id"].dataType.simpleString(), uuid.uuid4().hex
 
     def run(batches):
-        scorer = per_worker("langid", key, lambda: Scorer(*model.value))
+        scorer = per_worker(key, lambda: Scorer(*model.value))
         for b in batches:
             pred, score = scorer.predict(list(b["text"]))
             yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "lang_pred": pred, "score": score})

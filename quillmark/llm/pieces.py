@@ -48,7 +48,7 @@ def chunk_pattern(vocab: Vocabulary) -> re.Pattern:
 class Encoder:
     """Best and N-best segmentations of texts; recent chunks are kept."""
 
-    MOST = 700_000
+    MOST = 450_000
 
     def __init__(self, vocab: Vocabulary, n_best: int = N_BEST):
         self.vocab, self.n = vocab, n_best
@@ -63,7 +63,7 @@ class Encoder:
     def reset(self) -> None:
         self.known: dict[str, int] = {}
         self.blobs: list[bytes] = []
-        self.best, self.gap = np.zeros(0), np.zeros(0)
+        self.best, self.gap, self.sizes, self.uses = np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.lists: dict[str, list[tuple[float, bytes]]] = {}
 
     # One chunk, in Python: any characters, any length.
@@ -87,7 +87,7 @@ class Encoder:
         """Up to n (score, ids as int32 bytes), best first, by backward A-star from the chunk's end.
 
         The forward Viterbi score of a place is the exact best cost to the start, so hypotheses leave the
-        queue in order of their whole score.  Ties go by ids from the end.
+        queue in order of their whole score.
         """
         got = self.lists.get(chunk)
         if got is None:
@@ -96,15 +96,26 @@ class Encoder:
             alpha = [0.0] + [-math.inf] * len(form)
             for e in range(1, len(form) + 1):
                 alpha[e] = max(alpha[s] + w for s, w, _ in into[e])
-            queue = [(-alpha[-1], (), len(form), 0.0)]
+            # Only the n best ways from a place to the end can be part of the n best segmentations, so a place
+            # is left n times at most; a long run with very many equal segmentations ends soon by that.
+            queue, pushed, left = [(-alpha[-1], len(form), 0, 0.0, None)], 0, [0] * (len(form) + 1)
             got = []
             while queue and len(got) < self.n:
-                total, path, at, tail = heapq.heappop(queue)
+                _, at, _, tail, path = heapq.heappop(queue)
                 if at == 0:
-                    got.append((-total, np.array(path[::-1], dtype=np.int32).tobytes()))
+                    ids = []
+                    while path:
+                        ids.extend(path[0])
+                        path = path[1]
+                    got.append((tail, np.array(ids, dtype=np.int32).tobytes()))
                     continue
-                for s, w, ids in into[at]:
-                    heapq.heappush(queue, (-(alpha[s] + w + tail), (*path, *ids[::-1]), s, w + tail))
+                left[at] += 1
+                if left[at] > self.n:
+                    continue
+                for s, w, own in into[at]:
+                    pushed += 1
+                    heapq.heappush(queue, (-(alpha[s] + w + tail), s, pushed, w + tail, (own, path)))
+            got.sort(key=lambda x: -x[0])
             if len(self.lists) > 50_000:
                 self.lists.clear()
             self.lists[chunk] = got
@@ -127,6 +138,18 @@ class Encoder:
         self.known.update(zip(chunks, range(len(self.blobs), len(self.blobs) + len(chunks)), strict=True))
         self.blobs.extend(blobs)
         self.best, self.gap = np.concatenate((self.best, best)), np.concatenate((self.gap, gap))
+        self.sizes = np.concatenate((self.sizes, np.fromiter(map(len, blobs), np.int64, len(blobs))))
+        self.uses = np.concatenate((self.uses, np.zeros(len(blobs), np.int64)))
+
+    def compact(self) -> None:
+        """Forgets chunks that fewer than two texts had, and the rarer half's worth beyond half of MOST."""
+        keep = np.flatnonzero(self.uses >= 2)
+        if len(keep) > self.MOST // 2:
+            keep = np.sort(keep[np.argsort(-self.uses[keep], kind="stable")[: self.MOST // 2]])
+        names = list(self.known)
+        self.known = {names[i]: k for k, i in enumerate(keep.tolist())}
+        self.blobs = [self.blobs[i] for i in keep.tolist()]
+        self.best, self.gap, self.sizes, self.uses = self.best[keep], self.gap[keep], self.sizes[keep], self.uses[keep] // 2
 
     def _learn(self, chunks: list[str]) -> None:
         lat = Lattice([self.form(c) for c in chunks], self.vocab)
@@ -176,7 +199,7 @@ class Encoder:
         split = [self.chunks(t) for t in texts]
         every = set().union(*split)
         if len(self.known) + len(every - self.known.keys()) > self.MOST:
-            self.reset()
+            self.compact()
         self.learn(list(every - self.known.keys()))
         return split
 
@@ -187,15 +210,17 @@ class Encoder:
         their exact lists are combined, least loss first; equal losses go by place, then by rank.
         """
         at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
-        blobs = list(map(self.blobs.__getitem__, at.tolist()))
+        self.uses[at] += 1  # once a text
+        whole = b"".join(map(self.blobs.__getitem__, at.tolist()))
         best = float(self.best[at].sum())
-        out = [(best, b"".join(blobs))]
+        out = [(best, whole)]
         gap = self.gap[at]
         few = np.flatnonzero(gap <= np.partition(gap, self.n - 2)[self.n - 2]) if 1 < self.n <= len(gap) else np.arange(len(gap))
         few = [i for i in few[np.argsort(gap[few], kind="stable")].tolist() if gap[i] < np.inf][: self.n - 1]
         lists = [self.n_best(chunks[i]) for i in few]
         if not lists:
             return out
+        starts = [int(self.sizes[at[:i]].sum()) for i in few]
         queue, seen = [(0.0, (0,) * len(few))], set()
         while queue and len(out) < self.n:
             loss, ranks = heapq.heappop(queue)
@@ -206,11 +231,11 @@ class Encoder:
                         seen.add(nxt)
                         heapq.heappush(queue, (sum(x[0][0] - x[r][0] for x, r in zip(lists, nxt, strict=True)), nxt))
             if any(ranks):
-                own = blobs.copy()
-                for i, x, r in zip(few, lists, ranks, strict=True):
-                    if r:
-                        own[i] = x[r][1]
-                out.append((best - loss, b"".join(own)))
+                own, done = [], 0
+                for k in sorted((k for k, r in enumerate(ranks) if r), key=lambda k: few[k]):
+                    own += [whole[done : starts[k]], lists[k][ranks[k]][1]]
+                    done = starts[k] + len(lists[k][0][1])
+                out.append((best - loss, b"".join((*own, whole[done:]))))
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -224,7 +249,7 @@ class Encoder:
 
 def _encoders(docs: DataFrame, n_best: int, vocab_path: str | None):
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(vocab_path))
-    return lambda: per_worker("pieces", (vocab_path, n_best), lambda: Encoder(shared.value, n_best))
+    return lambda: per_worker(("pieces", vocab_path, n_best), lambda: Encoder(shared.value, n_best))
 
 
 def encode(docs: DataFrame, n_best: int = N_BEST, vocab_path: str | None = None, text_col: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, per_worker
 from .components import components
 
 SEED = 42
@@ -44,6 +44,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp): the fingerprint as a signed long, one row per document."""
 
     def run(batches):
+        per_worker(None, None)
         for b in batches:
             fps = np.fromiter((fingerprint(t) for t in b["text"]), np.uint64, len(b))
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fps.view(np.int64)})

@@ -95,13 +95,14 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     """(gram, n) over the lower-cased words of all texts, added up in each task before the shuffle."""
 
     def run(batches):
+        per_worker(None, None)
         words: Counter = Counter()
         grams: Counter = Counter()
         for b in batches:
             for t in b["text"]:
                 if t:
                     words.update(t.lower().split())
-                if len(words) > 400_000:
+                if len(words) > 250_000:
                     grams.update(word_grams(words))
                     words = Counter()
             if len(grams) > 500_000:
@@ -335,7 +336,7 @@ def scorer(docs: DataFrame, labels: DataFrame):
 
     def scores():
         lm, lexicon, base = model.value
-        reader = per_worker("toxicity", key, lambda: Reader(lm, lexicon.keys()))
+        reader = per_worker(key, lambda: Reader(lm, lexicon.keys()))
         return lambda texts: np.array([text_score(reader.stems(t), lexicon, base) for t in texts], dtype=float)
 
     return scores
