@@ -15,6 +15,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 10, 4
 #: Slots of the filter that picks rows before a join: at most so many numbers are broadcast.
 SLOTS = 1 << 20
+#: Lines of a bucket on either side of a tile, and 64-bit words of a sketch (a power of two).
+TILE, WORDS = 512, 4
 
 
 def _mix(n: int) -> int:
@@ -72,22 +74,66 @@ def lines(docs: DataFrame) -> DataFrame:
     return split.withColumns({"lid": F.xxhash64("line"), "check": F.xxhash64(F.lit(1), "line")})
 
 
-def candidates(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Distinct (a, b) lids that share a band: each with its bucket's two ends.
+def buckets(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(key, band, lid, low, high, n) of the lines that share a band's bucket: its two ends and its number of lines.
 
-    Copies of a line come down to one row in each task before the shuffle, and one after it.  In a bucket
-    every line is paired with the least and the greatest only, under an order of the band's own, so a bucket
-    of n lines gives at most 2 n pairs and no group gives all of its.
+    Copies of a line come down to one row in each task before the shuffle, and one after it.  The ends are the
+    least and the greatest line under an order of the band's own.
     """
     keyed = with_band_keys(lines(docs.select("doc_id", "text")), width, bands, rows)
     once = keyed.groupBy("lid").agg(*[F.min(f"k{b}").alias(f"k{b}") for b in range(bands)])
     mixed = [F.struct(F.col(f"k{b}").alias("key"), F.col("lid").bitwiseXOR(F.lit(_mix(1000 + b))).alias("o"), F.lit(b).alias("band")) for b in range(bands)]
     dealt = once.select(F.explode(F.array(*mixed)).alias("m")).select("m.*").repartition("key", "band")
-    ends = dealt.groupBy("key", "band").agg(F.min("o").alias("low"), F.max("o").alias("high")).where("low < high")
+    ends = dealt.groupBy("key", "band").agg(F.min("o").alias("low"), F.max("o").alias("high"), F.count("*").alias("n")).where("low < high")
     met = dealt.join(ends.hint("shuffle_hash"), ["key", "band"])
     mask = F.element_at(F.array(*[F.lit(_mix(1000 + b)) for b in range(bands)]), F.col("band") + 1)
-    pairs = met.select(F.col("o").bitwiseXOR(mask).alias("x"), F.explode(F.array(F.col("low").bitwiseXOR(mask), F.col("high").bitwiseXOR(mask))).alias("y"))
-    return pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return met.select("key", "band", *[F.col(c).bitwiseXOR(mask).alias(d) for c, d in (("o", "lid"), ("low", "low"), ("high", "high"))], "n")
+
+
+def end_pairs(met: DataFrame) -> DataFrame:
+    """Distinct (a, b) of each line of a bucket with the bucket's ends: at most 2 n pairs of n lines."""
+    pairs = met.select(F.col("lid").alias("x"), F.explode(F.array("low", "high")).alias("y")).where("x <> y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def with_sketch(sets: DataFrame) -> DataFrame:
+    """(lid, size, w0, w1, ...) of lid and its distinct hashes s: of each bit, the parity of the hashes that fall on it.
+
+    Two sets' words differ in at most as many bits as the sets do in hashes.
+    """
+
+    def word(k: int) -> Column:
+        def flip(w: Column, x: Column) -> Column:
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+            return w.bitwiseXOR(F.when(F.shiftright(x, 6).bitwiseAND(F.lit(WORDS - 1)) == k, bit).otherwise(F.lit(0).cast("long")))
+
+        return F.aggregate("s", F.lit(0).cast("long"), flip)
+
+    return sets.select("lid", F.size("s").alias("size"), *[word(k).alias(f"w{k}") for k in range(WORDS)])
+
+
+def rest_pairs(met: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
+    """Distinct (a, b) of a bucket's other lines that no link joins yet and that may reach the threshold.
+
+    Lines of one component need no further link.  All other pairs of a bucket are met, in tiles of some TILE
+    lines a side; what is left out of them differs in too many hashes by size or by sketch, which is exact.
+    """
+    inner = met.where("n > 3 and lid <> low and lid <> high").select("key", "band", "lid")
+    inner = cut_lineage(inner.join(roots, "lid", "left").withColumn("root", F.coalesce("root", "lid")))
+    parted = inner.groupBy("key", "band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m")).where("r0 < r1")
+    left = inner.join(parted.select("key", "band", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")), ["key", "band"])
+    sets = with_shingles(texts.join(left.select("lid").distinct(), "lid", "left_semi"), width, "s")
+    left = left.join(with_sketch(sets.select("lid", F.array_distinct("s").alias("s"))), "lid")
+    left = left.withColumn("t", F.pmod(F.xxhash64(F.lit(5), "lid"), F.col("tiles")).cast("int"))
+    left = left.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    left = left.select("key", "band", F.least("t", "j").alias("p"), F.greatest("t", "j").alias("q"), "t", "lid", "root", "size", *[f"w{k}" for k in range(WORDS)])
+    left = cut_lineage(left)
+    on = ["key", "band", "p", "q"]
+    other = left.select(*on, *[F.col(c).alias(f"_{c}") for c in left.columns if c not in on])
+    most = (F.col("size") + F.col("_size")) * ((1 - threshold) / (1 + threshold)) + 1e-6
+    apart = sum((F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"_w{k}"))) for k in range(1, WORDS)), F.bit_count(F.col("w0").bitwiseXOR(F.col("_w0"))))
+    met = left.join(other.hint("merge"), on).where("lid < _lid and root <> _root and (p = q or t <> _t)")
+    return met.where((F.abs(F.col("size") - F.col("_size")) <= most) & (apart <= most)).select(F.col("lid").alias("a"), F.col("_lid").alias("b")).distinct()
 
 
 def slot_filter(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
@@ -97,14 +143,8 @@ def slot_filter(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return df.withColumn("_slot", slot).join(F.broadcast(slots), "_slot", "left_semi").drop("_slot")
 
 
-def links(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(a, b) lids of lines whose shingle sets have a Jaccard similarity of at least the threshold."""
-    pairs = cut_lineage(candidates(docs, width, bands, rows))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
-    few = slot_filter(lines(docs.select("doc_id", "text")).select("lid", "line"), "lid", ids)
-    # Of a line's copies one is kept before the shuffle: all have the same text.  Texts travel, not their
-    # shingles, which take eight times the room.
-    texts = cut_lineage(few.join(ids, "lid", "left_semi").groupBy("lid").agg(F.max("line").alias("line")))
+def alike(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
+    """Those (a, b) of pairs whose texts' shingle sets have a Jaccard similarity of at least the threshold."""
     both = pairs.join(texts.toDF("a", "la"), "a").join(texts.toDF("b", "lb"), "b")
     sets = with_shingles(with_shingles(both, width, "sa", "la"), width, "sb", "lb")
     sets = sets.select("a", "b", F.array_distinct("sa").alias("sa"), F.array_distinct("sb").alias("sb"))
@@ -112,6 +152,22 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, ban
     return sets.where(F.col("common") >= threshold * (F.col("n") - F.col("common"))).select("a", "b")
 
 
+def links(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(a, b) lids of alike lines that share a bucket: every such pair is an edge or is joined by edges.
+
+    Each line meets its buckets' ends first; what that leaves apart in a bucket is met pair by pair.
+    """
+    met = cut_lineage(buckets(docs, width, bands, rows))
+    ids = met.select("lid").distinct()
+    few = slot_filter(lines(docs.select("doc_id", "text")).select("lid", "line"), "lid", ids)
+    # Of a line's copies one is kept before the shuffle: all have the same text.  Texts travel, not their
+    # shingles, which take eight times the room.
+    texts = cut_lineage(few.join(ids, "lid", "left_semi").groupBy("lid").agg(F.max("line").alias("line")))
+    first = cut_lineage(alike(end_pairs(met), texts, threshold, width))
+    roots = components(first).select(F.col("node").alias("lid"), "root")
+    return first.union(alike(rest_pairs(met, roots, texts, threshold, width), texts, threshold, width))
+
+
 def line_classes(docs: DataFrame, **options) -> DataFrame:
     """(lid, root) of the lines that are linked to a different line."""
     return components(links(docs, **options)).select(F.col("node").alias("lid"), "root")

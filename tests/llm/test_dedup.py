@@ -152,6 +152,35 @@ def test_line_links_against_brute_force(spark):
     assert len(groups(got) & groups(want)) >= 0.9 * len(groups(want))
 
 
+@pytest.mark.parametrize("tile", [512, 40])
+def test_hub_of_variants_is_one_class(spark, monkeypatch, tile):
+    """Each variant is alike to the base line only, so a bucket's ends link few of them."""
+    rng = random.Random(7)
+    base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100))
+    lines = {base}
+    while len(lines) < 301:
+        i = rng.randrange(100)
+        lines.add(base[:i] + rng.choice("ABCDEFGHIJ") + base[i + 1 :])
+    monkeypatch.setattr(D, "TILE", tile)
+    docs = spark.createDataFrame(list(enumerate(sorted(lines))), "doc_id long, text string")
+    found = D.line_classes(docs).collect()
+    met = {r["lid"] for r in D.buckets(docs).collect()}
+    assert len(met) > 290 and {r["lid"] for r in found} == met
+    assert len({r["root"] for r in found}) == 1
+
+
+def test_sketches_differ_no_more_than_sets(spark):
+    rng = random.Random(8)
+    sets = {i: {rng.getrandbits(64) - 2**63 for _ in range(rng.randint(0, 60))} for i in range(12)}
+    df = spark.createDataFrame([(i, list(s)) for i, s in sets.items()], "lid long, s array<long>")
+    got = {r["lid"]: r for r in D.with_sketch(df).collect()}
+    for i, s in sets.items():
+        assert got[i]["size"] == len(s)
+        for j, t in sets.items():
+            apart = sum(((got[i][f"w{k}"] ^ got[j][f"w{k}"]) % 2**64).bit_count() for k in range(D.WORDS))
+            assert apart <= len(s ^ t) and (apart - len(s ^ t)) % 2 == 0
+
+
 def test_exponent():
     shares = {"a": 0.7, "b": 0.2, "c": 0.1}
     x = M.solve_exponent(shares, max_epochs=2.0)
