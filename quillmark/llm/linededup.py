@@ -48,23 +48,29 @@ def with_shingles(df: DataFrame, width: int = WIDTH, name: str = "h", line: str
 def with_band_keys(df: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(lid, k0, k1, ...) of df's lid and line: one key a band.
 
-    The line's hashes are sorted once.  Each MinHash takes the first hash at or after an offset of its own,
-    going round: a rotation of one random order, so equal with the probability of the Jaccard similarity.
+    Each row of the bands has a random order of its own, in which the line's hashes are sorted once.  A MinHash
+    takes the first hash at or after its band's offset, going round: a rotation of the row's order, so equal
+    with the probability of the Jaccard similarity.  Bands that share a hash in one order, as those of short
+    lines do, part in the others.
     """
-    offsets = sorted(_mix(n) for n in range(bands * rows))
+    step = (1 << 64) // bands
+    offsets = [b * step + step // 2 - (1 << 63) for b in range(bands)]
     # Arrays are columns of their own: Spark would compute an array again for every use within one select.
-    hashed = with_shingles(df.select("lid", "line"), width).select("lid", F.sort_array("h").alias("h"))
-    marked = hashed.select("lid", "h", F.sort_array(F.concat("h", F.array(*[F.lit(o) for o in offsets]))).alias("m"))
-    size = F.size("h")
+    hashed = with_shingles(df.select("lid", "line"), width)
 
-    def minhash(k: int) -> Column:
-        at = (F.array_position("m", F.lit(offsets[k])) - F.lit(k + 1)) % size
-        return F.element_at("h", (at + 1).cast("int"))
+    def ordered(r: int) -> Column:
+        return F.sort_array(F.transform("h", lambda x: F.xxhash64(F.lit(r), x)))
+
+    orders = hashed.select("lid", *[ordered(r).alias(f"h{r}") for r in range(rows)])
+    marked = orders.select("*", *[F.sort_array(F.concat(f"h{r}", F.array(*[F.lit(o) for o in offsets]))).alias(f"m{r}") for r in range(rows)])
+
+    def minhash(r: int, b: int) -> Column:
+        at = (F.array_position(f"m{r}", F.lit(offsets[b])) - F.lit(b + 1)) % F.size(f"h{r}")
+        return F.element_at(f"h{r}", (at + 1).cast("int"))
 
     # The lambda keeps this select out of whole-stage code, whose one method would be too large to compile.
     lid = F.element_at(F.transform(F.array("lid"), lambda x: x), 1)
-    # Offsets near each other go to different bands.
-    return marked.select(lid.alias("lid"), *[F.xxhash64(F.lit(b), *[minhash(r * bands + b) for r in range(rows)]).alias(f"k{b}") for b in range(bands)])
+    return marked.select(lid.alias("lid"), *[F.xxhash64(F.lit(b), *[minhash(r, b) for r in range(rows)]).alias(f"k{b}") for b in range(bands)])
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -194,8 +200,8 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     Lines are parts between \\n; those without a word stay and count for nothing else.  Two lines are alike
     if the Jaccard similarity of their sets of WIDTH-character shingles is at least the threshold; of each
     component of alike lines, copies included, only the first line by (doc_id, place) stays.  Candidates come
-    from banded MinHash: at similarity 0.8 a pair shares a bucket with probability 0.995, and then is checked
-    exactly.  Other columns are kept.  Null texts stay null with no lines; a text may become empty; rows of
+    from banded MinHash: at similarity 0.8 a pair shares a bucket with probability of some 0.995 (0.99 for lines
+    of ten shingles), and then is checked exactly or joined by links that are.  Other columns are kept.  Null texts stay null with no lines; a text may become empty; rows of
     equal ids share their lines' places, so repeated rows stay alike; rows without an id stay whole.
     """
     gone = dropped_lines(docs, **options).groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("_gone"))

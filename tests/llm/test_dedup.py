@@ -169,6 +169,17 @@ def test_hub_of_variants_is_one_class(spark, monkeypatch, tile):
     assert len({r["root"] for r in found}) == 1
 
 
+@pytest.mark.parametrize("size, most", [(10, 0.025), (16, 0.02), (25, 0.015), (80, 0.015)])
+def test_bands_seldom_miss_short_lines(spark, size, most):
+    """Pairs at a similarity of 0.8 with few shingles: the shorter line is the longer one's beginning."""
+    rng = random.Random(size)
+    longs = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(size + 7)) for _ in range(2000)]
+    texts = [t for x in longs for t in (x, x[: -(size // 5)])]
+    keys = {r["lid"]: r for r in D.with_band_keys(spark.createDataFrame(list(enumerate(texts)), "lid long, line string")).collect()}
+    missed = sum(all(keys[2 * i][f"k{b}"] != keys[2 * i + 1][f"k{b}"] for b in range(D.BANDS)) for i in range(len(longs)))
+    assert missed <= most * len(longs)
+
+
 def test_sketches_differ_no_more_than_sets(spark):
     rng = random.Random(8)
     sets = {i: {rng.getrandbits(64) - 2**63 for _ in range(rng.randint(0, 60))} for i in range(12)}
