@@ -201,8 +201,11 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     if the Jaccard similarity of their sets of WIDTH-character shingles is at least the threshold; of each
     component of alike lines, copies included, only the first line by (doc_id, place) stays.  Candidates come
     from banded MinHash: at similarity 0.8 a pair shares a bucket with probability of some 0.995 (0.99 for lines
-    of ten shingles), and then is checked exactly or joined by links that are.  Other columns are kept.  Null texts stay null with no lines; a text may become empty; rows of
-    equal ids share their lines' places, so repeated rows stay alike; rows without an id stay whole.
+    of ten shingles), and then is checked exactly or joined by links that are.  One changed character well
+    inside a line of L characters breaks 8 shingles and leaves a similarity of (L - 15) / (L + 1), where all
+    shingles differ: lines of 79 characters and more are still alike, shorter ones are not.  Other columns are
+    kept.  Null texts stay null with no lines; a text may become empty; rows of equal ids share their lines'
+    places, so repeated rows stay alike; rows without an id stay whole.
     """
     gone = dropped_lines(docs, **options).groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("_gone"))
     # A row of gone is within one document.

@@ -169,6 +169,21 @@ def test_hub_of_variants_is_one_class(spark, monkeypatch, tile):
     assert len({r["root"] for r in found}) == 1
 
 
+def test_shortest_line_with_a_changed_character(spark):
+    rng = random.Random(9)
+    pairs = {}
+    for length in (40, 78, 79, 80, 100):
+        for k in range(40):
+            line = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(length))
+            pairs[length, k] = (line, line[: length // 2] + "x" + line[length // 2 + 1 :])
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(t for p in pairs.values() for t in p)], "doc_id long, text string")
+    line = {r["lid"]: r["line"] for r in D.lines(docs).collect()}
+    got = {frozenset((line[r["a"]], line[r["b"]])) for r in D.links(docs).collect()}
+    found = {n: sum(frozenset(p) in got for (length, _), p in pairs.items() if length == n) for n in (40, 78, 79, 80, 100)}
+    assert found[40] == found[78] == 0
+    assert min(found[79], found[80], found[100]) >= 39
+
+
 @pytest.mark.parametrize("size, most", [(10, 0.025), (16, 0.02), (25, 0.015), (80, 0.015)])
 def test_bands_seldom_miss_short_lines(spark, size, most):
     """Pairs at a similarity of 0.8 with few shingles: the shorter line is the longer one's beginning."""
