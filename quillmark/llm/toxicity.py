@@ -37,6 +37,10 @@ LEAST_DOCS, LEAST_SHARE = 3, 0.8
 _SYM = "".join(map(re.escape, LEET))
 #: A token that may hide a word: symbols beside letters, a letter three times, single letters with gaps.
 ODD = re.compile(rf"[^\W\d_][{_SYM}]+[^\W\d_]|^[{_SYM}][^\W\d_]{{2}}|([^\W\d_])\1\1|(?<![^\W\d_])[^\W\d_](?:[.\-_*][^\W\d_](?![^\W\d_])){{2,}}")
+#: A token that may be a slighter disguise: a symbol at a letter, a letter twice, single characters with gaps.
+SLIGHT = re.compile(rf"[^\W\d_][{_SYM}]|[{_SYM}][^\W\d_]|([^\W\d_])\1|(?<![^\W\d_])(?:[^\W\d_]|[{_SYM}])(?:[.\-_*](?:[^\W\d_]|[{_SYM}])(?![^\W\d_])){{2,}}")
+#: Three or more chunks of one or two characters, parted by any white space.
+SHORT = re.compile(r"(?<!\S)(?:\S{1,2}\s+){2,}\S{1,2}(?!\S)")
 #: Four or more single characters with one space each between them.
 SPACED = re.compile(r" (?:\S ){3,}\S(?!\S)")
 RUN = re.compile(r"(.)\1{3,}", re.S)
@@ -201,6 +205,16 @@ class Restorer:
     def token(self, token: str) -> str:
         return self.read(token) if ODD.search(token) else token
 
+    def readings(self, token: str) -> tuple[str, ...]:
+        """What a token may say: its decoded form, and itself too where it is at most a slight disguise."""
+        if ODD.search(token):
+            return (self.read(token),)
+        return (token, self.read(token)) if SLIGHT.search(token) else (token,)
+
+    def short_runs(self, text: str | None) -> set[str]:
+        """Runs of short chunks of the lower-cased text, with single spaces."""
+        return {" ".join(m.split()) for m in SHORT.findall((text or "").lower())}
+
     def restore(self, text: str | None) -> str:
         """The lower-cased text with suspect chunks decoded and white space as single spaces."""
         return " ".join(map(self.token, self.spaced(text).split()))
@@ -216,7 +230,10 @@ def token_stems(restored: str) -> set[str]:
 
 
 class Reader:
-    """Stems of whole texts that a wanted set holds; each distinct token is restored and looked up once."""
+    """Stems of whole texts that a wanted set holds; each distinct token is restored and looked up once.
+
+    Tokens that may be slight disguises and runs of short chunks count as written and as decoded.
+    """
 
     MOST = 400_000
 
@@ -226,11 +243,13 @@ class Reader:
         self.hits: dict[str, set[str]] = {}
 
     def stems(self, text: str | None) -> set[str]:
-        tokens = set(self.restorer.spaced(text).split())
+        # A run holds a space, so it is never one of the tokens.
+        tokens = set(self.restorer.spaced(text).split()) | self.restorer.short_runs(text)
         if len(self.seen) > self.MOST:
             self.seen, self.hits = set(), {}
         for t in tokens - self.seen:
-            got = set().union(*map(token_stems, self.restorer.token(t).split()))
+            read = (self.restorer.read(t),) if " " in t else self.restorer.readings(t)
+            got = set().union(*(token_stems(w) for r in read for w in r.split()))
             if self.wanted is not None:
                 got &= self.wanted
             if got:

@@ -30,6 +30,17 @@ def test_restoration(lm, written, read):
     assert T.Restorer(lm).restore(written) == read
 
 
+@pytest.mark.parametrize("written", ["stup1d", "stupi6", "idi07", "id10+", '"1diot"', "(5tupid", "stuupid", "iidiot", "i.d.1.0.t", "1.d.1.0.t", "id i ot", "i d i o t", "i  d  i  o  t", "i\td\ti\to\tt", "i\nd\ni\no\nt", "a s s"])
+def test_disguises_are_read(written):
+    """A model of a few words, in which each disguise has one likely reading."""
+    words = Counter({"stupid": 400, "stupig": 1, "idiot": 400, "ass": 300, "hello": 300, "good": 300})
+    grams = T.word_grams(words)
+    lm = T.CharModel(grams, "".join(g for g in grams if len(g) == 1 and g.isalpha()))
+    said = {"=" + w for w in ("stupid", "stupig", "idiot", "ass")}
+    assert T.Reader(lm, said).stems(f"hello {written} good") & said
+    assert "=good" in T.Reader(lm).stems("a good one") and "=hello" in T.Reader(lm).stems("hello!")
+
+
 def test_grams_against_counting():
     counts = Counter({"abc,": 2, "a1b": 1, "é": 3, "..": 4})
     want = Counter()
