@@ -30,7 +30,6 @@ ALPHABET = 96
 
 #: Labelled rows to learn from at most, by class: those with the least hash of their id.
 MAX_TOXIC, MAX_CLEAN = 4000, 8000
-MAX_CANDIDATES = 50_000
 STEM_LENGTHS = (4, 5, 6, 7, 8)
 LEAST_DOCS, LEAST_SHARE = 3, 0.8
 
@@ -245,7 +244,7 @@ class Reader:
     def stems(self, text: str | None) -> set[str]:
         # A run holds a space, so it is never one of the tokens.
         tokens = set(self.restorer.spaced(text).split()) | self.restorer.short_runs(text)
-        if len(self.seen) > self.MOST:
+        if len(self.seen) > (self.MOST if self.wanted is not None else self.MOST // 4):
             self.seen, self.hits = set(), {}
         for t in tokens - self.seen:
             read = (self.restorer.read(t),) if " " in t else self.restorer.readings(t)
@@ -313,34 +312,41 @@ def fit(docs: DataFrame, labels: DataFrame, lm: CharModel) -> tuple[dict[str, fl
         """Wanted stems of each text."""
 
         def run(batches):
-            r = Reader(lm_b.value, wanted.value if wanted else None)
+            r = Reader(lm_b.value, wanted.value)
             for b in batches:
                 yield pd.DataFrame({"stems": [sorted(r.stems(t)) for t in b["text"]]})
 
         return run
 
-    def counted(wanted):
+    def counted(batches):
         """Texts of a task that have a stem; the number of texts under ''."""
-
-        def run(batches):
-            r, c, n = Reader(lm_b.value, wanted.value), Counter(), 0
-            for b in batches:
-                for t in b["text"]:
-                    c.update(r.stems(t))
-                    n += 1
-            yield pd.DataFrame({"s": ["", *c], "n": [n, *c.values()]})
-
-        return run
-
-    few = texts.where("toxic").mapInPandas(found(None), "stems array<string>").select(F.explode("stems").alias("s"))
-    few = few.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "s").limit(MAX_CANDIDATES)
-    toxic = {r["s"]: r["n"] for r in few.collect()}
-    if not toxic:
+        r, c, n = Reader(lm_b.value), Counter(), 0
+        for b in batches:
+            for t in b["text"]:
+                c.update(r.stems(t))
+                n += 1
+                if len(c) > 200_000:
+                    yield pd.DataFrame({"s": list(c), "n": list(c.values())})
+                    c = Counter()
+        yield pd.DataFrame({"s": ["", *c], "n": [n, *c.values()]})
+
+    def counts(of):
+        return texts.where(of).mapInPandas(counted, "s string, n long").groupBy("s").agg(F.sum("n").alias("n"))
+
+    # Only stems whose odds suffice are collected, however many there are.
+    clean = counts("not toxic").persist()
+    try:
+        n_clean = clean.where("s = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        n_toxic, share_toxic = min(n["t"], MAX_TOXIC), (n["t"] + 0.5) / (n["n"] + 1)
+        few = counts("toxic").where((F.col("s") != "") & (F.col("n") >= LEAST_DOCS))
+        few = few.join(clean.select("s", F.col("n").alias("c")), "s", "left").select("s", "n", F.coalesce("c", F.lit(0)).alias("c"))
+        a, b = F.col("n") * (share_toxic / max(1, n_toxic)), (F.col("c") + 0.5) * ((1 - share_toxic) / (n_clean + 1))
+        rows = few.where(a >= (LEAST_SHARE - 1e-6) * (a + b)).collect()
+    finally:
+        clean.unpersist()
+    odds = stem_odds({r["s"]: r["n"] for r in rows}, {r["s"]: r["c"] for r in rows}, n_toxic, n_clean, share_toxic)
+    if not odds:
         return {}, 0.0
-    got = texts.where("not toxic").mapInPandas(counted(share(set(toxic))), "s string, n long").groupBy("s").agg(F.sum("n").alias("n"))
-    clean = {r["s"]: r["n"] for r in got.collect()}
-    n_clean, n_toxic = clean.pop("", 0), min(n["t"], MAX_TOXIC)
-    odds = stem_odds(toxic, clean, n_toxic, n_clean, (n["t"] + 0.5) / (n["n"] + 1))
     held = [r["stems"] for r in texts.where("toxic").mapInPandas(found(share(set(odds))), "stems array<string>").collect()]
     lexicon = greedy_lexicon(held, odds)
     missed = sum(lexicon.keys().isdisjoint(t) for t in held) / len(held) * n["t"]

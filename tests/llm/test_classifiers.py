@@ -98,6 +98,22 @@ def test_toxicity(spark):
     assert T.toxicity_scores(docs.limit(0), labels).count() == 0
 
 
+def test_rare_insult_among_many_common_stems(spark):
+    """60,000 and more stems that all texts hold leave an insult of a few toxic texts in the lexicon."""
+    rng = random.Random(2)
+    common = " ".join("".join(rng.sample("abdeghilmnoprstu", 10)) for _ in range(12_000))
+    docs, labels = [], []
+    for i in range(40):
+        bad = i % 2 == 0
+        docs.append((i, common + (" grobnak" if bad and i % 4 == 0 else ""), None))
+        labels.append((i, int(bad)))
+    docs = spark.createDataFrame(docs, "doc_id long, text string, x string")
+    grams = T.word_grams(Counter(common.split()))
+    lm = T.CharModel(grams, "".join(g for g in grams if len(g) == 1 and g.isalpha()))
+    lexicon, _ = T.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), lm)
+    assert any("=grobnak".endswith(s) or "grobnak".startswith(s) for s in lexicon)
+
+
 def test_quality(spark):
     docs, labels = corpus(spark)
     rows = {r["doc_id"]: r for r in Q.quality_scores(docs, labels).collect()}
