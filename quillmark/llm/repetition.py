@@ -11,8 +11,9 @@ from .common import chunks
 
 #: Repeats below this many words don't count as maximal repeats of the rule.
 MIN_REPEAT = 8
-#: A text is kept while its maximal repeats cover at most this share of its words ...
-MAX_COVERED = 0.5
+#: A text is kept while its maximal repeats cover at most this share of its words, below the half that the base
+#: rule already rejects (words under repeats of MIN_REPEAT words also lie in windows found again) ...
+MAX_COVERED = 0.25
 #: ... and none is longer than this many words.
 MAX_LONGEST = 50
 MIN_WORDS = 50

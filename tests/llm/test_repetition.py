@@ -53,6 +53,16 @@ def test_verdicts():
     assert np.all(got["longest_repeat"][:2] == [0, 60])
 
 
+def test_coverage_alone_rejects():
+    words = [f"w{i}" for i in range(400)]
+    passage = [f"p{i}" for i in range(45)]
+    texts = [" ".join(words[:220] + sum((passage + [f"x{k}"] for k in range(4)), [])), " ".join(words[:310] + passage + ["x"] + passage)]
+    got = text_rules(texts)
+    assert got["covered_words"].tolist() == [180, 90] and got["longest_repeat"].tolist() == [45, 45]
+    assert got["base_failed"].tolist() == [False, False]
+    assert got["kept"].tolist() == [False, True]
+
+
 def test_frame(spark):
     docs = spark.createDataFrame([(1, "a b", "x"), (None, None, "y"), (1, "a b", "z")], "doc_id long, text string, kept string")
     rows = repetition_rules(docs).collect()
