@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,17 +18,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder: the cluster's own, or a new one where none is set."""
+    """The folder in spark.checkpoint.dir, which driver and executors share.
+
+    Where none is set, a local session gets a new folder of this machine's; a cluster gets an error, for its
+    executors would not see such a folder.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return at or tempfile.mkdtemp(prefix="quillmark-checkpoint-")
+    if at:
+        return at
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillmark-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder, so later stages and lost executors reread it."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """df as a table written to the shared folder, so later stages and lost executors reread it."""
+    at = f"{shared_dir(df.sparkSession).rstrip('/')}/quillmark-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out._written_at = at
+    return out
+
+
+def release(*written: DataFrame) -> None:
+    """Deletes tables of cut_lineage that nothing will read again."""
+    for df in written:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(columns, *names: str) -> list[str]:
+    """Each name with as many underscores after it as keep it apart from the columns, in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def crc_mod(col: str | Column, n: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, release
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
@@ -17,9 +17,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 2
     rounds; the labels are joined at the end.  Null ends and self loops are ignored; no edges, no rows.
     """
     e = edges.select(F.least(a, b).cast("long").alias("u"), F.greatest(a, b).cast("long").alias("v"))
-    e = cut_lineage(e.where("u < v").distinct())
+    first = e = cut_lineage(e.where("u < v").distinct())
     maps, left = [], e.count()
-    nodes = e.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     while left:
         if len(maps) == max_rounds:
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")
@@ -36,10 +35,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 2
         maps.append(hook)
         pu, pv = hook.toDF("u", "pu"), hook.toDF("v", "pv")
         step = e.join(pu, "u").join(pv, "v").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v"))
-        e = cut_lineage(step.where("u < v").distinct())
+        last, e = e, cut_lineage(step.where("u < v").distinct())
+        if last is not first:
+            release(last)
         left = e.count()
-    label = nodes.withColumn("at", F.col("node"))
+    label = first.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("at", F.col("node"))
     for m in maps:
         label = label.join(m.toDF("at", "next"), "at", "left").select("node", F.coalesce("next", "at").alias("at"))
+    label = cut_lineage(label)
+    release(first, *maps, *([e] if e is not first else []))
     low = label.groupBy("at").agg(F.min("node").alias("root"))
     return label.join(low, "at").select("node", "root")

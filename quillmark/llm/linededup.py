@@ -1,22 +1,30 @@
-"""Fuzzy line dedup: MinHash over character shingles, banding, exact Jaccard, union-find.  DataFrame operations only."""
+"""Fuzzy line dedup: MinHash over character shingles, banding, exact Jaccard, union-find.  DataFrame operations only.
 
-from __future__ import annotations
+Shingles are rows, not arrays: Spark compiles what runs over exploded rows and interprets what runs in the
+lambda of an array function, at some ten times the cost.
+"""
 
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, fresh, release
 from .components import components
 
 #: Characters of a shingle; a shorter line is one shingle.
 WIDTH = 8
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 4
+#: Bits of a MinHash.
+HASH_BITS = 24
 #: Slots of the filter that picks rows before a join: at most so many numbers are broadcast.
 SLOTS = 1 << 20
 #: Lines of a bucket on either side of a tile, and 64-bit words of a sketch (a power of two).
-TILE, WORDS = 512, 4
+TILE, WORDS = 512, 8
+#: Pairs that share a copy of a text in the exact check, and shingles of a task there, about.
+SHARED, TASK_SHINGLES = 256, 3_000_000
+MOST_TASKS = 20_000
 
 
 def _mix(n: int) -> int:
@@ -33,44 +41,33 @@ def norm(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
 
 
-def with_shingles(df: DataFrame, width: int = WIDTH, name: str = "h", line: str = "line") -> DataFrame:
-    """df with an array<long> in place of line: the hash of every stretch of width characters, or of a shorter line.
+def shingles(df: DataFrame, width: int = WIDTH, line: str = "line", name: str = "h") -> DataFrame:
+    """A row for every stretch of width characters of line, or for a shorter line: df's other columns and its hash.
 
-    Stretches are cut from UTF-16 units, where a cut takes the same time at any place of a long line.  The
-    units are a column of their own, or else they would be made again for every stretch.
+    Stretches are cut from UTF-16 units, where a cut takes the same time at any place of a long line.
     """
     others = [c for c in df.columns if c != line]
     units = df.select(*others, F.encode(line, "UTF-16BE").alias("_u"))
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length("_u") - (2 * width - 1)), F.lit(2))
-    return units.select(*others, F.transform(starts, lambda i: F.xxhash64(F.substring(F.col("_u"), i, F.lit(2 * width)))).alias(name))
+    cut = units.select(*others, "_u", F.explode(starts).alias("_i"))
+    return cut.select(*others, F.xxhash64(F.substring(F.col("_u"), F.col("_i"), F.lit(2 * width))).alias(name))
 
 
 def with_band_keys(df: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(lid, k0, k1, ...) of df's lid and line: one key a band.
+    """(lid, k0, k1, ...) of df's lid and line, a row for each lid: one key a band.
 
-    Each row of the bands has a random order of its own, in which the line's hashes are sorted once.  A MinHash
-    takes the first hash at or after its band's offset, going round: a rotation of the row's order, so equal
-    with the probability of the Jaccard similarity.  Bands that share a hash in one order, as those of short
-    lines do, part in the others.
+    Every MinHash has an order of its own: the shingle's hash times an odd number of its own, of which the
+    middle bits count.  Copies of a line come down to one row in each task before the shuffle.
     """
-    step = (1 << 64) // bands
-    offsets = [b * step + step // 2 - (1 << 63) for b in range(bands)]
-    # Arrays are columns of their own: Spark would compute an array again for every use within one select.
-    hashed = with_shingles(df.select("lid", "line"), width)
-
-    def ordered(r: int) -> Column:
-        return F.sort_array(F.transform("h", lambda x: F.xxhash64(F.lit(r), x)))
+    x = shingles(df.select("lid", "line"), width).select("lid", F.col("h").bitwiseAND(F.lit((1 << 32) - 1)).alias("x"))
 
-    orders = hashed.select("lid", *[ordered(r).alias(f"h{r}") for r in range(rows)])
-    marked = orders.select("*", *[F.sort_array(F.concat(f"h{r}", F.array(*[F.lit(o) for o in offsets]))).alias(f"m{r}") for r in range(rows)])
+    def minhash(k: int) -> Column:
+        # 32 by 31 bits: the product never overflows.
+        odd = (_mix(2000 + k) & (1 << 30) - 1) << 1 | 1
+        return F.min(F.shiftright(F.col("x") * F.lit(odd), 16).bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
-    def minhash(r: int, b: int) -> Column:
-        at = (F.array_position(f"m{r}", F.lit(offsets[b])) - F.lit(b + 1)) % F.size(f"h{r}")
-        return F.element_at(f"h{r}", (at + 1).cast("int"))
-
-    # The lambda keeps this select out of whole-stage code, whose one method would be too large to compile.
-    lid = F.element_at(F.transform(F.array("lid"), lambda x: x), 1)
-    return marked.select(lid.alias("lid"), *[F.xxhash64(F.lit(b), *[minhash(r, b) for r in range(rows)]).alias(f"k{b}") for b in range(bands)])
+    signed = x.groupBy("lid").agg(*[minhash(k).alias(f"m{k}") for k in range(bands * rows)])
+    return signed.select("lid", *[F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]).alias(f"k{b}") for b in range(bands)])
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -81,65 +78,65 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def buckets(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(key, band, lid, low, high, n) of the lines that share a band's bucket: its two ends and its number of lines.
+    """(key, lid, n, centre) of the lines that share a band's bucket: its number of lines, and one line of it.
 
-    Copies of a line come down to one row in each task before the shuffle, and one after it.  The ends are the
-    least and the greatest line under an order of the band's own.
+    The centre is the line whose buckets have the most lines together, for a line that many others were made
+    from shares more buckets than any of those.  Buckets are counted before the shuffle, and the joins may
+    split a hot one.
     """
-    keyed = with_band_keys(lines(docs.select("doc_id", "text")), width, bands, rows)
-    once = keyed.groupBy("lid").agg(*[F.min(f"k{b}").alias(f"k{b}") for b in range(bands)])
-    mixed = [F.struct(F.col(f"k{b}").alias("key"), F.col("lid").bitwiseXOR(F.lit(_mix(1000 + b))).alias("o"), F.lit(b).alias("band")) for b in range(bands)]
-    dealt = once.select(F.explode(F.array(*mixed)).alias("m")).select("m.*").repartition("key", "band")
-    ends = dealt.groupBy("key", "band").agg(F.min("o").alias("low"), F.max("o").alias("high"), F.count("*").alias("n")).where("low < high")
-    met = dealt.join(ends.hint("shuffle_hash"), ["key", "band"])
-    mask = F.element_at(F.array(*[F.lit(_mix(1000 + b)) for b in range(bands)]), F.col("band") + 1)
-    return met.select("key", "band", *[F.col(c).bitwiseXOR(mask).alias(d) for c, d in (("o", "lid"), ("low", "low"), ("high", "high"))], "n")
+    signed = cut_lineage(with_band_keys(lines(docs.select("doc_id", "text")), width, bands, rows))
+    keyed = signed.select("lid", F.explode(F.array(*[f"k{b}" for b in range(bands)])).alias("key"))
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = cut_lineage(keyed.join(counts, "key"))
+    release(signed)
+    shared = met.groupBy("lid").agg(F.sum("n").alias("shared"))
+    best = met.join(shared, "lid").groupBy("key").agg(F.max(F.struct("shared", "lid")).alias("best"))
+    out = cut_lineage(met.join(best.select("key", F.col("best.lid").alias("centre")), "key"))
+    release(met)
+    return out
 
 
-def end_pairs(met: DataFrame) -> DataFrame:
-    """Distinct (a, b) of each line of a bucket with the bucket's ends: at most 2 n pairs of n lines."""
-    pairs = met.select(F.col("lid").alias("x"), F.explode(F.array("low", "high")).alias("y")).where("x <> y")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def centre_pairs(met: DataFrame) -> DataFrame:
+    """Distinct (a, b) of each line of a bucket with the bucket's centre: fewer pairs than lines."""
+    pairs = met.where("lid <> centre")
+    return pairs.select(F.least("lid", "centre").alias("a"), F.greatest("lid", "centre").alias("b")).distinct()
 
 
-def with_sketch(sets: DataFrame) -> DataFrame:
-    """(lid, size, w0, w1, ...) of lid and its distinct hashes s: of each bit, the parity of the hashes that fall on it.
+def with_sketch(hashes: DataFrame) -> DataFrame:
+    """(lid, size, w0, w1, ...) of rows (lid, h): distinct hashes, and of each bit the parity of those that fall on it.
 
     Two sets' words differ in at most as many bits as the sets do in hashes.
     """
-
-    def word(k: int) -> Column:
-        def flip(w: Column, x: Column) -> Column:
-            bit = F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-            return w.bitwiseXOR(F.when(F.shiftright(x, 6).bitwiseAND(F.lit(WORDS - 1)) == k, bit).otherwise(F.lit(0).cast("long")))
-
-        return F.aggregate("s", F.lit(0).cast("long"), flip)
-
-    return sets.select("lid", F.size("s").alias("size"), *[word(k).alias(f"w{k}") for k in range(WORDS)])
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
+    word = F.shiftright("h", 6).bitwiseAND(F.lit(WORDS - 1))
+    words = [F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)]
+    return hashes.select("lid", "h").distinct().groupBy("lid").agg(F.count("*").cast("int").alias("size"), *words)
 
 
 def rest_pairs(met: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """Distinct (a, b) of a bucket's other lines that no link joins yet and that may reach the threshold.
+    """Distinct (a, b) of a bucket's lines that no link joins yet and that may reach the threshold.
 
-    Lines of one component need no further link.  All other pairs of a bucket are met, in tiles of some TILE
-    lines a side; what is left out of them differs in too many hashes by size or by sketch, which is exact.
+    Lines of one component need no further link, and the centre has met all.  All other pairs of a bucket
+    are met, in tiles of some TILE lines a side; what is left out of them differs in too many hashes by size
+    or by sketch, which is exact.
     """
-    inner = met.where("n > 3 and lid <> low and lid <> high").select("key", "band", "lid")
+    inner = met.where("n > 2 and lid <> centre").select("key", "lid")
     inner = cut_lineage(inner.join(roots, "lid", "left").withColumn("root", F.coalesce("root", "lid")))
-    parted = inner.groupBy("key", "band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m")).where("r0 < r1")
-    left = inner.join(parted.select("key", "band", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")), ["key", "band"])
-    sets = with_shingles(texts.join(left.select("lid").distinct(), "lid", "left_semi"), width, "s")
-    left = left.join(with_sketch(sets.select("lid", F.array_distinct("s").alias("s"))), "lid")
+    parted = inner.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m")).where("r0 < r1")
+    left = inner.join(parted.select("key", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")), "key")
+    left = left.join(with_sketch(shingles(texts.select("lid", "line").join(left.select("lid").distinct(), "lid", "left_semi"), width)), "lid")
     left = left.withColumn("t", F.pmod(F.xxhash64(F.lit(5), "lid"), F.col("tiles")).cast("int"))
     left = left.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    left = left.select("key", "band", F.least("t", "j").alias("p"), F.greatest("t", "j").alias("q"), "t", "lid", "root", "size", *[f"w{k}" for k in range(WORDS)])
+    left = left.select("key", F.least("t", "j").alias("p"), F.greatest("t", "j").alias("q"), "t", "lid", "root", "size", *[f"w{k}" for k in range(WORDS)])
     left = cut_lineage(left)
-    on = ["key", "band", "p", "q"]
+    on = ["key", "p", "q"]
     other = left.select(*on, *[F.col(c).alias(f"_{c}") for c in left.columns if c not in on])
     most = (F.col("size") + F.col("_size")) * ((1 - threshold) / (1 + threshold)) + 1e-6
     apart = sum((F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"_w{k}"))) for k in range(1, WORDS)), F.bit_count(F.col("w0").bitwiseXOR(F.col("_w0"))))
-    met = left.join(other.hint("merge"), on).where("lid < _lid and root <> _root and (p = q or t <> _t)")
-    return met.where((F.abs(F.col("size") - F.col("_size")) <= most) & (apart <= most)).select(F.col("lid").alias("a"), F.col("_lid").alias("b")).distinct()
+    near = left.join(other.hint("merge"), on).where("lid < _lid and root <> _root and (p = q or t <> _t)")
+    out = cut_lineage(near.where((F.abs(F.col("size") - F.col("_size")) <= most) & (apart <= most)).select(F.col("lid").alias("a"), F.col("_lid").alias("b")).distinct())
+    release(inner, left)
+    return out
 
 
 def slot_filter(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
@@ -150,33 +147,62 @@ def slot_filter(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
 
 
 def alike(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """Those (a, b) of pairs whose texts' shingle sets have a Jaccard similarity of at least the threshold."""
-    both = pairs.join(texts.toDF("a", "la"), "a").join(texts.toDF("b", "lb"), "b")
-    sets = with_shingles(with_shingles(both, width, "sa", "la"), width, "sb", "lb")
-    sets = sets.select("a", "b", F.array_distinct("sa").alias("sa"), F.array_distinct("sb").alias("sb"))
-    sets = sets.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("common"))
-    return sets.where(F.col("common") >= threshold * (F.col("n") - F.col("common"))).select("a", "b")
+    """Those (a, b) of pairs whose texts' shingle sets have a Jaccard similarity of at least the threshold.
+
+    Both texts of a pair travel to a task, where their shingles are matched.  Of a pair's ends the one with
+    more pairs comes second, as one copy of its text for about every SHARED pairs, so that a line that very
+    many others are compared with never meets them all in one task.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.count("*").alias("d"))
+    own = texts.select("lid", "line", F.length("line").alias("size"))
+    known = ends.join(own.select("lid", "size"), F.col("end") == F.col("lid")).select("end", "d", "size")
+    total = known.agg(F.sum(F.col("d") * F.col("size"))).first()[0] or 0
+    tasks = min(MOST_TASKS, max(1, -(-int(total) // TASK_SHINGLES), pairs.sparkSession.sparkContext.defaultParallelism))
+    da, db = ends.toDF("a", "da"), ends.toDF("b", "db")
+    turned = pairs.join(da, "a").join(db, "b").withColumn("turn", F.col("da") > F.col("db"))
+    turned = turned.select(
+        F.when(F.col("turn"), F.col("b")).otherwise(F.col("a")).alias("x"),
+        F.when(F.col("turn"), F.col("a")).otherwise(F.col("b")).alias("y"),
+        F.ceil(F.greatest("da", "db") / SHARED).cast("int").alias("copies"),
+    )
+    turned = turned.select("x", "y", F.pmod(F.xxhash64("x", "y"), F.col("copies")).cast("int").alias("copy"))
+    seconds = ends.select(F.col("end").alias("y"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("d") / SHARED).cast("int") - 1)).alias("copy"))
+    seconds = seconds.join(own.select(F.col("lid").alias("y"), F.col("line").alias("ly")), "y")
+    firsts = turned.join(own.select(F.col("lid").alias("x"), F.col("line").alias("lx")), "x")
+    both = firsts.repartition(tasks, "y", "copy").join(seconds.repartition(tasks, "y", "copy").hint("shuffle_hash"), ["y", "copy"])
+    sides = F.array(F.struct(F.lit(1).alias("side"), F.col("lx").alias("line")), F.struct(F.lit(2).alias("side"), F.col("ly").alias("line")))
+    rows = shingles(both.select("y", "copy", "x", F.explode(sides).alias("s")).select("y", "copy", "x", "s.side", "s.line"), width)
+    held = rows.groupBy("y", "copy", "x", "h").agg(F.bit_or("side").alias("sides"))
+    sizes = held.groupBy("y", "copy", "x").agg(F.count("*").alias("n"), F.count_if(F.col("sides") == 3).alias("common"))
+    return sizes.where(F.col("common") >= threshold * F.col("n")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def links(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(a, b) lids of alike lines that share a bucket: every such pair is an edge or is joined by edges.
 
-    Each line meets its buckets' ends first; what that leaves apart in a bucket is met pair by pair.
+    Each line meets its buckets' centres first; what that leaves apart in a bucket is met pair by pair.
     """
-    met = cut_lineage(buckets(docs, width, bands, rows))
+    met = buckets(docs, width, bands, rows)
     ids = met.select("lid").distinct()
     few = slot_filter(lines(docs.select("doc_id", "text")).select("lid", "line"), "lid", ids)
     # Of a line's copies one is kept before the shuffle: all have the same text.  Texts travel, not their
     # shingles, which take eight times the room.
     texts = cut_lineage(few.join(ids, "lid", "left_semi").groupBy("lid").agg(F.max("line").alias("line")))
-    first = cut_lineage(alike(end_pairs(met), texts, threshold, width))
+    pairs = cut_lineage(centre_pairs(met))
+    first = cut_lineage(alike(pairs, texts, threshold, width))
     roots = components(first).select(F.col("node").alias("lid"), "root")
-    return first.union(alike(rest_pairs(met, roots, texts, threshold, width), texts, threshold, width))
+    rest = rest_pairs(met, roots, texts, threshold, width)
+    out = cut_lineage(first.union(alike(rest, texts, threshold, width)))
+    release(met, texts, pairs, first, rest)
+    return out
 
 
 def line_classes(docs: DataFrame, **options) -> DataFrame:
     """(lid, root) of the lines that are linked to a different line."""
-    return components(links(docs, **options)).select(F.col("node").alias("lid"), "root")
+    edges = links(docs, **options)
+    out = components(edges).select(F.col("node").alias("lid"), "root")
+    release(edges)
+    return out
 
 
 def dropped_lines(docs: DataFrame, **options) -> DataFrame:
@@ -200,25 +226,25 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     Lines are parts between \\n; those without a word stay and count for nothing else.  Two lines are alike
     if the Jaccard similarity of their sets of WIDTH-character shingles is at least the threshold; of each
     component of alike lines, copies included, only the first line by (doc_id, place) stays.  Candidates come
-    from banded MinHash: at similarity 0.8 a pair shares a bucket with probability of some 0.995 (0.99 for lines
-    of ten shingles), and then is checked exactly or joined by links that are.  One changed character well
+    from banded MinHash: at similarity 0.8 a pair shares a bucket with a probability of some 0.995, and then is
+    checked exactly or joined by links that are.  One changed character well
     inside a line of L characters breaks 8 shingles and leaves a similarity of (L - 15) / (L + 1), where all
     shingles differ: lines of 79 characters and more are still alike, shorter ones are not.  Other columns are
-    kept.  Null texts stay null with no lines; a text may become empty; rows of equal ids share their lines'
-    places, so repeated rows stay alike; rows without an id stay whole.
+    kept; where docs has a column n_lines or dropped, it stays, and the new one's name gets an underscore.
+    Null texts stay null with no lines; a text may become empty; rows of equal ids share their lines'
+    places, so repeated rows stay alike; rows without an id stay whole; an empty table gives no rows.
     """
-    gone = dropped_lines(docs, **options).groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("_gone"))
-    # A row of gone is within one document.
-    parts = F.split("text", "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone")), lambda i: F.get(parts, i))
-    text = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = docs.join(gone, "doc_id", "left")
-    others = [c for c in docs.columns if c != "text"]
+    n_lines, dropped, gone, parts = fresh(docs.columns, "n_lines", "dropped", "_gone", "_parts")
+    places = dropped_lines(docs, **options).groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias(gone))
+    # A row of places is within one document.  The parts are a column of their own: within the lambda, Spark would
+    # split the text for every part.
+    out = docs.join(places, "doc_id", "left").withColumn(parts, F.split("text", "\n"))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone)), lambda i: F.get(F.col(parts), i))
+    text = F.when(F.col(gone).isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return out.select(
-        *[F.col(c) for c in others],
-        text.alias("text"),
-        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(parts)).alias("n_lines"),
-        F.coalesce("_gone", F.array().cast("array<int>")).alias("dropped"),
+        *[text.alias(c) if c == "text" else F.col(c) for c in docs.columns],
+        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(parts)).alias(n_lines),
+        F.coalesce(gone, F.array().cast("array<int>")).alias(dropped),
     )
 
 
