@@ -34,27 +34,39 @@ class Lattice:
     """
 
     def __init__(self, words: list[str], vocab: Vocabulary):
-        self.n, span, piece, self.spelt = len(words), [], [], {}
-        get = vocab.prefixes.get
-        for w, text in enumerate(words):
-            n, base = len(text), w << 16
-            for i in range(n):
-                at = base | i << 8
-                if text[i] not in vocab.ids:
-                    self.spelt[len(piece)] = text[i]
-                    span.append(at | i + 1)
-                    piece.append(-1)
-                for j in range(i + 1, n + 1):
-                    p = get(text[i:j])
-                    if p is None:
-                        break
-                    if p >= 0:
-                        span.append(at | j)
-                        piece.append(p)
-        packed, self.piece = np.array(span, dtype=np.int64), np.array(piece, dtype=np.int64)
-        self.word, self.start, self.end = packed >> 16, packed >> 8 & 255, packed & 255
+        self.n = len(words)
         self.lengths = np.fromiter(map(len, words), np.int64, self.n)
         self.top = int(self.lengths.max(initial=0))
+        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        word = np.repeat(np.arange(self.n), self.lengths)
+        stop = np.cumsum(self.lengths)
+        start = np.arange(len(code)) - (stop - self.lengths)[word]
+        # All places walk the trie of pieces in step; those that leave it or their word drop out.
+        at, node, depth, found = np.arange(len(code)), np.zeros(len(code), np.int64), 0, []
+        while len(at):
+            node = vocab.trie.step(node, code[at + depth])
+            depth += 1
+            on = node >= 0
+            if depth == 1:
+                odd = vocab.trie.piece[node] < 0
+                odd |= ~on
+                found.append(self._packed(word[odd], start[odd], 1, 0))
+            at, node = at[on], node[on]
+            p = vocab.trie.piece[node]
+            hit = p >= 0
+            found.append(self._packed(word[at[hit]], start[at[hit]], depth, p[hit] + 1))
+            inside = at + depth < stop[word[at]]
+            at, node = at[inside], node[inside]
+        packed = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        self.word, self.start, self.end = packed >> 37, packed >> 29 & 255, packed >> 21 & 255
+        self.piece = (packed & (1 << 21) - 1) - 1
+        #: Edge -> the character that it spells out.
+        self.spelt = {k: words[self.word[k]][self.start[k]] for k in np.flatnonzero(self.piece < 0).tolist()}
+
+    @staticmethod
+    def _packed(word: np.ndarray, start: np.ndarray, length: int, piece) -> np.ndarray:
+        """Edges as numbers that sort by word, start and end; piece 0 stands for a spelt-out character."""
+        return word << 37 | start << 29 | (start + length) << 21 | piece
 
     def _by(self, place: np.ndarray) -> list[np.ndarray]:
         """Edges by their start or end; words stay in order within each."""

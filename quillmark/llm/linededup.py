@@ -21,10 +21,12 @@ HASH_BITS = 24
 #: Slots of the filter that picks rows before a join: at most so many numbers are broadcast.
 SLOTS = 1 << 20
 #: Lines of a bucket on either side of a tile, and 64-bit words of a sketch (a power of two).
-TILE, WORDS = 512, 8
+TILE, WORDS = 512, 32
 #: Pairs that share a copy of a text in the exact check, and shingles of a task there, about.
-SHARED, TASK_SHINGLES = 256, 3_000_000
+SHARED, TASK_SHINGLES = 256, 500_000
 MOST_TASKS = 20_000
+#: Pairs left apart to a line from which on the nearest ones are checked before the others.
+MANY = 2
 
 
 def _mix(n: int) -> int:
@@ -96,12 +98,6 @@ def buckets(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int =
     return out
 
 
-def centre_pairs(met: DataFrame) -> DataFrame:
-    """Distinct (a, b) of each line of a bucket with the bucket's centre: fewer pairs than lines."""
-    pairs = met.where("lid <> centre")
-    return pairs.select(F.least("lid", "centre").alias("a"), F.greatest("lid", "centre").alias("b")).distinct()
-
-
 def with_sketch(hashes: DataFrame) -> DataFrame:
     """(lid, size, w0, w1, ...) of rows (lid, h): distinct hashes, and of each bit the parity of those that fall on it.
 
@@ -113,32 +109,66 @@ def with_sketch(hashes: DataFrame) -> DataFrame:
     return hashes.select("lid", "h").distinct().groupBy("lid").agg(F.count("*").cast("int").alias("size"), *words)
 
 
-def rest_pairs(met: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """Distinct (a, b) of a bucket's lines that no link joins yet and that may reach the threshold.
+def near_enough(threshold: float) -> Column:
+    """Whether two sketches, the second's columns with an underscore before, leave room for the threshold."""
+    most = (F.col("size") + F.col("_size")) * ((1 - threshold) / (1 + threshold)) + 1e-6
+    return (F.abs(F.col("size") - F.col("_size")) <= most) & (apart() <= most)
+
+
+def never_null(df: DataFrame) -> DataFrame:
+    """df with its numbers marked as never null, which they aren't: what compares them compiles to a third of the code."""
+    return df.select(*[F.coalesce(c, F.lit(0).cast(t)).alias(c) for c, t in df.dtypes])
+
+
+def apart() -> Column:
+    """Bits that two sketches differ in."""
+    return sum((F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"_w{k}"))) for k in range(1, WORDS)), F.bit_count(F.col("w0").bitwiseXOR(F.col("_w0"))))
+
+
+def centre_pairs(met: DataFrame, sketches: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Distinct (a, b) of each line of a bucket with the bucket's centre, where they may reach the threshold.
+
+    These are fewer pairs than lines.  What is left out differs in too many hashes by size or by sketch,
+    which is exact.
+    """
+    sketches = never_null(sketches)
+    pairs = met.where("lid <> centre").select("lid", F.col("centre").alias("_lid")).distinct().join(sketches, "lid")
+    pairs = pairs.join(sketches.toDF(*[f"_{c}" for c in sketches.columns]), "_lid").where(near_enough(threshold))
+    return pairs.select(F.least("lid", "_lid").alias("a"), F.greatest("lid", "_lid").alias("b")).distinct()
+
+
+def rest_pairs(met: DataFrame, roots: DataFrame, sketches: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Distinct (a, b, apart) of a bucket's lines that no link joins yet and that may reach the threshold.
 
     Lines of one component need no further link, and the centre has met all.  All other pairs of a bucket
     are met, in tiles of some TILE lines a side; what is left out of them differs in too many hashes by size
-    or by sketch, which is exact.
+    or by sketch, which is exact.  apart is the number of bits that their sketches differ in.
     """
     inner = met.where("n > 2 and lid <> centre").select("key", "lid")
     inner = cut_lineage(inner.join(roots, "lid", "left").withColumn("root", F.coalesce("root", "lid")))
     parted = inner.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m")).where("r0 < r1")
     left = inner.join(parted.select("key", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")), "key")
-    left = left.join(with_sketch(shingles(texts.select("lid", "line").join(left.select("lid").distinct(), "lid", "left_semi"), width)), "lid")
+    left = left.join(sketches, "lid")
     left = left.withColumn("t", F.pmod(F.xxhash64(F.lit(5), "lid"), F.col("tiles")).cast("int"))
     left = left.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     left = left.select("key", F.least("t", "j").alias("p"), F.greatest("t", "j").alias("q"), "t", "lid", "root", "size", *[f"w{k}" for k in range(WORDS)])
-    left = cut_lineage(left)
+    written = cut_lineage(left)
+    left = never_null(written)
     on = ["key", "p", "q"]
     other = left.select(*on, *[F.col(c).alias(f"_{c}") for c in left.columns if c not in on])
-    most = (F.col("size") + F.col("_size")) * ((1 - threshold) / (1 + threshold)) + 1e-6
-    apart = sum((F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"_w{k}"))) for k in range(1, WORDS)), F.bit_count(F.col("w0").bitwiseXOR(F.col("_w0"))))
-    near = left.join(other.hint("merge"), on).where("lid < _lid and root <> _root and (p = q or t <> _t)")
-    out = cut_lineage(near.where((F.abs(F.col("size") - F.col("_size")) <= most) & (apart <= most)).select(F.col("lid").alias("a"), F.col("_lid").alias("b")).distinct())
-    release(inner, left)
+    near = left.join(other.hint("merge"), on).where(F.expr("lid < _lid and root <> _root and (p = q or t <> _t)") & near_enough(threshold))
+    out = cut_lineage(near.select(F.col("lid").alias("a"), F.col("_lid").alias("b"), apart().alias("apart")).distinct())
+    release(inner, written)
     return out
 
 
+def still_apart(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Those (a, b, ...) of pairs whose ends the edges don't join."""
+    roots = components(edges)
+    ra, rb = roots.toDF("a", "ra"), roots.toDF("b", "rb")
+    return pairs.join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*pairs.columns)
+
+
 def slot_filter(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """Rows of df whose key may be among wanted's: at most SLOTS small numbers are broadcast, whatever its size."""
     slot = F.pmod(F.xxhash64(F.lit(3), F.col(key)), F.lit(SLOTS)).cast("int")
@@ -180,7 +210,8 @@ def alike(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, widt
 def links(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(a, b) lids of alike lines that share a bucket: every such pair is an edge or is joined by edges.
 
-    Each line meets its buckets' centres first; what that leaves apart in a bucket is met pair by pair.
+    Each line meets its buckets' centres first.  What that leaves apart in a bucket is met pair by pair; where
+    such pairs are many, each line's nearest one is checked before the others, which then are mostly joined.
     """
     met = buckets(docs, width, bands, rows)
     ids = met.select("lid").distinct()
@@ -188,12 +219,20 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, ban
     # Of a line's copies one is kept before the shuffle: all have the same text.  Texts travel, not their
     # shingles, which take eight times the room.
     texts = cut_lineage(few.join(ids, "lid", "left_semi").groupBy("lid").agg(F.max("line").alias("line")))
-    pairs = cut_lineage(centre_pairs(met))
-    first = cut_lineage(alike(pairs, texts, threshold, width))
-    roots = components(first).select(F.col("node").alias("lid"), "root")
-    rest = rest_pairs(met, roots, texts, threshold, width)
-    out = cut_lineage(first.union(alike(rest, texts, threshold, width)))
-    release(met, texts, pairs, first, rest)
+    sketches = cut_lineage(with_sketch(shingles(texts.repartition("lid"), width)))
+    pairs = cut_lineage(centre_pairs(met, sketches, threshold))
+    edges = cut_lineage(alike(pairs, texts, threshold, width))
+    rest = rest_pairs(met, components(edges).select(F.col("node").alias("lid"), "root"), sketches, threshold)
+    if rest.count() > MANY * texts.count():
+        ends = rest.select(F.col("a").alias("x"), F.col("b").alias("y"), "apart").union(rest.select("b", "a", "apart"))
+        best = ends.groupBy("x").agg(F.min(F.struct("apart", "y")).alias("y")).select("x", "y.y")
+        best = cut_lineage(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        more = cut_lineage(edges.union(alike(best, texts, threshold, width)))
+        later = cut_lineage(still_apart(rest.join(best, ["a", "b"], "left_anti"), more))
+        release(edges, rest, best)
+        edges, rest = more, later
+    out = cut_lineage(edges.union(alike(rest.select("a", "b"), texts, threshold, width)))
+    release(met, texts, sketches, pairs, edges, rest)
     return out
 
 

@@ -48,16 +48,17 @@ def chunk_pattern(vocab: Vocabulary) -> re.Pattern:
 class Encoder:
     """Best and N-best segmentations of texts; recent chunks are kept."""
 
-    MOST = 450_000
+    #: Learning a chunk costs little more than keeping it, so a worker holds some tens of MB at most.
+    MOST = 100_000
 
     def __init__(self, vocab: Vocabulary, n_best: int = N_BEST):
         self.vocab, self.n = vocab, n_best
         self.score = zipf_scores(vocab)
         self.pattern = chunk_pattern(vocab)
-        self.shown = [p.replace(SPACE, " ") for p in vocab.pieces]
+        of = {i: bytes((b,)) for b, i in vocab.bytes.items()}
+        self.raw = [of.get(i) or p.replace(SPACE, " ").encode() for i, p in enumerate(vocab.pieces)]
         #: Characters that are pieces themselves; chunks with others need bytes and go one by one.
         self.plain = {" "}.union(p for p in vocab.ids if len(p) == 1) - {SPACE}
-        self.byte_of = {i: b for b, i in vocab.bytes.items()}
         self.reset()
 
     def reset(self) -> None:
@@ -116,7 +117,7 @@ class Encoder:
                     pushed += 1
                     heapq.heappush(queue, (-(alpha[s] + w + tail), s, pushed, w + tail, (own, path)))
             got.sort(key=lambda x: -x[0])
-            if len(self.lists) > 50_000:
+            if len(self.lists) > self.MOST // 10:
                 self.lists.clear()
             self.lists[chunk] = got
         return got
@@ -198,9 +199,11 @@ class Encoder:
     def prepare(self, texts: list[str]) -> list[list[str]]:
         split = [self.chunks(t) for t in texts]
         every = set().union(*split)
-        if len(self.known) + len(every - self.known.keys()) > self.MOST:
+        fresh = [c for c in every if c not in self.known]
+        if len(self.known) + len(fresh) > self.MOST:
             self.compact()
-        self.learn(list(every - self.known.keys()))
+            fresh = [c for c in every if c not in self.known]
+        self.learn(fresh)
         return split
 
     def segmentations(self, chunks: list[str]) -> list[tuple[float, bytes]]:
@@ -240,11 +243,7 @@ class Encoder:
 
     def decode(self, ids: bytes) -> str:
         """The text of int32 ids: the inverse of every segmentation."""
-        pieces = np.frombuffer(ids, np.int32).tolist()
-        if self.byte_of.keys().isdisjoint(pieces):
-            return "".join(map(self.shown.__getitem__, pieces))[1:]
-        raw = b"".join(bytes((self.byte_of[i],)) if i in self.byte_of else self.shown[i].encode() for i in pieces)
-        return raw.decode("utf-8", "surrogatepass")[1:]
+        return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, np.int32).tolist())).decode("utf-8", "surrogatepass")[1:]
 
 
 def _encoders(docs: DataFrame, n_best: int, vocab_path: str | None):

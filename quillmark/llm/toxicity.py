@@ -23,7 +23,6 @@ LEET = {
 GAPS = " .-_*"
 #: Costs of the channel, in nats: a symbol for a letter, a symbol as itself, a gap taken out, a repeat taken out.
 SUBSTITUTE, ITSELF, GAP, REPEAT = 0.7, 1.2, 0.2, 0.1
-BEAM = 48
 START, END, OTHER = "\x02", "\x03", "\x01"
 #: Letters with counts of their own in the character model; the rest share OTHER.
 ALPHABET = 96
@@ -83,14 +82,23 @@ def word_grams(counts: Counter) -> Counter:
     weight = np.repeat(np.fromiter(runs.values(), np.int64, len(runs)), np.fromiter(map(len, runs), np.int64, len(runs)) + 3)
     out: Counter = Counter({START: int(sum(runs.values())), START + START: int(sum(runs.values()))})
     own = code != ord(START)  # n-grams end in a letter or an end, and so lie within one run
-    key = code.copy()
+    there = np.zeros(int(code.max()) + 1, bool)
+    there[code] = True
+    letters, code = np.flatnonzero(there), (np.cumsum(there) - 1)[code]
+    base, key = len(letters), code.copy()
     for width in range(1, 4):
         if width > 1:
-            key = key + (np.concatenate((np.zeros(width - 1, np.int64), code[: 1 - width])) << (21 * (width - 1)))
-        grams, at = np.unique(key[own], return_inverse=True)
-        totals = np.bincount(at, weights=weight[own])
-        for g, n in zip(grams.tolist(), totals.tolist(), strict=True):
-            out["".join(chr(g >> (21 * k) & 0x1FFFFF) for k in range(width - 1, -1, -1))] += int(n)
+            key = key + np.concatenate((np.zeros(width - 1, np.int64), code[: 1 - width])) * base ** (width - 1)
+        if base**width <= 1 << 24:
+            totals = np.bincount(key[own], weights=weight[own])
+            grams = np.flatnonzero(totals)
+            totals = totals[grams]
+        else:
+            grams, at = np.unique(key[own], return_inverse=True)
+            totals = np.bincount(at, weights=weight[own])
+        shown = [letters[grams // base**k % base].tolist() for k in range(width - 1, -1, -1)]
+        for g, n in zip(zip(*shown, strict=True), totals.tolist(), strict=True):
+            out["".join(map(chr, g))] += int(n)
     return out
 
 
@@ -134,48 +142,65 @@ def char_model(docs: DataFrame, alphabet: int = ALPHABET) -> CharModel:
     return CharModel({r["gram"]: r["n"] for r in kept}, "".join(letters))
 
 
+class Arcs(dict):
+    """What the channel makes of a character: (what it may give and at which cost, repeats go, gap goes, cost of an end).
+
+    A letter gives itself; a symbol gives itself or a letter it stands for, and one that is no digit may end
+    the word; a gap gives nothing or ends the word; other characters end the word (cost None: they can't).
+    Letters and symbols that repeat the character before may give nothing.
+    """
+
+    def __missing__(self, c: str):
+        if c in LEET:
+            gives = tuple((x, SUBSTITUTE) for x in LEET[c]) + (((c, ITSELF),) if c.isalnum() else ())
+        else:
+            gives = ((c, 0.0),) if c.isalnum() else ()
+        end = None if c.isalnum() else ITSELF if c in LEET else 0.0
+        self[c] = got = (gives, c.isalpha() or c in LEET, c in GAPS, end)
+        return got
+
+
+ARCS = Arcs()
+
+
 def decode(chunk: str, lm: CharModel) -> str:
-    """The likeliest reading of a chunk: Viterbi over its character lattice.
+    """The likeliest reading of a chunk: exact Viterbi over its character lattice.
 
-    A letter gives itself, or nothing where it repeats the one before; a symbol gives itself or a letter it
-    stands for; a gap gives nothing or ends the word; other characters end the word.  A state is the last
-    two characters given; the BEAM likeliest states stay.  A run of over three equals a run of three.
+    A state is the last two characters given, all that the character model looks at, and every state is
+    kept.  A run of over three equals a run of three.
     """
     chunk = RUN.sub(lambda m: m[1] * 3, chunk)
-    states: dict[str, tuple[float, tuple | None]] = {START + START: (0.0, None)}
+    begin = START + START
+    logp, folded = lm.logp, lm.folded
+    states: dict[str, tuple[float, tuple | None]] = {begin: (0.0, None)}
     last = ""
     for c in chunk:
+        gives, repeats, gap, end = ARCS[c]
+        gives = [(x, folded(x), cost) for x, cost in gives]
+        repeats = repeats and c == last
         step: dict[str, tuple[float, tuple | None]] = {}
-
-        def put(state, score, path, into=step):
-            if state not in into or into[state][0] < score:
-                into[state] = (score, path)
-
-        letter = c.isalpha()
         for state, (score, path) in states.items():
-            if letter:
-                arcs = ((c, 0.0),)
-            elif c in LEET:
-                arcs = (*((x, SUBSTITUTE) for x in LEET[c]), *(((c, ITSELF),) if c.isalnum() else ()))
-            elif c.isalnum():
-                arcs = ((c, 0.0),)
-            else:
-                arcs = ()
-            for x, cost in arcs:
-                put(state[1] + lm.folded(x), score + lm.logp(state, x) - cost, (x, path))
-            if c == last and (letter or c in LEET) and state != START + START:
-                put(state, score - REPEAT, path)
-            if not arcs or (c in LEET and not c.isalnum()):
-                if c in GAPS:
-                    put(state, score - GAP, path)
-                if state == START + START:
-                    put(state, score - (0 if c not in LEET else ITSELF), (c, path) if path and path[0] != " " else path)
+            for x, own, cost in gives:
+                to, value = state[1] + own, score + logp(state, x) - cost
+                if to not in step or step[to][0] < value:
+                    step[to] = (value, (x, path))
+            if repeats and state != begin:
+                value = score - REPEAT
+                if state not in step or step[state][0] < value:
+                    step[state] = (value, path)
+            if end is not None:
+                if gap:
+                    value = score - GAP
+                    if state not in step or step[state][0] < value:
+                        step[state] = (value, path)
+                if state == begin:
+                    value, path = score - end, (c, path) if path and path[0] != " " else path
                 else:
-                    put(START + START, score + lm.logp(state, END) - (ITSELF if c in LEET else 0), (" ", path))
-        if len(step) > BEAM:
-            step = dict(sorted(step.items(), key=lambda x: -x[1][0])[:BEAM])
+                    value, path = score + logp(state, END) - end, (" ", path)
+                if begin not in step or step[begin][0] < value:
+                    step[begin] = (value, path)
         states, last = step, c
-    best = max(states.items(), key=lambda x: (x[1][0] + (lm.logp(x[0], END) if x[0] != START + START else 0), x[0]))[1][1]
+    best = max(states.items(), key=lambda x: (x[1][0] + (logp(x[0], END) if x[0] != begin else 0), x[0]))[1][1]
     out = []
     while best:
         out.append(best[0])
@@ -183,6 +208,37 @@ def decode(chunk: str, lm: CharModel) -> str:
     return "".join(reversed(out)).strip()
 
 
+class Skeleton(dict):
+    """A table for str.translate: letters and symbols that may stand for each other become one, the rest goes."""
+
+    def __init__(self):
+        same = {c: c for c in {*LEET, *"".join(LEET.values())}}
+        for _ in same:  # long enough for any chain
+            for c, letters in LEET.items():
+                low = min(same[x] for x in (c, *letters))
+                same.update({x: low for x in (c, *letters)})
+        super().__init__({ord(c): x for c, x in same.items()} | {0: "\0"})
+
+    def __missing__(self, code: int) -> str:
+        self[code] = got = chr(code) if chr(code).isalnum() else ""
+        return got
+
+
+SKELETON = Skeleton()
+
+
+def skeletons(tokens: list[str]) -> str:
+    """Skeletons of tokens, with no character twice in a row, each with a zero character after it.
+
+    Whatever a token's lattice reads, the skeleton of a word of it, or of a word's beginning, is part of the
+    token's skeleton: gaps are left out and repeats come once in both.
+    """
+    joined = ("\0".join(t.replace("\0", "") for t in tokens) + "\0").translate(SKELETON)
+    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    new = np.append(True, code[1:] != code[:-1]) | (code == 0)
+    return code[new].tobytes().decode("utf-32-le", "surrogatepass")
+
+
 class Restorer:
     """Restored texts and tokens; recent chunks' readings are kept."""
 
@@ -231,29 +287,51 @@ def token_stems(restored: str) -> set[str]:
 class Reader:
     """Stems of whole texts that a wanted set holds; each distinct token is restored and looked up once.
 
-    Tokens that may be slight disguises and runs of short chunks count as written and as decoded.
+    Tokens that may be slight disguises and runs of short chunks count as written and as decoded.  Where stems
+    are wanted, only tokens whose skeleton holds that of one are read: no reading of the others has any.
     """
 
-    MOST = 400_000
+    MOST = 100_000
 
     def __init__(self, lm: CharModel, wanted=None):
-        self.restorer, self.wanted = Restorer(lm), wanted
+        self.restorer, self.wanted = Restorer(lm), None if wanted is None else set(wanted)
         self.seen: set[str] = set()
         self.hits: dict[str, set[str]] = {}
+        self.machine = None
+        if self.wanted:
+            import ahocorasick
+
+            self.machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+            for s in skeletons([w.lstrip("=") for w in sorted(self.wanted)]).split("\0"):
+                if s:
+                    self.machine.add_word(s)
+            self.machine.make_automaton()
+
+    def suspects(self, tokens: list[str]) -> list[str]:
+        """Tokens that may read as something with a wanted stem."""
+        if self.wanted is None:
+            return tokens
+        if not self.machine or not tokens:
+            return []
+        shapes = skeletons(tokens)
+        ends = np.flatnonzero(np.frombuffer(shapes.encode("utf-32-le", "surrogatepass"), np.uint32) == 0)
+        at = np.fromiter((e for e, _ in self.machine.iter(shapes)), np.int64)
+        return [tokens[i] for i in np.unique(np.searchsorted(ends, at)).tolist()]
 
     def stems(self, text: str | None) -> set[str]:
         # A run holds a space, so it is never one of the tokens.
         tokens = set(self.restorer.spaced(text).split()) | self.restorer.short_runs(text)
-        if len(self.seen) > (self.MOST if self.wanted is not None else self.MOST // 4):
+        if len(self.seen) > self.MOST:
             self.seen, self.hits = set(), {}
-        for t in tokens - self.seen:
+        fresh = tokens - self.seen
+        for t in self.suspects(list(fresh)):
             read = (self.restorer.read(t),) if " " in t else self.restorer.readings(t)
             got = set().union(*(token_stems(w) for r in read for w in r.split()))
             if self.wanted is not None:
                 got &= self.wanted
             if got:
                 self.hits[t] = got
-            self.seen.add(t)
+        self.seen |= fresh
         return set().union(*(self.hits[t] for t in tokens & self.hits.keys()))
 
 

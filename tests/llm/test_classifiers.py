@@ -59,6 +59,83 @@ def test_long_chunks_end(lm):
     assert len(T.Restorer(lm).restore("1a2b" * 500)) > 0
 
 
+def every_reading(chunk, lm):
+    """Output -> best score, over all paths of a chunk's lattice."""
+    out = {}
+
+    def go(i, given, score, shown):
+        if i == len(chunk):
+            score += lm.logp(given, T.END) if given != T.START * 2 else 0
+            key = "".join(shown).strip()
+            out[key] = max(out.get(key, -1e9), score)
+            return
+        c = chunk[i]
+        options = [(c, 0.0)] if c.isalnum() else []
+        if c in T.LEET:
+            options = [(x, T.SUBSTITUTE) for x in T.LEET[c]] + [(x, T.ITSELF) for x, _ in options]
+        for x, cost in options:
+            go(i + 1, given[1] + lm.folded(x), score + lm.logp(given, x) - cost, [*shown, x])
+        if i and chunk[i - 1] == c and (c.isalpha() or c in T.LEET) and given != T.START * 2:
+            go(i + 1, given, score - T.REPEAT, shown)
+        if not c.isalnum():
+            cost = T.ITSELF if c in T.LEET else 0.0
+            if c in T.GAPS:
+                go(i + 1, given, score - T.GAP, shown)
+            if given == T.START * 2:
+                go(i + 1, given, score - cost, [*shown, c] if shown and shown[-1] != " " else shown)
+            else:
+                go(i + 1, T.START * 2, score + lm.logp(given, T.END) - cost, [*shown, " "])
+
+    go(0, T.START * 2, 0.0, [])
+    return out
+
+
+def test_decoding_is_the_best_of_all_readings():
+    rng = random.Random(11)
+    grams = T.word_grams(Counter({"idiot": 9, "little": 7, "big": 5, "bag": 4, "tool": 6, "toil": 2}))
+    lm = T.CharModel(grams, "abdegilot")
+    for _ in range(250):
+        chunk = "".join(rng.choice("abiloltteg016!|@.- $x2") for _ in range(rng.randint(1, 8)))
+        if rng.random() < 0.3:
+            chunk = chunk[:3] + chunk[2:3] * 2 + chunk[3:6]
+        runs = T.RUN.sub(lambda m: m[1] * 3, chunk)
+        readings = every_reading(runs, lm)
+        got = T.decode(chunk, lm)
+        assert readings[got] == pytest.approx(max(readings.values())), (chunk, got)
+
+
+def test_only_tokens_that_can_read_as_a_stem_are_read():
+    """Looking up wanted stems finds what reading every token finds."""
+    rng = random.Random(12)
+    grams = T.word_grams(Counter({"idiot": 9, "little": 7, "stupid": 5, "bottle": 4, "gobble": 6}))
+    lm = T.CharModel(grams, "abdegilopstu")
+    wanted = {"=idiot", "stup", "=bottle", "=gobble", "littl"}
+    texts = []
+    for _ in range(300):
+        words = []
+        for w in rng.choices(["idiot", "stupid", "bottle", "gobbles", "little", "plain", "of", "é"], k=4):
+            w = "".join(rng.choice({"i": "i1!", "o": "o0", "s": "s5$", "t": "tt7+", "e": "e3", "b": "b86", "l": "l|1"}.get(c, c)) for c in w)
+            words.append(rng.choice("-._ ").join(w) if rng.random() < 0.2 else w * rng.choice((1, 1, 2)))
+        texts.append(rng.choice((" ", "  ", "\0")).join(words))
+    every, some = T.Reader(lm), T.Reader(lm, wanted)
+    found = [some.stems(t) for t in texts]
+    assert found == [every.stems(t) & wanted for t in texts] and sum(map(bool, found)) > 100
+    assert T.Reader(lm, set()).stems("idiot") == set() and some.stems(None) == set()
+
+
+def test_word_grams_of_many_letters():
+    words = Counter({"".join(chr(0x4E00 + 7 * (i + k)) for k in range(3)): 1 + i % 3 for i in range(400)})
+    want = Counter()
+    for w, n in words.items():
+        marked = T.START * 2 + w + T.END
+        want[T.START] += n
+        want[T.START * 2] += n
+        for width in (1, 2, 3):
+            for i in range(2, len(marked)):
+                want[marked[i - width + 1 : i + 1]] += n
+    assert T.word_grams(words) == want
+
+
 def test_lexicon_leaves_copies_out():
     odds = {"=slur": 0.9, "=copy": 0.9}
     toxic = [["=slur", "=copy"]] * 5 + [["=slur"]] * 5

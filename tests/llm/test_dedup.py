@@ -131,7 +131,9 @@ def test_line_dedup(spark):
     assert D.dedup_lines(docs.limit(0)).count() == 0
 
 
-def test_line_links_against_brute_force(spark):
+@pytest.mark.parametrize("many", [2, -1])
+def test_line_links_against_brute_force(spark, monkeypatch, many):
+    monkeypatch.setattr(D, "MANY", many)
     rng = random.Random(5)
     lines = []
     for _ in range(25):
@@ -152,8 +154,54 @@ def test_line_links_against_brute_force(spark):
     assert len(groups(got) & groups(want)) >= 0.9 * len(groups(want))
 
 
-@pytest.mark.parametrize("tile", [512, 40])
-def test_hub_of_variants_is_one_class(spark, monkeypatch, tile):
+def test_clashing_columns_nulls_and_repeats(spark):
+    names = "doc_id long, text string, n_lines string, dropped int, _gone int, _parts string, DROPPED_ int"
+    docs = spark.createDataFrame([(1, "a line here\nb", "p", 7, 8, "q", 9), (1, "a line here\nb", "p", 7, 8, "q", 9), (2, "a line here", None, None, None, None, None), (None, None, "r", 1, 2, "s", 3)], names)
+    out = D.dedup_lines(docs)
+    assert out.columns[: len(docs.columns)] == docs.columns and len({c.lower() for c in out.columns}) == len(docs.columns) + 2
+    rows = sorted(map(tuple, out.collect()), key=str)
+    assert rows == sorted([(1, "a line here\nb", "p", 7, 8, "q", 9, 2, [])] * 2 + [(2, "", None, None, None, None, None, 1, [0]), (None, None, "r", 1, 2, "s", 3, 0, [])], key=str)
+
+
+def test_very_long_line(spark):
+    rng = random.Random(13)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(120_000)).strip()
+    docs = spark.createDataFrame([(1, long), (2, long[:60_000] + "X" + long[60_000:] + "\nrest")], "doc_id long, text string")
+    assert {r["doc_id"]: r["dropped"] for r in D.dedup_lines(docs).collect()} == {1: [], 2: [0]}
+
+
+def test_templated_pairs_share_buckets_and_are_found(spark):
+    """2,000 pairs at about 0.84 that all share a template, so that pairs of different ones come near too."""
+    rng = random.Random(14)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    shared = "".join(rng.choice(letters) for _ in range(150))
+    texts = []
+    for _ in range(2000):
+        own = "".join(rng.choice(letters) for _ in range(42))
+        texts += [shared[:100] + own + shared[100:], shared[:100] + own[:20] + "Z" + own[21:] + shared[100:]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = {r["lid"]: r["root"] for r in D.line_classes(docs).collect()}
+    at = {r["doc_id"]: r["lid"] for r in D.lines(docs).collect()}
+    joined = sum(root.get(at[2 * i], "a") == root.get(at[2 * i + 1], "b") for i in range(2000))
+    assert joined >= 0.95 * 2000
+
+
+@pytest.mark.parametrize("shared", [256, 3])
+def test_checked_pairs_are_exact(spark, monkeypatch, shared):
+    rng = random.Random(15)
+    monkeypatch.setattr(D, "SHARED", shared)
+    base = "".join(rng.choice("abcdefgh") for _ in range(120))
+    texts = [base] + [base[: rng.randrange(40, 120)] + "".join(rng.choice("xyz") for _ in range(rng.randrange(40))) for _ in range(40)] + ["abc", "abd", ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "lid long, line string")
+    pairs = [(0, i) for i in range(1, 41)] + [(41, 42), (3, 4), (5, 43)]
+    sets = [{t[i : i + 8] for i in range(max(1, len(t) - 7))} for t in texts]
+    want = {(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    got = D.alike(spark.createDataFrame(pairs, "a long, b long"), frame).collect()
+    assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want) > 3
+
+
+@pytest.mark.parametrize("tile, many", [(512, 2), (40, 0)])
+def test_hub_of_variants_is_one_class(spark, monkeypatch, tile, many):
     """Each variant is alike to the base line only, so a bucket's ends link few of them."""
     rng = random.Random(7)
     base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100))
@@ -162,6 +210,7 @@ def test_hub_of_variants_is_one_class(spark, monkeypatch, tile):
         i = rng.randrange(100)
         lines.add(base[:i] + rng.choice("ABCDEFGHIJ") + base[i + 1 :])
     monkeypatch.setattr(D, "TILE", tile)
+    monkeypatch.setattr(D, "MANY", many)
     docs = spark.createDataFrame(list(enumerate(sorted(lines))), "doc_id long, text string")
     found = D.line_classes(docs).collect()
     met = {r["lid"] for r in D.buckets(docs).collect()}

@@ -70,6 +70,17 @@ def toy():
     return Vocabulary(pieces, ["byte"] * 256 + ["normal"] * 8)
 
 
+def test_lattice_holds_every_piece():
+    v = toy()
+    words = ["▁abcab", "", "▁", "aéc\U0001f600", "cabc" * 60]
+    lat = L.Lattice(words, v)
+    got = sorted(zip(lat.word.tolist(), lat.start.tolist(), lat.end.tolist(), lat.piece.tolist(), strict=True))
+    want = [(k, i, j, v.ids[w[i:j]]) for k, w in enumerate(words) for i in range(len(w)) for j in range(i + 1, len(w) + 1) if w[i:j] in v.ids]
+    want += [(k, i, i + 1, -1) for k, w in enumerate(words) for i in range(len(w)) if w[i] not in v.ids]
+    assert got == sorted(want)
+    assert sorted(lat.spelt.values()) == ["é", "\U0001f600"]
+
+
 def test_forward_sums_all_segmentations():
     v = toy()
     probs = np.random.default_rng(0).dirichlet(np.ones(len(v.pieces)), 2).T
