@@ -15,7 +15,9 @@ from .components import components
 #: Characters of a shingle; a shorter line is one shingle.
 WIDTH = 8
 THRESHOLD = 0.8
-BANDS, ROWS = 10, 4
+#: Bands and their MinHashes.  Shingles are dealt to BINS by hash, and each bin has its share of the bands, so a
+#: shingle enters only that share's MinHashes.
+BANDS, ROWS, BINS = 10, 4, 5
 #: Bits of a MinHash.
 HASH_BITS = 24
 #: Slots of the filter that picks rows before a join: at most so many numbers are broadcast.
@@ -55,21 +57,30 @@ def shingles(df: DataFrame, width: int = WIDTH, line: str = "line", name: str =
     return cut.select(*others, F.xxhash64(F.substring(F.col("_u"), F.col("_i"), F.lit(2 * width))).alias(name))
 
 
-def with_band_keys(df: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(lid, k0, k1, ...) of df's lid and line, a row for each lid: one key a band.
+def band_keys(df: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, bins: int = BINS) -> DataFrame:
+    """(lid, key) of df's lid and line: one key a band, without those of bins that none of the line's shingles is in.
 
-    Every MinHash has an order of its own: the shingle's hash times an odd number of its own, of which the
-    middle bits count.  Copies of a line come down to one row in each task before the shuffle.
+    A band is rows MinHashes of the shingles of its bin, each with an order of its own: the shingle's hash
+    times an odd number of its own, of which the middle bits count.  A bin's shingles are a sample of the
+    line's, so bands agree as often as they would over all shingles.  Copies of a line come down to a row
+    a bin in each task before the shuffle.
     """
-    x = shingles(df.select("lid", "line"), width).select("lid", F.col("h").bitwiseAND(F.lit((1 << 32) - 1)).alias("x"))
+    x = shingles(df.select("lid", "line"), width)
+    x = x.select(
+        "lid",
+        F.shiftright(F.shiftrightunsigned("h", 48) * F.lit(bins), 16).alias("bin"),
+        F.col("h").bitwiseAND(F.lit((1 << 32) - 1)).alias("x"),
+    )
 
     def minhash(k: int) -> Column:
         # 32 by 31 bits: the product never overflows.
         odd = (_mix(2000 + k) & (1 << 30) - 1) << 1 | 1
         return F.min(F.shiftright(F.col("x") * F.lit(odd), 16).bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
-    signed = x.groupBy("lid").agg(*[minhash(k).alias(f"m{k}") for k in range(bands * rows)])
-    return signed.select("lid", *[F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]).alias(f"k{b}") for b in range(bands)])
+    own = -(-bands // bins)
+    signed = x.groupBy("lid", "bin").agg(*[minhash(k).alias(f"m{k}") for k in range(own * rows)])
+    keys = [F.xxhash64("bin", F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(own)]
+    return signed.select("lid", F.explode(F.array(*keys)).alias("key"))
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -86,11 +97,10 @@ def buckets(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int =
     from shares more buckets than any of those.  Buckets are counted before the shuffle, and the joins may
     split a hot one.
     """
-    signed = cut_lineage(with_band_keys(lines(docs.select("doc_id", "text")), width, bands, rows))
-    keyed = signed.select("lid", F.explode(F.array(*[f"k{b}" for b in range(bands)])).alias("key"))
-    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    keyed = cut_lineage(band_keys(lines(docs.select("doc_id", "text")), width, bands, rows))
+    counts = cut_lineage(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     met = cut_lineage(keyed.join(counts, "key"))
-    release(signed)
+    release(keyed, counts)
     shared = met.groupBy("lid").agg(F.sum("n").alias("shared"))
     best = met.join(shared, "lid").groupBy("key").agg(F.max(F.struct("shared", "lid")).alias("best"))
     out = cut_lineage(met.join(best.select("key", F.col("best.lid").alias("centre")), "key"))
@@ -104,9 +114,10 @@ def with_sketch(hashes: DataFrame) -> DataFrame:
     Two sets' words differ in at most as many bits as the sets do in hashes.
     """
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
-    word = F.shiftright("h", 6).bitwiseAND(F.lit(WORDS - 1))
-    words = [F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)]
-    return hashes.select("lid", "h").distinct().groupBy("lid").agg(F.count("*").cast("int").alias("size"), *words)
+    word = F.shiftright("h", 6).bitwiseAND(F.lit(WORDS - 1)).cast("int")
+    by_word = hashes.select("lid", "h").distinct().groupBy("lid", word.alias("word")).agg(F.count("*").alias("n"), F.bit_xor(bit).alias("w"))
+    words = [F.bit_xor(F.when(F.col("word") == k, F.col("w")).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)]
+    return by_word.groupBy("lid").agg(F.sum("n").cast("int").alias("size"), *words)
 
 
 def near_enough(threshold: float) -> Column:
@@ -176,6 +187,11 @@ def slot_filter(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return df.withColumn("_slot", slot).join(F.broadcast(slots), "_slot", "left_semi").drop("_slot")
 
 
+def tasks_for(total: int | None, df: DataFrame) -> int:
+    """Tasks for so many shingles: their sets should fit a core's cache, or at least its memory."""
+    return min(MOST_TASKS, max(-(-int(total or 0) // TASK_SHINGLES), df.sparkSession.sparkContext.defaultParallelism))
+
+
 def alike(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """Those (a, b) of pairs whose texts' shingle sets have a Jaccard similarity of at least the threshold.
 
@@ -186,8 +202,7 @@ def alike(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, widt
     ends = pairs.select(F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.count("*").alias("d"))
     own = texts.select("lid", "line", F.length("line").alias("size"))
     known = ends.join(own.select("lid", "size"), F.col("end") == F.col("lid")).select("end", "d", "size")
-    total = known.agg(F.sum(F.col("d") * F.col("size"))).first()[0] or 0
-    tasks = min(MOST_TASKS, max(1, -(-int(total) // TASK_SHINGLES), pairs.sparkSession.sparkContext.defaultParallelism))
+    tasks = tasks_for(known.agg(F.sum(F.col("d") * F.col("size"))).first()[0], pairs)
     da, db = ends.toDF("a", "da"), ends.toDF("b", "db")
     turned = pairs.join(da, "a").join(db, "b").withColumn("turn", F.col("da") > F.col("db"))
     turned = turned.select(
@@ -219,7 +234,8 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, ban
     # Of a line's copies one is kept before the shuffle: all have the same text.  Texts travel, not their
     # shingles, which take eight times the room.
     texts = cut_lineage(few.join(ids, "lid", "left_semi").groupBy("lid").agg(F.max("line").alias("line")))
-    sketches = cut_lineage(with_sketch(shingles(texts.repartition("lid"), width)))
+    dealt = texts.repartition(tasks_for(texts.agg(F.sum(F.length("line"))).first()[0], texts), "lid")
+    sketches = cut_lineage(with_sketch(shingles(dealt, width)))
     pairs = cut_lineage(centre_pairs(met, sketches, threshold))
     edges = cut_lineage(alike(pairs, texts, threshold, width))
     rest = rest_pairs(met, components(edges).select(F.col("node").alias("lid"), "root"), sketches, threshold)
@@ -253,7 +269,8 @@ def dropped_lines(docs: DataFrame, **options) -> DataFrame:
     roots = cut_lineage(line_classes(docs, **options))
     own = lines(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")).drop("line")
     own = own.join(roots, "lid", "left")
-    own = own.select("doc_id", "pos", F.coalesce("root", "lid").alias("c"), F.when(F.col("root").isNull(), F.col("check")).otherwise(F.lit(0)).alias("k"))
+    own = cut_lineage(own.select("doc_id", "pos", F.coalesce("root", "lid").alias("c"), F.when(F.col("root").isNull(), F.col("check")).otherwise(F.lit(0)).alias("k")))
+    release(roots)
     firsts = own.groupBy("c", "k").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     met = own.join(firsts, ["c", "k"])
     return met.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos"))).select("doc_id", "pos")

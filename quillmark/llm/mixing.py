@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, cut_lineage
+from .common import WORD, cut_lineage, fresh
 
 #: No source is read more often than this.
 MAX_EPOCHS = 2.0
@@ -18,33 +18,64 @@ BLOCK_TOKENS = 1_000_000
 CELLS = 4096
 SEED = 17
 NO_SOURCE = "\x00null"
+#: Decimals of a weight: sums in another order agree to these.
+DECIMALS = 9
 
 
-def weights_at(shares: dict[str, float], exponent: float) -> dict[str, float]:
-    """Token shares to a power, normalised; sources without tokens have weight 0."""
-    raw = {s: p**exponent for s, p in shares.items() if p > 0}
-    total = sum(raw.values())
-    return {s: raw.get(s, 0.0) / total if total else 0.0 for s in shares}
+class Shares:
+    """Token shares of sources by name; sources without tokens have none."""
 
+    def __init__(self, shares: dict[str, float]):
+        self.p = [p for p in shares.values() if p > 0]
 
-def entropy(weights: dict[str, float]) -> float:
-    return -sum(w * math.log(w) for w in weights.values() if w > 0)
+    def scale(self, exponent: float) -> float:
+        """What weights are divided by to add up to 1."""
+        return sum(p**exponent for p in self.p)
 
+    def entropy(self, exponent: float) -> float:
+        z = self.scale(exponent)
+        return math.log(z) - exponent * sum(p**exponent * math.log(p) for p in self.p) / z if self.p else 0.0
 
-def repetition(shares: dict[str, float], weights: dict[str, float]) -> float:
-    """Most epochs of a source when every source is read once at least."""
-    rates = [weights[s] / p for s, p in shares.items() if p > 0]
-    return max(rates) / min(rates) if rates else 1.0
+    def ends(self) -> tuple[float, float]:
+        """The least and the largest share."""
+        return (min(self.p), max(self.p)) if self.p else (1.0, 1.0)
 
 
-def solve_exponent(shares: dict[str, float], max_epochs: float | None = MAX_EPOCHS, target_entropy: float | None = None, steps: int = 60) -> float:
+class SharesTable(Shares):
+    """The same from a table with a column share, by aggregation: a source may be a web site."""
+
+    def __init__(self, table: DataFrame):
+        self.table = table.where("share > 0")
+        self.limits = tuple(self.table.agg(F.min("share"), F.max("share")).first())
+
+    def _sum(self, x: Column) -> float:
+        return self.table.agg(F.sum(x)).first()[0] or 0.0
+
+    def scale(self, exponent: float) -> float:
+        return self._sum(F.pow("share", F.lit(exponent)))
+
+    def entropy(self, exponent: float) -> float:
+        z = self.scale(exponent)
+        return math.log(z) - exponent * self._sum(F.pow("share", F.lit(exponent)) * F.log("share")) / z if z else 0.0
+
+    def ends(self) -> tuple[float, float]:
+        return self.limits if self.limits[0] else (1.0, 1.0)
+
+
+def repetition(shares: Shares, exponent: float) -> float:
+    """Most epochs of a source when every source is read once at least: rates go with share ** (exponent - 1)."""
+    low, high = shares.ends()
+    return (high / low) ** (1 - exponent)
+
+
+def solve_exponent(shares: Shares, max_epochs: float | None = MAX_EPOCHS, target_entropy: float | None = None, steps: int = 60) -> float:
     """The exponent in [0, 1] that meets the target, by bisection; smaller is flatter.
 
     With target_entropy (nats), the one whose weights have it, or the nearest end.  Otherwise the least one
     that repeats no source over max_epochs.  Both measures fall as the exponent grows.
     """
     if target_entropy is not None:
-        high_enough = lambda x: entropy(weights_at(shares, x)) >= target_entropy
+        high_enough = lambda x: shares.entropy(x) >= target_entropy
         low, high = 0.0, 1.0
         if not high_enough(low):
             return low
@@ -54,7 +85,7 @@ def solve_exponent(shares: dict[str, float], max_epochs: float | None = MAX_EPOC
             mid = (low + high) / 2
             low, high = (mid, high) if high_enough(mid) else (low, mid)
         return low
-    fits = lambda x: repetition(shares, weights_at(shares, x)) <= max_epochs
+    fits = lambda x: repetition(shares, x) <= max_epochs
     low, high = 0.0, 1.0
     if fits(low):
         return low
@@ -64,26 +95,42 @@ def solve_exponent(shares: dict[str, float], max_epochs: float | None = MAX_EPOC
     return high
 
 
-def epochs_of(tokens: dict[str, int], max_epochs: float | None = MAX_EPOCHS, target_entropy: float | None = None, budget: float | None = None) -> dict[str, tuple[float, float]]:
-    """source -> (weight, epochs).  Without a budget in tokens, the least one that reads every source once."""
-    total = sum(tokens.values())
-    if not total:
-        return {s: (0.0, 1.0) for s in tokens}
-    shares = {s: n / total for s, n in tokens.items()}
-    weights = weights_at(shares, solve_exponent(shares, max_epochs, target_entropy))
+def source_plan(tokens: DataFrame, max_epochs: float | None = MAX_EPOCHS, target_entropy: float | None = None, budget: float | None = None) -> tuple[DataFrame, float]:
+    """(tokens with columns weight and epochs, tokens of the whole mixture) of a written table (source, total).
+
+    Without a budget in tokens, the least one that reads every source once.  A source without tokens has
+    weight 0 and one epoch.
+    """
+    whole = tokens.agg(F.sum("total")).first()[0] or 0
+    if not whole:
+        return tokens.select("*", F.lit(0.0).alias("weight"), F.lit(1.0).alias("epochs")), 0.0
+    share = F.col("total") / F.lit(float(whole))
+    shares = SharesTable(tokens.select(share.alias("share")))
+    x = solve_exponent(shares, max_epochs, target_entropy)
+    z = shares.scale(x)
     if budget is None:
-        budget = max(n / weights[s] for s, n in tokens.items() if n)
-    out = {}
-    for s, n in tokens.items():
-        epochs = budget * weights[s] / n if n else 1.0
-        out[s] = (weights[s], round(epochs) if abs(epochs - round(epochs)) < 1e-9 else epochs)
-    return out
+        budget = whole * z * shares.ends()[1] ** (1 - x)
+    weight = F.when(F.col("total") > 0, F.pow(share, F.lit(x)) / F.lit(z)).otherwise(0.0)
+    epochs = F.when(F.col("total") > 0, F.lit(float(budget)) * weight / F.col("total")).otherwise(1.0)
+    near = F.abs(epochs - F.round(epochs)) < 1e-9
+    return tokens.select("*", F.round(weight, DECIMALS).alias("weight"), F.when(near, F.round(epochs)).otherwise(epochs).alias("epochs")), float(budget)
+
+
+def hash_order(*parts: Column | str) -> Column:
+    """A number of 60 bits from the md5 of the parts' texts with bars between them; null counts as empty."""
+    texts = [F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *texts)), 1, 15), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, max_epochs: float | None = MAX_EPOCHS, target_entropy: float | None = None, budget: float | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, keep=()) -> DataFrame:
+def text_key(text: Column) -> Column:
+    return F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 16)
+
+
+def mix(docs: DataFrame, max_epochs: float | None = MAX_EPOCHS, target_entropy: float | None = None, budget: float | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, keys: bool = False) -> DataFrame:
     """A row for each copy of a document in the mixture.
 
-    Columns: doc_id, source, n_tokens, weight, epoch, block, slot, and those of keep.  Tokens are words.
+    Columns: doc_id, source, n_tokens, weight, epoch, block, slot; with keys also text_key and row, which tell
+    the text and which of equal rows it is.  Tokens are words.
     Source shares are raised to the exponent that meets the target; budget is in tokens (default: so that
     every document comes once at least).  Epoch e of a source reads it in an order by a hash of seed, e, id
     and text; the last, broken epoch takes the beginning of its order, up to the first document that passes
@@ -91,51 +138,54 @@ def mix(docs: DataFrame, max_epochs: float | None = MAX_EPOCHS, target_entropy:
     block_tokens, so each block holds the target mixture, in an order by hash; slots number it from 0.
 
     A third of all rows may share a source: sums run within CELLS cells of each source's hash order, and
-    cells are added up, so no task meets a whole source.  Null sources count as one more source; null texts
-    and texts without words have no tokens and come with their source's epochs; null ids and repeated rows
-    are dealt like others; an empty table gives no rows.
+    cells are added up, so no task meets a whole source.  Sources stay a table, however many there are.  Null
+    sources count as one more source; null texts and texts without words have no tokens and come with their
+    source's epochs; null ids are dealt like others; rows with the same id, source and text go together, so each
+    has as many copies; an empty table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", "source", F.coalesce("source", F.lit(NO_SOURCE)).alias("_s"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_tokens"), F.xxhash64("doc_id", text).alias("_h"), *keep)
-    narrow = cut_lineage(rows.select("doc_id", "_s", "n_tokens", "_h"))
-    tokens = {r["_s"]: r["n"] for r in narrow.groupBy("_s").agg(F.sum("n_tokens").alias("n")).collect()}
-    plan = epochs_of(tokens, max_epochs, target_entropy, budget)
-    spark = docs.sparkSession
-    # One row for each source.
-    table = spark.createDataFrame([(s, w, float(e), float(tokens[s])) for s, (w, e) in plan.items()], "_s string, weight double, _epochs double, _total double")
-    whole = sum(tokens[s] * e for s, (_, e) in plan.items())
+    rows = docs.select("doc_id", F.coalesce("source", F.lit(NO_SOURCE)).alias("s"), text_key(F.col("text")).alias("t"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n"))
+    units = cut_lineage(rows.groupBy("doc_id", "s", "t").agg(F.count("*").alias("m"), F.max("n").alias("n")))
+    tokens = cut_lineage(units.groupBy("s").agg(F.sum(F.col("n") * F.col("m")).alias("total")))
+    plan, whole = source_plan(tokens, max_epochs, target_entropy, budget)
     blocks = max(1, round(whole / block_tokens))
 
-    copies = narrow.join(F.broadcast(table), "_s").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.ceil("_epochs") - 1).cast("int")))))
-    copies = copies.withColumn("_o", F.xxhash64(F.lit(seed), "epoch", "_h"))
-    copies = copies.withColumn("_cell", F.shiftrightunsigned("_o", 64 - CELLS.bit_length() + 1))
-    cells = copies.groupBy("_s", "epoch", "_cell").agg(F.sum("n_tokens").alias("_n"))
-    before = Window.partitionBy("_s", "epoch").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("_s", "epoch", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("_s", "epoch", "_cell").orderBy("_o", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    copies = copies.withColumn("_in", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(cells, ["_s", "epoch", "_cell"])
-    at = F.col("epoch") * F.col("_total") + F.col("_base") + F.col("_in")
-    copies = copies.withColumn("_at", at).where((F.col("_at") < F.col("_epochs") * F.col("_total")) | (F.col("_total") == 0) | ((F.col("epoch") == 0) & (F.col("_epochs") >= 1)) | ((F.col("epoch") + 1) <= F.col("_epochs")))
+    copies = units.join(plan, "s").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.ceil("epochs") - 1).cast("int")))))
+    copies = copies.withColumn("o", hash_order(F.lit(seed), "epoch", "doc_id", "t"))
+    copies = copies.withColumn("cell", F.shiftright("o", 60 - CELLS.bit_length() + 1))
+    cells = copies.groupBy("s", "epoch", "cell").agg(F.sum(F.col("n") * F.col("m")).alias("own"))
+    before = Window.partitionBy("s", "epoch").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("s", "epoch", "cell", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("s", "epoch", "cell").orderBy("o", "doc_id", "t").rowsBetween(Window.unboundedPreceding, -1)
+    copies = copies.withColumn("inside", F.coalesce(F.sum(F.col("n") * F.col("m")).over(within), F.lit(0))).join(cells, ["s", "epoch", "cell"])
+    copies = copies.withColumn("at", F.col("epoch") * F.col("total") + F.col("base") + F.col("inside"))
     # Documents without tokens at a full epoch's end stay in it; a hash deals those of an empty source out.
-    part = F.when(F.col("_total") > 0, F.col("_at") / (F.col("_epochs") * F.col("_total"))).otherwise(F.pmod("_o", F.lit(blocks)) / blocks)
-    copies = copies.withColumn("block", F.least(F.floor(part * blocks), F.lit(blocks - 1)).cast("long"))
-    order = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed + 1), "_o"), "_s", "epoch", "doc_id")
-    copies = copies.select("doc_id", F.when(F.col("_s") != NO_SOURCE, F.col("_s")).alias("source"), "n_tokens", "weight", "epoch", "block", (F.row_number().over(order) - 1).cast("long").alias("slot"))
-    return copies
-
-
-def epoch_counts(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, copies) of a mixture, for documents with ids."""
-    return mix(docs, **options).where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("copies"))
+    copies = copies.where((F.col("at") < F.col("epochs") * F.col("total")) | (F.col("total") == 0) | ((F.col("epoch") + 1) <= F.col("epochs")))
+    part = F.when(F.col("total") > 0, F.col("at") / (F.col("epochs") * F.col("total")) * F.lit(blocks)).otherwise(F.col("o") % F.lit(blocks))
+    copies = copies.withColumn("block", F.least(F.floor(part), F.lit(blocks - 1)).cast("long")).withColumn("row", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
+    order = Window.partitionBy("block").orderBy(hash_order(F.lit(seed + 1), "o"), "s", "epoch", "doc_id", "t", "row")
+    return copies.select(
+        "doc_id",
+        F.when(F.col("s") != NO_SOURCE, F.col("s")).alias("source"),
+        F.col("n").alias("n_tokens"),
+        "weight",
+        "epoch",
+        "block",
+        (F.row_number().over(order) - 1).cast("long").alias("slot"),
+        *([F.col("t").alias("text_key"), "row"] if keys else []),
+    )
 
 
 def apply_mixture(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row as often as the mixture has it, all columns kept.
+    """docs with each row as often as the mixture has it, in its order: by block, then by slot; all columns kept.
 
-    Rows of one id share its copies: an id that comes k times and has c copies gives each row c / k of them,
-    rounded up.  Rows without an id come once.
+    Rows of one id, source and text have as many copies each; among them, rows are told apart by their other
+    columns' hash.  Nulls, empty texts and repeated rows come as mix() deals them, null ids too.
     """
-    own = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("_k"))
-    times = epoch_counts(docs, **options).join(own, "doc_id").select("doc_id", F.ceil(F.col("copies") / F.col("_k")).cast("int").alias("_times"))
-    named = docs.join(times, "doc_id").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    doc, source, key, row, block, slot, text, at = fresh(docs.columns, "_id", "_source", "_key", "_row", "_block", "_slot", "_text", "_at")
+    of = F.coalesce("source", F.lit(NO_SOURCE))
+    equal = Window.partitionBy("doc_id", of, text_key(F.col("text"))).orderBy(F.xxhash64(*docs.columns))
+    numbered = docs.withColumn(key, text_key(F.col("text"))).withColumn(row, F.row_number().over(equal))
+    mixed = mix(docs, keys=True, **options).select("doc_id", F.coalesce("source", F.lit(NO_SOURCE)), "text_key", "row", "block", "slot").toDF(doc, source, text, at, block, slot)
+    met = numbered.join(mixed, F.col("doc_id").eqNullSafe(F.col(doc)) & (of == F.col(source)) & (F.col(key) == F.col(text)) & (F.col(row) == F.col(at)))
+    return met.repartitionByRange(block, slot).sortWithinPartitions(block, slot).select(*docs.columns)

@@ -7,6 +7,7 @@ from .common import table
 from .langid import identify_languages
 from .linededup import line_dedup_digest
 from .mixing import mix
+from .oracles import ORACLES
 from .pieces import segment_documents
 from .quality import quality_scores
 from .repetition import repetition_rules
@@ -16,7 +17,7 @@ from .toxicity import toxicity_scores
 
 
 def op1_suffix_repetition(spark, sf_dir):
-    return repetition_rules(table(spark, sf_dir, "documents"))
+    return repetition_rules(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
 def op2_additive_quality(spark, sf_dir):
@@ -71,4 +72,4 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

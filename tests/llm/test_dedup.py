@@ -73,6 +73,24 @@ def test_shards(spark):
     assert Sh.shard_documents(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bits", [(18, 12), (2, 1), (3, 20)])
+def test_capacity_is_smallest_over_texts(spark, bits):
+    """Bundles come apart down to single texts, so the largest shard is as small as the order of texts allows."""
+    import hashlib
+
+    rng = random.Random(16)
+    texts = [f"{i % 90} " * rng.randint(1, 60) for i in range(250)] + ["hot" * 20] * 40 + ["x" * 300_000, None, ""]
+    docs = spark.createDataFrame([(i, t, 1, "c", 2) for i, t in enumerate(texts)] + [(None, "hot" * 20, 1, "c", 2)] * 3, "doc_id long, text string, size int, cell string, shard int")
+    sizes = {}
+    for t in [*texts, *["hot" * 20] * 3]:
+        h = int(hashlib.md5((t or "").encode()).hexdigest()[:15], 16)
+        sizes[h] = sizes.get(h, 0) + len((t or "").encode()) + 1
+    capacity, _ = Sh.minimax_cuts([sizes[h] for h in sorted(sizes)], 8)
+    got = Sh.shard_documents(docs, bundle_bits=bits[0], more_bits=bits[1]).toPandas()
+    assert len(got) == len(texts) + 3 and got.groupby("shard")["size"].sum().max() == capacity
+    assert sorted(got.columns) == sorted(["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"])
+
+
 def fingerprint(text):
     words = (text or "").encode().lower().split()
     shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
@@ -239,8 +257,10 @@ def test_bands_seldom_miss_short_lines(spark, size, most):
     rng = random.Random(size)
     longs = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(size + 7)) for _ in range(2000)]
     texts = [t for x in longs for t in (x, x[: -(size // 5)])]
-    keys = {r["lid"]: r for r in D.with_band_keys(spark.createDataFrame(list(enumerate(texts)), "lid long, line string")).collect()}
-    missed = sum(all(keys[2 * i][f"k{b}"] != keys[2 * i + 1][f"k{b}"] for b in range(D.BANDS)) for i in range(len(longs)))
+    keys = {}
+    for r in D.band_keys(spark.createDataFrame(list(enumerate(texts)), "lid long, line string")).collect():
+        keys.setdefault(r["lid"], set()).add(r["key"])
+    missed = sum(keys[2 * i].isdisjoint(keys[2 * i + 1]) for i in range(len(longs)))
     assert missed <= most * len(longs)
 
 
@@ -258,35 +278,95 @@ def test_sketches_differ_no_more_than_sets(spark):
             assert apart <= len(s ^ t) and (apart - len(s ^ t)) % 2 == 0
 
 
-def test_exponent():
-    shares = {"a": 0.7, "b": 0.2, "c": 0.1}
-    x = M.solve_exponent(shares, max_epochs=2.0)
-    assert abs(M.repetition(shares, M.weights_at(shares, x)) - 2.0) < 1e-6
-    y = M.solve_exponent(shares, target_entropy=1.0)
-    assert abs(M.entropy(M.weights_at(shares, y)) - 1.0) < 1e-6
-    assert M.solve_exponent(shares, max_epochs=100) == 0.0
-    assert M.solve_exponent(shares, target_entropy=9) == 0.0 and M.solve_exponent(shares, target_entropy=0.1) == 1.0
-    assert M.epochs_of({"a": 0}) == {"a": (0.0, 1.0)}
+def test_exponent(spark):
+    shares = {"a": 0.7, "b": 0.2, "c": 0.1, "none": 0.0}
+    table = spark.createDataFrame([(p,) for p in shares.values()], "share double")
+    for s in (M.Shares(shares), M.SharesTable(table)):
+        x = M.solve_exponent(s, max_epochs=2.0)
+        weights = {k: p**x / s.scale(x) for k, p in shares.items() if p}
+        rates = [weights[k] / shares[k] for k in weights]
+        assert abs(sum(weights.values()) - 1) < 1e-9 and abs(max(rates) / min(rates) - 2.0) < 1e-6
+        y = M.solve_exponent(s, target_entropy=1.0, steps=20)
+        own = [p**y / s.scale(y) for p in shares.values() if p]
+        assert abs(-sum(w * np.log(w) for w in own) - 1.0) < 1e-4
+        assert M.solve_exponent(s, max_epochs=100) == 0.0
+        assert M.solve_exponent(s, target_entropy=9) == 0.0 and M.solve_exponent(s, target_entropy=0.1) == 1.0
+    empty = M.SharesTable(table.where("share < 0"))
+    assert M.solve_exponent(empty) == 0.0 and empty.scale(1.0) == 0.0
+
+
+def by_hand(rows, block_tokens, seed=M.SEED):
+    """The mixture of (id, source, text) rows in plain Python: (id, source, n, weight, epoch, block, slot)."""
+    import hashlib
+
+    def number(*parts):
+        return int(hashlib.md5("|".join("" if p is None else str(p) for p in parts).encode()).hexdigest()[:15], 16)
+
+    units = {}
+    for i, s, t in rows:
+        key = (i, M.NO_SOURCE if s is None else s, hashlib.md5((t or "").encode()).hexdigest()[:16])
+        units[key] = (units.get(key, (0, 0))[0] + 1, len((t or "").split()))
+    total = {}
+    for (_, s, _), (m, n) in units.items():
+        total[s] = total.get(s, 0) + m * n
+    whole = sum(total.values())
+    p = {s: n / whole for s, n in total.items() if n}
+    x = max(0.0, 1 - np.log(2) / np.log(max(p.values()) / min(p.values())))
+    z = sum(q**x for q in p.values())
+    budget = max(total[s] * z / p[s] ** x for s in p)
+    blocks = max(1, round(budget / block_tokens))
+    found = []
+    for s, n_all in total.items():
+        epochs = budget * p[s] ** x / z / n_all if n_all else 1.0
+        epochs = round(epochs) if abs(epochs - round(epochs)) < 1e-9 else epochs
+        for e in range(int(np.ceil(epochs))):
+            at = e * n_all
+            for o, i, t in sorted(((number(seed, e, i, t), i, t) for i, u, t in units if u == s), key=lambda r: (r[0], r[1] is not None, r[1], r[2])):
+                m, n = units[i, s, t]
+                if at < epochs * n_all or not n_all or e + 1 <= epochs:
+                    block = min(blocks - 1, int(at / (epochs * n_all) * blocks)) if n_all else o % blocks
+                    found += [(block, number(seed + 1, o), s, e, i, t, k, n) for k in range(m)]
+                at += m * n
+    out, slots = [], {}
+    for block, _, s, e, i, _, _, n in sorted(found, key=lambda r: (*r[:4], r[4] is not None, r[4], *r[5:])):
+        slots[block] = slots.get(block, -1) + 1
+        out.append((i, None if s == M.NO_SOURCE else s, n, round(p[s] ** x / z, 9) if s in p else 0.0, e, block, slots[block]))
+    return out
 
 
 def test_mixture(spark):
     rng = random.Random(6)
-    rows = [(i, "big" if i % 3 else f"s{i % 5}", "w " * rng.randint(1, 40)) for i in range(400)] + [(500, None, None), (501, "none", ""), (None, "big", "x y")]
+    rows = [(i, "big" if i % 3 else f"s{i % 5}", "w " * rng.randint(1, 40)) for i in range(400)] + [(500, None, None), (501, "none", ""), (None, "big", "x y"), (7, "big", "twice"), (7, "big", "twice"), (8, "big", "w " * 20_000)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
-    got = M.mix(docs, block_tokens=500).toPandas()
-    assert set(got.doc_id.dropna()) == {r[0] for r in rows if r[0] is not None}
-    assert (got.groupby("block").slot.max() + 1 == got.groupby("block").size()).all()
-    assert not got.duplicated(["block", "slot"]).any()
-    tokens = got[got.weight > 0].groupby("source").agg(n=("n_tokens", "sum"), w=("weight", "first"))
+    got = M.mix(docs, block_tokens=500)
+    assert got.columns == ["doc_id", "source", "n_tokens", "weight", "epoch", "block", "slot"]
+    got = sorted(map(tuple, got.collect()), key=str)
+    assert got == sorted(by_hand(rows, 500), key=str)
+    assert got == sorted(map(tuple, M.mix(docs, block_tokens=500).collect()), key=str)
+    frame = M.mix(docs, block_tokens=500).toPandas()
+    assert set(frame.doc_id.dropna()) == {r[0] for r in rows if r[0] is not None}
+    tokens = frame[frame.weight > 0].groupby("source").agg(n=("n_tokens", "sum"), w=("weight", "first"))
     assert ((tokens.n / tokens.n.sum() - tokens.w).abs() < 0.02).all()
-    per = got.groupby(["source", "doc_id"]).size().groupby("source").agg(["min", "max"])
-    assert ((per["max"] - per["min"]) <= 1).all() and per["max"].max() <= 2
-    assert got.equals(M.mix(docs, block_tokens=500).toPandas()) or len(got) == M.mix(docs, block_tokens=500).count()
-    small = M.mix(docs, budget=1000.0, max_epochs=2.0).toPandas()
+    small = M.mix(docs.where("doc_id <> 8"), budget=1000.0, max_epochs=2.0).toPandas()
     assert abs(small.n_tokens.sum() - 1000) < 40 * 8
-    copies = M.apply_mixture(docs).groupBy("doc_id").count().toPandas()
-    assert len(copies) == len(rows)
     assert M.mix(docs.limit(0)).count() == 0 and M.apply_mixture(docs.limit(0)).count() == 0
+    assert M.mix(docs.where("text is null or text = ''")).count() == 2
+
+
+def test_mixture_of_rows(spark):
+    """Clashing names, repeated ids and rows, nulls: each row as often as the mixture has it, in its order."""
+    rows = [(i, f"s{i % 2}" if i % 7 else None, " ".join(["w"] * (1 + 9 * (i % 2))), i, i, i, i, i) for i in range(60)]
+    rows += [(3, "s1", rows[3][2], 3, 3, 3, 3, 3), (3, "s1", rows[3][2], 99, None, 0, 0, 0), (None, "s0", None, 1, 1, 1, 1, 1), (3, "s1", "other text", 5, 5, 5, 5, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, block long, slot int, _times int, _row int, N int")
+    out = M.apply_mixture(docs, block_tokens=40)
+    assert out.columns == docs.columns
+    got, mixed = out.collect(), M.mix(docs, block_tokens=40).orderBy("block", "slot").collect()
+    assert [(r["doc_id"], r["source"]) for r in got] == [(r["doc_id"], r["source"]) for r in mixed]
+    times = {}
+    for r in got:
+        times[tuple(r)] = times.get(tuple(r), 0) + 1
+    assert set(times) == set(rows)
+    assert times[rows[3]] == 2 * times[rows[61]]
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, -1])
