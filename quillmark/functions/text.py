@@ -30,10 +30,24 @@ def node_name(text: Column) -> Column:
     return F.translate(text, ".-", "__")
 
 
+# Letters that PDF text joins into one glyph, and their parts (compatibility forms).
+GLYPHS = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "st", "\ufb06": "st", "\u00a0": " ", "\u2011": "\u2010", "\u2026": "..."}
+
+
+def fold_forms(text: Column) -> Column:
+    """The compatibility forms that PDF text brings, taken apart; full-width ASCII becomes plain."""
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+    plain = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
+    out = F.translate(text, wide, plain)
+    for glyph, parts in GLYPHS.items():
+        out = F.replace(out, F.lit(glyph), F.lit(parts))
+    # Texts without any such character, nearly all, are looked through once.
+    return F.when(text.rlike("[" + "".join(GLYPHS) + wide[0] + "-" + wide[-1] + "]"), out).otherwise(text)
+
+
 def words(text: Column) -> Column:
-    """Number of words; null counts as none."""
-    t = F.coalesce(collapse(text), F.lit(""))
-    return F.when(t == "", 0).otherwise(F.size(F.split(t, " "))).cast("long")
+    """Number of words, parted by white space; null counts as none."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
 def is_long_span(phrase: Column, cap: int = 15) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.functions.text import collapse, is_long_span, words
+from quillmark.functions.text import collapse, fold_forms, words
 from quillmark.plans.rules import known_keys
 
 DECISIONS = ("approved", "approved_despite_flags", "marked_for_edit", "rejected")
@@ -40,33 +40,33 @@ def share(rows: DataFrame, holds: Column) -> DataFrame:
     return rows.agg(F.count_if(holds).alias("n"), F.count("*").alias("of"))
 
 
-def phrase_anchors(spans: DataFrame, pages: DataFrame, on: list[str], phrase: str = "phrase", text: str = "text") -> DataFrame:
-    """spans with anchored: the phrase is in the text of the same key, white space and case apart."""
-    same = lambda c: F.lower(collapse(F.col(c)))
-    source = pages.select(*on, same(text).alias("_text"))
-    out = spans.join(source, on, "left").withColumn("_hit", F.coalesce(F.contains("_text", same(phrase)), F.lit(False)))
-    return out.groupBy(*spans.columns).agg(F.bool_or("_hit").alias("anchored"))
+def phrase_anchors(spans: DataFrame, pages: DataFrame, on: list[str], phrase: str = "phrase", text: str = "text", window: int = 3) -> DataFrame:
+    """spans with anchored: the phrase is in a text of the same key, white space, case and letter forms (NFKC) apart.
 
-
-def phrase_anchors_few(spans: DataFrame, pages: DataFrame, on: list[str], phrase: str = "phrase", text: str = "text") -> DataFrame:
-    """phrase_anchors for a fixed list of phrases over a large source whose key says little.
-
-    The pages are read once: every page is held against each phrase of its key where it lies, the list being
-    broadcast, and only phrases that hit go on.  The driver counts the list first and turns down one of over
-    100,000 phrases.
+    A phrase's words but its first and last stand whole in any text that holds it.  So a page and a phrase meet
+    where one of the page's stretches of window such words is the phrase's first; only then are they compared.
+    Phrases of one or two words, which have none, meet every page of their key.  Neither side is limited.
     """
-    if spans.count() > 100_000:
-        raise ValueError("too many phrases to broadcast; use phrase_anchors with a page key")
-    same = lambda c: F.lower(collapse(F.col(c)))
-    listed = spans.select(*on, same(phrase).alias("_phrase")).distinct().groupBy(*on).agg(F.collect_list("_phrase").alias("_phrases"))
-    near = pages.select(*on, same(text).alias("_text")).join(F.broadcast(listed), on)
-    hits = near.select(*on, F.explode(F.filter("_phrases", lambda p: F.contains(F.col("_text"), p))).alias("_phrase")).distinct()
+    same = lambda c: F.lower(collapse(fold_forms(F.col(c))))
+    listed = spans.select(*on, same(phrase).alias("_phrase")).where("_phrase IS NOT NULL").distinct().withColumn("_inner", F.expr("slice(split(_phrase, ' '), 2, greatest(0, size(split(_phrase, ' ')) - 2))"))
+    source = pages.select(*on, same(text).alias("_text")).withColumn("_page", F.xxhash64("_text"))
+    shortest = listed.where(F.size("_inner") > 0).agg(F.min(F.size("_inner"))).first()[0]
+    k = min(window, shortest or window)
+    keyed = listed.where(F.size("_inner") >= k).select(*on, "_phrase", F.xxhash64(F.slice("_inner", 1, k)).alias("_h"))
+    words_of = F.split("_text", " ")
+    heads = source.select(*on, "_page", words_of.alias("_w")).where(F.size("_w") >= k)
+    heads = heads.select(*on, "_page", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - (k - 1)), lambda i: F.xxhash64(F.slice("_w", i, F.lit(k)))))).alias("_h"))
+    met = heads.join(keyed, [*on, "_h"]).select(*on, "_page", "_phrase").distinct()
+    hits = source.join(met, [*on, "_page"]).where(F.contains("_text", F.col("_phrase"))).select(*on, "_phrase")
+    brief = listed.where(F.size("_inner") == 0).select(*on, "_phrase")
+    hits = hits.unionByName(source.join(brief, on).where(F.contains("_text", F.col("_phrase"))).select(*on, "_phrase")).distinct()
     out = spans.withColumn("_phrase", same(phrase)).join(hits.withColumn("_hit", F.lit(True)), [*on, "_phrase"], "left")
     return out.select(*spans.columns, F.coalesce("_hit", F.lit(False)).alias("anchored"))
 
 
 def long_spans(spans: DataFrame, phrase: str = "phrase", cap: int = 15) -> DataFrame:
-    return spans.where(is_long_span(F.col(phrase), cap)).withColumn("n_words", words(F.col(phrase)))
+    """spans of cap words and more, with n_words; words are counted once for each."""
+    return spans.withColumn("n_words", words(F.col(phrase))).where(F.col("n_words") >= cap)
 
 
 def version_diff(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -4,47 +4,69 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.operators.constraints import all_of, bag_union, cardinality, not_member, requires
+from quillmark.functions.values import SENTINEL
 from quillmark.plans import rules as R
 
 KEY = ["path", "s"]
+RESULT = "array<struct<rule:string,property:string,component:string,value:string,message:string>>"
+
+
+def node_values(triples: DataFrame, properties) -> DataFrame:
+    """A row for each subject: path, s, types, and for each property the set of its (o, o_kind), under its name."""
+    is_type = F.col("p") == "type"
+    sets = [F.collect_set(F.when(F.col("p") == p, F.struct("o", "o_kind"))).alias(p) for p in properties]
+    return triples.groupBy(*KEY).agg(F.collect_set(F.when(is_type, F.col("o"))).alias("types"), *sets)
+
+
+def _result(rule: str, prop: str, component: str, message: str, value: Column | None = None) -> Column:
+    shown = F.lit(None).cast("string") if value is None else value
+    return F.struct(F.lit(rule).alias("rule"), F.lit(prop).alias("property"), F.lit(component).alias("component"), shown.alias("value"), F.lit(message).alias("message"))
+
+
+def _when(condition: Column, result: Column) -> Column:
+    return F.when(condition, F.array(result)).otherwise(F.array().cast(RESULT))
+
+
+def _counts(kind: str, rule: str, prop: str, least: int | None, most: int | None, message: str) -> list[Column]:
+    n, of_kind = F.size(prop), F.array_contains("types", kind)
+    out = [] if least is None else [_when(of_kind & (n < least), _result(rule, prop, "minCount", message))]
+    return out if most is None else [*out, _when(of_kind & (n > most), _result(rule, prop, "maxCount", message))]
+
+
+def _strangers(prop: str, members: list[str], rule: str, message: str) -> Column:
+    """A result for each value of a property that is no member of its enumeration."""
+    bad = F.filter(prop, lambda x: (x["o_kind"] != "iri") | ~x["o"].isin(members))
+    return F.transform(bad, lambda x: _result(rule, prop, "class", message, x["o"]))
+
+
+def _has(prop: str, value: str) -> Column:
+    return F.exists(prop, lambda x: (x["o_kind"] == "iri") & (x["o"] == value))
 
 
 def violations(triples: DataFrame) -> DataFrame:
     """(path, focus, rule, property, component, value, message), a row for each result of a rule.
 
     A focus that meets two branches of a conditional rule gives two rows.  The sentinel counts as a value
-    of every enumeration.
+    of every enumeration.  The triples come together once, by subject; all rules are expressions over a
+    subject's values.
     """
-    spark = triples.sparkSession
-    of_type = lambda name: triples.where((F.col("p") == "type") & (F.col("o") == name)).select(*KEY)
-    items, claims, spans = of_type("GeneticEvidence"), of_type("GeneticEvidenceAssertion"), of_type("SourceSpan")
-    values = lambda p: triples.where(F.col("p") == p)
-    out = []
-
-    def report(df, rule, prop, component, message, value=None):
-        shown = F.lit(None).cast("string") if value is None else value
-        out.append(df.select("path", F.col("s").alias("focus"), F.lit(rule).alias("rule"), F.lit(prop).alias("property"), component.alias("component"), shown.alias("value"), F.lit(message).alias("message")))
-
-    def counts(focus, rule, prop, least, most, message):
-        if least is not None or most is not None:
-            report(cardinality(focus, values(prop), KEY, "o", least, most), rule, prop, F.when(F.col("n") < (least or 0), "minCount").otherwise("maxCount"), message)
-
-    enum = R.enum_members(spark)
+    found: list[Column] = []
+    properties = dict.fromkeys([r[1] for r in R.PROPERTY_RULES] + [x for r in R.CONDITIONAL_RULES for x in [r[2], *(p for b in r[1] for p, _ in b)]] + [r[1] for r in R.SPAN_RULES])
     for rule, prop, dim, least, most, message in R.PROPERTY_RULES:
-        counts(items, rule, prop, least, most, message)
-        named = values(prop).withColumn("value", F.when(F.col("o_kind") == "iri", F.col("o")))
-        report(not_member(named, enum.where(F.col("dim") == dim), ["value"]), rule, prop, F.lit("class"), message, F.col("o"))
+        found += _counts("GeneticEvidence", rule, prop, least, most, message)
+        found.append(_strangers(prop, [*R.ENUMS[dim], SENTINEL], rule, message))
+    item = F.array_contains("types", "GeneticEvidence")
     for rule, branches, prop, message in R.CONDITIONAL_RULES:
-        have = lambda pair: values(pair[0]).where((F.col("o_kind") == "iri") & (F.col("o") == pair[1]))
-        active = bag_union(*[all_of(items, *[have(p) for p in branch], on=KEY) for branch in branches])
-        report(requires(active, values(prop), KEY), rule, prop, F.lit("condition"), message)
+        for branch in branches:
+            active = reduce(Column.__and__, [_has(p, v) for p, v in branch], item)
+            found.append(_when(active & (F.size(prop) == 0), _result(rule, prop, "condition", message)))
     for rule, prop, least, most, message in R.SPAN_RULES:
-        counts(claims if prop == "sourceSpan" else spans, rule, prop, least, most, message)
-    return reduce(DataFrame.unionByName, out)
+        found += _counts("GeneticEvidenceAssertion" if prop == "sourceSpan" else "SourceSpan", rule, prop, least, most, message)
+    results = node_values(triples, properties).select("path", F.col("s").alias("focus"), F.explode(F.flatten(F.array(*found))).alias("r"))
+    return results.select("path", "focus", "r.*")
 
 
 def page_errors(assertions: DataFrame) -> DataFrame:

@@ -8,16 +8,21 @@ from quillmark.functions.values import SENTINEL
 
 # Enumerations by dimension.
 ENUMS = {
-    "knowledge_domain": "HUMAN_GENETICS ANIMAL_GENETICS POPULATION_GENETICS COMPARATIVE_GENOMICS EPIGENETICS GENE_FUNCTION MODEL_ORGANISM",
-    "method": "STATISTICAL_GENETICS EXPERIMENT BIOINFORMATICS_INFERENCE CLINICAL_EVIDENCE ASSOCIATION_STUDY GWAS CANDIDATE_GENE_STUDY FINE_MAPPING FAMILY_BASED LINKAGE_ANALYSIS TRANSMISSION_DISEQUILIBRIUM_TEST SEGREGATION_ANALYSIS META_ANALYSIS IN_VIVO IN_VITRO IN_SILICO IN_VIVO_EXPERIMENT IN_VITRO_EXPERIMENT BIOINFORMATICS_PREDICTION",
-    "target_type": "GENE RELATED_GENE VARIANT SEGMENT INTERVAL TRANSCRIPT",
-    "resolution": "WINDOW FUNCTIONAL_ELEMENT POSITION GENE VARIANT",
-    "credibility": "VERY_HIGH HIGH MEDIUM LOW",
-    "phenotype_scale": "MOLECULAR CELLULAR HISTOLOGICAL ORGANISMAL CLINICAL",
-    "variant_ascertainment": "OBSERVED_IN_CASES OBSERVED_IN_CONTROLS FROM_DATABASE SYNTHETIC",
-    "measurement_target": "EXISTENCE EXPRESSION STABILITY BINDING LOCALIZATION ACTIVITY CATALYSIS",
-    "gene_relation": "X_has_same_function_as_Y X_regulates_Y X_inhibits_Y",
-    "knockout_type": "CONDITIONAL UNCONDITIONAL",
+    "knowledge_domain": ["HUMAN_GENETICS", "ANIMAL_GENETICS", "POPULATION_GENETICS", "COMPARATIVE_GENOMICS", "EPIGENETICS", "GENE_FUNCTION", "MODEL_ORGANISM"],
+    "method": [
+        "STATISTICAL_GENETICS", "EXPERIMENT", "BIOINFORMATICS_INFERENCE", "CLINICAL_EVIDENCE", "ASSOCIATION_STUDY", "GWAS",
+        "CANDIDATE_GENE_STUDY", "FINE_MAPPING", "FAMILY_BASED", "LINKAGE_ANALYSIS", "TRANSMISSION_DISEQUILIBRIUM_TEST", "SEGREGATION_ANALYSIS",
+        "META_ANALYSIS", "IN_VIVO", "IN_VITRO", "IN_SILICO", "IN_VIVO_EXPERIMENT", "IN_VITRO_EXPERIMENT",
+        "BIOINFORMATICS_PREDICTION",
+    ],
+    "target_type": ["GENE", "RELATED_GENE", "VARIANT", "SEGMENT", "INTERVAL", "TRANSCRIPT"],
+    "resolution": ["WINDOW", "FUNCTIONAL_ELEMENT", "POSITION", "GENE", "VARIANT"],
+    "credibility": ["VERY_HIGH", "HIGH", "MEDIUM", "LOW"],
+    "phenotype_scale": ["MOLECULAR", "CELLULAR", "HISTOLOGICAL", "ORGANISMAL", "CLINICAL"],
+    "variant_ascertainment": ["OBSERVED_IN_CASES", "OBSERVED_IN_CONTROLS", "FROM_DATABASE", "SYNTHETIC"],
+    "measurement_target": ["EXISTENCE", "EXPRESSION", "STABILITY", "BINDING", "LOCALIZATION", "ACTIVITY", "CATALYSIS"],
+    "gene_relation": ["X_has_same_function_as_Y", "X_regulates_Y", "X_inhibits_Y"],
+    "knockout_type": ["CONDITIONAL", "UNCONDITIONAL"],
 }
 # Fixed values: (child, parent) of methods.
 METHOD_EDGES = [
@@ -79,6 +84,7 @@ CONDITIONAL_RULES = [
         "When method contains IN_VIVO (or legacy IN_VIVO_EXPERIMENT) or knowledge_domain contains MODEL_ORGANISM, organism is required.",
     ),
 ]
+# Fixed values: (rule, property, least, most, message).
 SPAN_RULES = [
     ("V-S14", "sourceSpan", 1, 1, "Every assertion must carry exactly one source_span."),
     ("V-S15", "page", 1, None, "A source_span must record a page number."),
@@ -108,7 +114,7 @@ SCALAR_DIMS = ("target_type",)
 
 def enum_members(spark: SparkSession) -> DataFrame:
     """(dim, value), the sentinel included: membership goes by both, for some values are in two dimensions."""
-    return spark.createDataFrame([(d, v) for d, vs in ENUMS.items() for v in [*vs.split(), SENTINEL]], "dim string, value string")
+    return spark.createDataFrame([(d, v) for d, vs in ENUMS.items() for v in [*vs, SENTINEL]], "dim string, value string")
 
 
 def enum_edges(spark: SparkSession) -> DataFrame:

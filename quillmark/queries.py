@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmark import engine_queries as E
 from quillmark.functions import text as X
 from quillmark.functions import values as V
 from quillmark.operators import constraints as C
@@ -14,8 +15,8 @@ from quillmark.operators import marks as M
 from quillmark.operators import review as R
 from quillmark.operators import triples as Tr
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict = dict(E.QUERIES)
+ORACLES: dict[str, str] = dict(E.ORACLES)
 
 
 def query(sql: str | None):
@@ -110,10 +111,10 @@ def enum_violation(spark, sf_dir):
     """
 )
 def phrase_anchor(spark, sf_dir):
-    # Every document is one page of the same source; the phrases are few and fixed.
+    # Every document is a page of the same source.
     spans = _t(spark, sf_dir, "benchmark").select(F.lit(0).alias("page"), "item_id", F.col("text").alias("phrase"))
     pages = _t(spark, sf_dir, "documents").select(F.lit(0).alias("page"), "text")
-    return R.phrase_anchors_few(spans, pages, ["page"]).select("item_id", "anchored")
+    return R.phrase_anchors(spans, pages, ["page"]).select("item_id", "anchored")
 
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '[^ \\n\\t\\r\\f\\v]+'))::BIGINT AS n_words FROM documents WHERE len(regexp_extract_all(text, '[^ \\n\\t\\r\\f\\v]+')) >= 15")

@@ -1,6 +1,7 @@
 """The annotation engine over synthetic documents."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -237,12 +238,24 @@ def test_spans(spark):
     pages = spark.createDataFrame([(1, "on the mat the cat sat.")], "page int, text string")
     got = {(r["page"], r["phrase"]): r["anchored"] for r in R.phrase_anchors(spans, pages, ["page"]).collect()}
     assert got == {(1, "The  Cat\nsat"): True, (2, "dog"): False, (1, None): False}
-    few = {(r["page"], r["phrase"]): r["anchored"] for r in R.phrase_anchors_few(spans, pages, ["page"]).collect()}
-    assert few == got
     long = spark.createDataFrame([(" ".join("w" * 15),), (" ".join("w" * 14),), (None,)], "phrase string")
     assert R.long_spans(long).count() == 1
 
 
+def test_anchors_against_comparing_all(spark):
+    rng = random.Random(3)
+    words = ["aa", "ab", "ba", "a", "\ufb01b", "Bab"]
+    text = lambda n: rng.choice((" ", "  ", "\n")).join(rng.choice(words) for _ in range(n))
+    pages = [(k % 3, text(rng.randint(0, 25))) for k in range(30)] + [(1, None), (2, "")]
+    fold = lambda t: " ".join(t.replace("\ufb01", "fi").lower().split())
+    cut = lambda t, n: t[(a := rng.randrange(max(1, len(t) - n))) : a + n]
+    for least in (1, 14):
+        phrases = [(k % 4, (cut(pages[k][1], rng.randint(least, 22)) if k % 2 else text(rng.randint(1, 6)))) for k in range(30)] + [(1, None), (0, ""), (3, "")]
+        want = {(p, t): t is not None and any(q == p and x is not None and fold(t) in fold(x) for q, x in pages) for p, t in phrases}
+        got = R.phrase_anchors(spark.createDataFrame(phrases, "page int, phrase string"), spark.createDataFrame(pages, "page int, text string"), ["page"]).collect()
+        assert {(r["page"], r["phrase"]): r["anchored"] for r in got} == want and len(got) == len(phrases)
+
+
 def test_flags_and_keys(spark):
     docs = documents(spark, {"flags": [{"id": "F1", "type": "ai_uncertainty", "note": "n"}], "evidence": [GOOD | {"flags": ["F1"], "ai_assumption": {"note": "m"}, "invented": 1}]})
     assert sorted((r["type"], r["note"]) for r in S.flags(docs).collect()) == [("ai_assumption", "m"), ("ai_uncertainty", "n")]
