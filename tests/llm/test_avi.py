@@ -58,6 +58,104 @@ def test_general_blocks():
     assert np.array_equal(pixels, np.tile(want, (8, 1)).astype(np.uint8))
 
 
+def test_standard_tables_are_whole():
+    """Every run and size has one code, as the standard asks, and no code is all ones."""
+    for (kind, _), (counts, values) in A.STANDARD.items():
+        want = set(range(12)) if kind == 0 else {0x00, 0xF0} | {r << 4 | s for r in range(16) for s in range(1, 11)}
+        assert sum(counts) == len(values) == len(want) and set(values) == want
+        codes = A.huffman(counts, values).values()
+        assert all(code < (1 << n) - 1 for code, n in codes)
+
+
+def colour_frame(levels, width=32, height=16, drop_tables=True, sampling=0x22):
+    """A 4:2:0 frame whose units have these levels of brightness (four a unit), coded with the standard tables."""
+    code = {k: A.huffman(*v) for k, v in A.STANDARD.items()}
+    bits, before = "", [0, 0, 0]
+
+    def put(component, level):
+        nonlocal bits
+        d, table = level - before[component], min(component, 1)
+        before[component] = level
+        size = abs(d).bit_length()
+        c, n = code[0, table][size]
+        bits += f"{c:0{n}b}" + (f"{d if d > 0 else d + (1 << size) - 1:0{size}b}" if size else "")
+        c, n = code[1, table][0]
+        bits += f"{c:0{n}b}"
+
+    per = (sampling >> 4) * (sampling & 15)
+    for k in range(0, len(levels), per):
+        for level in levels[k : k + per]:
+            put(0, level)
+        put(1, 3)
+        put(2, -5)
+    bits += "1" * (-len(bits) % 8)
+    data = int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
+    quant = bytes([0]) + bytes([8] * 64) + bytes([1]) + bytes([8] * 64)
+    sof = A.struct.pack(">BHHB", 8, height, width, 3) + bytes([1, sampling, 0, 2, 0x11, 1, 3, 0x11, 1])
+    tables = b"" if drop_tables else b"".join(A._segment(0xC4, bytes([kind << 4 | name, *counts, *values])) for (kind, name), (counts, values) in A.STANDARD.items())
+    return b"\xff\xd8" + A._segment(0xE0, b"AVI1\0") + A._segment(0xDB, quant) + A._segment(0xC0, sof) + tables + A._segment(0xDA, bytes([3, 1, 0, 2, 0x11, 3, 0x11, 0, 63, 0])) + data + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("sampling", [0x22, 0x11, 0x21])
+def test_colour_frames(sampling):
+    across, down = sampling >> 4, sampling & 15
+    width, height = 16 * across, 8 * down
+    levels = [(7 * k) % 100 - 50 for k in range(2 * across * down)]
+    for drop in (True, False):
+        pixels = A.decode_frames([colour_frame(levels, width, height, drop, sampling)])
+        assert pixels[0, :, 0].tolist() == [128 + level for level in levels]
+
+
+def test_mixed_headers_and_repeated_frames():
+    """Frames of two sizes and kinds, and one without bytes, each count by their own brightness."""
+    dark, light = [-60] * 8, [60] * 8
+    frames = [colour_frame(dark)] * 9 + [b""] + [colour_frame(light, drop_tables=False)] * 9 + A.encode_frames(np.full((9, 192), 10, np.uint8))
+    micros, hist = A.file_histograms(A.mux(frames))
+    starts = A.shot_starts(A.differences(hist)).tolist()
+    assert micros == 40_000 and len(hist) == 28 and starts == [0, 10, 19]
+
+
+def test_few_at_a_time(monkeypatch):
+    raw = np.random.default_rng(1).integers(0, 256, 192 * 7).astype(np.uint8).tobytes()
+    whole = A.file_histograms(A.write_avi(raw))[1]
+    monkeypatch.setattr(A, "MOST_COEFFICIENTS", 1)
+    assert np.array_equal(A.file_histograms(A.write_avi(raw))[1], whole)
+
+
+def test_every_broken_file_gives_its_error(spark):
+    good = A.mux([colour_frame([5] * 8)] * 3)
+    frame = colour_frame([5] * 8)
+    nested = b""
+    for _ in range(3000):
+        nested = A._chunk(b"LIST", b"hdrl" + nested)
+    sof = frame.index(b"\xff\xc0")
+    huge = frame[: sof + 5] + b"\xff\xff\xff\xff" + frame[sof + 9 :]
+    bad = {
+        "no file": b"no file",
+        "nested": A._chunk(b"RIFF", b"AVI " + nested),
+        "no size": A.mux([frame[:sof] + frame[sof + 2 + 19 :]]),
+        "huge": A.mux([huge]),
+        "no size at all": A.mux([frame[: sof + 5] + b"\0\0\0\0" + frame[sof + 9 :]]),
+        "progressive": A.mux([frame.replace(b"\xff\xc0", b"\xff\xc2")]),
+        "no scan": A.mux([frame[: sof + 4]]),
+        "first empty": A.mux([b"", frame]),
+        "index": good[: good.rindex(b"idx1") + 16] + b"\xff\xff\xff\x7f" + good[good.rindex(b"idx1") + 20 :],
+    }
+    rng = np.random.default_rng(2)
+    for k in range(40):
+        spoilt = bytearray(good)
+        for at in rng.integers(0, len(good), 6):
+            spoilt[at] = rng.integers(0, 256)
+        bad[f"spoilt {k}"] = bytes(spoilt[: rng.integers(20, len(good))])
+    files = spark.createDataFrame([("good", bytearray(good)), ("null", None), *((k, bytearray(v)) for k, v in bad.items())], "doc_id string, media binary")
+    rows = {}
+    for r in A.avi_clips(files).collect():
+        rows.setdefault(r["doc_id"], []).append(r)
+    assert [r["error"] for r in rows["good"]] == [None] and rows["good"][0]["last_frame"] == 2
+    named = [k for k in bad if not k.startswith("spoilt")]
+    assert all(rows[k][0]["error"] and len(rows[k]) == 1 for k in ["null", *named])
+
+
 def test_shots():
     dark, light = np.full((10, 192), 10, np.uint8), np.full((10, 192), 200, np.uint8)
     media = A.write_avi(np.concatenate([dark, light, dark]).tobytes())
