@@ -64,17 +64,32 @@ def numbered(df: DataFrame, within: list[str], order: list[str]) -> DataFrame:
     return df.withColumns({"n": F.row_number().over(w.orderBy(*order)).cast("long"), "of": F.count("*").over(w)})
 
 
+def quoted(text):
+    """A text as Python shows it: in single quotes, or double ones where it holds only single ones."""
+    out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for char, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        out = F.replace(out, F.lit(char), F.lit(shown))
+    double = F.contains(text, F.lit("'")) & ~F.contains(text, F.lit('"'))
+    return F.when(double, F.concat(F.lit('"'), out, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(out, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
 def report(marks: DataFrame) -> DataFrame:
-    """(path, n, text) of marks, numbered by page and place."""
+    """(path, n, text) of marks, numbered by page and place; the last text of a path gives their total."""
+    # The lines of the report.
     lines = F.concat_ws(
         "\n",
         F.format_string("--- Annotation #%d (page %d) ---", "n", "page"),
         F.concat(F.lit("  subtype: /"), "type"),
         F.when(F.col("author") != "", F.concat(F.lit("  author: "), "author")),
-        F.when(F.col("note") != "", F.concat(F.lit("  note/callout: "), "note")),
-        F.when(F.coalesce("highlighted_text", F.lit("")) != "", F.concat(F.lit("  highlighted text: "), "highlighted_text")).when(F.col("type") == "Text", F.concat(F.lit("  location (rect): "), F.to_json("rect"))),
+        F.when(F.col("note") != "", F.concat(F.lit("  note/callout: "), quoted(F.col("note")))),
+        F.when(F.coalesce("highlighted_text", F.lit("")) != "", F.concat(F.lit("  highlighted text: "), quoted(F.col("highlighted_text")))).when(
+            (F.col("type") == "Text") & F.col("rect").isNotNull(), F.concat(F.lit("  location (rect): ["), F.array_join(F.col("rect").cast("array<string>"), ", "), F.lit("]"))
+        ),
+        F.lit(""),
     )
-    return numbered(marks, ["path"], ["page", "pos"]).select("path", "n", lines.alias("text"))
+    body = numbered(marks, ["path"], ["page", "pos"]).select("path", "n", lines.alias("text"))
+    total = marks.groupBy("path").agg(F.count("*").alias("_n")).select("path", (F.col("_n") + 1).alias("n"), F.format_string("Total annotations processed: %d", "_n").alias("text"))
+    return body.unionByName(total).orderBy("path", "n")
 
 
 def joined_text(df: DataFrame, key: list[str], pos: str, text: str, sep: str = " ") -> DataFrame:

@@ -26,6 +26,15 @@ def flag_counts(flags: DataFrame) -> DataFrame:
     return flags.groupBy("path", "type").agg(F.count("*").alias("n"))
 
 
+# Flags of manual and of drafted annotations.
+FLAG_TYPES = ("reviewer_query", "reviewer_suggestion", "reviewer_disagreement", "ai_uncertainty", "ai_assumption")
+
+
+def flag_table(flags: DataFrame) -> DataFrame:
+    """(path, total, a column for each type) of flags: paper by type."""
+    return tally(flags, ["path"], "type", FLAG_TYPES)
+
+
 def items_per_paper(items: DataFrame) -> DataFrame:
     return items.groupBy("path").agg(F.count("*").alias("n_items"))
 
@@ -92,9 +101,49 @@ def split_candidates(items: DataFrame) -> DataFrame:
     return items.groupBy("path", F.sort_array("methods").alias("methods"), "target", "credibility").agg(F.sort_array(F.collect_list("item_id")).alias("items")).where(F.size("items") > 1)
 
 
+def unexplained_methods(items: DataFrame, flags: DataFrame, extensions: DataFrame) -> DataFrame:
+    """(path, methods, item_id): items of a document that share their methods and say nowhere why they are apart.
+
+    items has path, item_id, methods, credibility_comment.  An item explains itself by that comment, by a flag
+    ai_uncertainty (flags: path, item_id, type), or by an extension it exercises (extensions: path, item_id).
+    """
+    key = ["path", "item_id"]
+    own = items.withColumn("methods", F.sort_array("methods"))
+    shared = own.groupBy("path", "methods").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    silent = own.where(F.coalesce(F.trim("credibility_comment"), F.lit("")) == "").join(shared, ["path", "methods"])
+    silent = silent.join(flags.where("type = 'ai_uncertainty'").select(*key), key, "left_anti")
+    return silent.join(extensions.select(*key), key, "left_anti").select("path", "methods", "item_id")
+
+
+def without_registered_extension(exercised: DataFrame, extensions: DataFrame) -> DataFrame:
+    """(path, item_id, ce_id) of exercised extensions that the document doesn't record."""
+    return exercised.join(extensions.select("path", "ce_id"), ["path", "ce_id"], "left_anti").select("path", "item_id", "ce_id")
+
+
+def confidence_gaps(items: DataFrame, confidence: DataFrame) -> DataFrame:
+    """(path, item_id, missing_in): items that a confidence summary leaves out, and entries that name no item."""
+    out = unmatched(items, confidence, ["path", "item_id"])
+    return out.withColumn("missing_in", F.when(F.col("missing_in") == "right", "summary").otherwise("items"))
+
+
+def overview(dims: DataFrame) -> DataFrame:
+    """(path, idx, item_id, label, method): one line an item, methods joined."""
+    of = lambda d: F.max(F.when(F.col("dim") == d, F.array_join("values", ", ")))
+    return dims.groupBy("path", "idx", "item_id").agg(of("label").alias("label"), of("method").alias("method"))
+
+
+def ascertainment_split(dims: DataFrame) -> DataFrame:
+    """(path, ascertainment, items): how a document's variants came into it, and the items of each way."""
+    ways = dims.where("dim = 'variant_ascertainment'").select("path", "item_id", F.explode("values").alias("ascertainment"))
+    return ways.groupBy("path", "ascertainment").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+
+
 def label_lint(items: DataFrame) -> DataFrame:
-    """Labels that begin with a study type or refer ahead; advice only."""
-    return items.where(F.col("label").rlike(r"(?i)^(gwas|linkage|knockout|functional study|association study)\b|(?i)\b(see below|as follows|next item)\b"))
+    """Labels that begin with a study type, refer to others, or name a theme or a role instead of a finding; advice only."""
+    study = r"^(gwas|linkage|knockout|functional study|association study)\b"
+    ahead = r"\b(see (below|above)|as follows|(next|previous) item)\b"
+    theme = r"^(introduction|background|methods?|results?|discussion|conclusions?|summary|overview|main finding|supporting evidence|additional evidence|control|replication)\W*$"
+    return items.where(F.lower("label").rlike(f"{study}|{ahead}|{theme}"))
 
 
 def invented_keys(dims: DataFrame) -> DataFrame:
@@ -141,12 +190,13 @@ def second_round(verdicts: DataFrame, cross_cutting: DataFrame, several: int = 2
 
 
 def without_extension(forced: DataFrame, extensions: DataFrame) -> DataFrame:
-    """Forced fits without a candidate extension of their dimension."""
-    return forced.join(extensions.select("path", "dimension"), ["path", "dimension"], "left_anti")
+    """Forced fits without a candidate extension, neither by the id that they name nor by their dimension."""
+    left = forced.join(extensions.select("path", "dimension"), ["path", "dimension"], "left_anti")
+    return left.join(extensions.select("path", "ce_id"), ["path", "ce_id"], "left_anti") if "ce_id" in forced.columns else left
 
 
 def provenance_gaps(provenance: DataFrame) -> DataFrame:
-    """(path, field) of required provenance that is null."""
+    """(path, field) of required provenance that is null; see baseline() for documents older than a rule."""
     fields = ("mode", "protocol_version", "annotator", "annotated_at", "exemplars_used")
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("v")) for f in fields])
     return provenance.select("path", F.explode(pairs).alias("x")).select("path", "x.field", "x.v").where("v IS NULL").drop("v")

@@ -92,3 +92,11 @@ def report_lines(table: DataFrame, found: DataFrame) -> DataFrame:
     head = table.select("path", F.lit(0).alias("ord"), F.concat(F.when(F.col("conforms"), "PASS").otherwise("FAIL"), F.lit("  "), "path").alias("line"))
     body = found.select("path", "focus", "message").distinct().select("path", F.lit(1).alias("ord"), F.concat(F.lit("      Focus Node: gem:"), "focus", F.lit(" Message: "), "message").alias("line"))
     return head.unionByName(body).orderBy("path", "ord", "line")
+
+
+def closing_line(table: DataFrame) -> DataFrame:
+    """(line): what a run says at its end; the failed documents by path."""
+    # The two lines.
+    failed = F.sort_array(F.collect_list(F.when(~F.col("conforms"), F.col("path"))))
+    told = table.agg(failed.alias("f"))
+    return told.select(F.when(F.size("f") > 0, F.concat(F.size("f").cast("string"), F.lit(" annotation(s) failed SHACL validation: "), F.array_join("f", ", "))).otherwise("All annotations conform to the SHACL shapes.").alias("line"))

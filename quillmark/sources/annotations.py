@@ -24,8 +24,46 @@ MARK = T.StructType(
 
 
 def scan_marks(spark: SparkSession, path: str) -> DataFrame:
-    """Extracted marks, a JSON array a file, with the file's path."""
-    return spark.read.schema(MARK).option("multiLine", True).json(path).withColumn("path", F.col("_metadata.file_path"))
+    """Extracted marks, a JSON array a file, with the file's path and pos, each mark's place in its file."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", T.ArrayType(MARK)).alias("marks"))
+    return files.select("path", F.posexplode("marks").alias("pos", "m")).select("path", "pos", "m.*")
+
+
+def scan_pdf_marks(spark: SparkSession, path: str) -> DataFrame:
+    """Marks of PDF files, as scan_marks gives them but with quads in place of highlighted_text, and mark_ref.
+
+    Needs the library pypdf on driver and executors; without it, an ImportError says so before anything runs.
+    A file that can't be read gives one row with its error.
+    """
+    try:
+        import pypdf  # noqa: F401
+    except ImportError as e:
+        raise ImportError("reading PDF files needs the library pypdf; start from extracted marks (scan_marks) instead") from e
+
+    def run(batches):
+        import io
+
+        import pypdf
+
+        names = ["path", "pos", "page", "type", "author", "note", "rect", "quads", "mark_ref", "error"]
+        for b in batches:
+            rows = []
+            for path, content in zip(b["path"], b["content"], strict=True):
+                try:
+                    pos = 0
+                    for number, page in enumerate(pypdf.PdfReader(io.BytesIO(content)).pages, 1):
+                        for ref in page.get("/Annots") or []:
+                            mark = ref.get_object()
+                            text = lambda key: None if mark.get(key) is None else str(mark[key])  # noqa: B023, E731
+                            floats = lambda key: None if mark.get(key) is None else [float(x) for x in mark[key]]  # noqa: B023, E731
+                            rows.append((path, pos, number, (text("/Subtype") or "").lstrip("/"), text("/T"), text("/Contents"), floats("/Rect"), floats("/QuadPoints"), f"{path}#{pos}", None))
+                            pos += 1
+                except Exception as e:  # noqa: BLE001  whatever a file brings about is that file's
+                    rows.append((path, *[None] * 8, str(e)))
+            yield pd.DataFrame(rows, columns=names, dtype=object)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", True).load(path)
+    return files.select("path", "content").mapInPandas(run, "path string, pos int, page int, type string, author string, note string, rect array<double>, quads array<double>, mark_ref string, error string")
 
 
 def scan_files(spark: SparkSession, path: str, glob: str = "*.yaml", skip: str | None = "reviews") -> DataFrame:
@@ -127,3 +165,74 @@ def review_tables(logs: DataFrame) -> dict[str, DataFrame]:
         "migrations": part("migration_suggestions").select("path", "reviewed", get("$.ge_item").alias("item_id"), get("$.from").alias("old"), get("$.to").alias("new")).where("old IS DISTINCT FROM new"),
         "promotions": part("promotion_recommendations").select("path", get("$.candidate").alias("candidate"), get("$.status").alias("status")),
     }
+
+
+def _text_of(column: str):
+    return lambda key: F.try_variant_get(column, f"$.{key}", "string")
+
+
+def publications(documents: DataFrame) -> DataFrame:
+    """(path, id, doi, citation, title) of each document's paper."""
+    get = _text_of("doc")
+    return documents.select("path", *[get(f"publication.{k}").alias(k) for k in ("id", "doi", "citation", "title")])
+
+
+def provenance(documents: DataFrame) -> DataFrame:
+    """(path, mode, protocol_version, annotator, annotated_at, exemplars_used) as written; lists as JSON text."""
+    get = lambda k: F.try_variant_get("doc", f"$.provenance.{k}", "variant")
+    shown = lambda v: F.when(V.kind(v) == "VOID", None).when(V.kind(v).isin("LIST", "OBJECT"), F.to_json(v)).otherwise(V.scalar(v))
+    return documents.select("path", *[shown(get(k)).alias(k) for k in ("mode", "protocol_version", "annotator", "annotated_at", "exemplars_used")])
+
+
+def _elements(rows: DataFrame, column: str, key: str, *keep: str) -> DataFrame:
+    return rows.select(*keep, F.explode(F.try_variant_get(column, f"$.{key}", "array<variant>")).alias("x"))
+
+
+def candidate_extensions(documents: DataFrame) -> DataFrame:
+    """(path, ce_id, dimension, description, location, status) of gaps that a document records."""
+    get = _text_of("x")
+    return _elements(documents, "doc", "candidate_extensions", "path").select("path", get("id").alias("ce_id"), get("dimension").alias("dimension"), get("description").alias("description"), get("location_in_this_annotation").alias("location"), get("status").alias("status"))
+
+
+def confidence(documents: DataFrame) -> DataFrame:
+    """(path, item_id, confidence, notes) of the confidence summary; an entry names its item by id or by item."""
+    get = _text_of("x")
+    return _elements(documents, "doc", "confidence_summary.per_item", "path").select("path", F.coalesce(get("id"), get("item")).alias("item_id"), get("confidence").alias("confidence"), F.coalesce(get("notes"), get("note")).alias("notes"))
+
+
+def forced_fits(documents: DataFrame) -> DataFrame:
+    """(path, dimension, ce_id, flag) of values that a summary owns up to have forced; null where it names none."""
+    get = _text_of("x")
+    return _elements(documents, "doc", "confidence_summary.forced_fits", "path").select("path", get("dimension").alias("dimension"), get("candidate_extension").alias("ce_id"), get("flag").alias("flag"))
+
+
+def observations(logs: DataFrame) -> DataFrame:
+    """(path, obs_id, level, text) of a review log's observations on the whole paper."""
+    get = _text_of("x")
+    return _elements(logs, "doc", "observations", "path").select("path", get("id").alias("obs_id"), F.coalesce(get("level"), get("prominence")).alias("level"), F.coalesce(get("observation"), get("disposition")).alias("text"))
+
+
+def special_considerations(found: DataFrame) -> DataFrame:
+    """(path, item_id, key, value) of an item's list of keys and values."""
+    get = _text_of("x")
+    return _elements(found, "item", "special_considerations", "path", "item_id").select("path", "item_id", get("key").alias("key"), get("value").alias("value"))
+
+
+def exercised(found: DataFrame) -> DataFrame:
+    """(path, item_id, ce_id): the extensions that an item exercises, written as one id or as a list."""
+    raw = F.try_variant_get("item", "$.candidate_extension_exercised", "variant")
+    return found.select("path", "item_id", F.explode(V.raw_values(raw)).alias("ce_id")).distinct()
+
+
+def applications(documents: DataFrame) -> DataFrame:
+    """(path, flag_id, item_id): the items that the flag registry says a flag applies to; remarks after an id go."""
+    get = _text_of("x")
+    of = F.explode(F.try_variant_get("x", "$.applies_to", "array<string>"))
+    return _elements(documents, "doc", "flags", "path").select("path", get("id").alias("flag_id"), of.alias("item_id")).withColumn("item_id", F.regexp_extract("item_id", r"^\s*(\S+)", 1)).distinct()
+
+
+def flag_disagreements(documents: DataFrame) -> DataFrame:
+    """(path, flag_id, item_id, missing_in): flags of an item that the registry doesn't apply to it, and the reverse."""
+    named = items(documents).select("path", "item_id", F.explode(F.try_variant_get("item", "$.flags", "array<string>")).alias("flag_id")).distinct()
+    both = named.withColumn("_i", F.lit(True)).join(applications(documents).withColumn("_r", F.lit(True)), ["path", "flag_id", "item_id"], "full")
+    return both.where("_i IS NULL OR _r IS NULL").select("path", "flag_id", "item_id", F.when(F.col("_i").isNull(), "item").otherwise("registry").alias("missing_in"))
