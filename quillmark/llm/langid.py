@@ -10,15 +10,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import LETTER, crc_mod, per_worker
 from .vocabulary import SPACE, Vocabulary, load_vocabulary
 
-#: Labelled documents to learn from, by language: those with the least hash of their id.
+#: Labelled documents to learn from, by language, about: those whose hash is in the first part of its range that
+#: should hold so many.
 MAX_DOCS = 600
-#: Distinct words of a language kept for estimation: the most frequent of those documents.
-MAX_WORDS = 40_000
+#: Distinct words whose lattices are held at a time.
+STEP = 10_000
 ROUNDS = 3
 SMOOTHING = 0.5
 #: Probabilities are scaled by this for each character, so that sums over long words stay in range.
@@ -155,22 +155,19 @@ def estimate(counts: dict[str, Counter], vocab: Vocabulary, rounds: int = ROUNDS
     size = len(vocab.pieces)
     probs = np.full((size, max(1, len(langs))), 1 / size)
     for k, lang in enumerate(langs):
-        items = [(SPACE + w, n) for w, n in counts[lang].items() if len(w) < LONG]
+        # A longer word counts by its stretches.
+        items = Counter()
+        for w, n in counts[lang].items():
+            for a in range(0, len(w), LONG):
+                items[(SPACE if not a else "") + w[a : a + LONG]] += n
         if not items:
             continue
-        lat = Lattice([w for w, _ in items], vocab)
-        n = np.array([c for _, c in items], dtype=float)
+        words = sorted(items, key=len)
         p = probs[:, k : k + 1]
         for _ in range(rounds):
-            weight = lat.weights(p, vocab)
-            alpha, beta = lat.forward(weight), lat.backward(weight)
-            whole = alpha[np.arange(lat.n), lat.lengths, 0]
-            share = n[lat.word] * alpha[lat.word, lat.start, 0] * weight[:, 0] * beta[lat.word, lat.end, 0] / whole[lat.word]
-            own = lat.piece >= 0
-            got = np.bincount(lat.piece[own], weights=share[own], minlength=size)
-            for edge, c in lat.spelt.items():
-                for b in c.encode("utf-8", "surrogatepass"):
-                    got[vocab.bytes[b]] += share[edge]
+            got = np.zeros(size)
+            for a in range(0, len(words), STEP):
+                got += _expected(words[a : a + STEP], items, p, vocab)
             # Smoothing keeps a floor under every piece, spread by length so that unseen pieces stay rare.
             got += SMOOTHING * vocab.floor
             p = (got / got.sum())[:, None]
@@ -178,15 +175,36 @@ def estimate(counts: dict[str, Counter], vocab: Vocabulary, rounds: int = ROUNDS
     return langs, probs
 
 
-def training_counts(docs: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS) -> dict[str, Counter]:
-    """Word counts by language of at most max_docs documents each, outside the held-out fold."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", 4) != 2))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id")
-    some = known.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_docs)
-    some = some.select("doc_id", "lang").distinct()
-    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(some), ["doc_id", "lang"])  # at most max_docs a language
+def _expected(words: list[str], counts: Counter, p: np.ndarray, vocab: Vocabulary) -> np.ndarray:
+    """Expected number of each piece over all segmentations of counted words."""
+    lat = Lattice(words, vocab)
+    n = np.array([counts[w] for w in words], dtype=float)
+    weight = lat.weights(p, vocab)
+    alpha, beta = lat.forward(weight), lat.backward(weight)
+    whole = alpha[np.arange(lat.n), lat.lengths, 0]
+    share = n[lat.word] * alpha[lat.word, lat.start, 0] * weight[:, 0] * beta[lat.word, lat.end, 0] / whole[lat.word]
+    own = lat.piece >= 0
+    got = np.bincount(lat.piece[own], weights=share[own], minlength=len(vocab.pieces))
+    for edge, c in lat.spelt.items():
+        for b in c.encode("utf-8", "surrogatepass"):
+            got[vocab.bytes[b]] += share[edge]
+    return got
+
+
+def training_counts(docs: DataFrame, max_docs: int = MAX_DOCS) -> dict[str, Counter]:
+    """Word counts by language of about max_docs documents each, outside the held-out fold.
+
+    A document is in where the hash of its id and text is in the first max_docs / n of the hash's range, n
+    being its language's documents; so no language's rows ever meet in one task.  Equal rows count once.
+    """
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", 4) != 2)).select("doc_id", "lang", "text")
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(11), "doc_id", "text"), 11) / F.lit(float(1 << 53))
+    # The model has a column a language, so their table is small beside it.
+    texts = known.join(F.broadcast(sizes), "lang").where(place * F.col("n") < max_docs).select("doc_id", "lang", "text").distinct()
 
     def run(batches):
+        per_worker(None, None)
         counts: Counter = Counter()
         for b in batches:
             for lang, t in zip(b["lang"], b["text"], strict=True):
@@ -194,9 +212,8 @@ def training_counts(docs: DataFrame, max_docs: int = MAX_DOCS, max_words: int =
         yield pd.DataFrame({"lang": [k[0] for k in counts], "word": [k[1] for k in counts], "n": list(counts.values())}).astype({"lang": object, "word": object, "n": "int64"})
 
     words = texts.mapInPandas(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = words.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("k") <= max_words)
     out: dict[str, Counter] = {}
-    for r in top.collect():
+    for r in words.toLocalIterator():  # the words of about max_docs documents a language
         out.setdefault(r["lang"], Counter())[r["word"]] = r["n"]
     return out
 
@@ -204,7 +221,7 @@ def training_counts(docs: DataFrame, max_docs: int = MAX_DOCS, max_words: int =
 class Scorer:
     """Predictions of texts; log-probabilities of recent words are kept."""
 
-    MOST = 400_000
+    MOST = 100_000
 
     def __init__(self, langs: list[str], probs: np.ndarray, vocab: Vocabulary):
         self.langs, self.probs, self.vocab = langs, probs, vocab
@@ -242,7 +259,7 @@ def identify_languages(docs: DataFrame, vocab_path: str | None = None) -> DataFr
     """One row per document: doc_id, held_out, lang_pred, score.
 
     Each language has a unigram model over the pieces of a public vocabulary (vocab_path, or the default
-    one), estimated from at most MAX_DOCS of its documents.  A text's probability is the product over its
+    one), estimated from about MAX_DOCS of its documents.  A text's probability is the product over its
     words of the sum over all their segmentations; pieces don't cross words.  score is the predicted
     language's share under equal priors; ties take the first language by name.  Null texts, texts without a
     letter, and all texts where no language is known give 'und' with score 0.  Null ids aren't held out;

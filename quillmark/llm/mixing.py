@@ -182,10 +182,11 @@ def apply_mixture(docs: DataFrame, **options) -> DataFrame:
     Rows of one id, source and text have as many copies each; among them, rows are told apart by their other
     columns' hash.  Nulls, empty texts and repeated rows come as mix() deals them, null ids too.
     """
-    doc, source, key, row, block, slot, text, at = fresh(docs.columns, "_id", "_source", "_key", "_row", "_block", "_slot", "_text", "_at")
-    of = F.coalesce("source", F.lit(NO_SOURCE))
-    equal = Window.partitionBy("doc_id", of, text_key(F.col("text"))).orderBy(F.xxhash64(*docs.columns))
-    numbered = docs.withColumn(key, text_key(F.col("text"))).withColumn(row, F.row_number().over(equal))
-    mixed = mix(docs, keys=True, **options).select("doc_id", F.coalesce("source", F.lit(NO_SOURCE)), "text_key", "row", "block", "slot").toDF(doc, source, text, at, block, slot)
-    met = numbered.join(mixed, F.col("doc_id").eqNullSafe(F.col(doc)) & (of == F.col(source)) & (F.col(key) == F.col(text)) & (F.col(row) == F.col(at)))
+    key, row, block, slot, at, k = fresh(docs.columns, "_key", "_row", "_block", "_slot", "_at", "_k")
+    of = lambda t: F.md5(F.to_json(F.struct("doc_id", F.coalesce("source", F.lit(NO_SOURCE)).alias("s"), t.alias("t"))))
+    equal = Window.partitionBy(key).orderBy(F.xxhash64(*docs.columns))
+    numbered = docs.withColumn(key, of(text_key(F.col("text")))).withColumn(row, F.row_number().over(equal))
+    mixed = mix(docs, keys=True, **options).select(of(F.col("text_key")).alias(k), F.col("row").alias(at), F.col("block").alias(block), F.col("slot").alias(slot))
+    # Rows are told apart by a difference, which is no key to deal by: the texts stay where the numbering dealt them.
+    met = numbered.join(mixed, (F.col(key) == F.col(k)) & (F.col(row) - F.col(at) == 0))
     return met.repartitionByRange(block, slot).sortWithinPartitions(block, slot).select(*docs.columns)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,6 +33,10 @@ ALPHABET = 96
 MAX_TOXIC, MAX_CLEAN = 4000, 8000
 STEM_LENGTHS = (4, 5, 6, 7, 8)
 LEAST_DOCS, LEAST_SHARE = 3, 0.8
+#: From this P(toxic | stem) on, or if no clean text has it, a sure stem is in the lexicon whatever else explains its texts.
+CLEAR_SHARE = 0.95
+#: Marks of a text by which copies are known, and the chance of any stem's being sure by accident.
+MARKS, CHANCE = 8, 0.05
 
 _SYM = "".join(map(re.escape, LEET))
 #: A token that may hide a word: symbols beside letters, a letter three times, single letters with gaps.
@@ -368,6 +374,52 @@ def greedy_lexicon(toxic: list[list[str]], odds: dict[str, float]) -> dict[str,
     return out
 
 
+def text_marks(text: str | None) -> list[int]:
+    """MinHashes of the shingles of a text's letters, three words wide; copies and near copies share some of them."""
+    words = LETTERS.findall((text or "").lower())
+    held = {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
+    h = np.fromiter((zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in held), np.uint64, len(held))
+    return [int((((h * np.uint64(2 * k + 0x9E3779B1)) & np.uint64(0xFFFFFFFF)) ^ np.uint64(k)).min()) for k in range(MARKS)]
+
+
+def copy_groups(marks: list[list[int]]) -> list[int]:
+    """A number for each text, one for texts that share two marks."""
+    parent = list(range(len(marks)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    seen: dict[tuple, int] = {}
+    for i, m in enumerate(marks):
+        for j, k in itertools.combinations(range(MARKS), 2):
+            parent[find(i)] = find(seen.setdefault((j, k, m[j], m[k]), i))
+    return [find(i) for i in range(len(marks))]
+
+
+def sure_stems(toxic: list[list[str]], groups: list[int], clean: dict[str, int], share: float, tests: int) -> set[str]:
+    """Stems that toxic texts hold far too often for chance, copies of a text counting as one.
+
+    The Chernoff bound of a binomial with share toxic, times the number of stems looked at, is under CHANCE.
+    """
+    holders: dict[str, set[int]] = {}
+    for t, g in zip(toxic, groups, strict=True):
+        for s in t:
+            holders.setdefault(s, set()).add(g)
+    out = set()
+    for s, held in holders.items():
+        n, k = len(held) + clean.get(s, 0), len(held)
+        part = k / n
+        if part <= share or len(held) < LEAST_DOCS:
+            continue
+        apart = part * math.log(part / share) + (1 - part) * (math.log((1 - part) / (1 - share)) if part < 1 else 0.0)
+        if math.log(tests) - n * apart < math.log(CHANCE):
+            out.add(s)
+    return out
+
+
 def text_score(found: set[str], lexicon: dict[str, float], base: float) -> float:
     """Noisy-or of the stems found and the share of toxic texts that have none."""
     left = 1 - base
@@ -377,7 +429,10 @@ def text_score(found: set[str], lexicon: dict[str, float], base: float) -> float
 
 
 def fit(docs: DataFrame, labels: DataFrame, lm: CharModel) -> tuple[dict[str, float], float]:
-    """(lexicon, score of a text without any stem of it) from labelled rows outside the held-out fold."""
+    """(lexicon, score of a text without any stem of it) from labelled rows outside the held-out fold.
+
+    The lexicon has all clear and sure stems, and those that explain the other toxic texts one by one.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.avg("toxic") >= 0.5).alias("toxic"))
     known = known.where(~held_out(5, 0)).withColumn("h", F.xxhash64(F.lit(7), "doc_id"))
     some = known.where("toxic").orderBy("h").limit(MAX_TOXIC).union(known.where("not toxic").orderBy("h").limit(MAX_CLEAN)).select("doc_id", "toxic")
@@ -392,7 +447,7 @@ def fit(docs: DataFrame, labels: DataFrame, lm: CharModel) -> tuple[dict[str, fl
         def run(batches):
             r = Reader(lm_b.value, wanted.value)
             for b in batches:
-                yield pd.DataFrame({"stems": [sorted(r.stems(t)) for t in b["text"]]})
+                yield pd.DataFrame({"stems": [sorted(r.stems(t)) for t in b["text"]], "marks": [text_marks(t) for t in b["text"]]})
 
         return run
 
@@ -412,21 +467,29 @@ def fit(docs: DataFrame, labels: DataFrame, lm: CharModel) -> tuple[dict[str, fl
         return texts.where(of).mapInPandas(counted, "s string, n long").groupBy("s").agg(F.sum("n").alias("n"))
 
     # Only stems whose odds suffice are collected, however many there are.
-    clean = counts("not toxic").persist()
+    clean, toxic = counts("not toxic").persist(), counts("toxic").persist()
     try:
         n_clean = clean.where("s = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         n_toxic, share_toxic = min(n["t"], MAX_TOXIC), (n["t"] + 0.5) / (n["n"] + 1)
-        few = counts("toxic").where((F.col("s") != "") & (F.col("n") >= LEAST_DOCS))
+        few = toxic.where((F.col("s") != "") & (F.col("n") >= LEAST_DOCS))
+        tests = few.count()
         few = few.join(clean.select("s", F.col("n").alias("c")), "s", "left").select("s", "n", F.coalesce("c", F.lit(0)).alias("c"))
         a, b = F.col("n") * (share_toxic / max(1, n_toxic)), (F.col("c") + 0.5) * ((1 - share_toxic) / (n_clean + 1))
         rows = few.where(a >= (LEAST_SHARE - 1e-6) * (a + b)).collect()
     finally:
         clean.unpersist()
-    odds = stem_odds({r["s"]: r["n"] for r in rows}, {r["s"]: r["c"] for r in rows}, n_toxic, n_clean, share_toxic)
+        toxic.unpersist()
+    also = {r["s"]: r["c"] for r in rows}
+    odds = stem_odds({r["s"]: r["n"] for r in rows}, also, n_toxic, n_clean, share_toxic)
     if not odds:
         return {}, 0.0
-    held = [r["stems"] for r in texts.where("toxic").mapInPandas(found(share(set(odds))), "stems array<string>").collect()]
-    lexicon = greedy_lexicon(held, odds)
+    read = texts.where("toxic").mapInPandas(found(share(set(odds))), "stems array<string>, marks array<long>").collect()
+    held = [r["stems"] for r in read]
+    sure = sure_stems(held, copy_groups([r["marks"] for r in read]), also, n_toxic / (n_toxic + n_clean + 1), tests)
+    lexicon = {s: odds[s] for s in sure if odds[s] >= CLEAR_SHARE or not also[s]}
+    left = [t for t in held if lexicon.keys().isdisjoint(t)]
+    # Where clear stems explain most texts, the others may be wrongly labelled: stems for them must be sure too.
+    lexicon |= greedy_lexicon([[s for s in t if s in sure] for t in left] if lexicon else left, odds)
     missed = sum(lexicon.keys().isdisjoint(t) for t in held) / len(held) * n["t"]
     return lexicon, min(0.4, (missed + 0.5) / (n["n"] - n["t"] + missed + 1))
 
