@@ -41,8 +41,9 @@ def chunk_pattern(vocab: Vocabulary) -> re.Pattern:
     if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in vocab.ids):
         return re.compile(r"(?s).+")
     marks = re.escape("".join(m for m in MARKS if m not in inner))
-    letter_end = rf" *[^ \n{marks}]*[^\W\d_](?=[{marks}])|" if marks else ""
-    return re.compile(rf"\n|{letter_end} *[^ \n]+| +")
+    # A run without marks stops before one if it ends in a letter, and takes the rest up to the space otherwise.
+    run = rf" *[^ \n{marks}]+(?:(?<=[^\W\d_])(?=[{marks}])|[^ \n]*)|" if marks else ""
+    return re.compile(rf"{run} *[^ \n]+|\n| +")
 
 
 class Encoder:
@@ -57,6 +58,7 @@ class Encoder:
         self.pattern = chunk_pattern(vocab)
         of = {i: bytes((b,)) for b, i in vocab.bytes.items()}
         self.raw = [of.get(i) or p.replace(SPACE, " ").encode() for i, p in enumerate(vocab.pieces)]
+        self.raw_sizes = np.fromiter(map(len, self.raw), np.int64, len(self.raw))
         #: Characters that are pieces themselves; chunks with others need bytes and go one by one.
         self.plain = {" "}.union(p for p in vocab.ids if len(p) == 1) - {SPACE}
         self.reset()
@@ -64,6 +66,8 @@ class Encoder:
     def reset(self) -> None:
         self.known: dict[str, int] = {}
         self.blobs: list[bytes] = []
+        #: Whether a chunk's best ids decode to the chunk.
+        self.whole = np.zeros(0, bool)
         self.best, self.gap, self.sizes, self.uses = np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.lists: dict[str, list[tuple[float, bytes]]] = {}
 
@@ -135,7 +139,22 @@ class Encoder:
                 got = self.n_best(c)
                 self._add([c], [got[0][1]], np.array([got[0][0]]), np.array([got[0][0] - got[1][0] if len(got) > 1 else np.inf]))
 
+    def _decode_to(self, chunks: list[str], blobs: list[bytes]) -> np.ndarray:
+        """Whether each chunk's ids decode to it.
+
+        Decoding goes by piece: if the ids of all together give the joined text, and each chunk's pieces have its
+        length, then each gives its own.
+        """
+        ids = np.frombuffer(b"".join(blobs), np.int32)
+        own = [c.encode("utf-8", "surrogatepass") for c in chunks]
+        ends = np.cumsum(np.fromiter((len(x) // 4 for x in blobs), np.int64, len(blobs)))
+        sizes = np.diff(np.concatenate(([0], np.cumsum(self.raw_sizes[ids])))[np.concatenate(([0], ends))])
+        if b"".join(map(self.raw.__getitem__, ids.tolist())) == b"".join(own) and (sizes == np.fromiter(map(len, own), np.int64, len(own))).all():
+            return np.ones(len(chunks), bool)
+        return np.array([b"".join(map(self.raw.__getitem__, np.frombuffer(x, np.int32).tolist())) == c for x, c in zip(blobs, own, strict=True)], bool)
+
     def _add(self, chunks, blobs, best, gap) -> None:
+        self.whole = np.append(self.whole, self._decode_to(chunks, blobs))
         self.known.update(zip(chunks, range(len(self.blobs), len(self.blobs) + len(chunks)), strict=True))
         self.blobs.extend(blobs)
         self.best, self.gap = np.concatenate((self.best, best)), np.concatenate((self.gap, gap))
@@ -151,6 +170,7 @@ class Encoder:
         self.known = {names[i]: k for k, i in enumerate(keep.tolist())}
         self.blobs = [self.blobs[i] for i in keep.tolist()]
         self.best, self.gap, self.sizes, self.uses = self.best[keep], self.gap[keep], self.sizes[keep], self.uses[keep] // 2
+        self.whole = self.whole[keep]
 
     def _learn(self, chunks: list[str]) -> None:
         lat = Lattice([self.form(c) for c in chunks], self.vocab)
@@ -206,13 +226,16 @@ class Encoder:
         self.learn(fresh)
         return split
 
-    def segmentations(self, chunks: list[str]) -> list[tuple[float, bytes]]:
+    def places(self, chunks: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+
+    def segmentations(self, chunks: list[str], at: np.ndarray | None = None) -> list[tuple[float, bytes]]:
         """Up to n (score, ids) of a prepared text, best first.
 
         Only the n - 1 chunks whose second best loses least can differ from the best in any of the n, so
         their exact lists are combined, least loss first; equal losses go by place, then by rank.
         """
-        at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        at = self.places(chunks) if at is None else at
         self.uses[at] += 1  # once a text
         whole = b"".join(map(self.blobs.__getitem__, at.tolist()))
         best = float(self.best[at].sum())
@@ -241,6 +264,10 @@ class Encoder:
                 out.append((best - loss, b"".join((*own, whole[done:]))))
         return out
 
+    def round_trip(self, text: str, chunks: list[str], at: np.ndarray) -> bool:
+        """Whether the best ids of a prepared text decode to it: each chunk's do to the chunk, and those make up the text."""
+        return bool(self.whole[at].all()) and "".join(chunks) == (" " + text if text else "")
+
     def decode(self, ids: bytes) -> str:
         """The text of int32 ids: the inverse of every segmentation."""
         return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, np.int32).tolist())).decode("utf-8", "surrogatepass")[1:]
@@ -291,7 +318,7 @@ def segment_documents(docs: DataFrame, n_best: int = N_BEST, vocab_path: str | N
 
     nbest holds score, number of pieces and crc32 of the int32 ids of each of the n_best likeliest
     segmentations of the whole text; the first is the best and gives the columns beside it.  round_trip:
-    its ids decode to the very text.  Null texts give nulls with no segmentations; the empty text has one
+    its ids decode to the very text, which is found out chunk by chunk.  Null texts give nulls with no segmentations; the empty text has one
     without pieces.  Null ids and repeated rows stay; other columns are ignored; no shuffle.
     """
     make = _encoders(docs, n_best, vocab_path)
@@ -307,9 +334,10 @@ def segment_documents(docs: DataFrame, n_best: int = N_BEST, vocab_path: str | N
                     if t is None:
                         rows.append((None, None, None, None, 0, None, None))
                         continue
-                    found = [(s, len(ids) // 4, zlib.crc32(ids), ids) for s, ids in encoder.segmentations(chunks)]
-                    nbest = [{"score": s, "n_pieces": n, "ids_crc32": c} for s, n, c, _ in found]
-                    rows.append((len(t), found[0][1], found[0][0], found[0][2], len(found), nbest, (encoder.decode(found[0][3]) if t else "") == t))
+                    at = encoder.places(chunks)
+                    found = [(s, len(ids) // 4, zlib.crc32(ids)) for s, ids in encoder.segmentations(chunks, at)]
+                    nbest = [{"score": s, "n_pieces": n, "ids_crc32": c} for s, n, c in found]
+                    rows.append((len(t), found[0][1], found[0][0], found[0][2], len(found), nbest, encoder.round_trip(t, chunks, at)))
                 out = pd.DataFrame(rows, columns=names, dtype=object)
                 out.insert(0, "doc_id", b["doc_id"].iloc[a : a + 200].to_numpy())
                 yield out

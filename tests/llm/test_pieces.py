@@ -46,6 +46,30 @@ def test_long_and_odd_texts(encoder):
         assert encoder.decode(got[0][1]) == text
 
 
+def test_chunks_are_those_of_the_first_pattern(encoder):
+    """Runs end before a mark that no piece has after a letter: checked against trying the two kinds of run in turn."""
+    import random
+    import re
+
+    inner = {b for p in encoder.vocab.ids for a, b in zip(p, p[1:], strict=False) if a.isalpha()}
+    marks = re.escape("".join(m for m in P.MARKS if m not in inner))
+    plain = re.compile(rf"\n| *[^ \n{marks}]*[^\W\d_](?=[{marks}])| *[^ \n]+| +")
+    rng = random.Random(4)
+    for _ in range(3000):
+        text = "".join(rng.choice("ab1é日_-,.!?;: \n ") for _ in range(rng.randint(1, 14)))
+        assert encoder.chunks(text) == plain.findall(" " + text) and "".join(encoder.chunks(text)) == " " + text
+
+
+def test_round_trip_by_chunk_is_that_of_the_text(encoder):
+    for text in ("Hello, world.", "日本x ▁ é\n\n", "don't  stop\x00", "\U0001f600" * 50):
+        chunks = encoder.prepare([text])[0]
+        at = encoder.places(chunks)
+        assert encoder.round_trip(text, chunks, at) and encoder.decode(encoder.segmentations(chunks, at)[0][1]) == text
+        assert not encoder.round_trip(text + "x", chunks, at)
+        spoilt = encoder._decode_to(chunks, [encoder.blobs[i] for i in [*at[1:], at[0]]])
+        assert spoilt.tolist() == [a == b for a, b in zip(chunks, [*chunks[1:], chunks[0]], strict=True)]
+
+
 def test_a_public_decoder_agrees(encoder):
     import public_tokenizers
     import sentencepiece
