@@ -86,17 +86,79 @@ def test_ties(spark):
     assert sorted(r["slot"] for r in mixing.mix(docs).collect()) == list(range(40))
 
 
-def test_additive_model_against_brute_force():
-    """One round of boosting on one feature is the best three-leaf tree by trying every pair of cuts."""
+def leaf(g, h):
+    return sum(g) / (sum(h) + quality.RIDGE)
+
+
+def gain(g, h):
+    return sum(g) ** 2 / (sum(h) + quality.RIDGE)
+
+
+def tree_by_trying(g, h):
+    """The best first cut by trying each, then the best second one by trying each on either side."""
+
+    def best(parts):
+        found = (1e-9, None)
+        for a, b in parts:
+            for c in range(a + 1, b):
+                if sum(h[a:c]) >= quality.LEAST_WEIGHT and sum(h[c:b]) >= quality.LEAST_WEIGHT:
+                    more = gain(g[a:c], h[a:c]) + gain(g[c:b], h[c:b]) - gain(g[a:b], h[a:b])
+                    if more > found[0] + 1e-12:
+                        found = (more, (a, c, b))
+        return found[1]
+
+    parts = [(0, len(g))]
+    for _ in range(2):
+        cut = best(parts)
+        if cut is None:
+            break
+        parts = [p for p in parts if p != (cut[0], cut[2])] + [cut[:2], cut[1:]]
+    out = np.zeros(len(g))
+    for a, b in parts:
+        out[a:b] = leaf(g[a:b], h[a:b])
+    return out
+
+
+def test_trees_against_trying_every_cut():
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(400, 2))
-    y = (x[:, 0] > 0.3).astype(float)
+    for _ in range(60):
+        n = int(rng.integers(1, 12))
+        g, h = rng.normal(size=n) * 5, rng.uniform(0.1, 6, n)
+        assert np.allclose(quality.shallow_tree(g, h), tree_by_trying(list(g), list(h)))
+        m = int(rng.integers(1, 7))
+        g, h = rng.normal(size=(n, m)), rng.uniform(0.1, 3, (n, m))
+        top, table = quality.cross_tree(g, h)
+        tried = [(sum(gain(x.ravel(), y.ravel()) for x, y in zip((g[:a, :b], g[:a, b:], g[a:, :b], g[a:, b:]), (h[:a, :b], h[:a, b:], h[a:, :b], h[a:, b:]), strict=True)), a, b) for a in range(1, n) for b in range(1, m)]
+        if not tried:
+            assert top == 0 and not table.any()
+            continue
+        value, a, b = max(tried)
+        assert top == pytest.approx(value - gain(g.ravel(), h.ravel()))
+        assert table[0, 0] == pytest.approx(leaf(g[:a, :b].ravel(), h[:a, :b].ravel())) and table[-1, -1] == pytest.approx(leaf(g[a:, b:].ravel(), h[a:, b:].ravel()))
+
+
+def test_cyclic_fit_against_plain_boosting(monkeypatch):
+    """The tables add up the trees of features in turn, each fitted to what all before it leave."""
+    monkeypatch.setattr(quality, "ROUNDS", 4)
+    monkeypatch.setattr(quality, "PAIR_ROUNDS", 0)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 3))
+    y = (x[:, 0] + 0.5 * rng.normal(size=300) > 0.3).astype(float)
     m = quality.fit_ga2m(x, y)
-    assert np.mean((m.scores(x) >= 0.5) == y) > 0.98
-    order = np.argsort(x[:, 0])
-    assert (np.diff(m.tables[0]) >= -1e-9).mean() > 0.9 and np.ptp(m.tables[0]) > 5 * np.ptp(m.tables[1])
-    by_row = [m.margins(x[i : i + 1])[0] for i in order[:50]]
-    assert np.allclose(m.margins(x)[order[:50]], by_row)
+    p0 = (y.sum() + 0.5) / (len(y) + 1)
+    margin = [np.log(p0 / (1 - p0))] * len(y)
+    for _ in range(4):
+        for f in range(3):
+            edges = quality.bin_edges(x[:, f], quality.BINS)
+            bins = [int((edges <= v).sum()) for v in x[:, f]]
+            g, h = [0.0] * (len(edges) + 1), [0.0] * (len(edges) + 1)
+            for i, k in enumerate(bins):
+                p = 1 / (1 + np.exp(-margin[i]))
+                g[k] += y[i] - p
+                h[k] += max(p * (1 - p), 1e-6)
+            step = tree_by_trying(g, h) * quality.RATE
+            margin = [v + step[k] for v, k in zip(margin, bins, strict=True)]
+    assert np.allclose(m.margins(x), margin)
 
 
 def test_pipeline_stages(spark, docs, labels, tmp_path):
