@@ -36,10 +36,10 @@ def kind(v: Column) -> Column:
     )
 
 
-def scalar(v: Column) -> Column:
-    """Text of a scalar variant; booleans as True and False."""
+def scalar(v: Column, of: Column | None = None) -> Column:
+    """Text of a scalar variant; booleans as True and False.  of: the variant's kind, where a column has it."""
     text = F.try_variant_get(v, "$", "string")
-    return F.when(kind(v) == "BOOLEAN", F.initcap(text)).otherwise(text)
+    return F.when((kind(v) if of is None else of) == "BOOLEAN", F.initcap(text)).otherwise(text)
 
 
 def members(v: Column) -> Column:
@@ -51,14 +51,15 @@ def is_na(text: Column) -> Column:
     return F.coalesce(F.lower(F.trim(text)) == NA, F.lit(False))
 
 
-def raw_values(v: Column) -> Column:
+def raw_values(v: Column, of: Column | None = None) -> Column:
     """Values that triples get: a list without nulls, an object's annotated_as, or the scalar."""
+    of = kind(v) if of is None else of
     inner = F.try_variant_get(v, "$.annotated_as", "string")
     return (
-        F.when(kind(v) == "VOID", no_strings())
-        .when(kind(v) == "LIST", F.transform(F.filter(members(v), lambda x: kind(x) != "VOID"), scalar))
-        .when(kind(v) == "OBJECT", F.when(F.coalesce(inner, F.lit("")) != "", F.array(inner)).otherwise(no_strings()))
-        .otherwise(F.array(scalar(v)))
+        F.when(of == "VOID", no_strings())
+        .when(of == "LIST", F.transform(F.filter(members(v), lambda x: kind(x) != "VOID"), lambda x: scalar(x)))
+        .when(of == "OBJECT", F.when(F.coalesce(inner, F.lit("")) != "", F.array(inner)).otherwise(no_strings()))
+        .otherwise(F.array(scalar(v, of)))
     )
 
 
@@ -68,23 +69,25 @@ def object_value(v: Column) -> Column:
     return F.when(inner.isNotNull(), F.array(inner)).otherwise(no_strings())
 
 
-def is_populated(v: Column) -> Column:
+def is_populated(v: Column, of: Column | None = None) -> Column:
     """Whether a value counts as filled in: the empty text and the empty object do."""
+    of = kind(v) if of is None else of
     inner = F.try_variant_get(v, "$.annotated_as", "string")
     return (
-        F.when(kind(v) == "VOID", False)
-        .when(kind(v) == "LIST", F.exists(members(v), lambda x: (kind(x) != "VOID") & ~is_na(F.when(kind(x) == "STRING", scalar(x)))))
-        .when(kind(v) == "OBJECT", ~is_na(inner))
-        .when(kind(v) == "STRING", ~is_na(scalar(v)))
+        F.when(of == "VOID", False)
+        .when(of == "LIST", F.exists(members(v), lambda x: (kind(x) != "VOID") & ~is_na(F.when(kind(x) == "STRING", scalar(x)))))
+        .when(of == "OBJECT", ~is_na(inner))
+        .when(of == "STRING", ~is_na(scalar(v, of)))
         .otherwise(True)
     )
 
 
-def activation_set(v: Column) -> Column:
+def activation_set(v: Column, of: Column | None = None) -> Column:
     """Strings that switch conditional rules on: a string, or the strings of a list, as written."""
+    of = kind(v) if of is None else of
     return (
-        F.when(kind(v) == "STRING", F.array(scalar(v)))
-        .when(kind(v) == "LIST", F.transform(F.filter(members(v), lambda x: kind(x) == "STRING"), scalar))
+        F.when(of == "STRING", F.array(scalar(v, of)))
+        .when(of == "LIST", F.transform(F.filter(members(v), lambda x: kind(x) == "STRING"), lambda x: scalar(x)))
         .otherwise(no_strings())
     )
 

@@ -174,8 +174,8 @@ def promotion(spark, sf_dir):
 
 @query("SELECT json_extract_string(props, '$.k') AS value, count(*) AS n FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1")
 def json_dims(spark, sf_dir):
-    raw = F.try_variant_get(F.try_parse_json("props"), "$.k", "variant")
-    return C.count_table(_t(spark, sf_dir, "events").select(F.explode(V.raw_values(raw)).alias("value")), ["value"])
+    raw = _t(spark, sf_dir, "events").select(F.try_variant_get(F.try_parse_json("props"), "$.k", "variant").alias("raw")).withColumn("kind", V.kind(F.col("raw")))
+    return C.count_table(raw.select(F.explode(V.raw_values(F.col("raw"), F.col("kind"))).alias("value")), ["value"])
 
 
 @query("SELECT p_partkey, regexp_matches(p_type, '^[A-Za-z_][A-Za-z0-9_]*$') AS is_token FROM part")
@@ -265,8 +265,8 @@ def bounding_boxes(spark, sf_dir):
 
 @query("SELECT event_id, coalesce(json_extract_string(props, '$.k') IN ('true', 'True'), false) AS flag FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
 def boolean_coercion(spark, sf_dir):
-    raw = F.try_variant_get(F.try_parse_json("props"), "$.k", "variant")
-    return _t(spark, sf_dir, "events").select("event_id", V.as_boolean(raw).alias("flag")).where("flag IS NOT NULL")
+    raw = _t(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "variant").alias("raw"))
+    return raw.select("event_id", V.as_boolean(F.col("raw")).alias("flag")).where("flag IS NOT NULL")
 
 
 @query("SELECT s_suppkey AS k, 'right' AS missing_in FROM supplier WHERE s_suppkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 25) UNION ALL SELECT p_partkey, 'left' FROM part WHERE p_size > 25 AND p_partkey NOT IN (SELECT s_suppkey FROM supplier)")

@@ -116,8 +116,9 @@ def items(documents: DataFrame) -> DataFrame:
 def item_dims(found: DataFrame) -> DataFrame:
     """(path, idx, item_id, dim, raw variant, values, populated, activation) of every key of every item."""
     long = found.sparkSession.sql("SELECT path, idx, item_id, d.key AS dim, d.value AS raw FROM {found}, LATERAL variant_explode(item) AS d", found=found)
-    raw = F.col("raw")
-    return long.select("*", V.raw_values(raw).alias("values"), V.is_populated(raw).alias("populated"), V.activation_set(raw).alias("activation"))
+    raw, of = F.col("raw"), F.col("_kind")
+    kinds = long.withColumn("_kind", V.kind(raw))
+    return kinds.select(*long.columns, V.raw_values(raw, of).alias("values"), V.is_populated(raw, of).alias("populated"), V.activation_set(raw, of).alias("activation"))
 
 
 def assertions(found: DataFrame) -> DataFrame:
