@@ -103,8 +103,10 @@ def buckets(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int =
     release(keyed, counts)
     shared = met.groupBy("lid").agg(F.sum("n").alias("shared"))
     best = met.join(shared, "lid").groupBy("key").agg(F.max(F.struct("shared", "lid")).alias("best"))
-    out = cut_lineage(met.join(best.select("key", F.col("best.lid").alias("centre")), "key"))
-    release(met)
+    # Written first, as counts are: a join may split a hot key only where neither side is still being added up.
+    best = cut_lineage(best.select("key", F.col("best.lid").alias("centre")))
+    out = cut_lineage(met.join(best, "key"))
+    release(met, best)
     return out
 
 
@@ -158,7 +160,8 @@ def rest_pairs(met: DataFrame, roots: DataFrame, sketches: DataFrame, threshold:
     inner = met.where("n > 2 and lid <> centre").select("key", "lid")
     inner = cut_lineage(inner.join(roots, "lid", "left").withColumn("root", F.coalesce("root", "lid")))
     parted = inner.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m")).where("r0 < r1")
-    left = inner.join(parted.select("key", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")), "key")
+    parted = cut_lineage(parted.select("key", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")))
+    left = inner.join(parted, "key")
     left = left.join(sketches, "lid")
     left = left.withColumn("t", F.pmod(F.xxhash64(F.lit(5), "lid"), F.col("tiles")).cast("int"))
     left = left.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -169,7 +172,7 @@ def rest_pairs(met: DataFrame, roots: DataFrame, sketches: DataFrame, threshold:
     other = left.select(*on, *[F.col(c).alias(f"_{c}") for c in left.columns if c not in on])
     near = left.join(other.hint("merge"), on).where(F.expr("lid < _lid and root <> _root and (p = q or t <> _t)") & near_enough(threshold))
     out = cut_lineage(near.select(F.col("lid").alias("a"), F.col("_lid").alias("b"), apart().alias("apart")).distinct())
-    release(inner, written)
+    release(inner, parted, written)
     return out
 
 
@@ -271,7 +274,7 @@ def dropped_lines(docs: DataFrame, **options) -> DataFrame:
     own = own.join(roots, "lid", "left")
     own = cut_lineage(own.select("doc_id", "pos", F.coalesce("root", "lid").alias("c"), F.when(F.col("root").isNull(), F.col("check")).otherwise(F.lit(0)).alias("k")))
     release(roots)
-    firsts = own.groupBy("c", "k").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = cut_lineage(own.groupBy("c", "k").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     met = own.join(firsts, ["c", "k"])
     return met.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos"))).select("doc_id", "pos")
 
