@@ -33,6 +33,8 @@ ALPHABET = 96
 MAX_TOXIC, MAX_CLEAN = 4000, 8000
 STEM_LENGTHS = (4, 5, 6, 7, 8)
 LEAST_DOCS, LEAST_SHARE = 3, 0.8
+#: Different tokens of a text that share a beginning are counted up to so many, behind a sign that no stem has.
+MANY, TIMES = 3, "\x03"
 #: From this P(toxic | stem) on, or if no clean text has it, a sure stem is in the lexicon whatever else explains its texts.
 CLEAR_SHARE = 0.95
 #: Marks of a text by which copies are known, and the chance of any stem's being sure by accident.
@@ -290,6 +292,15 @@ def token_stems(restored: str) -> set[str]:
     return out
 
 
+def often(counts: Counter) -> set[str]:
+    """Stems, and beginnings that several different tokens of a text share also with their number, up to MANY."""
+    out = set(counts)
+    for s, n in counts.items():
+        if n > 1 and s[0] != "=":
+            out.update(f"{s}{TIMES}{k}" for k in range(2, min(n, MANY) + 1))
+    return out
+
+
 class Reader:
     """Stems of whole texts that a wanted set holds; each distinct token is restored and looked up once.
 
@@ -301,6 +312,7 @@ class Reader:
 
     def __init__(self, lm: CharModel, wanted=None):
         self.restorer, self.wanted = Restorer(lm), None if wanted is None else set(wanted)
+        self.bare = None if wanted is None else {w.split(TIMES)[0] for w in self.wanted}
         self.seen: set[str] = set()
         self.hits: dict[str, set[str]] = {}
         self.machine = None
@@ -308,7 +320,7 @@ class Reader:
             import ahocorasick
 
             self.machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-            for s in skeletons([w.lstrip("=") for w in sorted(self.wanted)]).split("\0"):
+            for s in skeletons([w.lstrip("=") for w in sorted(self.bare)]).split("\0"):
                 if s:
                     self.machine.add_word(s)
             self.machine.make_automaton()
@@ -333,12 +345,15 @@ class Reader:
         for t in self.suspects(list(fresh)):
             read = (self.restorer.read(t),) if " " in t else self.restorer.readings(t)
             got = set().union(*(token_stems(w) for r in read for w in r.split()))
-            if self.wanted is not None:
-                got &= self.wanted
+            if self.bare is not None:
+                got &= self.bare
             if got:
                 self.hits[t] = got
         self.seen |= fresh
-        return set().union(*(self.hits[t] for t in tokens & self.hits.keys()))
+        counts: Counter = Counter()
+        for t in tokens & self.hits.keys():
+            counts.update(self.hits[t])
+        return often(counts) if self.wanted is None else often(counts) & self.wanted
 
 
 def stem_odds(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, share: float) -> dict[str, float]:
