@@ -202,7 +202,8 @@ def alike(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, widt
     more pairs comes second, as one copy of its text for about every SHARED pairs, so that a line that very
     many others are compared with never meets them all in one task.
     """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.count("*").alias("d"))
+    # Written, so that joins may split the pairs of one end.
+    ends = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.count("*").alias("d")))
     own = texts.select("lid", "line", F.length("line").alias("size"))
     known = ends.join(own.select("lid", "size"), F.col("end") == F.col("lid")).select("end", "d", "size")
     tasks = tasks_for(known.agg(F.sum(F.col("d") * F.col("size"))).first()[0], pairs)
@@ -222,7 +223,9 @@ def alike(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, widt
     rows = shingles(both.select("y", "copy", "x", F.explode(sides).alias("s")).select("y", "copy", "x", "s.side", "s.line"), width)
     held = rows.groupBy("y", "copy", "x", "h").agg(F.bit_or("side").alias("sides"))
     sizes = held.groupBy("y", "copy", "x").agg(F.count("*").alias("n"), F.count_if(F.col("sides") == 3).alias("common"))
-    return sizes.where(F.col("common") >= threshold * F.col("n")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    out = cut_lineage(sizes.where(F.col("common") >= threshold * F.col("n")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    release(ends)
+    return out
 
 
 def links(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -234,24 +237,26 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, ban
     met = buckets(docs, width, bands, rows)
     ids = met.select("lid").distinct()
     few = slot_filter(lines(docs.select("doc_id", "text")).select("lid", "line"), "lid", ids)
-    # Of a line's copies one is kept before the shuffle: all have the same text.  Texts travel, not their
-    # shingles, which take eight times the room.
-    texts = cut_lineage(few.join(ids, "lid", "left_semi").groupBy("lid").agg(F.max("line").alias("line")))
+    # Of a line's copies one is kept in each task before the shuffle: all have the same text.  Texts travel, not
+    # their shingles, which take eight times the room.
+    texts = cut_lineage(few.groupBy("lid").agg(F.max("line").alias("line")).join(ids, "lid", "left_semi"))
     dealt = texts.repartition(tasks_for(texts.agg(F.sum(F.length("line"))).first()[0], texts), "lid")
     sketches = cut_lineage(with_sketch(shingles(dealt, width)))
     pairs = cut_lineage(centre_pairs(met, sketches, threshold))
-    edges = cut_lineage(alike(pairs, texts, threshold, width))
+    edges = alike(pairs, texts, threshold, width)
     rest = rest_pairs(met, components(edges).select(F.col("node").alias("lid"), "root"), sketches, threshold)
     if rest.count() > MANY * texts.count():
         ends = rest.select(F.col("a").alias("x"), F.col("b").alias("y"), "apart").union(rest.select("b", "a", "apart"))
         best = ends.groupBy("x").agg(F.min(F.struct("apart", "y")).alias("y")).select("x", "y.y")
         best = cut_lineage(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        more = cut_lineage(edges.union(alike(best, texts, threshold, width)))
+        found = alike(best, texts, threshold, width)
+        more = cut_lineage(edges.union(found))
         later = cut_lineage(still_apart(rest.join(best, ["a", "b"], "left_anti"), more))
-        release(edges, rest, best)
+        release(edges, rest, best, found)
         edges, rest = more, later
-    out = cut_lineage(edges.union(alike(rest.select("a", "b"), texts, threshold, width)))
-    release(met, texts, sketches, pairs, edges, rest)
+    last = alike(rest.select("a", "b"), texts, threshold, width)
+    out = cut_lineage(edges.union(last))
+    release(met, texts, sketches, pairs, edges, rest, last)
     return out
 
 
