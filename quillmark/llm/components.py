@@ -44,5 +44,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 2
         label = label.join(m.toDF("at", "next"), "at", "left").select("node", F.coalesce("next", "at").alias("at"))
     label = cut_lineage(label)
     release(first, *maps, *([e] if e is not first else []))
-    low = label.groupBy("at").agg(F.min("node").alias("root"))
+    # Written first, so that the join may split the rows of a very large component.
+    low = cut_lineage(label.groupBy("at").agg(F.min("node").alias("root")))
     return label.join(low, "at").select("node", "root")

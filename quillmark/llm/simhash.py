@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, per_worker
+from .common import cut_lineage, per_worker, release
 from .components import components
 
 SEED = 42
@@ -129,8 +129,9 @@ def simhash_components(docs: DataFrame, distance: int = 3, id_col: str = "doc_id
     base = cut_lineage(fingerprints(docs, id_col, text_col))
     least = cut_lineage(base.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(hamming_links(least.select("fp"), distance))
-    of = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = cut_lineage(least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    ids = cut_lineage(of.groupBy("root").agg(F.min("least").alias("component_id")))
+    release(least)
     of = of.join(ids, "root").select("fp", "component_id")
     return base.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
