@@ -121,10 +121,10 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             for t in b["text"]:
                 if t:
                     words.update(t.lower().split())
-                if len(words) > 250_000:
+                if len(words) > 100_000:
                     grams.update(word_grams(words))
                     words = Counter()
-            if len(grams) > 500_000:
+            if len(grams) > 200_000:
                 yield pd.DataFrame({"gram": list(grams), "n": list(grams.values())})
                 grams = Counter()
         grams.update(word_grams(words))
