@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .avi import media_features
 from .common import table
+from .erasure import erase
 from .langid import identify_languages
 from .linededup import line_dedup_digest
 from .mixing import mix
@@ -56,6 +57,10 @@ def op10_simhash_components(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op11_cascading_erasure(spark, sf_dir):
+    return erase(spark, *[table(spark, sf_dir, t) for t in ("clients", "clicks", "sales", "sale_lines")])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -69,6 +74,7 @@ QUERIES = {
         op8_minimax_shards,
         op9_nbest_pieces,
         op10_simhash_components,
+        op11_cascading_erasure,
     )
 }
 
