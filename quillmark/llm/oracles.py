@@ -84,13 +84,22 @@ def _minimax(shards: int) -> str:
     return ",\n    ".join(steps)
 
 
-OP8 = f"""
-    WITH crc0 AS (SELECT x, x AS v FROM range(256) r(x)),
+#: crc: the table of CRC-32, from its polynomial.
+CRC = f"""crc0 AS (SELECT x, x AS v FROM range(256) r(x)),
     {", ".join(f"crc{k + 1} AS (SELECT x, CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END AS v FROM crc{k})" for k in range(8))},
-    crc AS (SELECT list(v ORDER BY x) AS tab FROM crc8),
+    crc AS (SELECT list(v ORDER BY x) AS tab FROM crc8)"""
+
+
+def _crc32(raw: str) -> str:
+    """crc32 of a text's bytes, given as hex digits; needs crc."""
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, length({raw}), 2), lambda i: ('0x' || substr({raw}, i + 1, 2))::BIGINT)), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)))"
+
+
+OP8 = f"""
+    WITH {CRC},
     texts AS (SELECT text, hex(encode(text)) AS raw FROM (SELECT DISTINCT coalesce(text, '') AS text FROM documents)),
     sums AS (
-        SELECT text, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, length(raw), 2), lambda i: ('0x' || substr(raw, i + 1, 2))::BIGINT)), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8))) AS text_crc32,
+        SELECT text, {_crc32("raw")} AS text_crc32,
             {_number("text")} AS h, octet_length(encode(text)) + 1 AS size
         FROM texts, crc
     ),
@@ -101,4 +110,52 @@ OP8 = f"""
     SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY cell, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, NULL::INT AS grown_shard FROM dealt
 """
 
-ORACLES = {"op1_suffix_repetition": OP1, "op4_temperature_mixture": OP4, "op8_minimax_shards": OP8}
+#: Levels of a source's tree and of the tree over the sources: 16^6 documents a source, 16^4 sources.
+TREE, CROWN = 6, 4
+
+
+def _leaf(text: str = "text") -> str:
+    framed = " || ".join(f"coalesce(octet_length(encode({v}::VARCHAR)) || ':' || {v}, '-')" for v in ("doc_id", "source", "lang", "n_chars", text))
+    return f"sha256({framed})"
+
+
+def _tree(name: str, levels: int) -> str:
+    """name1, name2, ...: the levels over name0 (g, pos, n, node); name_r1, ...: the runs that they come from."""
+    out = []
+    for k in range(1, levels + 1):
+        out.append(f"{name}_r{k} AS (SELECT g, pos // 16 AS pos, string_agg(node, '' ORDER BY pos) AS run, max(n) AS n FROM {name}{k - 1} GROUP BY g, pos // 16)")
+        out.append(f"{name}{k} AS (SELECT g, pos, CASE WHEN n > 1 THEN (n + 15) // 16 ELSE 1 END AS n, CASE WHEN n > 1 THEN sha256(run) ELSE run END AS node FROM {name}_r{k})")
+    return ",\n    ".join(out)
+
+
+def _folds(name: str, tree: str, g: str, pos: str, levels: int) -> str:
+    """name1, name2, ... after name0: fold and proof taken up a level each."""
+    out = []
+    for k in range(1, levels + 1):
+        at = f"64 * (p.{pos} // {16 ** (k - 1)} % 16)"
+        left, right = f"substr(r.run, 1, {at})", f"substr(r.run, {at} + 65)"
+        out.append(
+            f"{name}{k} AS (SELECT p.* EXCLUDE (fold, proof), CASE WHEN r.n > 1 THEN sha256({left} || p.fold || {right}) ELSE p.fold END AS fold, CASE WHEN r.n > 1 THEN p.proof || {left} || {right} ELSE p.proof END AS proof "
+            f"FROM {name}{k - 1} p JOIN {tree}_r{k} r ON r.g = {g} AND r.pos = p.{pos} // {16**k})"
+        )
+    return ",\n    ".join(out)
+
+
+OP13 = f"""
+    WITH {CRC},
+    rows AS (SELECT doc_id, source, lang, n_chars, text, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS g, hex(encode(doc_id::VARCHAR)) AS raw FROM documents),
+    leaves AS (
+        SELECT g, doc_id, {_leaf()} AS node, CASE WHEN doc_id IS NOT NULL AND {_crc32("raw")} % 5 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS tampered FROM rows, crc
+    ),
+    t0 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, node) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM leaves),
+    {_tree("t", TREE)},
+    c0 AS (SELECT '' AS g, g AS source, node, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM t{TREE}),
+    {_tree("c", CROWN)},
+    p0 AS (SELECT t.*, c.pos AS place, c.node AS subroot, coalesce(t.tampered, t.node) AS fold, '' AS proof FROM t0 t JOIN c0 c ON c.source = t.g),
+    {_folds("p", "t", "p.g", "pos", TREE)},
+    q0 AS (SELECT * FROM p{TREE}),
+    {_folds("q", "c", "''", "place", CROWN)}
+    SELECT doc_id, q.node AS leaf, subroot, c.node AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = c.node AS verified FROM q{CROWN} q, c{CROWN} c
+"""
+
+ORACLES = {"op13_merkle_manifest": OP13, "op1_suffix_repetition": OP1, "op4_temperature_mixture": OP4, "op8_minimax_shards": OP8}

@@ -7,6 +7,7 @@ from .common import table
 from .erasure import erase
 from .langid import identify_languages
 from .linededup import line_dedup_digest
+from .merkle import manifest
 from .mixing import mix
 from .oracles import ORACLES
 from .pieces import segment_documents
@@ -61,6 +62,10 @@ def op11_cascading_erasure(spark, sf_dir):
     return erase(spark, *[table(spark, sf_dir, t) for t in ("clients", "clicks", "sales", "sale_lines")])
 
 
+def op13_merkle_manifest(spark, sf_dir):
+    return manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -75,6 +80,7 @@ QUERIES = {
         op9_nbest_pieces,
         op10_simhash_components,
         op11_cascading_erasure,
+        op13_merkle_manifest,
     )
 }
 
