@@ -6,6 +6,8 @@ lambda of an array function, at some ten times the cost.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -242,21 +244,31 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, ban
     texts = cut_lineage(few.groupBy("lid").agg(F.max("line").alias("line")).join(ids, "lid", "left_semi"))
     dealt = texts.repartition(tasks_for(texts.agg(F.sum(F.length("line"))).first()[0], texts), "lid")
     sketches = cut_lineage(with_sketch(shingles(dealt, width)))
+    out = linked(met, met, sketches, lambda pairs: alike(pairs, texts, threshold, width), threshold)
+    release(met, texts, sketches)
+    return out
+
+
+def linked(met: DataFrame, others: DataFrame, sketches: DataFrame, check: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+    """(a, b) written: links that join all linked pairs that share a key, of rows (key, lid, n, centre) and their sketches.
+
+    Centres are met over met, all other pairs over others.  check gives those (a, b) that are linked, as a written table.
+    """
     pairs = cut_lineage(centre_pairs(met, sketches, threshold))
-    edges = alike(pairs, texts, threshold, width)
-    rest = rest_pairs(met, components(edges).select(F.col("node").alias("lid"), "root"), sketches, threshold)
-    if rest.count() > MANY * texts.count():
+    edges = check(pairs)
+    rest = rest_pairs(others, components(edges).select(F.col("node").alias("lid"), "root"), sketches, threshold)
+    if rest.count() > MANY * sketches.count():
         ends = rest.select(F.col("a").alias("x"), F.col("b").alias("y"), "apart").union(rest.select("b", "a", "apart"))
         best = ends.groupBy("x").agg(F.min(F.struct("apart", "y")).alias("y")).select("x", "y.y")
         best = cut_lineage(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        found = alike(best, texts, threshold, width)
+        found = check(best)
         more = cut_lineage(edges.union(found))
         later = cut_lineage(still_apart(rest.join(best, ["a", "b"], "left_anti"), more))
         release(edges, rest, best, found)
         edges, rest = more, later
-    last = alike(rest.select("a", "b"), texts, threshold, width)
+    last = check(rest.select("a", "b"))
     out = cut_lineage(edges.union(last))
-    release(met, texts, sketches, pairs, edges, rest, last)
+    release(pairs, edges, rest, last)
     return out
 
 

@@ -13,6 +13,7 @@ from .oracles import ORACLES
 from .pieces import segment_documents
 from .quality import quality_scores
 from .repetition import repetition_rules
+from .setjoin import jaccard_components
 from .sharding import shard_documents
 from .simhash import simhash_components
 from .toxicity import toxicity_scores
@@ -62,6 +63,10 @@ def op11_cascading_erasure(spark, sf_dir):
     return erase(spark, *[table(spark, sf_dir, t) for t in ("clients", "clicks", "sales", "sale_lines")])
 
 
+def op12_partenum_components(spark, sf_dir):
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark, sf_dir):
     return manifest(table(spark, sf_dir, "documents"))
 
@@ -80,6 +85,7 @@ QUERIES = {
         op9_nbest_pieces,
         op10_simhash_components,
         op11_cascading_erasure,
+        op12_partenum_components,
         op13_merkle_manifest,
     )
 }
