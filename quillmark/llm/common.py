@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def write_table(df: DataFrame) -> DataFrame:
     """df as a table written to the shared folder, so later stages and lost executors reread it."""
     at = f"{shared_dir(df.sparkSession).rstrip('/')}/quillmark-{uuid.uuid4().hex}"
     df.write.parquet(at)
@@ -41,6 +42,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return out
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """write_table for what goes with the scratch() that it is written in, or by release()."""
+    out = write_table(df)
+    if _scratch:
+        _scratch[-1].append(out)
+    return out
+
+
+#: Tables written within each open scratch().
+_scratch: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch():
+    """Deletes what cut_lineage writes inside the block when it ends."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        release(*_scratch.pop())
+
+
 def release(*written: DataFrame) -> None:
     """Deletes tables of cut_lineage that nothing will read again."""
     for df in written:

@@ -86,9 +86,10 @@ def band_keys(df: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int =
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, line, lid, check): lines with a word, by \\n; lid and check are hashes of what counts of them."""
-    split = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    split = split.select("doc_id", "pos", norm(F.col("line")).alias("line")).where(F.col("line") != "")
+    """docs' columns but text, and pos, line, lid, check: lines with a word, by \\n; lid and check are hashes of what counts of them."""
+    others = [c for c in docs.columns if c != "text"]
+    split = docs.select(*others, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    split = split.select(*others, "pos", norm(F.col("line")).alias("line")).where(F.col("line") != "")
     return split.withColumns({"lid": F.xxhash64("line"), "check": F.xxhash64(F.lit(1), "line")})
 
 
@@ -280,20 +281,25 @@ def line_classes(docs: DataFrame, **options) -> DataFrame:
     return out
 
 
+def row_id() -> Column:
+    """A number of a row's id and text: rows of one id and different texts are different documents, as are those without an id."""
+    return F.xxhash64("doc_id", "text")
+
+
 def dropped_lines(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, pos) of all lines but the first of each class; first by doc_id, then by place.
+    """(rid, pos), rid being row_id(), of all lines but the first of each class; first by doc_id, null last, by rid, then by place.
 
-    A class is a component of linked lines, or else the copies of one line.  Lines of documents without an
-    id are left alone.
+    A class is a component of linked lines, or else the copies of one line.  Repeated rows are one document.
     """
     roots = cut_lineage(line_classes(docs, **options))
-    own = lines(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")).drop("line")
+    own = lines(docs.select("doc_id", row_id().alias("rid"), "text")).drop("line")
     own = own.join(roots, "lid", "left")
-    own = cut_lineage(own.select("doc_id", "pos", F.coalesce("root", "lid").alias("c"), F.when(F.col("root").isNull(), F.col("check")).otherwise(F.lit(0)).alias("k")))
+    own = cut_lineage(own.select("doc_id", "rid", "pos", F.coalesce("root", "lid").alias("c"), F.when(F.col("root").isNull(), F.col("check")).otherwise(F.lit(0)).alias("k")))
     release(roots)
-    firsts = cut_lineage(own.groupBy("c", "k").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    first = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "rid", "pos")
+    firsts = cut_lineage(own.groupBy("c", "k").agg(F.min(first).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     met = own.join(firsts, ["c", "k"])
-    return met.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos"))).select("doc_id", "pos")
+    return met.where((F.col("rid") != F.col("first.rid")) | (F.col("pos") != F.col("first.pos"))).select("rid", "pos")
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
@@ -307,14 +313,15 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     inside a line of L characters breaks 8 shingles and leaves a similarity of (L - 15) / (L + 1), where all
     shingles differ: lines of 79 characters and more are still alike, shorter ones are not.  Other columns are
     kept; where docs has a column n_lines or dropped, it stays, and the new one's name gets an underscore.
-    Null texts stay null with no lines; a text may become empty; rows of equal ids share their lines'
-    places, so repeated rows stay alike; rows without an id stay whole; an empty table gives no rows.
+    A document is told by its id and text: rows that agree in both are one, and stay alike, but two texts of one id
+    lose only their own lines.  Documents without an id come after all others.  Null texts stay null with no lines; a
+    text may become empty, and may be of any length; an empty table gives no rows.
     """
-    n_lines, dropped, gone, parts = fresh(docs.columns, "n_lines", "dropped", "_gone", "_parts")
-    places = dropped_lines(docs, **options).groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias(gone))
+    n_lines, dropped, gone, parts, rid = fresh(docs.columns, "n_lines", "dropped", "_gone", "_parts", "_rid")
+    places = dropped_lines(docs, **options).groupBy(F.col("rid").alias(rid)).agg(F.sort_array(F.collect_set("pos")).alias(gone))
     # A row of places is within one document.  The parts are a column of their own: within the lambda, Spark would
     # split the text for every part.
-    out = docs.join(places, "doc_id", "left").withColumn(parts, F.split("text", "\n"))
+    out = docs.withColumn(rid, row_id()).join(places, rid, "left").withColumn(parts, F.split("text", "\n"))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone)), lambda i: F.get(F.col(parts), i))
     text = F.when(F.col(gone).isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return out.select(

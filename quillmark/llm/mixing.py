@@ -16,6 +16,8 @@ MAX_EPOCHS = 2.0
 BLOCK_TOKENS = 1_000_000
 #: Rows of a source are dealt to so many cells of the hash order, in which their tokens are added up.
 CELLS = 4096
+#: Equal rows are numbered within so many cells of them.
+EQUAL_CELLS = 64
 SEED = 17
 NO_SOURCE = "\x00null"
 #: Decimals of a weight: sums in another order agree to these.
@@ -179,14 +181,19 @@ def mix(docs: DataFrame, max_epochs: float | None = MAX_EPOCHS, target_entropy:
 def apply_mixture(docs: DataFrame, **options) -> DataFrame:
     """docs with each row as often as the mixture has it, in its order: by block, then by slot; all columns kept.
 
-    Rows of one id, source and text have as many copies each; among them, rows are told apart by their other
-    columns' hash.  Nulls, empty texts and repeated rows come as mix() deals them, null ids too.
+    Rows of one id, source and text have as many copies each, and are told apart by a number that each gets within
+    EQUAL_CELLS cells of them, moved on by the cells before: however many such rows there are, they meet the
+    mixture one by one.  Nulls, empty and very long texts, ties and repeated rows come as mix() deals them, null ids
+    too; columns of any name stay; an empty table gives no rows.  docs is written once, so that a row's place in it stays.
     """
-    key, row, block, slot, at, k = fresh(docs.columns, "_key", "_row", "_block", "_slot", "_at", "_k")
+    place, key, row, block, slot, cell, base = fresh(docs.columns, "_place", "_key", "_row", "_block", "_slot", "_cell", "_base")
     of = lambda t: F.md5(F.to_json(F.struct("doc_id", F.coalesce("source", F.lit(NO_SOURCE)).alias("s"), t.alias("t"))))
-    equal = Window.partitionBy(key).orderBy(F.xxhash64(*docs.columns))
-    numbered = docs.withColumn(key, of(text_key(F.col("text")))).withColumn(row, F.row_number().over(equal))
-    mixed = mix(docs, keys=True, **options).select(of(F.col("text_key")).alias(k), F.col("row").alias(at), F.col("block").alias(block), F.col("slot").alias(slot))
-    # Rows are told apart by a difference, which is no key to deal by: the texts stay where the numbering dealt them.
-    met = numbered.join(mixed, (F.col(key) == F.col(k)) & (F.col(row) - F.col(at) == 0))
-    return met.repartitionByRange(block, slot).sortWithinPartitions(block, slot).select(*docs.columns)
+    written = cut_lineage(docs.withColumn(place, F.monotonically_increasing_id()))
+    slim = written.select(place, of(text_key(F.col("text"))).alias(key), F.pmod(F.xxhash64(place), F.lit(EQUAL_CELLS)).alias(cell))
+    before = Window.partitionBy(key).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    cells = slim.groupBy(key, cell).agg(F.count("*").alias(base)).withColumn(base, F.coalesce(F.sum(base).over(before), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy(key, cell).orderBy(place))
+    numbered = slim.withColumn(row, inside).join(cells, [key, cell]).select(place, key, (F.col(row) + F.col(base)).cast("long").alias(row))
+    mixed = mix(written, keys=True, **options).select(of(F.col("text_key")).alias(key), F.col("row").cast("long").alias(row), F.col("block").alias(block), F.col("slot").alias(slot))
+    met = numbered.join(mixed, [key, row]).select(place, block, slot)
+    return written.join(met, place).repartitionByRange(block, slot).sortWithinPartitions(block, slot).select(*docs.columns)

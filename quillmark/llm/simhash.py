@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, per_worker, release
+from .common import cut_lineage, fresh, per_worker, release
 from .components import components
 
 SEED = 42
@@ -40,17 +40,18 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * votes > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long, one row per document."""
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """docs' columns but text, and fp: the fingerprint as a signed long, one row per document."""
+    others = [c for c in docs.columns if c != "text"]
 
     def run(batches):
         per_worker(None, None)
         for b in batches:
             fps = np.fromiter((fingerprint(t) for t in b["text"]), np.uint64, len(b))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fps.view(np.int64)})
+            yield b[others].assign(fp=fps.view(np.int64))
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, fp long")
+    kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in others]
+    return docs.mapInPandas(run, ", ".join([*kinds, "fp long"]))
 
 
 def block_keys(fp, agree: int, widths=BLOCKS):
@@ -119,30 +120,45 @@ def hamming_links(fps: DataFrame, distance: int = 3, widths=BLOCKS) -> DataFrame
     return links.union(tile.groupBy("k", "i", "j").applyInPandas(forest, "a long, b long"))
 
 
+def rooted(docs: DataFrame, distance: int) -> tuple[DataFrame, DataFrame]:
+    """(docs' columns but text, and fp; fp and root of its component), both written, of docs with a text."""
+    base = cut_lineage(fingerprints(docs))
+    prints = cut_lineage(base.select("fp").distinct())
+    roots = components(hamming_links(prints, distance))
+    of = cut_lineage(prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    release(prints)
+    return base, of
+
+
 def simhash_components(docs: DataFrame, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable).
 
     Documents with equal fingerprints form one node before any pair is sought, so exact copies cost one row
     each.  Null and empty texts have fingerprint 0 and link like any other.  Null ids keep their row and
-    get their component's least non-null id, null if it has none.  Repeated rows stay repeated.
+    get their component's least non-null id, null if it has none.  Repeated rows stay repeated.  Texts may be of
+    any length, other columns are not looked at, and an empty table gives no rows.
     """
-    base = cut_lineage(fingerprints(docs, id_col, text_col))
+    base, of = rooted(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), distance)
     least = cut_lineage(base.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(hamming_links(least.select("fp"), distance))
-    of = cut_lineage(least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    ids = cut_lineage(of.groupBy("root").agg(F.min("least").alias("component_id")))
-    release(least)
-    of = of.join(ids, "root").select("fp", "component_id")
-    return base.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    own = cut_lineage(least.join(of, "fp"))
+    ids = cut_lineage(own.groupBy("root").agg(F.min("least").alias("component_id")))
+    out = cut_lineage(own.join(ids, "root").select("fp", "component_id"))
+    release(of, least, own, ids)
+    return base.join(out, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, distance: int = 3) -> DataFrame:
-    """docs with one document of each component: that of its least doc_id.
+    """docs with one document of each component: that of its least doc_id, null last.
 
-    Every column is kept.  Rows that repeat the kept doc_id come down to one; rows without an id can't be
-    told apart by it, so all of them stay.
+    A document is told by its id and text, so of two texts of one id in different components both stay, and a component
+    of documents without an id keeps one.  Of rows that agree in id and text one stays, with its columns.  Null and
+    empty texts are one component; texts may be of any length; an empty table gives no rows.
     """
-    comp = simhash_components(docs.select("doc_id", "text"), distance)
-    keep = comp.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    (rid,) = fresh(docs.columns, "_rid")
+    base, of = rooted(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text"), distance)
+    # Rows are counted up before the shuffle: a component may have a third of them.
+    best = base.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "rid")).alias("best"))
+    keep = cut_lineage(best.join(of, "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.rid").alias(rid)))
+    release(base, of)
+    left = docs.withColumn(rid, F.xxhash64("doc_id", "text")).join(keep, rid, "left_semi")
+    return left.dropDuplicates([rid]).drop(rid)

@@ -1,6 +1,7 @@
 """Sharding, SimHash, line dedup and mixing against brute force."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -131,7 +132,7 @@ def test_simhash_frame(spark):
     got = [(r["doc_id"], r["component_id"]) for r in S.simhash_components(docs).collect()]
     assert sorted(got, key=str) == sorted([(5, 3), (3, 3), (9, 8), (8, 8), (4, 4), (4, 4), (None, 3)], key=str)
     kept = sorted((r["doc_id"] or 0) for r in S.drop_near_copies(docs).collect())
-    assert kept == [0, 3, 4, 8]
+    assert kept == [3, 4, 8]
 
 
 def test_line_dedup(spark):
@@ -145,10 +146,42 @@ def test_line_dedup(spark):
     assert out[1]["text"] == f"{long}\nunique one\n\nshort" and out[1]["n_lines"] == 4
     assert out[2]["text"] == "intro" and out[2]["dropped"] == [1, 2, 3]
     assert out[3]["text"] is None and out[3]["n_lines"] == 0
-    assert out[4]["text"] == "" and out[5]["text"] == "" and out[None]["text"] == long
+    assert out[4]["text"] == "" and out[5]["text"] == "" and out[None]["text"] == ""
     assert D.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    """Lines that come once stay, whatever else has the row's id; rows without an id are told by their text."""
+    rows = [(1, "shared by both\nonly in A"), (1, "only in B\nshared by both"), (1, "only in B\nshared by both"), (None, "shared by both\nonly in C"), (None, "only in D\nonly in C"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["text"] or "-") for r in D.dedup_lines(docs).collect())
+    lines = [x for _, t in set(got) for x in t.split("\n") if x != "-"]
+    assert sorted(x for x in lines if x) == ["only in A", "only in B", "only in C", "only in D", "shared by both"]
+    assert len(got) == len(rows)
+
+
+def test_near_copies_keep_unlike_texts_of_one_id(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(200)) for c in "abcd"]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (None, texts[2]), (None, texts[2]), (None, texts[0]), (2, texts[3]), (3, texts[3]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0), (r["text"] or "-")[:1]) for r in S.drop_near_copies(docs).collect())
+    assert got == [(0, "-"), (0, "c"), (1, "a"), (1, "b"), (2, "d")]
+
+
+def test_many_equal_rows_of_a_mixture(spark):
+    """A third of the rows equal in id, source and text: work grows with them, not with their square."""
+    def run(n):
+        docs = spark.range(3 * n).selectExpr("if(id < %d, null, id) AS doc_id" % n, "if(id < %d, null, concat('word ', id)) AS text" % n, "'s' AS source", "id AS other")
+        began = time.time()
+        got = M.apply_mixture(docs, block_tokens=1000)
+        assert got.groupBy("other").count().where("count <> 1").count() == 0 and got.count() == 3 * n
+        return time.time() - began
+
+    run(100)
+    small = run(20_000)
+    assert run(80_000) < 3 * small + 5
+
+
 @pytest.mark.parametrize("many", [2, -1])
 def test_line_links_against_brute_force(spark, monkeypatch, many):
     monkeypatch.setattr(D, "MANY", many)
