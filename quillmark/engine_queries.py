@@ -79,13 +79,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def triples(docs: DataFrame) -> DataFrame:
-    found = S.items(docs)
-    return Tr.item_triples(found, S.item_dims(found), S.assertions(found))
+    return Tr.item_triples(S.items(docs))
 
 
 def results(docs: DataFrame) -> DataFrame:
-    found = S.items(docs)
-    return V.violations(triples(docs)).unionByName(V.page_errors(S.assertions(found)))
+    return V.violations(Tr.item_triples(S.items(docs), invalid=True))
 
 
 def item_triples(spark, sf_dir):
@@ -107,9 +105,12 @@ def run_summary(spark, sf_dir):
 
 
 def report_lines(spark, sf_dir):
+    return V.report_lines(*V.validate(documents(spark, sf_dir)))
+
+
+def closing_lines(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    found = results(docs)
-    return V.report_lines(V.verdicts(docs, found), found)
+    return V.closing_lines(V.verdicts(docs, results(docs)))
 
 
 def annotation_coverage(spark, sf_dir):
@@ -206,14 +207,17 @@ def _coverage() -> str:
     return " UNION ALL ".join(rows)
 
 
-QUERIES = {f.__name__: f for f in (item_triples, violations, verdicts, run_summary, report_lines, annotation_coverage, turtle)}
+QUERIES = {f.__name__: f for f in (item_triples, violations, verdicts, run_summary, report_lines, closing_lines, annotation_coverage, turtle)}
 ORACLES = {
     "item_triples": f"{_TRIPLES} SELECT * FROM triples",
     "violations": f"{_VIOLATIONS} SELECT * FROM violations",
     "verdicts": f"{_VERDICTS} SELECT * FROM verdicts",
     "run_summary": f"{_VERDICTS} SELECT bool_and(conforms) AS conforms, count(*) FILTER (NOT conforms) AS failed FROM verdicts",
     "report_lines": f"""{_VERDICTS} SELECT path, 0 AS ord, CASE WHEN conforms THEN 'PASS  ' ELSE 'FAIL  ' END || path AS line FROM verdicts
-        UNION ALL SELECT DISTINCT path, 1, '      Focus Node: gem:' || focus || ' Message: ' || message FROM violations""",
+        UNION ALL SELECT path, (2 * (row_number() OVER (PARTITION BY path, k ORDER BY focus, message)) - k)::INT, CASE k WHEN 1 THEN '      Focus Node: gem:' || focus ELSE '      Message: ' || message END
+        FROM (SELECT DISTINCT path, focus, message FROM violations), (VALUES (1), (0)) t(k)""",
+    "closing_lines": f"""{_VERDICTS} SELECT 0 AS ord, NULL::VARCHAR AS path, CASE WHEN count(*) > 0 THEN count(*) || ' annotation(s) failed SHACL validation: ' ELSE 'All annotations conform to the SHACL shapes.' END AS line FROM verdicts WHERE NOT conforms
+        UNION ALL SELECT 1, path, path FROM verdicts WHERE NOT conforms""",
     "annotation_coverage": f"{_TRIPLES} {_coverage()}",
     "turtle": f"""{_TRIPLES},
         lines AS (SELECT path, s, p, CASE WHEN p = 'type' THEN 'a ' ELSE 'gem:' || p || ' ' END || CASE o_kind WHEN 'iri' THEN 'gem:' || o WHEN 'literal' THEN '\"\"\"' || o || '\"\"\"' ELSE o END AS line FROM triples),

@@ -21,9 +21,10 @@ def first_text(*texts: Column) -> Column:
 
 
 def escape(text: Column) -> Column:
-    """For a long Turtle literal: backslashes, triple quotes, and a quote at the very end."""
+    """For a long Turtle literal: backslashes, triple quotes, and quotes at the very end, which would join the closing ones."""
     out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"""'), F.lit('\\"\\"\\"'))
-    return F.when(out.endswith('"') & ~out.endswith('\\"'), F.concat(F.substring(out, F.lit(1), F.length(out) - 1), F.lit('\\"'))).otherwise(out)
+    # A last quote is escaped already where the backslashes before it are odd in number.
+    return F.regexp_replace(out, r'(?<!\\)((?:\\\\)*)"\z', r'$1\\"')
 
 
 def node_name(text: Column) -> Column:

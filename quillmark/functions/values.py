@@ -63,9 +63,9 @@ def raw_values(v: Column, of: Column | None = None) -> Column:
     )
 
 
-def object_value(v: Column) -> Column:
+def object_value(v: Column, of: Column | None = None) -> Column:
     """An object's `value`, which triples leave out unless asked for."""
-    inner = F.when(kind(v) == "OBJECT", F.try_variant_get(v, "$.value", "string"))
+    inner = F.when((kind(v) if of is None else of) == "OBJECT", F.try_variant_get(v, "$.value", "string"))
     return F.when(inner.isNotNull(), F.array(inner)).otherwise(no_strings())
 
 
@@ -106,10 +106,10 @@ def is_token(value: Column) -> Column:
     return F.coalesce(value.rlike(TOKEN), F.lit(False))
 
 
-def as_boolean(v: Column) -> Column:
+def as_boolean(v: Column, of: Column | None = None) -> Column:
     """true for true, 'true' and 'True'; false for anything else, the sentinel included; null for null."""
-    text = F.try_variant_get(v, "$", "string")
-    return F.when(kind(v) == "VOID", None).otherwise(kind(v).isin("BOOLEAN", "STRING") & F.coalesce(text.isin("true", "True"), F.lit(False)))
+    text, of = F.try_variant_get(v, "$", "string"), kind(v) if of is None else of
+    return F.when(of == "VOID", None).otherwise(of.isin("BOOLEAN", "STRING") & F.coalesce(text.isin("true", "True"), F.lit(False)))
 
 
 def contains(values: Column, value: str) -> Column:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions import values as V
 from quillmark.functions.text import escape, node_name
 from quillmark.plans import rules as R
+from quillmark.sources.annotations import claims
 
 #: Of names in Turtle text; pass the vocabulary's own.
 NAMESPACE = "https://example.org/evidence/"
@@ -22,41 +21,74 @@ def unpivot(df: DataFrame, subject, columns: dict[str, str]) -> DataFrame:
     return df.select(subject.alias("s"), F.explode(pairs).alias("t")).select("s", "t.p", "t.o").where("o IS NOT NULL")
 
 
-def item_triples(items: DataFrame, dims: DataFrame, assertions: DataFrame, strict: bool = True) -> DataFrame:
+TRIPLES = "array<struct<s:string,p:string,o:string,o_kind:string>>"
+
+
+def _triple(s: Column, p, o: Column, kind) -> Column:
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(s.alias("s"), lit(p).alias("p"), o.cast("string").alias("o"), lit(kind).alias("o_kind"))
+
+
+def _property(key: Column, names: dict[str, str]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), key)
+
+
+def _dimension_triples(node: Column, key: Column, v: Column, of: Column, strict: bool) -> Column:
+    """Triples of one key of an item; of: the value's kind."""
+    given = V.raw_values(v, of) if strict else F.concat(V.raw_values(v, of), V.object_value(v, of))
+    prop = _property(key, R.CATEGORICAL)
+
+    def category(value: Column) -> Column:
+        folded = F.when(prop == "method", V.fold(value, V.METHOD_SYNONYMS)).otherwise(V.fold(value))
+        token = V.is_token(folded)
+        return _triple(node, prop, F.when(token, folded).otherwise(value), F.when(token, "iri").otherwise("literal"))
+
+    text, flag = V.scalar(v, of), V.as_boolean(v, of)
+    return (
+        F.when(key.isin(*R.CATEGORICAL), F.transform(given, category))
+        .when(key.isin(*R.LITERAL), F.when(text != "", F.array(_triple(node, _property(key, R.LITERAL), text, "literal"))))
+        .when(key.isin(*R.BOOLEAN), F.when(flag.isNotNull(), F.array(_triple(node, _property(key, R.BOOLEAN), flag, "boolean"))))
+    )
+
+
+def _claim_triples(node: Column, claim: Column) -> Column:
+    """Triples of one assertion and its span; a page that is no integer has o_kind invalid.  What isn't there is null."""
+    a = F.concat(node, F.lit("_a"), claim["a_idx"].cast("string"))
+    span = F.concat(a, F.lit("_span"))
+    page = F.when(claim["page"].isNotNull(), _triple(span, "page", claim["page"], "integer")).when(claim["page_text"].isNotNull(), _triple(span, "page", claim["page_text"], "invalid"))
+    return F.array(
+        _triple(node, "assertion", a, "iri"),
+        _triple(a, "type", F.lit("GeneticEvidenceAssertion"), "iri"),
+        _triple(a, "assertionId", claim["assertion_id"], "literal"),
+        F.when(claim["statement"] != "", _triple(a, "statement", claim["statement"], "literal")),
+        F.when(claim["has_span"], _triple(a, "sourceSpan", span, "iri")),
+        F.when(claim["has_span"], _triple(span, "type", F.lit("SourceSpan"), "iri")),
+        page,
+        F.when(claim["phrase"].isNotNull(), _triple(span, "phrase", claim["phrase"], "literal")),
+    )
+
+
+def item_triples(items: DataFrame, strict: bool = True, invalid: bool = False) -> DataFrame:
     """(path, s, p, o, o_kind) of items, as a set within each path; o_kind is iri, literal, integer or boolean.
 
-    strict=False also gives an object's `value`, which is otherwise left out.
+    strict=False also gives an object's `value`, which is otherwise left out; invalid=True gives pages that are no
+    integers, with o_kind invalid.  One pass: all triples of an item are one array, which is exploded once.
+    Rows come dealt out by path, so what groups them by path, or by path and subject, moves none.
     """
     node = F.concat(F.lit("item_"), node_name(F.col("item_id")))
-    row = lambda df, s, p, o, kind: df.select("path", s.alias("s"), p.alias("p"), o.cast("string").alias("o"), kind.alias("o_kind"))
-    iri, literal = F.lit("iri"), F.lit("literal")
-    base = [row(items, node, F.lit("type"), F.lit("GeneticEvidence"), iri), row(items, node, F.lit("itemId"), F.col("item_id"), literal)]
-    prop = F.element_at(F.create_map(*[F.lit(x) for kv in R.CATEGORICAL.items() for x in kv]), F.col("dim"))
-    given = F.col("values") if strict else F.concat("values", V.object_value(F.col("raw")))
-    cat = dims.where(F.col("dim").isin(*R.CATEGORICAL)).select("path", "item_id", prop.alias("prop"), F.explode(given).alias("v"))
-    folded = F.when(F.col("prop") == "method", V.fold(F.col("v"), V.METHOD_SYNONYMS)).otherwise(V.fold(F.col("v")))
-    cat = cat.withColumn("f", folded)
-    token = V.is_token(F.col("f"))
-    base.append(row(cat, node, F.col("prop"), F.when(token, F.col("f")).otherwise(F.col("v")), F.when(token, iri).otherwise(literal)))
-    lit_prop = F.element_at(F.create_map(*[F.lit(x) for kv in R.LITERAL.items() for x in kv]), F.col("dim"))
-    lit = dims.where(F.col("dim").isin(*R.LITERAL)).withColumn("v", V.scalar(F.col("raw"))).where("v IS NOT NULL AND v <> ''")
-    base.append(row(lit, node, lit_prop, F.col("v"), literal))
-    bool_prop = F.element_at(F.create_map(*[F.lit(x) for kv in R.BOOLEAN.items() for x in kv]), F.col("dim"))
-    boo = dims.where(F.col("dim").isin(*R.BOOLEAN)).withColumn("v", V.as_boolean(F.col("raw"))).where("v IS NOT NULL")
-    base.append(row(boo, node, bool_prop, F.col("v"), F.lit("boolean")))
-    a = F.concat(node, F.lit("_a"), "a_idx")
-    span = F.concat(a, F.lit("_span"))
-    base += [
-        row(assertions, node, F.lit("assertion"), a, iri),
-        row(assertions, a, F.lit("type"), F.lit("GeneticEvidenceAssertion"), iri),
-        row(assertions, a, F.lit("assertionId"), F.col("assertion_id"), literal),
-        row(assertions.where("statement <> ''"), a, F.lit("statement"), F.col("statement"), literal),
-        row(assertions.where("has_span"), a, F.lit("sourceSpan"), span, iri),
-        row(assertions.where("has_span"), span, F.lit("type"), F.lit("SourceSpan"), iri),
-        row(assertions.where("page IS NOT NULL"), span, F.lit("page"), F.col("page"), F.lit("integer")),
-        row(assertions.where("phrase IS NOT NULL"), span, F.lit("phrase"), F.col("phrase"), literal),
-    ]
-    return reduce(DataFrame.unionByName, base).dropDuplicates(COLUMNS)
+    known = [*R.CATEGORICAL, *R.LITERAL, *R.BOOLEAN]
+    keys = F.filter(F.map_entries(F.try_variant_get("item", "$", "map<string,variant>")), lambda e: e["key"].isin(*known))
+    # A value's kind is found once, in a row of its own.
+    kinds = F.transform(keys, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("v"), V.kind(e["value"]).alias("of")))
+    own = items.select("path", "item_id", node.alias("node"), kinds.alias("dims"), claims(F.col("item"), F.col("item_id")).alias("claims"))
+    n = F.col("node")
+    base = F.array(_triple(n, "type", F.lit("GeneticEvidence"), "iri"), _triple(n, "itemId", F.col("item_id"), "literal"))
+    dims = F.transform("dims", lambda d: _dimension_triples(n, d["key"], d["v"], d["of"], strict))
+    spans = F.transform("claims", lambda c: _claim_triples(n, c))
+    none = F.array().cast(TRIPLES)
+    flat = lambda x: F.coalesce(F.flatten(F.filter(x, lambda y: y.isNotNull())), none)
+    every = F.filter(F.concat(base, flat(dims), flat(spans)), lambda t: t.isNotNull() & (t["o_kind"] != "invalid") if not invalid else t.isNotNull())
+    return own.select("path", F.explode(every).alias("t")).select("path", "t.*").repartition("path").dropDuplicates(COLUMNS)
 
 
 def node_collisions(items: DataFrame) -> DataFrame:

@@ -8,17 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions.values import SENTINEL
+from quillmark.operators.lineage import settle
+from quillmark.operators.triples import item_triples
 from quillmark.plans import rules as R
+from quillmark.sources.annotations import MISSING, items
 
 KEY = ["path", "s"]
 RESULT = "array<struct<rule:string,property:string,component:string,value:string,message:string>>"
 
 
 def node_values(triples: DataFrame, properties) -> DataFrame:
-    """A row for each subject: path, s, types, and for each property the set of its (o, o_kind), under its name."""
-    is_type = F.col("p") == "type"
-    sets = [F.collect_set(F.when(F.col("p") == p, F.struct("o", "o_kind"))).alias(p) for p in properties]
-    return triples.groupBy(*KEY).agg(F.collect_set(F.when(is_type, F.col("o"))).alias("types"), *sets)
+    """A row for each subject: path, s, types, invalid values, and for each property the set of its (o, o_kind), under its name."""
+    is_type, bad = F.col("p") == "type", F.col("o_kind") == "invalid"
+    sets = [F.collect_set(F.when((F.col("p") == p) & ~bad, F.struct("o", "o_kind"))).alias(p) for p in properties]
+    return triples.groupBy(*KEY).agg(F.collect_set(F.when(is_type, F.col("o"))).alias("types"), F.collect_set(F.when(bad, F.col("o"))).alias("invalid"), *sets)
 
 
 def _result(rule: str, prop: str, component: str, message: str, value: Column | None = None) -> Column:
@@ -50,7 +53,8 @@ def violations(triples: DataFrame) -> DataFrame:
     """(path, focus, rule, property, component, value, message), a row for each result of a rule.
 
     A focus that meets two branches of a conditional rule gives two rows.  The sentinel counts as a value
-    of every enumeration.  The triples come together once, by subject; all rules are expressions over a
+    of every enumeration.  A page that is written but is no integer, which item_triples(invalid=True) tells, is a
+    result of the page rule.  The triples come together once, by subject; all rules are expressions over a
     subject's values.
     """
     found: list[Column] = []
@@ -65,16 +69,13 @@ def violations(triples: DataFrame) -> DataFrame:
             found.append(_when(active & (F.size(prop) == 0), _result(rule, prop, "condition", message)))
     for rule, prop, least, most, message in R.SPAN_RULES:
         found += _counts("GeneticEvidenceAssertion" if prop == "sourceSpan" else "SourceSpan", rule, prop, least, most, message)
+    # Only pages are read as anything but text.
+    page = R.SPAN_RULES[1]
+    found.append(F.transform("invalid", lambda x: _result(page[0], page[1], "datatype", page[4], x)))
     results = node_values(triples, properties).select("path", F.col("s").alias("focus"), F.explode(F.flatten(F.array(*found))).alias("r"))
     return results.select("path", "focus", "r.*")
 
 
-def page_errors(assertions: DataFrame) -> DataFrame:
-    """Spans whose page is written but is no integer, as results of the page rule."""
-    bad = assertions.where("page_text IS NOT NULL AND page IS NULL")
-    return bad.select("path", F.concat(F.lit("item_"), F.translate("item_id", ".-", "__"), F.lit("_a"), "a_idx", F.lit("_span")).alias("focus"), F.lit("V-S15").alias("rule"), F.lit("page").alias("property"), F.lit("datatype").alias("component"), F.col("page_text").alias("value"), F.lit(R.SPAN_RULES[1][4]).alias("message"))
-
-
 def verdicts(documents: DataFrame, found: DataFrame) -> DataFrame:
     """(path, conforms, n_violations, error) of each document; one with an error, as a missing file, fails."""
     n = found.groupBy("path").agg(F.count_distinct(F.struct("focus", "message")).alias("n_violations"))
@@ -87,16 +88,31 @@ def run_summary(table: DataFrame) -> DataFrame:
     return table.agg(F.coalesce(F.bool_and("conforms"), F.lit(True)).alias("conforms"), F.count_if(~F.col("conforms")).alias("failed"))
 
 
+def validate(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(verdicts, violations) of parsed documents (path, doc, error), each settled: a file is parsed once."""
+    documents = settle(documents)
+    found = settle(violations(item_triples(items(documents), invalid=True)))
+    return settle(verdicts(documents, found)), found
+
+
 def report_lines(table: DataFrame, found: DataFrame) -> DataFrame:
-    """(path, ord, line): PASS or FAIL, then the messages and focus nodes of a failing document."""
-    head = table.select("path", F.lit(0).alias("ord"), F.concat(F.when(F.col("conforms"), "PASS").otherwise("FAIL"), F.lit("  "), "path").alias("line"))
-    body = found.select("path", "focus", "message").distinct().select("path", F.lit(1).alias("ord"), F.concat(F.lit("      Focus Node: gem:"), "focus", F.lit(" Message: "), "message").alias("line"))
-    return head.unionByName(body).orderBy("path", "ord", "line")
+    """(path, ord, line): PASS or FAIL, then focus node and message of each result of a failing document, a line each."""
+    # The lines' texts.
+    missing = F.when(F.col("error") == MISSING, F.lit(" (file not found)")).otherwise("") if "error" in table.columns else F.lit("")
+    head = table.select("path", F.lit(0).alias("ord"), F.concat(F.when(F.col("conforms"), "PASS").otherwise("FAIL"), F.lit("  "), "path", missing).alias("line"))
+    of = found.groupBy("path").agg(F.sort_array(F.collect_set(F.struct("focus", "message"))).alias("r"))
+    pair = lambda r: F.array(F.concat(F.lit("      Focus Node: gem:"), r["focus"]), F.concat(F.lit("      Message: "), r["message"]))
+    body = of.select("path", F.posexplode(F.flatten(F.transform("r", pair))).alias("ord", "line")).select("path", (F.col("ord") + 1).alias("ord"), "line")
+    return head.unionByName(body).orderBy("path", "ord")
+
 
+def closing_lines(table: DataFrame) -> DataFrame:
+    """(ord, path, line): what a run says at its end: how many documents failed, and then each of them, in order.
 
-def closing_line(table: DataFrame) -> DataFrame:
-    """(line): what a run says at its end; the failed documents by path."""
+    A row for each failed document, since there may be any number; joined by ", ", their paths make up the line.
+    """
     # The two lines.
-    failed = F.sort_array(F.collect_list(F.when(~F.col("conforms"), F.col("path"))))
-    told = table.agg(failed.alias("f"))
-    return told.select(F.when(F.size("f") > 0, F.concat(F.size("f").cast("string"), F.lit(" annotation(s) failed SHACL validation: "), F.array_join("f", ", "))).otherwise("All annotations conform to the SHACL shapes.").alias("line"))
+    failed = table.where(~F.col("conforms")).select("path")
+    told = failed.agg(F.count("*").alias("n")).select(F.when(F.col("n") > 0, F.concat(F.col("n").cast("string"), F.lit(" annotation(s) failed SHACL validation: "))).otherwise("All annotations conform to the SHACL shapes.").alias("line"))
+    head = told.select(F.lit(0).alias("ord"), F.lit(None).cast("string").alias("path"), "line")
+    return head.unionByName(failed.select(F.lit(1).alias("ord"), "path", F.col("path").alias("line"))).orderBy("ord", "path")

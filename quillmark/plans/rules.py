@@ -90,7 +90,6 @@ SPAN_RULES = [
     ("V-S15", "page", 1, None, "A source_span must record a page number."),
     ("V-S16", "phrase", 1, None, "A source_span must record a key phrase locating the passage."),
 ]
-IN_VIVO = ("IN_VIVO", "IN_VIVO_EXPERIMENT")
 # Fixed values: (label, keys, condition) of coverage; a condition is all of (dimension, value) or one of several.
 COVERAGE_RULES = [
     ("Knowledge Domain", ["knowledge_domain"], []),

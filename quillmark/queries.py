@@ -291,9 +291,21 @@ def anchored_share(spark, sf_dir):
     return R.share(_t(spark, sf_dir, "documents"), F.col("text").contains(". "))
 
 
-@query("SELECT replace(replace(text, '\\', '\\\\'), '\"\"\"', '\\\"\\\"\\\"') AS literal, item_id FROM benchmark")
+_ENDS = ['', '"', '""', '\\"', '\\\\"', '"""', '""""', '\\']
+
+
+@query(
+    f"""
+    WITH texts AS (SELECT item_id, ending, text || CASE ending {" ".join(f"WHEN {k} THEN '{e}'" for k, e in enumerate(_ENDS))} END AS t FROM benchmark, range({len(_ENDS)}) r(ending)),
+    escaped AS (SELECT item_id, ending, replace(replace(t, '\\', '\\\\'), '\"\"\"', '\\"\\"\\"') AS t FROM texts)
+    SELECT item_id, ending, CASE WHEN t LIKE '%"' AND (length(t) - 1 - length(rtrim(t[:-2], '\\'))) % 2 = 0 THEN t[:-2] || '\\"' ELSE t END AS literal FROM escaped
+    """
+)
 def turtle_escape(spark, sf_dir):
-    return _t(spark, sf_dir, "benchmark").select("item_id", X.escape(F.col("text")).alias("literal"))
+    """Each text with each of the endings that a literal must not close on."""
+    ends = F.posexplode(F.array(*[F.lit(e) for e in _ENDS])).alias("ending", "e")
+    texts = _t(spark, sf_dir, "benchmark").select("item_id", "text", ends)
+    return texts.select("item_id", F.col("ending").cast("long").alias("ending"), X.escape(F.concat("text", "e")).alias("literal"))
 
 
 @query("SELECT translate(p_brand || '.' || p_size, '.-', '__') AS node, count(*) AS n FROM part GROUP BY 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,9 +101,13 @@ def scan_documents(spark: SparkSession, path: str, **options) -> DataFrame:
     return parse_yaml(scan_files(spark, path, **options))
 
 
+#: Error of a path that no file has.
+MISSING = "missing"
+
+
 def requested(documents: DataFrame, paths: DataFrame) -> DataFrame:
     """Documents of a list of paths; a path without a file gives a row with an error."""
-    return paths.select("path").join(documents, "path", "left").withColumn("error", F.when(F.col("doc").isNull(), F.coalesce("error", F.lit("missing"))))
+    return paths.select("path").join(documents, "path", "left").withColumn("error", F.when(F.col("doc").isNull(), F.coalesce("error", F.lit(MISSING))))
 
 
 def items(documents: DataFrame) -> DataFrame:
@@ -121,24 +125,36 @@ def item_dims(found: DataFrame) -> DataFrame:
     return kinds.select(*long.columns, V.raw_values(raw, of).alias("values"), V.is_populated(raw, of).alias("populated"), V.activation_set(raw, of).alias("activation"))
 
 
+def claims(item: Column, item_id: Column) -> Column:
+    """An item's assertions as an array of structs; see assertions() for their fields."""
+    written = F.try_variant_get(item, "$.assertions", "array<variant>")
+
+    def read(a: Column, i: Column) -> Column:
+        get = lambda p, t="string": F.try_variant_get(a, p, t)
+        # The key, not its value: a phrase written as null leaves no room for the key phrase.
+        has_phrase = F.coalesce(F.map_contains_key(get("$.source_span", "map<string,variant>"), "phrase"), F.lit(False))
+        page, phrase = get("$.source_span.page"), F.when(has_phrase, get("$.source_span.phrase")).otherwise(get("$.source_span.key_phrase"))
+        return F.struct(
+            i.alias("a_idx"),
+            F.coalesce(get("$.id"), F.concat(item_id, F.lit(".A"), i.cast("string"))).alias("assertion_id"),
+            get("$.statement").alias("statement"),
+            page.try_cast("int").alias("page"),
+            page.alias("page_text"),
+            phrase.alias("phrase"),
+            F.coalesce(get("$.source_span.source_span_is_paraphrase", "boolean"), F.lit(False)).alias("is_paraphrase"),
+            (page.isNotNull() | phrase.isNotNull()).alias("has_span"),
+        )
+
+    return F.transform(written, read)
+
+
 def assertions(found: DataFrame) -> DataFrame:
     """(path, idx, item_id, a_idx, assertion_id, statement, page, page_text, phrase, is_paraphrase, has_span).
 
-    phrase is key_phrase only where the key phrase is absent.  A page that is no integer gives null and
-    keeps its text.  A span is left out if it has neither a page nor a phrase.
+    phrase is key_phrase only where the span has no key `phrase`, be its value null.  A page that is no
+    integer gives null and keeps its text.  A span is left out if it has neither a page nor a phrase.
     """
-    a = found.select("path", "idx", "item_id", F.posexplode(F.try_variant_get("item", "$.assertions", "array<variant>")).alias("a_idx", "a"))
-    get = lambda p, t="string": F.try_variant_get("a", p, t)
-    absent = F.to_json(F.coalesce(get("$.source_span", "variant"), F.parse_json(F.lit("{}")))).contains('"phrase"')
-    out = a.select(
-        "path", "idx", "item_id", "a_idx",
-        F.coalesce(get("$.id"), F.concat("item_id", F.lit(".A"), "a_idx")).alias("assertion_id"),
-        get("$.statement").alias("statement"),
-        get("$.source_span.page").alias("page_text"),
-        F.when(absent, get("$.source_span.phrase")).otherwise(get("$.source_span.key_phrase")).alias("phrase"),
-        F.coalesce(get("$.source_span.source_span_is_paraphrase", "boolean"), F.lit(False)).alias("is_paraphrase"),
-    )
-    return out.select("*", F.col("page_text").try_cast("int").alias("page"), (F.col("page_text").isNotNull() | F.col("phrase").isNotNull()).alias("has_span"))
+    return found.select("path", "idx", "item_id", F.explode(claims(F.col("item"), F.col("item_id"))).alias("c")).select("path", "idx", "item_id", "c.*")
 
 
 def flags(documents: DataFrame) -> DataFrame:

@@ -5,26 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.operators.lineage import settle
-from quillmark.operators.triples import item_triples
-from quillmark.operators.validate import verdicts, violations
-from quillmark.sources.annotations import assertions, item_dims, items, parse_yaml
-
-
-def validate(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(verdicts, violations) of parsed documents."""
-    found = settle(items(documents))
-    # The rules read the triples some thirty times.
-    results = settle(violations(settle(item_triples(found, item_dims(found), assertions(found)))))
-    return verdicts(documents, results), results
+from quillmark.operators.validate import validate
+from quillmark.sources.annotations import parse_yaml
 
 
 def watch(spark: SparkSession, path: str, out: str, checkpoint: str, glob: str = "*.yaml"):
-    """Starts a query that appends the verdicts of files as they come to a Parquet folder."""
+    """Starts a query that writes the verdicts of files as they come to a Parquet folder, a partition `batch` a batch.
+
+    A batch that is run again replaces its own partition, so no verdict comes twice.
+    """
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", glob).load(path)
     files = files.select("path", F.decode("content", "UTF-8").alias("text"))
 
     def each(batch: DataFrame, number: int) -> None:
-        validate(parse_yaml(batch))[0].write.mode("append").parquet(out)
+        table, _ = validate(parse_yaml(batch))
+        table.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -107,7 +107,7 @@ def test_each_rule_fires(spark):
     """One document for each case, all validated together: each is a graph by itself."""
     docs = documents(spark, *[{"evidence": [{k: v for k, v in (GOOD | c).items() if v != "DROP"}]} for c, _ in BROKEN])
     got = {}
-    for r in watch.validate(docs)[1].collect():
+    for r in Va.validate(docs)[1].collect():
         got.setdefault(r["path"], []).append((r["rule"], r["component"]))
     for i, (changes, want) in enumerate(BROKEN):
         assert sorted(got.get(f"d{i}", [])) == want, changes
@@ -115,25 +115,62 @@ def test_each_rule_fires(spark):
 
 def test_documents_are_apart_and_order_does_not_matter(spark):
     a, b = {"evidence": [GOOD]}, {"evidence": [GOOD | {"credibility": "SURE"}]}
-    got = {r["path"]: r["conforms"] for r in watch.validate(documents(spark, a, b, {"evidence": None}, {}))[0].collect()}
+    got = {r["path"]: r["conforms"] for r in Va.validate(documents(spark, a, b, {"evidence": None}, {}))[0].collect()}
     assert got == {"d0": True, "d1": False, "d2": True, "d3": True}
 
 
+def test_phrase_and_key_phrase(spark):
+    """The key phrase counts where there is no key `phrase`, whatever else has that word in it."""
+    spans = [({"page": 1, "key_phrase": "phrase"}, "phrase"), ({"page": 1, "phrase": None, "key_phrase": "k"}, None), ({"phrase": "p", "key_phrase": "k"}, "p"), ({"note": {"phrase": 1}, "key_phrase": "k"}, "k"), ("no object", None), (None, None)]
+    found = S.items(documents(spark, {"evidence": [{"assertions": [{"source_span": s} for s, _ in spans]}]}))
+    assert [r["phrase"] for r in S.assertions(found).orderBy("a_idx").collect()] == [p for _, p in spans]
+
+
+def test_one_pass(spark):
+    """One scan, one exchange, and the files parsed once."""
+    docs = S.parse_yaml(spark.createDataFrame([("a", "evidence: [{id: x}]")], "path string, text string"))
+    plan = Tr.item_triples(S.items(docs))._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("MapInPandas") == 1 and plan.count("Exchange") == 1 and plan.count("Scan") == 1
+    found = Va.violations(Tr.item_triples(S.items(docs), invalid=True))._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert found.count("MapInPandas") == 1 and found.count("Exchange") == 1
+
+
+def turtle_texts(text):
+    """The texts of the long literals of a Turtle document, read letter by letter."""
+    out, i = [], text.find('"""')
+    while i >= 0:
+        i, got = i + 3, []
+        while not text.startswith('"""', i):
+            got.append(text[i + 1] if text[i] == "\\" else text[i])
+            i += 2 if text[i] == "\\" else 1
+        out.append("".join(got))
+        i = text.find('"""', i + 3)
+    return out
+
+
+def test_literals_read_back(spark):
+    texts = ["a\\", 'a"', 'a\\"', 'a""', '"""', '""""', 'a\\\\"', '"""""', 'x\n"', '"', "\\", 'q"\n', 'say "hi" and """more""" then']
+    rows = spark.createDataFrame([(str(k), "s", "p", t, "literal") for k, t in enumerate(texts)], "path string, s string, p string, o string, o_kind string")
+    got = {int(r["path"]): turtle_texts(r["text"]) for r in Tr.turtle(rows).collect()}
+    assert got == {k: [t] for k, t in enumerate(texts)}
+
+
 def test_page_that_is_no_integer(spark):
     found = S.items(one(spark, assertions=[{"source_span": {"page": "3-4", "phrase": "p"}}]))
-    assert [r["value"] for r in Va.page_errors(S.assertions(found)).collect()] == ["3-4"]
+    got = Va.violations(Tr.item_triples(found, invalid=True)).collect()
+    assert sorted((r["rule"], r["component"], r["value"]) for r in got) == [("V-S15", "datatype", "3-4"), ("V-S15", "minCount", None)]
+    assert not Tr.item_triples(found).where("o_kind = 'invalid'").count()
 
 
 def test_triples_and_turtle(spark):
     docs = one(spark, organism="mouse", exact_variant="True", penetrance={"value": "incomplete"}, subdomain="Candidate Gene Study", method=["IN_VITRO_EXPERIMENT"])
     found = S.items(docs)
-    dims, claims = S.item_dims(found), S.assertions(found)
-    got = {(r["p"], r["o"], r["o_kind"]) for r in Tr.item_triples(found, dims, claims).collect()}
+    got = {(r["p"], r["o"], r["o_kind"]) for r in Tr.item_triples(found).collect()}
     assert {("method", "IN_VITRO", "iri"), ("organism", "mouse", "literal"), ("exactVariant", "true", "boolean"), ("page", "3", "integer"), ("subdomain", "Candidate Gene Study", "literal")} <= got
     assert not [g for g in got if g[0] == "penetrance"]
-    loose = {(r["p"], r["o"]) for r in Tr.item_triples(found, dims, claims, strict=False).collect()}
+    loose = {(r["p"], r["o"]) for r in Tr.item_triples(found, strict=False).collect()}
     assert ("penetrance", "incomplete") in loose
-    text = Tr.turtle(Tr.item_triples(found, dims, claims)).first()["text"]
+    text = Tr.turtle(Tr.item_triples(found)).first()["text"]
     assert "gem:item_GE_1 a gem:GeneticEvidence ;" in text
     assert 'gem:phrase """it holds"""' in text
 

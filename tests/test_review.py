@@ -130,12 +130,13 @@ def test_marks_from_files_to_reports(spark, tmp_path):
 
 
 def test_lines_and_files(spark, tmp_path):
-    table = spark.createDataFrame([("a", True, 0, None), ("b", False, 2, None)], "path string, conforms boolean, n_violations long, error string")
+    table = spark.createDataFrame([("a", True, 0, None), ("b", False, 2, None), ("c", False, 0, "missing")], "path string, conforms boolean, n_violations long, error string")
     found = spark.createDataFrame([("b", "item_1", "m")], "path string, focus string, message string")
-    assert [r["line"] for r in Va.report_lines(table, found).collect()] == ["PASS  a", "FAIL  b", "      Focus Node: gem:item_1 Message: m"]
-    assert Va.closing_line(table).first()[0] == "1 annotation(s) failed SHACL validation: b"
-    assert Va.closing_line(table.where("conforms")).first()[0] == "All annotations conform to the SHACL shapes."
-    assert Va.run_summary(table).first() == (False, 1) and Va.run_summary(table.limit(0)).first() == (True, 0)
+    assert [r["line"] for r in Va.report_lines(table, found).collect()] == ["PASS  a", "FAIL  b", "      Focus Node: gem:item_1", "      Message: m", "FAIL  c (file not found)"]
+    head, *paths = [r["line"] for r in Va.closing_lines(table).collect()]
+    assert head + ", ".join(paths) == "2 annotation(s) failed SHACL validation: b, c"
+    assert [r["line"] for r in Va.closing_lines(table.where("conforms")).collect()] == ["All annotations conform to the SHACL shapes."]
+    assert Va.run_summary(table).first() == (False, 2) and Va.run_summary(table.limit(0)).first() == (True, 0)
     Cov.as_tsv(spark.createDataFrame([(0, "Method", 1, 2)], "ord int, dimension string, populated long, applicable long"), str(tmp_path / "tsv"))
     assert [r[0] for r in spark.read.text(str(tmp_path / "tsv")).collect()] == ["Dimension\tPopulated\tApplicable", "Method\t1\t2"]
     t = spark.createDataFrame([("p", "s", "type", "GeneticEvidence", "iri")], "path string, s string, p string, o string, o_kind string")
