@@ -10,6 +10,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import math
+import pickle
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,6 +36,8 @@ EVERY = 400
 SORT_ROWS, MOST_TASKS = 100_000, 2_000
 #: Rows of an Arrow block on its way to a file's writer, and of a row group.
 BLOCK, ROW_GROUP = 8_192, 1 << 17
+#: Rows that are pickled together.
+PACK = 1_000
 #: Parts that the sales of one client are dealt to, where links meet.
 SALT = 32
 
@@ -80,9 +83,22 @@ def plain(column: Column, kind: T.DataType) -> Column:
     return column
 
 
-def composite(row) -> tuple:
-    """A row as a sort key from which it can be told again: null as (), which comes first; NaN after all numbers."""
-    return tuple([() if v is None else (v,) if v == v else (math.inf, 1) for v in row])
+def composite(column: pa.Array) -> list[tuple]:
+    """A column's values as parts of sort keys from which they can be told again: null as (), which comes first; NaN after all numbers."""
+    if pa.types.is_floating(column.type):
+        return [() if v is None else (v,) if v == v else (math.inf, 1) for v in column.to_pylist()]
+    return [() if v is None else (v,) for v in column.to_pylist()]
+
+
+def keyed_rows(df: DataFrame) -> DataFrame:
+    """(rows binary) of df's rows as composite keys, PACK of them pickled together: Arrow batches bring them without a detour by row objects."""
+
+    def run(batches):
+        for b in batches:
+            rows = list(zip(*[composite(c) for c in b.columns], strict=True))
+            yield pa.record_batch([pa.array([pickle.dumps(rows[i : i + PACK], 5) for i in range(0, len(rows), PACK)], pa.binary())], names=["rows"])
+
+    return df.mapInArrow(run, "rows binary")
 
 
 def told(key: tuple):
@@ -181,7 +197,9 @@ def write_ranked(df: DataFrame, columns: list[str], order: Column, layout: Layou
     values = [plain(F.col(f"`{f.name}`"), f.dataType) for f in written.schema.fields]
     keyed = df.select(order, *values, F.col(tie) if tie else F.monotonically_increasing_id())
     keyed = keyed.toDF(*[f"k{i}" for i in range(len(keyed.columns))])
-    rows = keyed.rdd.map(composite).persist(StorageLevel.DISK_ONLY)
+    # Written, for sorting counts and samples the rows before it deals them out.
+    packed = cut_lineage(keyed_rows(keyed))
+    rows = packed.rdd.flatMap(lambda r: pickle.loads(r[0]))
     tasks = max(1, min(MOST_TASKS, -(-n // SORT_ROWS)))
     ranked = rows.sortBy(lambda row: row, numPartitions=tasks).zipWithIndex()
     made = ranked.mapPartitions(lambda part: blocks(part, per_file, schema))
@@ -201,7 +219,7 @@ def write_ranked(df: DataFrame, columns: list[str], order: Column, layout: Layou
             yield FileRow(no, *writer.close(), low, high, writer.path)
 
     out = sorted(by_file.mapPartitions(write).collect(), key=lambda f: f.no)
-    rows.unpersist()
+    release(packed)
     return out
 
 
