@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def collapse(text: Column) -> Column:
@@ -31,19 +35,18 @@ def node_name(text: Column) -> Column:
     return F.translate(text, ".-", "__")
 
 
-# Letters that PDF text joins into one glyph, and their parts (compatibility forms).
-GLYPHS = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "st", "\ufb06": "st", "\u00a0": " ", "\u2011": "\u2010", "\u2026": "..."}
+@F.pandas_udf(StringType())
+def _compatible(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
 def fold_forms(text: Column) -> Column:
-    """The compatibility forms that PDF text brings, taken apart; full-width ASCII becomes plain."""
-    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
-    plain = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
-    out = F.translate(text, wide, plain)
-    for glyph, parts in GLYPHS.items():
-        out = F.replace(out, F.lit(glyph), F.lit(parts))
-    # Texts without any such character, nearly all, are looked through once.
-    return F.when(text.rlike("[" + "".join(GLYPHS) + wide[0] + "-" + wide[-1] + "]"), out).otherwise(text)
+    """A text in Unicode's compatibility composition (NFKC), as PDF text needs, whose glyphs may join letters.
+
+    Spark has no such function, so texts cross to Python, in Arrow batches; those of ASCII alone, which stay as they
+    are, go as nulls.
+    """
+    return F.coalesce(_compatible(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def words(text: Column) -> Column:
@@ -64,8 +67,8 @@ def bounding_box(quad: Column) -> Column:
 
 
 def quad_boxes(flat: Column) -> Column:
-    """Boxes of a flat list of quads, eight numbers each; null and lists of under eight have none."""
-    n = F.floor(F.size(F.coalesce(flat, F.array().cast("array<double>"))) / 8).cast("int")
+    """Boxes of a flat list of quads, eight numbers each; the last may have fewer, two at least; null has none."""
+    n = F.floor((F.size(F.coalesce(flat, F.array().cast("array<double>"))) + 6) / 8).cast("int")
     empty = F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: bounding_box(F.slice(flat, k * 8 + 1, 8)))).otherwise(empty)
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmark.functions.text import collapse, first_text, or_empty, quad_boxes
+from quillmark.operators.lineage import settle
 
 # Subtypes that are read.
 SUBTYPES = ("Highlight", "Text", "Underline", "Squiggly", "StrikeOut")
@@ -29,33 +32,65 @@ def keep_subtypes(marks: DataFrame) -> DataFrame:
 
 
 def with_popups(marks: DataFrame, popups: DataFrame) -> DataFrame:
-    """note is the mark's own, else its popup's, else empty."""
-    own = popups.select("mark_ref", F.col("contents").alias("_popup")).dropDuplicates(["mark_ref"])
-    return marks.join(own, "mark_ref", "left").withColumn("note", first_text(F.col("note"), F.col("_popup"))).drop("_popup")
+    """note is the mark's own, else its popup's, else empty; popups are a document's own where both tables have path."""
+    key = [c for c in ("path", "mark_ref") if c in marks.columns and c in popups.columns]
+    own = popups.groupBy(*key).agg(F.min("contents").alias("_popup"))
+    return marks.join(own, key, "left").withColumn("note", first_text(F.col("note"), F.col("_popup"))).select(*marks.columns, *([] if "note" in marks.columns else ["note"]))
+
 
+#: Points of a cell above which it is dealt to several tasks, and cells of a box above which it meets its key's points as they are.
+DENSE, WIDE = 100_000, 4_096
 
-def range_join(points: DataFrame, boxes: DataFrame, on: list[str], x: str, y: str | None = None, slack: tuple[float, float] = (1, 4), cell: float = 64.0) -> DataFrame:
+
+def range_join(points: DataFrame, boxes: DataFrame, on: list[str], x: str, y: str | None = None, slack: tuple[float, float] = (1, 4), cell: float = 64.0, dense: int = DENSE) -> DataFrame:
     """points in boxes (x0, x1, and y0, y1 if y is given) of the same key, bounds widened by slack.
 
-    Boxes are dealt to the cells of x that they touch, so rows meet only within a key and a cell, once each.
+    Boxes are dealt to the cells of a grid, along x and, if given, y, that they touch, so rows meet only within
+    a key and a cell, once each.  The points of a dense cell are dealt to parts of it, each of which gets the
+    cell's boxes.  Boxes of over WIDE cells meet all points of their key.  Nulls and NaN are in no box.
     """
-    low, high = F.col("x0") - slack[0], F.col("x1") + slack[0]
-    dealt = boxes.withColumn("_cell", F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell))))
-    met = points.withColumn("_cell", F.floor(F.col(x) / cell)).join(dealt, [*on, "_cell"]).drop("_cell")
-    met = met.where((F.col(x) >= low) & (F.col(x) <= high))
-    return met if y is None else met.where((F.col(y) >= F.col("y0") - slack[1]) & (F.col(y) <= F.col("y1") + slack[1]))
+    axes = [(x, "x0", "x1", slack[0])] + ([] if y is None else [(y, "y0", "y1", slack[1])])
+    inside = reduce(Column.__and__, [(F.col(at) >= F.col(low) - more) & (F.col(at) <= F.col(high) + more) for at, low, high, more in axes])
+    cells = [f"_cell{k}" for k in range(len(axes))]
+    spans = [(F.floor((F.col(low) - more) / cell), F.floor((F.col(high) + more) / cell)) for _, low, high, more in axes]
+    number = reduce(Column.__mul__, [(b - a + 1).cast("double") for a, b in spans])
+    proper = reduce(Column.__and__, [F.col(low) <= F.col(high) + 2 * more for _, low, high, more in axes])
+    small = boxes.where(proper & (number <= WIDE))
+    for name, (a, b) in zip(cells, spans, strict=True):
+        small = small.withColumn(name, F.explode(F.sequence(a, b)))
+    dealt = points.withColumns({name: F.floor(F.col(at) / cell) for name, (at, *_) in zip(cells, axes, strict=True)})
+    key = [*on, *cells]
+    crowded = settle(dealt.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > dense).select(*key, F.ceil(F.col("_n") / dense).cast("int").alias("_parts")))
+    place = F.xxhash64(F.monotonically_increasing_id())
+    dealt = dealt.withColumn("_place", place).join(crowded, key, "left").withColumn("_part", F.pmod("_place", F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts", "_place")
+    small = small.join(crowded, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    met = dealt.join(small, [*key, "_part"]).drop(*cells, "_part").where(inside)
+    return met.unionByName(points.join(boxes.where(proper & (number > WIDE)), on).where(inside))
 
 
 def text_under(marks: DataFrame, runs: DataFrame) -> DataFrame:
-    """marks (mark_ref, page, type, quads) with highlighted_text: runs (page, pos, x, y, text) in a quad's box.
+    """marks (path, mark_ref, page, type, quads) with highlighted_text: runs (path, page, pos, x, y, text) in a quad's box.
+
+    A run counts once for a mark; blank runs are left out; runs come in their order, within a document's page.
+    Highlights without such runs get the empty text, other marks null.
+    """
+    key = ["path", "page"]
+    lit = marks.where((F.col("type") == "Highlight") & F.col("quads").isNotNull())
+    boxes = lit.select(*key, "mark_ref", F.explode(quad_boxes(F.col("quads"))).alias("b")).select(*key, "mark_ref", "b.*")
+    met = range_join(runs.where(F.trim("text") != ""), boxes, key, "x", "y").select(*key, "mark_ref", "pos", "text").dropDuplicates([*key, "mark_ref", "pos"])
+    joined = met.groupBy(*key, "mark_ref").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda r: r["text"]).alias("t"))
+    joined = joined.select(*key, "mark_ref", collapse(F.array_join("t", " ")).alias("highlighted_text"))
+    out = marks.drop("highlighted_text").join(joined, [*key, "mark_ref"], "left")
+    return out.withColumn("highlighted_text", F.when(F.col("type") == "Highlight", F.coalesce("highlighted_text", F.lit(""))))
+
+
+def extracted(marks: DataFrame, popups: DataFrame, runs: DataFrame) -> DataFrame:
+    """Marks of the subtypes that are read, with their popups' notes and the page text under highlights, cleaned.
 
-    A run counts once for a mark, by its first box; blank runs are left out; runs come in their order.
+    marks: (path, pos, page, type, author, note, rect, quads, mark_ref); popups: (path, mark_ref, contents); runs:
+    (path, page, pos, x, y, text).
     """
-    boxes = marks.where((F.col("type") == "Highlight") & F.col("quads").isNotNull()).select("mark_ref", "page", F.posexplode(quad_boxes(F.col("quads"))).alias("box", "b")).select("mark_ref", "page", "box", "b.*")
-    met = range_join(runs.where(F.trim("text") != ""), boxes, ["page"], "x", "y").dropDuplicates(["mark_ref", "page", "pos"])
-    joined = met.groupBy("mark_ref").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda r: r["text"]).alias("t"))
-    joined = joined.select("mark_ref", collapse(F.array_join("t", " ")).alias("highlighted_text"))
-    return marks.join(joined, "mark_ref", "left").withColumn("highlighted_text", F.when(F.col("type") == "Highlight", F.coalesce("highlighted_text", F.lit(""))))
+    return clean_marks(text_under(with_popups(keep_subtypes(marks), popups), runs))
 
 
 def numbered(df: DataFrame, within: list[str], order: list[str]) -> DataFrame:

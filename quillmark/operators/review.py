@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions.text import collapse, fold_forms, words
+from quillmark.operators.lineage import settle
 from quillmark.plans.rules import known_keys
 
 DECISIONS = ("approved", "approved_despite_flags", "marked_for_edit", "rejected")
@@ -49,27 +52,98 @@ def share(rows: DataFrame, holds: Column) -> DataFrame:
     return rows.agg(F.count_if(holds).alias("n"), F.count("*").alias("of"))
 
 
-def phrase_anchors(spans: DataFrame, pages: DataFrame, on: list[str], phrase: str = "phrase", text: str = "text", window: int = 3) -> DataFrame:
+#: Most words of a window, and most characters of a piece of a word.
+WINDOW = 3
+
+
+def _window(k: int, *words: Column) -> Column:
+    return F.xxhash64(F.lit(k), *words)
+
+
+def _border(a: int, b: int, left: Column, right: Column) -> Column:
+    """Key of the end of a word and the beginning of the next one."""
+    return F.xxhash64(F.lit(100 * a + b), F.right(left, F.lit(a)), F.left(right, F.lit(b)))
+
+
+def _pieces(word: Column, q: int) -> Column:
+    """Keys of all stretches of q characters of a word; none if it is shorter."""
+    starts = F.when(F.length(word) >= q, F.sequence(F.lit(1), F.length(word) - (q - 1)))
+    return F.transform(starts, lambda i: F.xxhash64(F.lit(-q), F.substring(word, i, F.lit(q))))
+
+
+def phrase_keys(phrases: DataFrame, on: list[str], window: int = WINDOW) -> DataFrame:
+    """(on, phrase, n words, kind, o, h): all keys that a text has if it holds a phrase, and at what word o of it.
+
+    The words of a phrase but its first and last stand whole in the text: of three words and more, the keys are
+    all windows of up to `window` such words, as wide as the phrase allows.  Of two words, it is the end of the first with
+    the beginning of the second; of one, all its stretches of characters.
+    """
+    w = F.split("phrase", " ")
+    split = phrases.where("phrase <> ''").select(*on, "phrase", w.alias("w"), F.size(w).alias("n"))
+    keyed = []
+    for k in range(1, window + 1):
+        own = split.where(F.col("n") == k + 2) if k < window else split.where(F.col("n") >= k + 2)
+        at = own.select(*on, "phrase", "n", "w", F.explode(F.sequence(F.lit(1), F.col("n") - (k + 1))).alias("o"))
+        keyed.append(at.select(*on, "phrase", "n", F.lit(f"w{k}").alias("kind"), "o", _window(k, *[F.get("w", F.col("o") + j) for j in range(k)]).alias("h")))
+    for a in range(1, window + 1):
+        for b in range(1, window + 1):
+            lengths = (F.least(F.length(F.get("w", F.lit(0))), F.lit(window)) == a) & (F.least(F.length(F.get("w", F.lit(1))), F.lit(window)) == b)
+            own = split.where((F.col("n") == 2) & lengths)
+            keyed.append(own.select(*on, "phrase", "n", F.lit(f"b{a}{b}").alias("kind"), F.lit(0).alias("o"), _border(a, b, F.get("w", F.lit(0)), F.get("w", F.lit(1))).alias("h")))
+    for q in range(1, window + 1):
+        length = F.least(F.length("phrase"), F.lit(window))
+        own = split.where((F.col("n") == 1) & (length == q))
+        keyed.append(own.select(*on, "phrase", "n", F.lit(f"p{q}").alias("kind"), F.lit(0).alias("o"), F.explode(_pieces(F.col("phrase"), q)).alias("h")))
+    return reduce(DataFrame.unionByName, keyed).distinct()
+
+
+def page_keys(pages: DataFrame, on: list[str], kinds: list[str], window: int = WINDOW) -> DataFrame:
+    """(on, _page, pos, h): keys of those kinds of pages (on, _page, w), w being their words, and their places."""
+    shifted = [F.slice("w", k + 1, F.greatest(F.size("w") - k, F.lit(0))) for k in range(window)]
+    zipped = F.posexplode(F.arrays_zip(*[x.alias(f"w{k}") for k, x in enumerate(shifted)]))
+    rows = pages.select(*on, "_page", zipped.alias("pos", "z")).select(*on, "_page", "pos", *[F.col(f"z.w{k}") for k in range(window)])
+    col = lambda k: F.col(f"w{k}")
+    one, many = [], []
+    for kind in kinds:
+        if kind[0] == "w":
+            k = int(kind[1:])
+            one.append(F.when(col(k - 1).isNotNull(), _window(k, *[col(j) for j in range(k)])))
+        elif kind[0] == "b":
+            a, b = int(kind[1]), int(kind[2])
+            one.append(F.when((F.length(col(0)) >= a) & (F.length(col(1)) >= b), _border(a, b, col(0), col(1))))
+        else:
+            many.append(_pieces(col(0), int(kind[1:])))
+    none = F.array().cast("array<bigint>")
+    keys = F.concat(F.array(*one) if one else none, *[F.coalesce(x, none) for x in many])
+    return rows.select(*on, "_page", "pos", F.explode(keys).alias("h")).where("h IS NOT NULL").distinct() if many else rows.select(*on, "_page", "pos", F.explode(keys).alias("h")).where("h IS NOT NULL")
+
+
+def phrase_anchors(spans: DataFrame, pages: DataFrame, on: list[str], phrase: str = "phrase", text: str = "text", window: int = WINDOW) -> DataFrame:
     """spans with anchored: the phrase is in a text of the same key, white space, case and letter forms (NFKC) apart.
 
-    A phrase's words but its first and last stand whole in any text that holds it.  So a page and a phrase meet
-    where one of the page's stretches of window such words is the phrase's first; only then are they compared.
-    Phrases of one or two words, which have none, meet every page of their key.  Neither side is limited.
+    A phrase's keys (phrase_keys) are counted over the texts of its key.  If one is nowhere, it is in none; else it
+    meets only the places of its rarest one, and there it is compared with the words that it would cover.  Each
+    phrase has keys of its own width, whatever others have; neither side is limited.  Null phrases are in no text, the
+    empty one in any; repeated rows stay repeated.
     """
     same = lambda c: F.lower(collapse(fold_forms(F.col(c))))
-    listed = spans.select(*on, same(phrase).alias("_phrase")).where("_phrase IS NOT NULL").distinct().withColumn("_inner", F.expr("slice(split(_phrase, ' '), 2, greatest(0, size(split(_phrase, ' ')) - 2))"))
-    source = pages.select(*on, same(text).alias("_text")).withColumn("_page", F.xxhash64("_text"))
-    shortest = listed.where(F.size("_inner") > 0).agg(F.min(F.size("_inner"))).first()[0]
-    k = min(window, shortest or window)
-    keyed = listed.where(F.size("_inner") >= k).select(*on, "_phrase", F.xxhash64(F.slice("_inner", 1, k)).alias("_h"))
-    words_of = F.split("_text", " ")
-    heads = source.select(*on, "_page", words_of.alias("_w")).where(F.size("_w") >= k)
-    heads = heads.select(*on, "_page", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - (k - 1)), lambda i: F.xxhash64(F.slice("_w", i, F.lit(k)))))).alias("_h"))
-    met = heads.join(keyed, [*on, "_h"]).select(*on, "_page", "_phrase").distinct()
-    hits = source.join(met, [*on, "_page"]).where(F.contains("_text", F.col("_phrase"))).select(*on, "_phrase")
-    brief = listed.where(F.size("_inner") == 0).select(*on, "_phrase")
-    hits = hits.unionByName(source.join(brief, on).where(F.contains("_text", F.col("_phrase"))).select(*on, "_phrase")).distinct()
-    out = spans.withColumn("_phrase", same(phrase)).join(hits.withColumn("_hit", F.lit(True)), [*on, "_phrase"], "left")
+    folded = settle(spans.withColumn("_phrase", same(phrase)))
+    listed = folded.where("_phrase IS NOT NULL").select(*on, F.col("_phrase").alias("phrase")).distinct()
+    source = pages.select(*on, same(text).alias("t")).where("t IS NOT NULL")
+    # Of texts that come many times one is enough.
+    source = settle(source.withColumn("_page", F.xxhash64("t")).dropDuplicates([*on, "_page"]).withColumn("w", F.split("t", " ")).drop("t"))
+    keys = settle(phrase_keys(listed, on, window))
+    # Kinds of keys, at most window + window^2 + window.
+    kinds = sorted(r[0] for r in keys.select("kind").distinct().collect())
+    found = settle(page_keys(source, on, kinds, window).join(keys.select(*on, "h").distinct(), [*on, "h"], "left_semi"))
+    counted = found.groupBy(*on, "h").agg(F.count("*").alias("places"))
+    best = keys.join(counted, [*on, "h"], "left").groupBy(*on, "phrase").agg(F.min(F.struct(F.coalesce("places", F.lit(0)).alias("places"), "h", "o", "n")).alias("b"))
+    best = settle(best.where("b.places > 0").select(*on, "phrase", "b.h", "b.o", "b.n"))
+    met = best.join(found, [*on, "h"]).select(*on, "phrase", "n", "_page", (F.col("pos") - F.col("o")).alias("start")).where("start >= 0").distinct()
+    covered = F.array_join(F.slice("w", F.col("start") + 1, F.col("n")), " ")
+    hits = met.join(source, [*on, "_page"]).where(F.contains(covered, F.col("phrase"))).select(*on, "phrase")
+    hits = hits.unionByName(listed.where("phrase = ''").join(source.select(*on).distinct(), on, "left_semi").select(*on, "phrase")).distinct()
+    out = folded.join(hits.select(*on, F.col("phrase").alias("_phrase"), F.lit(True).alias("_hit")), [*on, "_phrase"], "left")
     return out.select(*spans.columns, F.coalesce("_hit", F.lit(False)).alias("anchored"))
 
 

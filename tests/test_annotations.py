@@ -2,6 +2,7 @@
 
 import json
 import random
+import unicodedata
 
 from pyspark.sql import functions as F
 
@@ -227,15 +228,46 @@ def test_marks(spark, tmp_path):
     assert got == [(1, "A ", "a b"), (2, "", None)]
 
 
+QUAD = [10.0, 20.0, 50.0, 20.0, 10.0, 30.0, 50.0, 30.0]
+
+
 def test_text_under_highlight(spark):
-    quad = [10.0, 20.0, 50.0, 20.0, 10.0, 30.0, 50.0, 30.0]
-    marks = spark.createDataFrame([(1, 1, "Highlight", quad + [v + 5 for v in quad]), (2, 1, "Text", None), (3, 2, "Highlight", quad)], "mark_ref int, page int, type string, quads array<double>")
-    runs = spark.createDataFrame([(1, 2, 20.0, 25.0, "world"), (1, 1, 9.0, 17.0, "hello"), (1, 3, 90.0, 25.0, "far"), (1, 4, 20.0, 25.0, " ")], "page int, pos int, x double, y double, text string")
-    got = {r["mark_ref"]: r["highlighted_text"] for r in M.text_under(marks, runs).collect()}
-    assert got == {1: "hello world", 2: None, 3: ""}
-    popups = spark.createDataFrame([(2, "pop"), (1, "other")], "mark_ref int, contents string")
-    noted = marks.withColumn("note", F.when(F.col("mark_ref") == 1, "own").otherwise(""))
-    assert {r["mark_ref"]: r["note"] for r in M.with_popups(noted, popups).collect()} == {1: "own", 2: "pop", 3: ""}
+    marks = spark.createDataFrame([("a", 1, 1, "Highlight", QUAD + [v + 5 for v in QUAD]), ("a", 2, 1, "Text", None), ("a", 3, 2, "Highlight", QUAD), ("b", 1, 1, "Highlight", QUAD)], "path string, mark_ref int, page int, type string, quads array<double>")
+    runs = spark.createDataFrame([("a", 1, 2, 20.0, 25.0, "world"), ("a", 1, 1, 9.0, 17.0, "hello"), ("a", 1, 3, 90.0, 25.0, "far"), ("a", 1, 4, 20.0, 25.0, " "), ("b", 1, 1, 20.0, 25.0, "other")], "path string, page int, pos int, x double, y double, text string")
+    got = {(r["path"], r["mark_ref"]): r["highlighted_text"] for r in M.text_under(marks, runs).collect()}
+    assert got == {("a", 1): "hello world", ("a", 2): None, ("a", 3): "", ("b", 1): "other"}
+    popups = spark.createDataFrame([("a", 2, "pop"), ("a", 1, "other"), ("b", 2, "not this")], "path string, mark_ref int, contents string")
+    noted = marks.withColumns({"note": F.when(F.col("mark_ref") == 1, "own").otherwise(""), "author": F.lit("A"), "pos": F.col("mark_ref")})
+    assert {(r["path"], r["mark_ref"]): r["note"] for r in M.with_popups(noted, popups).collect()} == {("a", 1): "own", ("a", 2): "pop", ("a", 3): "", ("b", 1): "own"}
+    whole = {(r["path"], r["mark_ref"]): (r["note"], r["highlighted_text"]) for r in M.extracted(noted, popups, runs).collect()}
+    assert whole == {("a", 1): ("own", "hello world"), ("a", 2): ("pop", None), ("a", 3): ("", ""), ("b", 1): ("own", "other")}
+
+
+def test_boxes_against_comparing_all(spark):
+    """Both axes, several documents, dense cells in parts, boxes without end, and odd numbers."""
+    rng = random.Random(9)
+    points = [(f"d{k % 4}", k, rng.uniform(-300, 300), rng.uniform(-300, 300)) for k in range(600)] + [("d1", 1000 + k, 5.0, 5.0) for k in range(50)]
+    points += [("d0", 2000, None, 1.0), ("d0", 2001, float("nan"), 1.0), ("d9", 2002, 1.0, 1.0)]
+    boxes = []
+    for k in range(120):
+        x, y = rng.uniform(-300, 300), rng.uniform(-300, 300)
+        boxes.append((f"d{k % 5}", k, x, x + rng.choice((0.0, 5.0, 200.0)), y, y + rng.choice((0.0, 9.0, 300.0))))
+    boxes += [("d1", 500, -1e9, 1e9, -1e9, 1e9), ("d1", 501, 3.0, 7.0, 3.0, 7.0), ("d1", 502, 90.0, 10.0, 0.0, 9.0), ("d1", 503, None, 1.0, 0.0, 1.0)]
+    inside = lambda v, lo, hi, more: v is not None and lo is not None and lo - more <= v <= hi + more
+    want = sorted((i, j) for p, i, x, y in points for q, j, x0, x1, y0, y1 in boxes if p == q and inside(x, x0, x1, 1) and inside(y, y0, y1, 4))
+    a = spark.createDataFrame(points, "path string, i int, x double, y double")
+    b = spark.createDataFrame(boxes, "path string, j int, x0 double, x1 double, y0 double, y1 double")
+    for dense in (10, 10**6):
+        assert sorted((r["i"], r["j"]) for r in M.range_join(a, b, ["path"], "x", "y", dense=dense).collect()) == want
+    wide = sorted((i, j) for p, i, x, _ in points for q, j, x0, x1, *_ in boxes if p == q and inside(x, x0, x1, 1))
+    assert sorted((r["i"], r["j"]) for r in M.range_join(a, b, ["path"], "x").collect()) == wide
+
+
+def test_compatible_forms_of_all_characters(spark):
+    texts = ["x".join(chr(c) for c in range(a, min(a + 4096, 0x110000)) if not 0xD800 <= c < 0xE000) for a in range(0, 0x110000, 4096)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(-1, None)], "k int, t string")
+    got = {r["k"]: r["f"] for r in df.select("k", X.fold_forms(F.col("t")).alias("f")).collect()}
+    assert got == {k: unicodedata.normalize("NFKC", t) for k, t in enumerate(texts)} | {-1: None}
 
 
 def test_hierarchy(spark):
