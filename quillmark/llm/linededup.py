@@ -179,6 +179,16 @@ def rest_pairs(met: DataFrame, roots: DataFrame, sketches: DataFrame, threshold:
     return out
 
 
+def next_centres(met: DataFrame, roots: DataFrame, seed: int) -> DataFrame:
+    """(lid, centre) of rows of a key and one of them, chosen by hash, that no link joins to them yet."""
+    own = met.select("key", "lid").join(roots.withColumnRenamed("node", "lid"), "lid", "left").withColumn("root", F.coalesce("root", "lid"))
+    own = cut_lineage(own)
+    parted = own.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max(F.struct(F.xxhash64(F.lit(seed), "lid").alias("h"), "lid", "root")).alias("c")).where("r0 < r1")
+    # Written, as everywhere, so that the join may split a hot key.
+    parted = cut_lineage(parted.select("key", F.col("c.lid").alias("centre"), F.col("c.root").alias("_root")))
+    return own.join(parted, "key").where("root <> _root").select("lid", "centre")
+
+
 def still_apart(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """Those (a, b, ...) of pairs whose ends the edges don't join."""
     roots = components(edges)
@@ -250,13 +260,21 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, ban
     return out
 
 
-def linked(met: DataFrame, others: DataFrame, sketches: DataFrame, check: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+def linked(met: DataFrame, others: DataFrame, sketches: DataFrame, check: Callable[[DataFrame], DataFrame], threshold: float, rounds: int = 0) -> DataFrame:
     """(a, b) written: links that join all linked pairs that share a key, of rows (key, lid, n, centre) and their sketches.
 
-    Centres are met over met, all other pairs over others.  check gives those (a, b) that are linked, as a written table.
+    Centres are met over met, all other pairs over others.  Before these, in each of `rounds` rounds the keys that have
+    rows apart get another centre, which meets those apart from it.  check gives those (a, b) that are linked, as a
+    written table.
     """
     pairs = cut_lineage(centre_pairs(met, sketches, threshold))
     edges = check(pairs)
+    for r in range(rounds):
+        again = cut_lineage(centre_pairs(next_centres(others, components(edges), r), sketches, threshold))
+        found = check(again)
+        more = cut_lineage(edges.union(found))
+        release(again, found, edges)
+        edges = more
     rest = rest_pairs(others, components(edges).select(F.col("node").alias("lid"), "root"), sketches, threshold)
     if rest.count() > MANY * sketches.count():
         ends = rest.select(F.col("a").alias("x"), F.col("b").alias("y"), "apart").union(rest.select("b", "a", "apart"))

@@ -30,6 +30,8 @@ PIECES = 3
 FEWEST = 2
 #: Documents whose signatures are looked at together, sets there that make a signature hot, and parts of a hot one.
 LOT, HOT, SALT = 2_000, 32, 64
+#: Further centres that the sets of a signature meet before all that are still apart meet each other.
+ROUNDS = 2
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
@@ -262,8 +264,8 @@ def alike_sets(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Dat
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least doc_id reachable by links, itself included).
 
-    Equal sets are one node, whatever number of texts has them.  Sets that share a signature meet its centre first;
-    what that leaves apart is met in tiles, where sketches rule out most pairs, exactly; the rest is checked over the
+    Equal sets are one node, whatever number of texts has them.  Sets that share a signature meet a few
+    centres of it first; what that leaves apart is met in tiles, where sketches rule out most pairs, exactly; the rest is checked over the
     sets.  So no link between different sets is lost, but for a clash of 64-bit hashes.  Null and empty texts
     and those without a word have 0 shingles and link with nothing.  Null ids keep their row and get their
     component's least id, null if it has none.  Repeated rows stay repeated; rows of one id and different
@@ -278,22 +280,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     known = base.where("lid IS NOT NULL").groupBy("lid").agg(F.min("h").alias("h"), F.first("n").cast("int").alias("size"), *firsts)
     sketches = cut_lineage(known.join(ids, "lid", "left_semi"))
 
-    def check(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
-        wanted = cut_lineage(sketches.select("lid", "h").join(ends, "lid", "left_semi"))
-        sets = cut_lineage(sets_of(docs, wanted, text_col))
-        out = alike_sets(pairs, sets)
-        release(wanted, sets)
-        return out
-
+    sets = cut_lineage(sets_of(docs, sketches.select("lid", "h"), text_col))
     # The centre of a part has met that part alone: in what is left, it stands among the others.
     rest = met.withColumns({"centre": F.when(F.col("hot"), F.lit(0).cast("long")).otherwise(F.col("centre")), "n": F.when(F.col("hot"), F.lit(3).cast("long")).otherwise(F.col("n"))})
-    edges = linked(met, rest, sketches.drop("h"), check, PERCENT / 100)
+    edges = linked(met, rest, sketches.drop("h"), lambda pairs: alike_sets(pairs, sets), PERCENT / 100, ROUNDS)
     roots = components(edges)
     least = base.where("lid IS NOT NULL").groupBy("lid").agg(F.min("doc_id").alias("least"))
     of = cut_lineage(least.join(roots.withColumnRenamed("node", "lid"), "lid", "left").withColumn("root", F.coalesce("root", "lid")))
     low = cut_lineage(of.groupBy("root").agg(F.min("least").alias("component_id")))
     of = cut_lineage(of.join(low, "root").select("lid", "component_id"))
-    release(met, ids, sketches, edges, low)
+    release(met, ids, sketches, sets, edges, low)
     out = base.select("doc_id", F.col("n").alias("n_shingles"), "lid").join(of, "lid", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("lid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
