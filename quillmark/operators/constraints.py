@@ -19,8 +19,8 @@ def cardinality(focus: DataFrame, values: DataFrame, key: Sequence[str], value:
 
 
 def not_member(values: DataFrame, members: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Values that are not in the enumeration, one row each; members is a small fixed table."""
-    return values.join(F.broadcast(members), list(on), "left_anti")
+    """Values that are not in the enumeration, one row each; Spark broadcasts members where their size allows."""
+    return values.join(members, list(on), "left_anti")
 
 
 def requires(active: DataFrame, present: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -40,14 +40,30 @@ def annotation_coverage(items: DataFrame) -> DataFrame:
     return coverage(items, annotation_rules())
 
 
-def as_markdown(table: DataFrame) -> DataFrame:
-    """(ord, line) of a coverage table, labels padded to the widest."""
+# Fixed value: the line over a coverage table; the corpus that it names is a parameter.
+TITLE = "# Dimension coverage over %d GeneticEvidence items"
+
+
+def title(table: DataFrame, corpus: str = "") -> DataFrame:
+    """(ord, line): the line over a table, with the number of items: the first rule applies to all of them."""
+    n = table.where("ord = 0").select("applicable")
+    return n.select(F.lit(-3).alias("ord"), F.concat(F.format_string(TITLE, "applicable"), F.lit(f" ({corpus})" if corpus else "")).alias("line"))
+
+
+def as_markdown(table: DataFrame, corpus: str = "") -> DataFrame:
+    """(ord, line) of a coverage table under its title, labels padded to the widest."""
     width = table.agg(F.max(F.length("dimension")).alias("w"))
     # One row wide.
     lines = table.crossJoin(F.broadcast(width)).select("ord", F.format_string("| %s | %9d | %10d |", F.expr("rpad(dimension, w, ' ')"), "populated", "applicable").alias("line"))
+    # The table's head.
     head = width.select(F.explode(F.array(F.struct(F.lit(-2).alias("ord"), F.format_string("| %s | Populated | Applicable |", F.expr("rpad('Dimension', w, ' ')")).alias("line")), F.struct(F.lit(-1).alias("ord"), F.format_string("| %s | --------: | ---------: |", F.expr("repeat('-', w)")).alias("line")))).alias("r")).select("r.*")
-    return head.unionByName(lines).orderBy("ord")
+    return title(table, corpus).unionByName(head).unionByName(lines).orderBy("ord")
 
 
-def as_tsv(table: DataFrame, path: str) -> None:
-    table.orderBy("ord").select(F.col("dimension").alias("Dimension"), F.col("populated").alias("Populated"), F.col("applicable").alias("Applicable")).write.mode("overwrite").csv(path, sep="\t", header=True)
+def as_tsv(table: DataFrame, path: str, corpus: str = "") -> None:
+    """Title, head and lines of a coverage table, a few dozen rows, as one text file."""
+    rows = table.select("ord", F.concat_ws("\t", "dimension", F.col("populated").cast("string"), F.col("applicable").cast("string")).alias("line"))
+    head = title(table, corpus)
+    # Fixed value: the head.
+    names = head.select(F.lit(-2).alias("ord"), F.lit("Dimension\tPopulated\tApplicable").alias("line"))
+    head.unionByName(names).unionByName(rows).coalesce(1).sortWithinPartitions("ord").select("line").write.mode("overwrite").text(path)

@@ -5,24 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.operators.lineage import settle
 
-def closure(edges: DataFrame) -> DataFrame:
-    """(node, ancestor, depth) of (child, parent) edges, every node being its own ancestor at depth 0.
 
-    A recursive CTE: edges of a class hierarchy are few and acyclic.  Depth is the shortest.
+def reach(edges: DataFrame) -> DataFrame:
+    """(node, ancestor, depth): what lies above each node of (child, parent) edges, by the shortest way; depth from 1.
+
+    A fixpoint by path doubling: each round puts two ways together and keeps the shortest for a pair, so rounds grow
+    with the logarithm of the depth, diamonds count once, and a cycle, whose nodes lie above themselves, ends too.
     """
-    found = edges.sparkSession.sql(
-        """
-        WITH RECURSIVE up(node, ancestor, depth) AS (
-            SELECT node, node, 0 FROM (SELECT child AS node FROM {edges} UNION SELECT parent FROM {edges})
-            UNION ALL
-            SELECT u.node, e.parent, u.depth + 1 FROM up u JOIN {edges} e ON u.ancestor = e.child
-        )
-        SELECT node, ancestor, min(depth) AS depth FROM up GROUP BY node, ancestor
-        """,
-        edges=edges,
-    )
-    return found
+    known = settle(edges.where("child IS NOT NULL AND parent IS NOT NULL").select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct())
+    told = None
+    while True:
+        size = tuple(known.agg(F.count("*"), F.sum("depth")).first())
+        if size == told:
+            return known
+        told = size
+        above = known.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_top"), F.col("depth").alias("_more"))
+        longer = known.join(above, "ancestor").select("node", F.col("_top").alias("ancestor"), (F.col("depth") + F.col("_more")).alias("depth"))
+        known = settle(known.unionByName(longer).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """(node, ancestor, depth) of (child, parent) edges, every node being its own ancestor at depth 0; null ends don't count."""
+    nodes = edges.select(F.explode(F.array("child", "parent")).alias("node")).where("node IS NOT NULL").distinct()
+    own = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
+    return own.unionByName(reach(edges).where("node <> ancestor"))
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(node, length) of the nodes that lie above themselves: what a class hierarchy must not have; length of the shortest way round."""
+    return reach(edges).where("node = ancestor").select("node", F.col("depth").alias("length"))
 
 
 def roll_up(rows: DataFrame, value: str, over: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.text import collapse, fold_forms, words
 from quillmark.operators.lineage import settle
-from quillmark.plans.rules import known_keys
+from quillmark.operators.versions import is_schema_key
 
 DECISIONS = ("approved", "approved_despite_flags", "marked_for_edit", "rejected")
 
@@ -222,20 +222,13 @@ def label_lint(items: DataFrame) -> DataFrame:
 
 def invented_keys(dims: DataFrame) -> DataFrame:
     """(path, item_id, dim) of keys that no list names; keys of flags and reviewers are free."""
-    free = F.col("dim").startswith("ai_") | F.col("dim").startswith("reviewer_")
-    return dims.where(~F.col("dim").isin(*sorted(known_keys())) & ~free).select("path", "item_id", "dim")
+    return dims.where(~is_schema_key(F.col("dim"))).select("path", "item_id", "dim")
 
 
 def span_tier(paraphrase: Column, anchored: Column) -> Column:
     return F.when(anchored, "ok").when(paraphrase, "non_blocking").otherwise("blocking")
 
 
-def baseline(defects: DataFrame, rules: DataFrame, versions: DataFrame) -> DataFrame:
-    """defects with grade: those of rules newer than the document's protocol are notes."""
-    out = defects.join(F.broadcast(rules.select("rule", "introduced_in")), "rule", "left").join(versions, "path", "left")
-    return out.withColumn("grade", F.when(F.col("introduced_in") > F.col("protocol_version"), "note").otherwise("defect"))
-
-
 def flag_decision(supported: Column, committed: Column) -> Column:
     return F.when(supported, F.lit(None).cast("string")).when(committed, "ai_assumption").otherwise("ai_uncertainty")
 
@@ -245,17 +238,6 @@ def default_verdicts(items: DataFrame, flags: DataFrame) -> DataFrame:
     return items.select("path", "item_id").join(flagged, ["path", "item_id"], "left").select("path", "item_id", F.when(F.col("_f"), "marked_for_edit").otherwise("approved").alias("decision"))
 
 
-def apply_verdicts(items: DataFrame, verdicts: DataFrame, edits: DataFrame, added: DataFrame) -> DataFrame:
-    """A new version of (path, item_id, item): rejected go, edited are replaced, accepted additions come."""
-    rejected = verdicts.where("decision = 'rejected'").select("path", "item_id")
-    marked = verdicts.where("decision = 'marked_for_edit'").select("path", "item_id")
-    changed = edits.join(marked, ["path", "item_id"], "left_semi").select("path", "item_id", F.col("item").alias("_new"))
-    kept = items.join(rejected, ["path", "item_id"], "left_anti").join(changed, ["path", "item_id"], "left")
-    kept = kept.select("path", "item_id", F.coalesce("_new", "item").alias("item"))
-    accepted = added.join(rejected, ["path", "item_id"], "left_anti").select("path", "item_id", "item")
-    return kept.unionByName(accepted)
-
-
 def second_round(verdicts: DataFrame, cross_cutting: DataFrame, several: int = 2) -> DataFrame:
     """Documents to review again: an item added, several edited, or a cross-cutting matter noted."""
     out = verdicts.groupBy("path").agg(F.bool_or(F.col("added_in_phase").isNotNull()).alias("added"), F.count_if(F.col("decision") == "marked_for_edit").alias("edits"))
@@ -270,7 +252,7 @@ def without_extension(forced: DataFrame, extensions: DataFrame) -> DataFrame:
 
 
 def provenance_gaps(provenance: DataFrame) -> DataFrame:
-    """(path, field) of required provenance that is null; see baseline() for documents older than a rule."""
+    """(path, field) of required provenance that is null; see versions.baseline() for documents older than a rule."""
     fields = ("mode", "protocol_version", "annotator", "annotated_at", "exemplars_used")
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("v")) for f in fields])
     return provenance.select("path", F.explode(pairs).alias("x")).select("path", "x.field", "x.v").where("v IS NULL").drop("v")

@@ -9,6 +9,7 @@ from quillmark.functions import values as V
 from quillmark.functions.text import escape, node_name
 from quillmark.plans import rules as R
 from quillmark.sources.annotations import claims
+from quillmark.sources.files import write_documents
 
 #: Of names in Turtle text; pass the vocabulary's own.
 NAMESPACE = "https://example.org/evidence/"
@@ -112,6 +113,6 @@ def turtle(triples: DataFrame, namespace: str = NAMESPACE) -> DataFrame:
     return blocks.groupBy("path").agg(F.concat(F.lit(head), F.array_join(text, "\n\n"), F.lit("\n")).alias("text"))
 
 
-def write_turtle(triples: DataFrame, path: str, namespace: str = NAMESPACE) -> None:
-    """One text file a document, by path."""
-    turtle(triples, namespace).select(F.col("text").alias("value"), F.regexp_replace("path", r"^.*/|\.[^.]*$", "").alias("name")).write.mode("overwrite").partitionBy("name").text(path)
+def write_turtle(triples: DataFrame, out: str, base: str = "", namespace: str = NAMESPACE) -> None:
+    """A Turtle file for each document, below out by the document's path below base: v0/x.yaml becomes v0/x.ttl."""
+    write_documents(turtle(triples, namespace), out, base)

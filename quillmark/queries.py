@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark import engine_queries as E
+from quillmark import version_queries as W
 from quillmark.functions import text as X
 from quillmark.functions import values as V
 from quillmark.operators import constraints as C
@@ -15,8 +16,8 @@ from quillmark.operators import marks as M
 from quillmark.operators import review as R
 from quillmark.operators import triples as Tr
 
-QUERIES: dict = dict(E.QUERIES)
-ORACLES: dict[str, str] = dict(E.ORACLES)
+QUERIES: dict = E.QUERIES | W.QUERIES
+ORACLES: dict[str, str] = E.ORACLES | W.ORACLES
 
 
 def query(sql: str | None):

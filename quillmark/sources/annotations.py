@@ -74,6 +74,16 @@ def scan_files(spark: SparkSession, path: str, glob: str = "*.yaml", skip: str |
     return files.select("path", F.decode("content", "UTF-8").alias("text"))
 
 
+def read_yaml(text: str | None) -> tuple[str | None, str | None]:
+    """(JSON text, error) of a YAML document, one of them null; dates stay text."""
+    import yaml
+
+    try:
+        return json.dumps(yaml.safe_load(text or ""), default=str), None
+    except (yaml.YAMLError, ValueError, TypeError) as e:
+        return None, str(e)
+
+
 def parse_yaml(files: DataFrame) -> DataFrame:
     """(path, doc variant, error): YAML has no JVM reader, so it is parsed in Arrow batches.
 
@@ -81,18 +91,9 @@ def parse_yaml(files: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        import yaml
-
         for b in batches:
-            docs, errors = [], []
-            for text in b["text"]:
-                try:
-                    docs.append(json.dumps(yaml.safe_load(text or ""), default=str))
-                    errors.append(None)
-                except (yaml.YAMLError, ValueError, TypeError) as e:
-                    docs.append(None)
-                    errors.append(str(e))
-            yield pd.DataFrame({"path": b["path"], "doc": docs, "error": errors}).astype(object)
+            read = [read_yaml(text) for text in b["text"]]
+            yield pd.DataFrame({"path": b["path"], "doc": [d for d, _ in read], "error": [e for _, e in read]}).astype(object)
 
     return files.select("path", "text").mapInPandas(run, "path string, doc string, error string").withColumn("doc", F.try_parse_json("doc"))
 
@@ -110,6 +111,12 @@ def requested(documents: DataFrame, paths: DataFrame) -> DataFrame:
     return paths.select("path").join(documents, "path", "left").withColumn("error", F.when(F.col("doc").isNull(), F.coalesce("error", F.lit(MISSING))))
 
 
+def manifest_items(documents: DataFrame, manifest: DataFrame) -> DataFrame:
+    """items() of the documents of a manifest (path, and ord where their order matters), flattened to one table, with ord."""
+    order = manifest.select("path", "ord") if "ord" in manifest.columns else manifest.select("path", F.lit(None).cast("int").alias("ord"))
+    return items(documents.join(order.select("path").distinct(), "path", "left_semi")).join(order, "path")
+
+
 def items(documents: DataFrame) -> DataFrame:
     """(path, idx, item_id, item variant): evidence items in order; null evidence has none."""
     evidence = F.try_variant_get("doc", "$.evidence", "array<variant>")

@@ -191,7 +191,8 @@ def test_coverage_of_annotations(spark):
     assert got["Organism"] == (0, 1)
     assert got["Measurement Target"] == (0, 0)
     lines = [r["line"] for r in Cov.as_markdown(table).collect()]
-    assert len(lines) == 16 and len({len(x) for x in lines}) == 1
+    assert lines[0] == "# Dimension coverage over 4 GeneticEvidence items" and len(lines) == 17 and len({len(x) for x in lines[1:]}) == 1
+    assert Cov.as_markdown(table, "six papers").first()["line"] == "# Dimension coverage over 4 GeneticEvidence items (six papers)"
 
 
 def test_yaml_scan(spark, tmp_path):
@@ -289,10 +290,6 @@ def test_review(spark):
     tally = {r["added"]: (r["total"], r["approved"], r["rejected"]) for r in R.verdict_tally(v).collect()}
     assert tally == {False: (3, 1, 1), True: (1, 1, 0)}
     items = spark.createDataFrame([("p", f"GE-{i}", "old") for i in (1, 2, 3)], "path string, item_id string, item string")
-    edits = spark.createDataFrame([("p", "GE-2", "new"), ("p", "GE-1", "not asked for")], "path string, item_id string, item string")
-    added = spark.createDataFrame([("p", "GE-new-1", "more")], "path string, item_id string, item string")
-    out = {r["item_id"]: r["item"] for r in R.apply_verdicts(items, v, edits, added).collect()}
-    assert out == {"GE-1": "old", "GE-2": "new", "GE-new-1": "more"}
     none = spark.createDataFrame([], "path string")
     assert R.second_round(v, none).first()["warranted"]
     assert R.unmatched(items, v, ["path", "item_id"]).count() == 1
