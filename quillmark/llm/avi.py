@@ -140,53 +140,128 @@ def mux(frames: list[bytes], fps: int = FPS) -> bytes:
     return _chunk(b"RIFF", b"AVI " + head + _chunk(b"LIST", b"movi" + b"".join(parts)) + _chunk(b"idx1", b"".join(index)))
 
 
-def read_index(avi: bytes) -> tuple[int, list[tuple[int, int]]]:
-    """(microseconds a frame, [(offset, size) of each video frame]) by the RIFF index, else by the movi list.
-
-    Index offsets count from the movi list's name, or from the file's start where they lie beyond that.
-    """
-    if avi[:4] != b"RIFF" or avi[8:12] != b"AVI ":
-        raise ValueError("not a RIFF/AVI file")
-    micros, movi, index, found = 0, None, None, []
-
-    def walk(at: int, end: int, depth: int = 0) -> None:
-        nonlocal micros, movi, index
-        if depth > MOST_DEPTH:
-            raise ValueError("lists are nested too deep")
+class Chunks:
+    """What a file's RIFF chunks hold: microseconds a frame, movi lists, the old index, and the entries of OpenDML ones."""
+
+    def __init__(self, avi: bytes):
+        self.avi, self.micros, self.movi, self.idx1, self.super = avi, 0, [], None, []
+        if avi[:4] != b"RIFF" or avi[8:12] != b"AVI ":
+            raise ValueError("not a RIFF/AVI file")
+        at = 0
+        # Files of over a gigabyte go on in further RIFF chunks.
+        while at + 12 <= len(avi) and avi[at : at + 4] == b"RIFF":
+            if at and avi[at + 8 : at + 12] != b"AVIX":
+                raise ValueError("a RIFF chunk after the first is no AVIX one")
+            size = int.from_bytes(avi[at + 4 : at + 8], "little")
+            if at and at + 8 + size > len(avi):
+                raise ValueError("an AVIX chunk runs beyond the file")
+            self._walk(at + 12, min(len(avi), at + 8 + size))
+            at += 8 + size + (size & 1)
+        if avi[at:].strip(b"\0"):
+            raise ValueError("bytes after the last RIFF chunk belong to none")
+
+    def _parts(self, at: int, end: int):
+        """(kind, beginning, end) of the chunks between two places."""
+        avi = self.avi
         while at + 8 <= end:
-            kind, size = avi[at : at + 4], int.from_bytes(avi[at + 4 : at + 8], "little")
             body = at + 8
+            size = int.from_bytes(avi[at + 4 : body], "little")
             if body + size > end:
                 raise ValueError("a chunk runs beyond its list")
+            yield avi[at : at + 4], body, body + size
+            at = body + size + (size & 1)
+
+    def _walk(self, at: int, end: int, depth: int = 0) -> None:
+        if depth > MOST_DEPTH:
+            raise ValueError("lists are nested too deep")
+        for kind, body, stop in self._parts(at, end):
             if kind == b"LIST":
-                if avi[body : body + 4] == b"movi":
-                    movi = (body, body + size)
+                if self.avi[body : body + 4] == b"movi":
+                    self.movi.append((body, stop))
                 else:
-                    walk(body + 4, body + size, depth + 1)
+                    self._walk(body + 4, stop, depth + 1)
             elif kind == b"avih":
-                micros = int.from_bytes(avi[body : body + 4], "little")
+                self.micros = int.from_bytes(self.avi[body : body + 4], "little")
             elif kind == b"idx1":
-                index = (body, body + size)
-            at = body + size + (size & 1)
+                self.idx1 = self.idx1 or (body, stop)
+            elif kind == b"indx" and self.avi[body + 8 : body + 12][2:] in VIDEO:
+                self.super.append((body, stop))
 
-    walk(12, min(len(avi), 8 + int.from_bytes(avi[4:8], "little")))
-    if movi is None:
-        return micros, []
-    if index is not None:
-        for kind, _, offset, size in struct.iter_unpack("<4sIII", avi[index[0] : index[0] + (index[1] - index[0]) // 16 * 16]):
-            if kind[2:] in (b"dc", b"db"):
-                at = movi[0] + offset if avi[movi[0] + offset : movi[0] + offset + 4] == kind else offset
+    def frames(self, at: int, end: int, depth: int = 0):
+        """(stream, offset, size) of the video frames between two places of a movi list, those in its rec lists included."""
+        if depth > MOST_DEPTH:
+            raise ValueError("lists are nested too deep")
+        for kind, body, stop in self._parts(at, end):
+            if kind == b"LIST":
+                yield from self.frames(body + 4, stop, depth + 1)
+            elif kind[2:] in VIDEO:
+                yield kind[:2], body, stop - body
+
+    def old_index(self):
+        """Frames of idx1, which counts from the first movi list's name, or from the file's start where they lie beyond that."""
+        avi, first = self.avi, self.movi[0][0]
+        body, stop = self.idx1
+        for kind, _, offset, size in struct.iter_unpack("<4sIII", avi[body : body + (stop - body) // 16 * 16]):
+            if kind[2:] in VIDEO:
+                at = first + offset if avi[first + offset : first + offset + 4] == kind else offset
                 if avi[at : at + 4] != kind or at + 8 + size > len(avi):
                     raise ValueError("an index entry points at no frame")
-                found.append((at + 8, size))
-        return micros, found
-    at = movi[0] + 4
-    while at + 8 <= movi[1]:
-        size = int.from_bytes(avi[at + 4 : at + 8], "little")
-        if avi[at + 2 : at + 4] in (b"dc", b"db"):
-            found.append((at + 8, size))
-        at += 8 + size + (size & 1)
-    return micros, found
+                yield kind[:2], at + 8, size
+
+    def chunk_index(self, body: int, stop: int):
+        """Frames of an OpenDML index of chunks; a size's highest bit only says that a frame is no key frame."""
+        avi = self.avi
+        words, _, kind, n, name, base = struct.unpack("<HBBI4sQ", avi[body : body + 20])
+        if kind != 1 or words != 2 or body + 24 + 8 * n > stop:
+            raise ValueError("an index of chunks is of no known kind")
+        for offset, size in struct.iter_unpack("<II", avi[body + 24 : body + 24 + 8 * n]):
+            at, size = base + offset, size & 0x7FFFFFFF
+            if at < 8 or at + size > len(avi) or avi[at - 8 : at - 4] != name:
+                raise ValueError("an index entry points at no frame")
+            yield name[:2], at, size
+
+    def open_index(self):
+        """Frames of the OpenDML indexes: of chunks, or of such indexes, anywhere in the file."""
+        avi = self.avi
+        for body, stop in self.super:
+            if stop - body < 24:
+                raise ValueError("an index breaks off")
+            words, _, kind, n = struct.unpack("<HBBI", avi[body : body + 8])
+            if kind == 1:
+                yield from self.chunk_index(body, stop)
+                continue
+            if kind or words != 4 or body + 24 + 16 * n > stop:
+                raise ValueError("an index of indexes is of no known kind")
+            for offset, size, _ in struct.iter_unpack("<QII", avi[body + 24 : body + 24 + 16 * n]):
+                if offset + 32 > len(avi) or avi[offset : offset + 2] != b"ix":
+                    raise ValueError("an index entry points at no index")
+                yield from self.chunk_index(offset + 8, min(len(avi), offset + 8 + int.from_bytes(avi[offset + 4 : offset + 8], "little")))
+
+
+#: Last letters of a video chunk's name.
+VIDEO = (b"dc", b"db")
+
+
+def read_index(avi: bytes) -> tuple[int, list[tuple[int, int]]]:
+    """(microseconds a frame, [(offset, size) of each video frame]) by the file's indexes, else by its movi lists.
+
+    OpenDML indexes hold for the whole file, the old one for the first movi list; lists that no index speaks of are
+    read themselves, rec lists included.  An index that speaks of other frames than the lists have is an error, and
+    so is a file with two video streams.
+    """
+    file = Chunks(avi)
+    listed = [f for at, end in file.movi for f in file.frames(at + 4, end)]
+    if file.super:
+        found = list(file.open_index())
+    elif file.idx1 is not None and file.movi:
+        found = [*file.old_index(), *(f for at, end in file.movi[1:] for f in file.frames(at + 4, end))]
+    else:
+        found = listed
+    if found is not listed and sorted(found) != sorted(listed):
+        raise ValueError("the index and the lists have different frames")
+    if len({stream for stream, _, _ in found}) > 1:
+        raise ValueError("only files of one video stream are read")
+    return file.micros, [(at, size) for _, at, size in found]
 
 
 class FrameInfo:
@@ -507,8 +582,10 @@ def avi_clips(files: DataFrame, id_col: str = "doc_id", media_col: str = "media"
 
     Grey and colour baseline frames are read, with their own or the standard's Huffman tables; shots show in the
     brightness.  A null, empty or broken file, whatever is wrong with it, gives one row with nulls and its
-    error, and the others go on; a file without frames gives none; null ids and repeated rows stay.  A file is
-    one value, and of its frames so many are decoded at a time as MOST_COEFFICIENTS allow.
+    error, and the others go on; a file without frames gives none; null ids and repeated rows stay, other columns
+    are not looked at, and an empty table gives no rows.  Files in several RIFF segments, with rec lists, and with
+    old or OpenDML indexes are read whole.  A file is one value, and of its frames so many are decoded at a time as
+    MOST_COEFFICIENTS allow.
     """
     kind = files.schema[id_col].dataType.simpleString()
 
@@ -543,8 +620,8 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
 
     Each text is stored as an AVI file and the row comes from reading that file's bytes back.  Null texts
-    count as empty and store UNIT spaces; null ids and repeated rows stay; other columns are ignored.  Work
-    is per row, in groups of about group_bytes, without a shuffle.
+    count as empty and store UNIT spaces; null ids and repeated rows stay; other columns are ignored; a very long
+    text is one row's file; an empty table gives no rows.  Work is per row, in groups of about group_bytes, without a shuffle.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]

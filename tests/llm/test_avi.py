@@ -122,6 +122,82 @@ def test_few_at_a_time(monkeypatch):
     assert np.array_equal(A.file_histograms(A.write_avi(raw))[1], whole)
 
 
+def parted(frames, segments=3, rec=False, index="none", spoil=None):
+    """A file whose frames are dealt to RIFF segments, with or without rec lists and OpenDML or old indexes."""
+    chunk = lambda f: A._chunk(b"00dc", f)
+    plain = A.mux(frames)
+    head = plain[12 : plain.index(b"LIST", plain.index(b"strf")) ]
+    size = -(-len(frames) // segments)
+    parts = [frames[k : k + size] for k in range(0, len(frames), size)]
+    bodies = []
+    for own in parts:
+        body = b"".join(A._chunk(b"LIST", b"rec " + b"".join(map(chunk, own[k : k + 2]))) for k in range(0, len(own), 2)) if rec else b"".join(map(chunk, own))
+        bodies.append(body)
+
+    def build(places, sizes):
+        """Two passes: the second knows where the frames and their indexes came to lie."""
+        out, at_ix = b"", []
+        for k, own in enumerate(parts):
+            mine = places[sum(map(len, parts[:k])) :][: len(own)]
+            entries = b"".join(A.struct.pack("<II", p, n | (0x80000000 if j else 0)) for j, (p, n) in enumerate(mine))
+            ix = A._chunk(b"ix00", A.struct.pack("<HBBI4sQI", 2, 0, 1, len(own), b"00dc", 0, 0) + entries)
+            movi = A._chunk(b"LIST", b"movi" + bodies[k] + (ix if index == "open" else b""))
+            if k:
+                at_ix.append(len(out) + 12 + len(movi) - len(ix))
+                out += A._chunk(b"RIFF", b"AVIX" + movi)
+                continue
+            indx = A._chunk(b"indx", A.struct.pack("<HBBI4sQI", 4, 0, 0, len(parts), b"00dc", 0, 0) + b"".join(A.struct.pack("<QII", p, 0, 0) for p in sizes))
+            first = head + (A._chunk(b"LIST", b"strl" + indx) if index == "open" else b"")
+            old = b""
+            if index == "old":
+                old = A._chunk(b"idx1", b"".join(A.struct.pack("<4sIII", b"00dc", 16, p - 8, n) for p, n in mine))
+            at_ix.append(len(out) + 12 + len(first) + len(movi) - len(ix))
+            out += A._chunk(b"RIFF", b"AVI " + first + movi + old)
+        return out, at_ix
+
+    file, at_ix = build([(8, 0)] * len(frames), [0] * len(parts))
+    places, at = [], 0
+    for f in frames:
+        at = file.index(b"00dc" + len(f).to_bytes(4, "little") + f, at) + 8
+        places.append((at, len(f)))
+    if spoil is not None:
+        places[spoil] = places[0]
+    return build(places, at_ix)[0]
+
+
+@pytest.mark.parametrize("index", ["none", "old", "open"])
+@pytest.mark.parametrize("rec", [False, True])
+@pytest.mark.parametrize("segments", [1, 3])
+def test_segments_rec_lists_and_indexes(index, rec, segments):
+    frames = A.encode_frames(np.arange(7 * 192, dtype=np.int64).reshape(7, 192).astype(np.uint8))
+    media = parted(frames, segments, rec, index)
+    micros, found = A.read_index(media)
+    assert micros == 40_000 and [media[a : a + n] for a, n in found] == frames
+    assert A.Chunks(media).super or index != "open"
+
+
+def test_indexes_that_lose_frames_are_errors(spark):
+    frames = A.encode_frames(np.arange(6 * 192, dtype=np.int64).reshape(6, 192).astype(np.uint8))
+    whole = parted(frames, 2, True, "open")
+    two = A.mux(frames)
+    at = two.index(b"00dc")
+    bad = {
+        "repeats one": parted(frames, 2, False, "open", spoil=4),
+        "old leaves one out": parted(frames, 1, False, "old", spoil=3),
+        "second segment breaks off": whole[:-40],
+        "bytes after": whole + b"more bytes than none",
+        "no ix": whole.replace(b"ix00", b"jx00"),
+        "two streams": two[:at] + b"01dc" + two[at + 4 :],
+        "another RIFF": whole + b"RIFF\x04\0\0\0WAVE",
+    }
+    files = spark.createDataFrame([("whole", bytearray(whole)), ("padded", bytearray(whole + bytes(20))), *((k, bytearray(v)) for k, v in bad.items())], "doc_id string, media binary")
+    rows = {}
+    for r in A.avi_clips(files).collect():
+        rows.setdefault(r["doc_id"], []).append(r)
+    assert rows["whole"][-1]["last_frame"] == rows["padded"][-1]["last_frame"] == 5
+    assert all(len(rows[k]) == 1 and rows[k][0]["error"] for k in bad)
+
+
 def test_every_broken_file_gives_its_error(spark):
     good = A.mux([colour_frame([5] * 8)] * 3)
     frame = colour_frame([5] * 8)
