@@ -23,17 +23,25 @@ def repeated_words(windows: dict[str, int]) -> str:
 
 
 OP1 = f"""
-    WITH rows AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+    WITH RECURSIVE rows AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
     words AS (SELECT r, regexp_extract_all(text, '[^{BLANKS}]+') AS w FROM rows),
     lines AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM rows) WHERE regexp_matches(line, '[^{BLANKS}]') GROUP BY r),
-    {repeated_words({"short": WINDOW, "covered": MIN_REPEAT, "long": MAX_LONGEST + 1})},
+    {repeated_words({"short": WINDOW, "covered": MIN_REPEAT})},
+    search(r, n, w, lo, hi) AS (
+        SELECT r, len(w)::BIGINT, w, 0::BIGINT, NULL::BIGINT FROM words
+        UNION ALL SELECT r, n, w, CASE WHEN found THEN k ELSE lo END, CASE WHEN found THEN hi ELSE k END FROM (
+            SELECT *, k < n AND len(list_distinct(x)) < len(x) AS found FROM (
+                SELECT *, list_transform(range(1, n - k + 2), lambda i: hash(w[i:i + k - 1])) AS x FROM (
+                    SELECT *, CASE WHEN hi IS NULL THEN greatest(1, 2 * lo) ELSE (lo + hi) // 2 END AS k FROM search WHERE hi IS NULL OR hi - lo > 1)))
+    ),
+    longest AS (SELECT r, max(lo) AS n FROM search GROUP BY r),
     counted AS (
         SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[{BLANKS}]+', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
-            coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(s.n, 0)::BIGINT AS n_repeat_words, coalesce(c.n, 0)::BIGINT AS covered_words, g.n IS NOT NULL AS has_long
-        FROM rows JOIN words USING (r) LEFT JOIN lines l USING (r) LEFT JOIN short s USING (r) LEFT JOIN covered c USING (r) LEFT JOIN long g USING (r)
+            coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(s.n, 0)::BIGINT AS n_repeat_words, coalesce(c.n, 0)::BIGINT AS covered_words, g.n AS longest_repeat
+        FROM rows JOIN words USING (r) LEFT JOIN lines l USING (r) LEFT JOIN short s USING (r) LEFT JOIN covered c USING (r) LEFT JOIN longest g USING (r)
     ),
     judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)
-    SELECT * EXCLUDE (has_long), NOT base_failed AND covered_words <= {MAX_COVERED} * n_words AND NOT has_long AS kept FROM judged
+    SELECT *, NOT base_failed AND covered_words <= {MAX_COVERED} * n_words AND longest_repeat <= {MAX_LONGEST} AS kept FROM judged
 """
 
 

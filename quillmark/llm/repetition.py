@@ -76,47 +76,86 @@ def common_prefixes(order: np.ndarray, ranks: list[np.ndarray]) -> np.ndarray:
     return lcp
 
 
-def longest_repeats(ids: np.ndarray) -> np.ndarray:
-    """For each place, the length of the longest stretch from there that also begins elsewhere."""
-    order, ranks = suffix_order(ids)
-    lcp = common_prefixes(order, ranks)
-    out = np.empty(len(ids), np.int64)
-    out[order] = np.maximum(lcp, np.append(lcp[1:], 0))
-    return out
-
-
-def lcp_intervals(lcp: np.ndarray) -> list[tuple[int, int, int]]:
-    """(length, first, last) of every LCP interval with a positive length, in suffix order."""
+def lcp_intervals(lcp, start: int = 0) -> list[tuple[int, int, int]]:
+    """(length, first, last) of every LCP interval with a positive length, inner ones before outer ones; places count from start."""
+    lcp = lcp.tolist() if isinstance(lcp, np.ndarray) else lcp
     out, stack = [], [(0, 0)]
     for i in range(1, len(lcp) + 1):
-        here = int(lcp[i]) if i < len(lcp) else 0
+        here = lcp[i] if i < len(lcp) else 0
         left = i - 1
         while stack[-1][0] > here:
             length, left = stack.pop()
-            out.append((length, left, i - 1))
+            out.append((length, start + left, start + i - 1))
         if stack[-1][0] < here:
             stack.append((here, left))
     return out
 
 
-def maximal_repeats(words: list, min_repeat: int = 1) -> list[tuple[int, tuple[int, ...]]]:
-    """(length, places) of every maximal repeat of at least min_repeat words, longest first.
+def maximal_intervals(order: np.ndarray, lcp: np.ndarray, before: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length, first, last) of the LCP intervals of at least `least` that are maximal repeats, inner ones first.
 
-    An LCP interval whose suffixes don't all follow the same word can be extended neither way.
+    before is the symbol before each place.  An interval whose suffixes all follow one symbol could be extended to the
+    left, and is left out.  Only stretches of the order where common prefixes are long enough are walked.
     """
+    long = lcp >= least
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], long, [False])).astype(np.int8)))
+    found = []
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        # The stretch begins with the suffix before the first long prefix, which has none here.
+        found += lcp_intervals([0, *lcp[a:b].tolist()], a - 1)
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    length, first, last = np.array([f for f in found if f[0] >= least] or np.zeros((0, 3)), np.int64).T
+    follows = before[order]
+    changes = np.concatenate(([0], np.cumsum(follows[1:] != follows[:-1])))
+    keep = changes[last] > changes[first]
+    return length[keep], first[keep], last[keep]
+
+
+def spans_of(order: np.ndarray, length: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """For each place, the length of the longest maximal repeat that begins there; 0 for none.
+
+    Intervals come inner ones first, and a place belongs to the innermost: what outer ones have of it is shorter.
+    """
+    reach, free = np.zeros(len(order), np.int64), {}
+    order = order.tolist()
+    for n, a, b in zip(length.tolist(), first.tolist(), last.tolist(), strict=True):
+        at = a
+        while at <= b:
+            # Places that are taken are stepped over together.
+            if at in free:
+                step = at
+                while step in free:
+                    step = free[step]
+                while at in free and at != step:
+                    free[at], at = step, free[at]
+                at = step
+                continue
+            reach[order[at]] = n
+            free[at] = at + 1
+            at += 1
+    return reach
+
+
+def maximal_repeats(words: list, min_repeat: int = 1) -> list[tuple[int, tuple[int, ...]]]:
+    """(length, places) of every maximal repeat of at least min_repeat words, longest first."""
     known: dict = {}
     ids = np.array([known.setdefault(w, len(known)) for w in words] + [len(words)], dtype=np.int64)
     order, ranks = suffix_order(ids)
-    out = []
-    for length, a, b in lcp_intervals(common_prefixes(order, ranks)):
-        places = sorted(order[a : b + 1].tolist())
-        if length >= min_repeat and (places[0] == 0 or len({ids[p - 1] for p in places}) > 1):
-            out.append((length, tuple(places)))
+    length, first, last = maximal_intervals(order, common_prefixes(order, ranks), before_each(ids, np.zeros(1, np.int64)), min_repeat)
+    out = [(n, tuple(sorted(order[a : b + 1].tolist()))) for n, a, b in zip(length.tolist(), first.tolist(), last.tolist(), strict=True)]
     return sorted(out, key=lambda r: (-r[0], r[1]))
 
 
+def before_each(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The symbol before each place; the first place of a text has one of its own."""
+    before = np.concatenate(([-1], ids[:-1]))
+    before[starts] = -1 - np.arange(len(starts))
+    return before
+
+
 def repeats_of(texts: list[str], min_repeat: int, window: int):
-    """Arrays by text: words, words under windows found again, words under maximal repeats, longest repeat."""
+    """By text: words, words under windows found again, words under maximal repeats, longest repeat, and each place's longest maximal repeat."""
     known: dict[bytes, int] = {}
     words, sizes = [], np.empty(len(texts), np.int64)
     for k, t in enumerate(texts):
@@ -130,24 +169,43 @@ def repeats_of(texts: list[str], min_repeat: int, window: int):
     # One suffix array holds all texts: places are set apart by text, so that repeats are sought within one.
     owner = np.repeat(np.arange(len(texts)), sizes + 1)
     _, local = np.unique(owner * (len(known) + len(texts) + 1) + ids, return_inverse=True)
-    reach = longest_repeats(local)
+    order, ranks = suffix_order(local)
+    lcp = common_prefixes(order, ranks)
     starts = ends - sizes - 1
+    # Words of a window found again: each place with as long a prefix in common with a neighbour of the order.
+    again = np.empty(len(ids), np.int64)
+    again[order] = np.maximum(lcp, np.append(lcp[1:], 0))
+    reach = spans_of(order, *maximal_intervals(order, lcp, before_each(local, starts), min_repeat))
 
-    def covered(least: int) -> np.ndarray:
+    def covered(reach: np.ndarray, least: int) -> np.ndarray:
         at = np.flatnonzero(reach >= least)
         edge = np.bincount(at, minlength=len(ids) + 1) - np.bincount(at + reach[at], minlength=len(ids) + 1)
         return np.add.reduceat((np.cumsum(edge)[: len(ids)] > 0).astype(np.int64), starts)
 
-    return sizes, covered(window), covered(min_repeat), np.maximum.reduceat(reach, starts)
+    # The longest interval of a text is always a maximal repeat.
+    return sizes, covered(again, window), covered(reach, min_repeat), np.maximum.reduceat(again, starts), [reach[a : a + n] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+
+
+def merged(reach: np.ndarray) -> list[dict]:
+    """The union of a text's maximal repeats as spans of words: first and end."""
+    at = np.flatnonzero(reach)
+    if not len(at):
+        return []
+    end = np.maximum.accumulate(at + reach[at])
+    cut = np.flatnonzero(np.concatenate(([True], at[1:] > end[:-1])))
+    return [{"first": a, "end": b} for a, b in zip(at[cut].tolist(), end[np.append(cut[1:] - 1, len(at) - 1)].tolist(), strict=True)]
 
 
-def text_rules(texts: list[str | None], min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> dict[str, np.ndarray]:
-    """Counts and verdicts of texts, an array for each result column."""
+def text_rules(texts: list[str | None], min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST, spans: list | None = None) -> dict[str, np.ndarray]:
+    """Counts and verdicts of texts, an array for each result column; spans, a list, gets each text's spans under repeats."""
     texts = [t or "" for t in texts]
     cols: dict[str, list] = {"n_words": [], "n_repeat_words": [], "covered_words": [], "longest_repeat": []}
     for a, b in chunks(texts):
-        for name, values in zip(cols, repeats_of(texts[a:b], min_repeat, WINDOW), strict=True):
+        *counts, reach = repeats_of(texts[a:b], min_repeat, WINDOW)
+        for name, values in zip(cols, counts, strict=True):
             cols[name].append(values)
+        if spans is not None:
+            spans += [merged(r) for r in reach]
     out = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in cols.items()}
     chars, symbols, dups = (np.zeros(len(texts), np.int64) for _ in range(3))
     for i, t in enumerate(texts):
@@ -166,20 +224,25 @@ def text_rules(texts: list[str | None], min_repeat: int = MIN_REPEAT, max_covere
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat", "base_failed", "kept")
 
 
-def repetition_rules(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document with its counts, base_failed and kept.
+def repetition_rules(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
+    """One row per document with its counts, base_failed and kept; with spans also the stretches under maximal repeats.
 
-    Words are split at ASCII white space.  Maximal repeats are stretches of at least min_repeat words that
-    occur twice or more in the text and can be extended neither way; overlapping occurrences count.  kept is
-    false if the base rule fails, if the union of their spans covers over max_covered of the words, or if
-    one has over max_longest words.  Null and empty texts have no words and fail the base rule; null ids and
-    repeated rows are kept as they come; other columns are ignored.  The work is per row: no shuffle.
+    Words are split at ASCII white space.  Maximal repeats are LCP intervals of at least min_repeat words of a suffix
+    array that can be extended neither way; overlapping occurrences count.  kept is false if the base rule fails, if
+    the union of their spans covers over max_covered of the words, or if one has over max_longest words.  spans:
+    array of (first, end), places of words, in order and apart.  Null and empty texts have no words and fail the
+    base rule; a text that is the same word all over is one repeat; null ids and repeated rows are kept as they
+    come; other columns are ignored; an empty table gives no rows.  The work is per row, a very long text
+    included: no shuffle.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = ", ".join([f"doc_id {kind}"] + [f"{c} {'boolean' if c in ('base_failed', 'kept') else 'long'}" for c in COLUMNS])
+    schema = ", ".join([f"doc_id {kind}"] + [f"{c} {'boolean' if c in ('base_failed', 'kept') else 'long'}" for c in COLUMNS] + ["spans array<struct<first:long,end:long>>"] * spans)
 
     def run(batches):
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"]} | {c: v for c, v in text_rules(list(b["text"]), min_repeat, max_covered, max_longest).items() if c in COLUMNS})[["doc_id", *COLUMNS]]
+            found = [] if spans else None
+            rules = text_rules(list(b["text"]), min_repeat, max_covered, max_longest, found)
+            out = pd.DataFrame({"doc_id": b["doc_id"]} | {c: rules[c] for c in COLUMNS})
+            yield out.assign(spans=found) if spans else out
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)

@@ -36,6 +36,34 @@ def test_maximal_repeats():
     assert maximal_repeats([]) == []
 
 
+def test_maximal_repeats_against_brute_force():
+    """Every stretch that comes twice and can be extended neither way, and the spans that they make up together."""
+    rng = random.Random(6)
+    texts = [[rng.choice("ab") for _ in range(rng.randint(0, 30))] for _ in range(150)] + [["a"] * 40, list("ab") * 20, list("abc") * 9 + list("xabc")]
+    spans = []
+    got = text_rules([" ".join(t) for t in texts], 3, spans=spans)
+    for k, t in enumerate(texts):
+        places = {}
+        for n in range(1, len(t)):
+            for i in range(len(t) - n + 1):
+                places.setdefault(tuple(t[i : i + n]), []).append(i)
+        want = {}
+        for w, at in places.items():
+            ends = {t[i + len(w)] if i + len(w) < len(t) else None for i in at}
+            heads = {t[i - 1] if i else None for i in at}
+            if len(at) > 1 and (len(heads) > 1 or None in heads) and (len(ends) > 1 or None in ends):
+                want[len(w), tuple(at)] = 1
+        assert set(maximal_repeats(t)) == set(want)
+        under = sorted({p for n, at in want if n >= 3 for i in at for p in range(i, i + n)})
+        assert [p for s in spans[k] for p in range(s["first"], s["end"])] == under and got["covered_words"][k] == len(under)
+        assert all(a["end"] < b["first"] for a, b in zip(spans[k], spans[k][1:], strict=False)) or len(spans[k]) < 2
+
+
+def test_one_word_all_over():
+    got = text_rules(["z " * 40_000])
+    assert got["longest_repeat"][0] == 39_999 and got["covered_words"][0] == 40_000
+
+
 def test_words_are_split_at_ascii_blanks_only():
     got = text_rules(["a b c d\x1ce\tf\x0bg", "l\nl\n\n \nl\nm #$|"])
     assert got["n_words"].tolist() == [4, 5]
@@ -68,3 +96,5 @@ def test_frame(spark):
     rows = repetition_rules(docs).collect()
     assert sorted((r["doc_id"] or 0, r["n_words"], r["kept"]) for r in rows) == [(0, 0, False), (1, 2, False), (1, 2, False)]
     assert repetition_rules(docs.limit(0)).count() == 0
+    twice = spark.createDataFrame([(1, "x " + "a b c d e f g h i " * 2)], "doc_id long, text string")
+    assert [tuple(s) for s in repetition_rules(twice, spans=True).first()["spans"]] == [(1, 19)]
