@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, per_worker
+from .common import cut_lineage, held_out, per_worker, release
 
 # What a symbol may stand for.
 LEET = {
@@ -23,11 +23,12 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e",
 }
 GAPS = " .-_*"
+SIGNS = "".join(c for c in LEET if not c.isalnum())
 #: Costs of the channel, in nats: a symbol for a letter, a symbol as itself, a gap taken out, a repeat taken out.
 SUBSTITUTE, ITSELF, GAP, REPEAT = 0.7, 1.2, 0.2, 0.1
 START, END, OTHER = "\x02", "\x03", "\x01"
-#: Letters with counts of their own in the character model; the rest share OTHER.
-ALPHABET = 96
+#: Counts of n-grams lie in so many slots by hash, however many scripts a corpus has; each letter counts by itself.
+SLOTS = 1 << 20
 
 #: Labelled rows to learn from at most, by class: those with the least hash of their id.
 MAX_TOXIC, MAX_CLEAN = 4000, 8000
@@ -37,6 +38,7 @@ LEAST_DOCS, LEAST_SHARE = 3, 0.8
 MANY, TIMES = 3, "\x03"
 #: From this P(toxic | stem) on, or if no clean text has it, a sure stem is in the lexicon whatever else explains its texts.
 CLEAR_SHARE = 0.95
+TELLING = 3
 #: Marks of a text by which copies are known, and the chance of any stem's being sure by accident.
 MARKS, CHANCE = 8, 0.05
 
@@ -53,28 +55,43 @@ RUN = re.compile(r"(.)\1{3,}", re.S)
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
+class Slots:
+    """Counts of n-grams by hash; those that share a slot share its count."""
+
+    def __init__(self, counts: np.ndarray):
+        self.counts = counts
+
+    def get(self, gram: str, default: int = 0) -> int:
+        return int(self.counts[zlib.crc32(gram.encode("utf-8", "surrogatepass")) % len(self.counts)])
+
+
 class CharModel:
-    """Interpolated character trigrams within words."""
+    """Interpolated character trigrams within words.
 
-    def __init__(self, grams: dict[str, int], alphabet: str):
-        self.grams, self.alphabet = grams, frozenset(alphabet)
-        self.total = max(1, sum(c for g, c in grams.items() if len(g) == 1))
+    grams are counts, a dict or Slots; with an alphabet, letters beyond it are one symbol.  letters and total are the
+    number of different letters and of all single symbols, where they can't be told from grams.
+    """
+
+    def __init__(self, grams, alphabet: str | None = None, letters: int | None = None, total: int | None = None):
+        self.grams, self.alphabet = grams, None if alphabet is None else frozenset(alphabet)
+        self.letters = len(self.alphabet) if letters is None else letters
+        self.total = max(1, sum(c for g, c in grams.items() if len(g) == 1) if total is None else total)
         self.known: dict[tuple[str, str], float] = {}
 
     def logp(self, context: str, c: str) -> float:
         """log P(c | the last two characters)."""
-        c = c if c in self.alphabet or c == END else OTHER
+        c = c if c == END else self.folded(c)
         got = self.known.get((context, c))
         if got is None:
             g = self.grams.get
-            uni = (g(c, 0) + 0.1) / (self.total + 0.1 * (len(self.alphabet) + 2))
+            uni = (g(c, 0) + 0.1) / (self.total + 0.1 * (self.letters + 2))
             bi = (g(context[-1] + c, 0) + 4 * uni) / (g(context[-1], 0) + 4)
             tri = (g(context + c, 0) + 4 * bi) / (g(context, 0) + 4)
             got = self.known[(context, c)] = math.log(tri)
         return got
 
     def folded(self, c: str) -> str:
-        return c if c in self.alphabet else OTHER
+        return c if self.alphabet is None or c in self.alphabet else OTHER
 
 
 def word_grams(counts: Counter) -> Counter:
@@ -133,21 +150,20 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def char_model(docs: DataFrame, alphabet: int = ALPHABET) -> CharModel:
-    """The character model of all texts.
+def char_model(docs: DataFrame, slots: int = SLOTS) -> CharModel:
+    """The character model of all texts: every letter of every script counts by itself.
 
-    The driver gets the counts of at most alphabet letters and of the n-grams over them, so at most
-    (alphabet + 3)**3 whatever the input; every other letter is left to smoothing.
+    The driver gets a count for each slot at most, whatever the input; n-grams of one slot share it, which blurs the
+    counts of rare ones where there are more kinds than slots.
     """
-    counts = gram_counts(docs).persist()
-    try:
-        single = counts.where((F.length("gram") == 1) & ~F.col("gram").isin(START, END)).orderBy(F.desc("n"), "gram").limit(alphabet)
-        letters = [r["gram"] for r in single.collect()]
-        own = "[" + "".join(re.escape(c) for c in [*letters, START, END]) + "]"
-        kept = counts.where(F.col("gram").rlike(f"^{own}{{1,3}}$")).collect()
-    finally:
-        counts.unpersist()
-    return CharModel({r["gram"]: r["n"] for r in kept}, "".join(letters))
+    counts = cut_lineage(gram_counts(docs))
+    by_slot = counts.groupBy((F.crc32(F.col("gram").cast("binary")) % slots).cast("int").alias("slot")).agg(F.sum("n").alias("n")).toPandas()
+    single = F.length("gram") == 1
+    letters, total = counts.agg(F.count_if(single & ~F.col("gram").isin(START, END)), F.coalesce(F.sum(F.when(single, F.col("n"))), F.lit(0))).first()
+    release(counts)
+    table = np.zeros(slots, np.int64)
+    table[by_slot["slot"].to_numpy(np.int64)] = by_slot["n"].to_numpy(np.int64)
+    return CharModel(Slots(table), letters=letters, total=total)
 
 
 class Arcs(dict):
@@ -304,21 +320,28 @@ def often(counts: Counter) -> set[str]:
 class Reader:
     """Stems of whole texts that a wanted set holds; each distinct token is restored and looked up once.
 
-    Tokens that may be slight disguises and runs of short chunks count as written and as decoded.  Where stems
+    Tokens that may be slight disguises and runs of short chunks count as written and as decoded.  A word of split,
+    some of the wanted, in two or more pieces, parted by white space anywhere, is read as one chunk.  Where stems
     are wanted, only tokens whose skeleton holds that of one are read: no reading of the others has any.
     """
 
     MOST = 100_000
 
-    def __init__(self, lm: CharModel, wanted=None):
+    def __init__(self, lm: CharModel, wanted=None, split=()):
         self.restorer, self.wanted = Restorer(lm), None if wanted is None else set(wanted)
         self.bare = None if wanted is None else {w.split(TIMES)[0] for w in self.wanted}
         self.seen: set[str] = set()
         self.hits: dict[str, set[str]] = {}
         self.machine = None
+        # Skeletons of words that may come in pieces, their beginnings, and tokens that are such a beginning, with their skeletons.
+        self.words: set[str] = set()
+        self.beginnings: set[str] = set()
+        self.openers: dict[str, str] = {}
         if self.wanted:
             import ahocorasick
 
+            self.words = set(skeletons([w[1:] for w in split if w[0] == "="]).split("\0")) - {""}
+            self.beginnings = {w[:n] for w in self.words for n in range(1, len(w))}
             self.machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
             for s in skeletons([w.lstrip("=") for w in sorted(self.bare)]).split("\0"):
                 if s:
@@ -332,24 +355,48 @@ class Reader:
         if not self.machine or not tokens:
             return []
         shapes = skeletons(tokens)
+        self.openers.update((t, s) for t, s in zip(tokens, shapes.split("\0")[:-1], strict=True) if s in self.beginnings)
         ends = np.flatnonzero(np.frombuffer(shapes.encode("utf-32-le", "surrogatepass"), np.uint32) == 0)
         at = np.fromiter((e for e, _ in self.machine.iter(shapes)), np.int64)
         return [tokens[i] for i in np.unique(np.searchsorted(ends, at)).tolist()]
 
-    def stems(self, text: str | None) -> set[str]:
-        # A run holds a space, so it is never one of the tokens.
-        tokens = set(self.restorer.spaced(text).split()) | self.restorer.short_runs(text)
-        if len(self.seen) > self.MOST:
-            self.seen, self.hits = set(), {}
-        fresh = tokens - self.seen
-        for t in self.suspects(list(fresh)):
+    def split_words(self, tokens: list[str]) -> set[str]:
+        """Runs of tokens, pieces of any length, whose skeletons make up that of a wanted word together."""
+        out = set()
+        for i in [i for i, t in enumerate(tokens) if t in self.openers]:
+            whole = self.openers[tokens[i]]
+            for j in range(i + 1, len(tokens)):
+                # Signs at a word's end may be letters or not.
+                more, short = skeletons([tokens[j], tokens[j].rstrip(SIGNS)]).split("\0")[:2]
+                bare = whole + (short[1:] if short and whole[-1] == short[0] else short)
+                whole += more[1:] if more and whole[-1] == more[0] else more
+                if whole in self.words or bare in self.words:
+                    out.add(" ".join(tokens[i : j + 1]))
+                if whole not in self.beginnings:
+                    break
+        return out
+
+    def look_up(self, fresh: list[str]) -> None:
+        """Notes the wanted stems of tokens that haven't been met."""
+        for t in self.suspects(fresh):
             read = (self.restorer.read(t),) if " " in t else self.restorer.readings(t)
             got = set().union(*(token_stems(w) for r in read for w in r.split()))
             if self.bare is not None:
                 got &= self.bare
             if got:
                 self.hits[t] = got
-        self.seen |= fresh
+        self.seen.update(fresh)
+
+    def stems(self, text: str | None) -> set[str]:
+        # A run holds a space, so it is never one of the tokens.
+        listed = self.restorer.spaced(text).split()
+        tokens = set(listed) | self.restorer.short_runs(text)
+        if len(self.seen) > self.MOST:
+            self.seen, self.hits, self.openers = set(), {}, {}
+        self.look_up(list(tokens - self.seen))
+        if self.openers and (runs := self.split_words(listed)):
+            self.look_up(list(runs - self.seen))
+            tokens |= runs
         counts: Counter = Counter()
         for t in tokens & self.hits.keys():
             counts.update(self.hits[t])
@@ -479,10 +526,10 @@ def fit(docs: DataFrame, labels: DataFrame, lm: CharModel) -> tuple[dict[str, fl
         yield pd.DataFrame({"s": ["", *c], "n": [n, *c.values()]})
 
     def counts(of):
-        return texts.where(of).mapInPandas(counted, "s string, n long").groupBy("s").agg(F.sum("n").alias("n"))
+        return cut_lineage(texts.where(of).mapInPandas(counted, "s string, n long").groupBy("s").agg(F.sum("n").alias("n")))
 
     # Only stems whose odds suffice are collected, however many there are.
-    clean, toxic = counts("not toxic").persist(), counts("toxic").persist()
+    clean, toxic = counts("not toxic"), counts("toxic")
     try:
         n_clean = clean.where("s = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         n_toxic, share_toxic = min(n["t"], MAX_TOXIC), (n["t"] + 0.5) / (n["n"] + 1)
@@ -492,8 +539,7 @@ def fit(docs: DataFrame, labels: DataFrame, lm: CharModel) -> tuple[dict[str, fl
         a, b = F.col("n") * (share_toxic / max(1, n_toxic)), (F.col("c") + 0.5) * ((1 - share_toxic) / (n_clean + 1))
         rows = few.where(a >= (LEAST_SHARE - 1e-6) * (a + b)).collect()
     finally:
-        clean.unpersist()
-        toxic.unpersist()
+        release(clean, toxic)
     also = {r["s"]: r["c"] for r in rows}
     odds = stem_odds({r["s"]: r["n"] for r in rows}, also, n_toxic, n_clean, share_toxic)
     if not odds:
@@ -509,6 +555,11 @@ def fit(docs: DataFrame, labels: DataFrame, lm: CharModel) -> tuple[dict[str, fl
     return lexicon, min(0.4, (missed + 0.5) / (n["n"] - n["t"] + missed + 1))
 
 
+def telling(lexicon: dict[str, float]) -> set[str]:
+    """Stems that miss certainty at most TELLING times as far as the most telling one: others' pieces come together by chance."""
+    return {s for s, p in lexicon.items() if 1 - p <= TELLING * (1 - max(lexicon.values()))}
+
+
 def scorer(docs: DataFrame, labels: DataFrame):
     """A function for executors that gives a batch's scores, after fitting on docs and labels."""
     lm = char_model(docs)
@@ -517,7 +568,7 @@ def scorer(docs: DataFrame, labels: DataFrame):
 
     def scores():
         lm, lexicon, base = model.value
-        reader = per_worker(key, lambda: Reader(lm, lexicon.keys()))
+        reader = per_worker(key, lambda: Reader(lm, lexicon.keys(), telling(lexicon)))
         return lambda texts: np.array([text_score(reader.stems(t), lexicon, base) for t in texts], dtype=float)
 
     return scores
@@ -528,8 +579,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     The character model counts all texts; the lexicon learns from at most MAX_TOXIC + MAX_CLEAN labelled
     rows.  Null and empty texts score as texts without a stem of the lexicon; a null id is not held out;
-    repeated rows repeat; conflicting labels of one id count as their mean; without toxic labels every
-    score is 0.  Other columns are ignored.
+    repeated rows repeat; conflicting labels of one id count as their mean, ties as toxic; without toxic labels
+    every score is 0.  Other columns are ignored; a very long text is read whole; an empty table gives no rows.
     """
     scores = scorer(docs, labels)
     kind = docs.schema["doc_id"].dataType.simpleString()

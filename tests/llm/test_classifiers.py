@@ -123,6 +123,31 @@ def test_only_tokens_that_can_read_as_a_stem_are_read():
     assert T.Reader(lm, set()).stems("idiot") == set() and some.stems(None) == set()
 
 
+@pytest.mark.parametrize("written", ["stu pid", "st upid", "STUP\tid", "s tupid", "stup\n1d!", "st up id", "stu - pid", "as shole", "ass hole", "a$ s hole"])
+def test_words_in_pieces(written):
+    grams = T.word_grams(Counter({"idiot": 9, "stupid": 7, "asshole": 5, "hello": 6, "good": 4, "up": 8, "as": 9, "stop": 3}))
+    lm = T.CharModel(grams, "".join(g for g in grams if len(g) == 1 and g.isalpha()))
+    reader = T.Reader(lm, {"=stupid", "stup", "=asshole"}, {"=stupid", "=asshole"})
+    for text in (f"hello {written} good", f"hello {written}", written):
+        assert reader.stems(text) & {"=stupid", "=asshole"}
+    assert not reader.stems("hello stu and pid, as a whole up st")
+
+
+def test_letters_of_all_scripts_count(spark):
+    """Hundreds of letters: each has its own counts, as a plain count of all n-grams gives them."""
+    words = ["".join(chr(0x4E00 + (k * 7 + j * j) % 400) for j in range(3)) for k in range(300)] + ["hello", "\u0434\u0430", "\u05e9\u05dc"]
+    docs = spark.createDataFrame([(k, f"{w} {w} hello") for k, w in enumerate(words)], "doc_id long, text string")
+    want = Counter()
+    for w in words:
+        want.update([w, w, "hello"])
+    grams = T.word_grams(want)
+    plain = T.CharModel(dict(grams), "".join(g for g in grams if len(g) == 1 and g.isalpha()))
+    lm = T.char_model(docs)
+    assert lm.letters == plain.letters > 300
+    off = [w for w in words for k in range(len(w)) if abs(lm.logp((T.START * 2 + w)[k : k + 2], w[k]) - plain.logp((T.START * 2 + w)[k : k + 2], w[k])) > 1e-9]
+    assert len(off) < 0.02 * len(words)
+
+
 def test_word_grams_of_many_letters():
     words = Counter({"".join(chr(0x4E00 + 7 * (i + k)) for k in range(3)): 1 + i % 3 for i in range(400)})
     want = Counter()
