@@ -263,7 +263,8 @@ def identify_languages(docs: DataFrame, vocab_path: str | None = None) -> DataFr
     words of the sum over all their segmentations; pieces don't cross words.  score is the predicted
     language's share under equal priors; ties take the first language by name.  Null texts, texts without a
     letter, and all texts where no language is known give 'und' with score 0.  Null ids aren't held out;
-    repeated rows repeat; other columns are ignored.
+    repeated rows repeat; other columns are ignored; a very long text is scored word by word; an empty table gives
+    no rows.
     """
     vocab = load_vocabulary(vocab_path)
     langs, probs = estimate(training_counts(docs), vocab)

@@ -318,8 +318,10 @@ def segment_documents(docs: DataFrame, n_best: int = N_BEST, vocab_path: str | N
 
     nbest holds score, number of pieces and crc32 of the int32 ids of each of the n_best likeliest
     segmentations of the whole text; the first is the best and gives the columns beside it.  round_trip:
-    its ids decode to the very text, which is found out chunk by chunk.  Null texts give nulls with no segmentations; the empty text has one
-    without pieces.  Null ids and repeated rows stay; other columns are ignored; no shuffle.
+    its ids decode to the very text, which is found out chunk by chunk.  Null texts give nulls with no segmentations;
+    the empty text has one without pieces.  Segmentations of equal score come in a fixed order.  A very long text is a
+    chain of chunks; one without a blank is a single chunk, whose lattice takes memory with its length.  Null ids and
+    repeated rows stay; other columns are ignored; an empty table gives no rows; no shuffle.
     """
     make = _encoders(docs, n_best, vocab_path)
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -219,7 +219,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
     The model learns from at most max_rows labelled documents of either class.  Null and empty texts have
     the features of a text without words and are scored like any other; without labels every score is 0.5.
     A null id isn't held out; conflicting labels of one id count as their mean; repeated rows repeat; other
-    columns are ignored.  Scoring is per row, without a shuffle.
+    columns are ignored; an empty table gives no rows.  Equal features give equal scores; among cuts of equal gain
+    the first is taken.  Scoring is per row, of whole texts however long, without a shuffle.
     """
     x, y, weight = training_rows(docs, labels, max_rows)
     model = docs.sparkSession.sparkContext.broadcast(fit_ga2m(x, y, weight))
