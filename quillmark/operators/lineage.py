@@ -1,8 +1,12 @@
-"""Materialising a table that many branches of a plan read."""
+"""Materialising a table that many branches of a plan read, and thinning one before a join."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Slots that hashes are dealt to: at most so many numbers are broadcast.
+SLOTS = 1 << 20
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -14,3 +18,10 @@ def settle(df: DataFrame) -> DataFrame:
             return df.persist()
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def maybe_among(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows of df whose key, a hash, may be among wanted's, so that a join deals out few others; what is broadcast is bounded by SLOTS."""
+    slot = F.pmod(F.col(key), F.lit(SLOTS)).cast("int")
+    slots = wanted.select(slot.alias("_slot")).distinct()
+    return df.withColumn("_slot", slot).join(F.broadcast(slots), "_slot", "left_semi").drop("_slot")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions.text import collapse, fold_forms, words
-from quillmark.operators.lineage import settle
+from quillmark.operators.lineage import maybe_among, settle
 from quillmark.operators.versions import is_schema_key
 
 DECISIONS = ("approved", "approved_despite_flags", "marked_for_edit", "rejected")
@@ -135,7 +135,8 @@ def phrase_anchors(spans: DataFrame, pages: DataFrame, on: list[str], phrase: st
     keys = settle(phrase_keys(listed, on, window))
     # Kinds of keys, at most window + window^2 + window.
     kinds = sorted(r[0] for r in keys.select("kind").distinct().collect())
-    found = settle(page_keys(source, on, kinds, window).join(keys.select(*on, "h").distinct(), [*on, "h"], "left_semi"))
+    few = maybe_among(page_keys(source, on, kinds, window), "h", keys)
+    found = settle(few.join(keys.select(*on, "h").distinct(), [*on, "h"], "left_semi"))
     counted = found.groupBy(*on, "h").agg(F.count("*").alias("places"))
     best = keys.join(counted, [*on, "h"], "left").groupBy(*on, "phrase").agg(F.min(F.struct(F.coalesce("places", F.lit(0)).alias("places"), "h", "o", "n")).alias("b"))
     best = settle(best.where("b.places > 0").select(*on, "phrase", "b.h", "b.o", "b.n"))
