@@ -80,14 +80,41 @@ def plain(column: Column, kind: T.DataType) -> Column:
     return column
 
 
+#: A null number's place in a sort key, less than all numbers; it is the only float where the others are integers.
+LEAST = -math.inf
+
+
+def key_columns(column: Column, kind: T.DataType) -> list[Column]:
+    """A column as the one or two parts of a sort key from which it can be told again.
+
+    Text begins with a dot, so that null, as the empty text, comes first.  What may be NaN, or has no value less than
+    all, comes after its class: null, value or NaN.  Other nulls are left to composite().
+    """
+    x = plain(column, kind)
+    if isinstance(kind, T.StringType):
+        return [F.coalesce(F.concat(F.lit("."), x), F.lit(""))]
+    if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+        zero = F.lit(0.0).cast(kind)
+        return [F.when(x.isNull(), 0).when(F.isnan(x), 2).otherwise(1), F.coalesce(F.nanvl(x, zero), zero)]
+    if isinstance(kind, T.DecimalType | T.BinaryType):
+        return [x.isNotNull().cast("int"), F.coalesce(x, F.lit(b"" if isinstance(kind, T.BinaryType) else 0).cast(kind))]
+    return [x]
+
+
 def composite(row) -> tuple:
-    """A row as a sort key from which it can be told again: null as (), which comes first; NaN after all numbers."""
-    return tuple([() if v is None else (v,) if v == v else (math.inf, 1) for v in row])
+    """A row of key columns as a sort key."""
+    return tuple([LEAST if v is None else v for v in row])
 
 
-def told(key: tuple):
-    """The value that composite() made a key of."""
-    return None if not key else math.nan if len(key) == 2 else key[0]
+def told(parts: list, kind: pa.DataType) -> pa.Array:
+    """The values that key_columns() made these parts of, as an array."""
+    if len(parts) == 2:
+        values = [v if c == 1 else math.nan if c else None for c, v in zip(*parts, strict=True)]
+    elif pa.types.is_string(kind) or pa.types.is_large_string(kind):
+        values = [v[1:] if v else None for v in parts[0]]
+    else:
+        values = [None if v.__class__ is float else v for v in parts[0]]
+    return pa.array(values, type=kind)
 
 
 def arrow_schema(df: DataFrame) -> pa.Schema:
@@ -95,13 +122,14 @@ def arrow_schema(df: DataFrame) -> pa.Schema:
     return pa.schema([pa.field(f.name, k) for f, k in zip(df.schema.fields, kinds, strict=True)])
 
 
-def blocks(rows: Iterator, per_file: int, schema: pa.Schema) -> Iterator:
-    """((file_no, first index), (Arrow bytes, first key, last key)) of consecutive ranked rows."""
+def blocks(rows: Iterator, per_file: int, schema: pa.Schema, widths: list[int]) -> Iterator:
+    """((file_no, first index), (Arrow bytes, first key, last key)) of consecutive ranked rows; widths: parts of a column's key."""
+    ends = [1 + sum(widths[: i + 1]) for i in range(len(widths))]
     run, start = [], None
 
     def packed():
         columns = list(zip(*run, strict=True))
-        arrays = [pa.array([told(v) for v in c], type=f.type) for c, f in zip(columns[1:-1], schema, strict=True)]
+        arrays = [told(columns[end - w : end], f.type) for end, w, f in zip(ends, widths, schema, strict=True)]
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
             out.write_batch(pa.record_batch(arrays, schema=schema))
@@ -178,13 +206,14 @@ def write_ranked(df: DataFrame, columns: list[str], order: Column, layout: Layou
         return []
     written = df.select(*[F.col(f"`{c}`") for c in columns])
     schema, per_file = arrow_schema(written), 1 + n // FILES
-    values = [plain(F.col(f"`{f.name}`"), f.dataType) for f in written.schema.fields]
-    keyed = df.select(order, *values, F.col(tie) if tie else F.monotonically_increasing_id())
+    values = [key_columns(F.col(f"`{f.name}`"), f.dataType) for f in written.schema.fields]
+    widths = [len(v) for v in values]
+    keyed = df.select(order, *[part for v in values for part in v], F.col(tie) if tie else F.monotonically_increasing_id())
     keyed = keyed.toDF(*[f"k{i}" for i in range(len(keyed.columns))])
     rows = keyed.rdd.map(composite).persist(StorageLevel.DISK_ONLY)
     tasks = max(1, min(MOST_TASKS, -(-n // SORT_ROWS)))
     ranked = rows.sortBy(lambda row: row, numPartitions=tasks).zipWithIndex()
-    made = ranked.mapPartitions(lambda part: blocks(part, per_file, schema))
+    made = ranked.mapPartitions(lambda part: blocks(part, per_file, schema, widths))
     by_file = made.repartitionAndSortWithinPartitions(-(-n // per_file), lambda key: key[0])
     name, money, attempts = f"{folder}/{layout.name}", layout.money, f"{folder}-attempts"
 
@@ -307,10 +336,10 @@ def erase_files(spark: SparkSession, clients: DataFrame, clicks: DataFrame, sale
     own, by_click, by_sale, by_line = holding(files["clients"], 2), holding(files["clicks"], 1), holding(files["sales"], 1), holding(files["sale_lines"], 2)
     named = victims.filter(lambda v: v[1] is not None).map(lambda v: (v[0], v[1])).distinct()
     links = [
-        victims.flatMap(lambda v: [(("clients", no), v[2]) for no in own(((v[0],), () if v[1] is None else (v[1],)))]),
-        named.flatMap(lambda v: [(("clicks", no), v[1]) for no in by_click(((v[0],),))]),
-        named.flatMap(lambda v: [(("sales", no), v[1]) for no in by_sale(((v[0],),))]),
-        erased_sales(named.map(lambda v: v[1]), sales).flatMap(lambda s: [(("sale_lines", no), s[0]) for no in by_line(((s[1],), (s[0],)))]),
+        victims.flatMap(lambda v: [(("clients", no), v[2]) for no in own((v[0], LEAST if v[1] is None else v[1]))]),
+        named.flatMap(lambda v: [(("clicks", no), v[1]) for no in by_click((v[0],))]),
+        named.flatMap(lambda v: [(("sales", no), v[1]) for no in by_sale((v[0],))]),
+        erased_sales(named.map(lambda v: v[1]), sales).flatMap(lambda s: [(("sale_lines", no), s[0]) for no in by_line((s[1], s[0]))]),
     ]
     known = [((layout.name, f.no), (layout, f)) for layout in LAYOUTS for f in files[layout.name]]
     if not known:
