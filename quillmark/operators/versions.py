@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.text import collapse
 from quillmark.functions.values import kind
-from quillmark.operators.lineage import settle
+from quillmark.operators.lineage import settle, tasks_for
 from quillmark.plans.rules import known_keys
 
 OBJECT = "map<string,variant>"
@@ -31,31 +31,52 @@ def align(left: DataFrame, right: DataFrame, on: str, least: float = 0.3) -> Dat
     found in rounds: pairs that are the best of both their items, until none is left, which is the same.  An item
     that is in none is removed (left) or added (right); repeated features count once.
     """
-    sides = []
-    for df, name in ((left, "left_id"), (right, "right_id")):
-        own = df.select(on, F.col("item_id").alias(name), "feature").distinct()
-        sides.append(own.withColumn(f"n_{name}", F.count("*").over(Window.partitionBy(on, name))))
-    a, b = map(settle, sides)
-    common = a.join(b, [on, "feature"]).groupBy(on, "left_id", "right_id").agg(F.count("*").alias("c"), F.first("n_left_id").alias("n"), F.first("n_right_id").alias("m"))
+    spark, key = left.sparkSession, lambda side: [on, side]
+    sides = {name: settle(df.select(on, F.col("item_id").alias(name), "feature")) for df, name in ((left, "left_id"), (right, "right_id"))}
+    tasks = tasks_for(spark, max(df.count() for df in sides.values()))
+
+    def counted(name: str) -> DataFrame:
+        once = sides[name].repartition(tasks, *key(name)).distinct()
+        return once.withColumn(f"n_{name}", F.count("*").over(Window.partitionBy(*key(name)))).repartition(tasks, on, "feature")
+
+    # Nothing is broadcast: what Spark takes a table of exploded rows for is far below its size.
+    met = counted("left_id").join(counted("right_id").hint("merge"), [on, "feature"])
+    many = tasks_for(spark, _meetings(*sides.values(), [on, "feature"]))
+    common = met.repartition(many, *key("left_id")).groupBy(on, "left_id", "right_id").agg(F.count("*").alias("c"), F.first("n_left_id").alias("n"), F.first("n_right_id").alias("m"))
     scored = common.withColumn("similarity", F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).where(F.col("similarity") >= least)
     open_pairs = settle(scored.select(on, "left_id", "right_id", "similarity"))
     order = [F.desc("similarity"), "left_id", "right_id"]
     matched = []
-    while open_pairs.count():
-        place = lambda side: F.row_number().over(Window.partitionBy(on, side).orderBy(*order))
-        firsts = open_pairs.withColumns({"_l": place("left_id"), "_r": place("right_id")})
+    while n := open_pairs.count():
+        dealt = lambda df, side, n=n: df.repartition(tasks_for(spark, n), *key(side))
+        place = lambda side: F.row_number().over(Window.partitionBy(*key(side)).orderBy(*order))
+        firsts = dealt(open_pairs, "left_id").withColumn("_l", place("left_id"))
+        firsts = dealt(firsts, "right_id").withColumn("_r", place("right_id"))
         best = settle(firsts.where("_l = 1 AND _r = 1").drop("_l", "_r"))
         matched.append(best)
-        left_over = open_pairs.join(best.select(on, "left_id"), [on, "left_id"], "left_anti").join(best.select(on, "right_id"), [on, "right_id"], "left_anti")
+        left_over = open_pairs
+        for side in ("left_id", "right_id"):
+            left_over = dealt(left_over, side).join(dealt(best.select(*key(side)), side).hint("merge"), key(side), "left_anti")
         open_pairs = settle(left_over)
     pairs = open_pairs
     for m in matched:
         pairs = pairs.unionByName(m)
     out = pairs.withColumn("state", F.lit("matched"))
-    gone = left.select(on, F.col("item_id").alias("left_id")).distinct().join(pairs, [on, "left_id"], "left_anti")
-    new = right.select(on, F.col("item_id").alias("right_id")).distinct().join(pairs, [on, "right_id"], "left_anti")
-    out = out.unionByName(gone.withColumn("state", F.lit("removed")), allowMissingColumns=True)
-    return out.unionByName(new.withColumn("state", F.lit("added")), allowMissingColumns=True)
+    for side, state in (("left_id", "removed"), ("right_id", "added")):
+        own = sides[side].select(*key(side)).repartition(tasks, *key(side)).distinct()
+        alone = own.join(pairs.select(*key(side)).repartition(tasks, *key(side)).hint("merge"), key(side), "left_anti")
+        out = out.unionByName(alone.withColumn("state", F.lit(state)), allowMissingColumns=True)
+    return out
+
+
+#: One of so many keys is looked at to foretell a join's rows.
+LOOK = 64
+
+
+def _meetings(a: DataFrame, b: DataFrame, key: list[str]) -> int:
+    """About how many rows a join will make, told from a part of its keys; only the number of tasks hangs on it."""
+    some = lambda df: df.where(F.pmod(F.xxhash64(*key), F.lit(LOOK)) == 0).groupBy(*key).agg(F.count("*").alias("n"))
+    return LOOK * (some(a).join(some(b).withColumnRenamed("n", "m"), key).agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0)
 
 
 def dimension_changes(pairs: DataFrame, left: DataFrame, right: DataFrame, on: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmark.operators import hierarchy as H
+from quillmark.operators import lineage
 from quillmark.operators import triples as Tr
 from quillmark.operators import versions as Ve
 from quillmark.sources import annotations as S
@@ -47,6 +48,18 @@ def test_alignment_against_comparing_all(spark):
     assert len(got) == len(left) + len(right) - len(want)
 
 
+def test_alignment_deals_rows_out(spark, monkeypatch):
+    """Tasks follow the rows, and no table is broadcast, however small Spark takes it for."""
+    monkeypatch.setattr(lineage, "TASK_ROWS", 5)
+    side = lambda n: spark.range(n).select(F.lit("x").alias("doi"), F.concat(F.lit("i"), (F.col("id") / 3).cast("int")).alias("item_id"), F.concat(F.lit("f"), "id").alias("feature"))
+    got = Ve.align(side(60), side(45), "doi")
+    assert "Broadcast" not in got._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    rows = got.collect()
+    assert sum(r["state"] == "matched" and r["left_id"] == r["right_id"] and r["similarity"] == 1 for r in rows) == 15
+    assert sum(r["state"] == "removed" for r in rows) == 5 == len(rows) - 15
+    assert [lineage.tasks_for(spark, n) for n in (0, 20, 21, 60)] == [4, 4, 5, 12]
+
+
 def documents(spark, *docs):
     return spark.createDataFrame([(f"d{k}", json.dumps(d)) for k, d in enumerate(docs)], "path string, j string").select("path", F.parse_json("j").alias("doc"))
 
