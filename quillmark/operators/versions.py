@@ -85,10 +85,13 @@ def dimension_changes(pairs: DataFrame, left: DataFrame, right: DataFrame, on: s
     Values count as sets; a dimension that one side has not is null there.
     """
     matched = pairs.where("state = 'matched'").select(on, "left_id", "right_id")
-    side = lambda df, name, value: df.select(on, F.col("item_id").alias(name), "dim", F.array_sort(F.array_distinct("values")).alias(value))
-    old = matched.join(side(left, "left_id", "old"), [on, "left_id"])
-    new = matched.join(side(right, "right_id", "new"), [on, "right_id"])
-    met = old.join(new, [on, "left_id", "right_id", "dim"], "full")
+    tasks, key = tasks_for(pairs.sparkSession, max(left.count(), right.count())), [on, "left_id", "right_id", "dim"]
+
+    def side(df: DataFrame, name: str, value: str) -> DataFrame:
+        own = df.select(on, F.col("item_id").alias(name), "dim", F.array_sort(F.array_distinct("values")).alias(value))
+        return matched.repartition(tasks, on, name).join(own.repartition(tasks, on, name).hint("merge"), [on, name]).repartition(tasks, *key)
+
+    met = side(left, "left_id", "old").join(side(right, "right_id", "new").hint("merge"), key, "full")
     return met.where("old IS DISTINCT FROM new").select(on, "left_id", "right_id", "dim", "old", "new")
 
 

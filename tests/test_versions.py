@@ -60,6 +60,15 @@ def test_alignment_deals_rows_out(spark, monkeypatch):
     assert [lineage.tasks_for(spark, n) for n in (0, 20, 21, 60)] == [4, 4, 5, 12]
 
 
+def test_changes_broadcast_no_values(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "TASK_ROWS", 5)
+    side = lambda v: spark.range(60).select(F.lit("x").alias("doi"), F.col("id").cast("string").alias("item_id"), F.lit("d").alias("dim"), F.array(v).alias("values"))
+    pairs = spark.range(60).select(F.lit("x").alias("doi"), F.col("id").cast("string").alias("left_id"), F.col("id").cast("string").alias("right_id"), F.lit("matched").alias("state"))
+    got = Ve.dimension_changes(pairs, side(F.lit("a")), side(F.when(F.col("id") % 2 == 0, "b").otherwise("a")), "doi")
+    assert "Broadcast" not in got._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert {(r["left_id"], *r["old"], *r["new"]) for r in got.collect()} == {(str(k), "a", "b") for k in range(0, 60, 2)}
+
+
 def documents(spark, *docs):
     return spark.createDataFrame([(f"d{k}", json.dumps(d)) for k, d in enumerate(docs)], "path string, j string").select("path", F.parse_json("j").alias("doc"))
 
