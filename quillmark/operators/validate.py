@@ -112,7 +112,8 @@ def closing_lines(table: DataFrame) -> DataFrame:
     A row for each failed document, since there may be any number; joined by ", ", their paths make up the line.
     """
     # The two lines.
-    failed = table.where(~F.col("conforms")).select("path")
+    # Counted, sampled for the order and listed: three readings, and table may hold all rules.
+    failed = settle(table.where(~F.col("conforms")).select("path"))
     told = failed.agg(F.count("*").alias("n")).select(F.when(F.col("n") > 0, F.concat(F.col("n").cast("string"), F.lit(" annotation(s) failed SHACL validation: "))).otherwise("All annotations conform to the SHACL shapes.").alias("line"))
     head = told.select(F.lit(0).alias("ord"), F.lit(None).cast("string").alias("path"), "line")
     return head.unionByName(failed.select(F.lit(1).alias("ord"), "path", F.col("path").alias("line"))).orderBy("ord", "path")

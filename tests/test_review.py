@@ -145,3 +145,17 @@ def test_small_functions(spark):
     assert C.set_union(df.select("p"), df.select("p")).count() == 1
     many = spark.createDataFrame([(" ".join("w" * 15),), ("w",), (None,)], "t string").select(X.is_long_span(F.col("t")))
     assert [r[0] for r in many.collect()] == [True, False, False]
+
+
+def test_closing_lines_read_their_table_once(spark):
+    """The rules behind a table run once, though its failed documents are counted, sampled for the order and listed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def conforms(path):
+        seen.add(1)
+        return int(path) % 3 == 0
+
+    table = spark.range(30).select(F.col("id").cast("string").alias("path")).withColumn("conforms", F.udf(conforms, "boolean")("path"))
+    rows = Va.closing_lines(table).collect()
+    assert rows[0]["line"].startswith("20 annotation(s)") and [r["path"] for r in rows[1:]] == sorted(str(k) for k in range(30) if k % 3)
+    assert seen.value == 30
