@@ -1,7 +1,8 @@
 """Corpus pipeline: toxicity, line dedup, near-dedup, mixing, piece encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
-as the next one's docs.  All but the last return the columns of documents, further ones of any name included.
+as the next one's docs.  All return the columns of documents, further ones of any name included, and the last adds
+each text's piece ids.
 Texts may be of any length; of an empty table every stage makes an empty one.
 """
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from quillmark.llm.common import release, scratch, table, write_table
 from quillmark.llm.linededup import dedup_lines
 from quillmark.llm.mixing import apply_mixture
-from quillmark.llm.pieces import segment_documents
+from quillmark.llm.pieces import encode_documents
 from quillmark.llm.simhash import drop_near_copies
 from quillmark.llm.toxicity import drop_toxic
 
@@ -43,8 +44,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of the best and N-best piece segmentations, a row for every row; null texts have no pieces."""
-    return segment_documents(docs)
+    """All columns, with the ids of the best and N-best piece segmentations and digests of them; null texts have no pieces."""
+    return encode_documents(docs)
 
 
 STAGES = [("toxicity", toxicity), ("line dedup", line_dedup), ("near-dedup", near_dedup), ("mixing", mixing), ("encoding", encoding)]

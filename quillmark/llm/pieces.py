@@ -9,10 +9,11 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_worker
+from .common import chunks, fresh, per_worker
 from .langid import Lattice
 from .vocabulary import SPACE, Vocabulary, load_vocabulary
 
@@ -278,20 +279,84 @@ def _encoders(docs: DataFrame, n_best: int, vocab_path: str | None):
     return lambda: per_worker(("pieces", vocab_path, n_best), lambda: Encoder(shared.value, n_best))
 
 
-def encode(docs: DataFrame, n_best: int = N_BEST, vocab_path: str | None = None, text_col: str = "text") -> DataFrame:
-    """docs with a column pieces: array<struct<score double, ids array<int>>>, best first; null for null texts."""
-    make = _encoders(docs, n_best, vocab_path)
+def _lists(lengths: list[int | None], values: pa.Array) -> pa.Array:
+    """A list a row, of so many values in turn; null for a length of null."""
+    offsets = np.concatenate(([0], np.cumsum([n or 0 for n in lengths]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array([n is None for n in lengths], pa.bool_()))
+
+
+def _n_best_lists(found: list[list[tuple[float, bytes]] | None], **more: list) -> pa.Array:
+    """Of each text its segmentations as structs of score, further fields and ids, which never become Python numbers."""
+    every = [x for own in found if own is not None for x in own]
+    raw = b"".join(ids for _, ids in every)
+    ids = _lists([len(x) // 4 for _, x in every], pa.Array.from_buffers(pa.int32(), len(raw) // 4, [None, pa.py_buffer(raw)]))
+    columns = {"score": pa.array([x for x, _ in every], pa.float64()), **{k: pa.array(v, pa.int64()) for k, v in more.items()}, "ids": ids}
+    return _lists([None if own is None else len(own) for own in found], pa.StructArray.from_arrays(list(columns.values()), list(columns)))
+
+
+def _arrow_udf(make, of, kind: str):
+    """A function over text: of(encoder, texts, their chunks) gives some texts' column."""
+    from collections.abc import Iterator
 
     def run(parts):
         encoder = make()
-        for texts in parts:
-            split = encoder.prepare([t or "" for t in texts])
-            yield pd.Series(
-                [None if t is None else [{"score": s, "ids": np.frombuffer(ids, np.int32).tolist()} for s, ids in encoder.segmentations(c)] for t, c in zip(texts, split, strict=True)],
-                index=texts.index,
-            )
-
-    return docs.withColumn("pieces", _iterator_udf(run, "array<struct<score double, ids array<int>>>")(text_col))
+        for part in parts:
+            texts = part.to_pylist()
+            for a, b in chunks([t or "" for t in texts]):
+                for c in range(a, b, 200):
+                    own = texts[c : min(b, c + 200)]
+                    yield of(encoder, own, encoder.prepare([t or "" for t in own]))
+
+    run.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, kind)
+
+
+def encode(docs: DataFrame, n_best: int = N_BEST, vocab_path: str | None = None, text_col: str = "text") -> DataFrame:
+    """docs with a column pieces: array<struct<score double, ids array<int>>>, best first; null for null texts."""
+
+    def of(encoder, texts, split):
+        return _n_best_lists([None if t is None else encoder.segmentations(c) for t, c in zip(texts, split, strict=True)])
+
+    udf = _arrow_udf(_encoders(docs, n_best, vocab_path), of, "array<struct<score double, ids array<int>>>")
+    return docs.withColumn("pieces", udf(text_col))
+
+
+def encode_documents(docs: DataFrame, n_best: int = N_BEST, vocab_path: str | None = None) -> DataFrame:
+    """docs with n_pieces, score, ids_crc32, n_segmentations, nbest and round_trip: segment_documents(), and the ids.
+
+    nbest holds score, n_pieces, ids_crc32 and ids, array<int>, of each of the n_best likeliest segmentations of the
+    whole text, best first.  Null texts give nulls with no segmentations; the empty text has one without pieces.  A row
+    for every row, repeated ones and null ids included, with all its columns; where docs has a column of a new one's
+    name, it stays, and the new one's name gets an underscore.  A very long text goes by itself; no shuffle.
+    """
+
+    def of(encoder, texts, split):
+        found, whole = [], []
+        for t, own in zip(texts, split, strict=True):
+            at = encoder.places(own)
+            found.append(None if t is None else encoder.segmentations(own, at))
+            whole.append(None if t is None else encoder.round_trip(t, own, at))
+        crc = [[] if x is None else [zlib.crc32(ids) for _, ids in x] for x in found]
+        sizes = [[] if x is None else [len(ids) // 4 for _, ids in x] for x in found]
+        flat = lambda lists: [v for own in lists for v in own]
+        first = lambda lists: [own[0] if own else None for own in lists]
+        best = pa.array([None if x is None else x[0][0] for x in found], pa.float64())
+        columns = [
+            pa.array(first(sizes), pa.int64()),
+            best,
+            pa.array(first(crc), pa.int64()),
+            pa.array([len(x) for x in sizes], pa.int32()),
+            _n_best_lists(found, n_pieces=flat(sizes), ids_crc32=flat(crc)),
+            pa.array(whole, pa.bool_()),
+        ]
+        return pa.StructArray.from_arrays(columns, names)
+
+    names = ["n_pieces", "score", "ids_crc32", "n_segmentations", "nbest", "round_trip"]
+    kind = "struct<n_pieces long, score double, ids_crc32 long, n_segmentations int, nbest array<struct<score double, n_pieces long, ids_crc32 long, ids array<int>>>, round_trip boolean>"
+    held, *shown = fresh(docs.columns, "_encoded", *names)
+    udf = _arrow_udf(_encoders(docs, n_best, vocab_path), of, kind)
+    out = docs.withColumn(held, udf("text"))
+    return out.select(*docs.columns, *[F.col(held)[n].alias(s) for n, s in zip(names, shown, strict=True)])
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", vocab_path: str | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 """N-best piece encoding and language models against brute force."""
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -89,6 +90,28 @@ def test_frames(spark):
     assert P.segment_documents(docs.limit(0)).count() == 0
 
 
+def test_the_last_stage_gives_ids_and_keeps_columns(spark):
+    import corpus_pipeline
+
+    rows = [(1, "a b", "en", 0.5), (None, None, "x", 0.1), (2, "", None, 0.2), (1, "a b", "en", 0.5), (3, "日本x ▁ é\n\n", "ja", 0.3), (4, "ab, " * 3000, "en", 0.4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
+    out = corpus_pipeline.encoding(spark, docs, "")
+    assert out.columns[:4] == docs.columns and "score_" in out.columns
+    got = out.collect()
+    assert sorted(map(repr, (tuple(r)[:4] for r in got))) == sorted(map(repr, rows))
+    for r in got:
+        if r["text"] is None:
+            assert r["nbest"] is None and r["n_segmentations"] == 0
+            continue
+        first = r["nbest"][0]
+        assert (first["n_pieces"], first["ids_crc32"], first["score"]) == (r["n_pieces"], r["ids_crc32"], r["score_"]) and len(r["nbest"]) == r["n_segmentations"]
+        assert all(len(x["ids"]) == x["n_pieces"] and zlib.crc32(np.array(x["ids"], np.int32).tobytes()) == x["ids_crc32"] for x in r["nbest"])
+    every = out.selectExpr("text", "explode(nbest) AS x").selectExpr("text", "x.ids AS ids")
+    assert P.decode(every).where("NOT decoded <=> text").count() == 0
+    digests = P.segment_documents(docs).collect()
+    assert {(r["doc_id"], r["score"], r["ids_crc32"], r["round_trip"]) for r in digests} == {(r["doc_id"], r["score_"], r["ids_crc32"], r["round_trip"]) for r in got}
+
+
 def toy():
     pieces = ["<0x%02X>" % b for b in range(256)] + ["▁", "a", "b", "c", "ab", "bc", "▁a", "abc"]
     return Vocabulary(pieces, ["byte"] * 256 + ["normal"] * 8)
