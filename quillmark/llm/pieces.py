@@ -52,6 +52,8 @@ class Encoder:
 
     #: Learning a chunk costs little more than keeping it, so a worker holds some tens of MB at most.
     MOST = 100_000
+    #: Chunks that are learnt in step: their lattices are some KB each.
+    STEP = 2_000
 
     def __init__(self, vocab: Vocabulary, n_best: int = N_BEST):
         self.vocab, self.n = vocab, n_best
@@ -133,8 +135,8 @@ class Encoder:
         """Best segmentation, score and loss of the second best of new chunks: Viterbi, all in step."""
         usual = [c for c in chunks if len(c) <= LONG and self.plain.issuperset(c)]
         usual.sort(key=len)
-        for a in range(0, len(usual), 10_000):
-            self._learn(usual[a : a + 10_000])
+        for a in range(0, len(usual), self.STEP):
+            self._learn(usual[a : a + self.STEP])
         for c in chunks:
             if c not in self.known:
                 got = self.n_best(c)
@@ -301,11 +303,13 @@ def _arrow_udf(make, of, kind: str):
     def run(parts):
         encoder = make()
         for part in parts:
-            texts = part.to_pylist()
-            for a, b in chunks([t or "" for t in texts]):
-                for c in range(a, b, 200):
-                    own = texts[c : min(b, c + 200)]
+            # An Arrow batch may hold 10,000 texts: few of them become Python's at a time.
+            for a in range(0, len(part), 200):
+                texts = part.slice(a, 200).to_pylist()
+                for b, c in chunks([t or "" for t in texts]):
+                    own = texts[b:c]
                     yield of(encoder, own, encoder.prepare([t or "" for t in own]))
+            pa.default_memory_pool().release_unused()
 
     run.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, kind)

@@ -1,9 +1,11 @@
 """N-best piece encoding and language models against brute force."""
 
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("public_tokenizers")
@@ -164,3 +166,40 @@ def test_language_frame(spark):
     assert got[99] == got[None] == "und"
     assert all(got[i] == r[2] for i, r in enumerate(rows))
     assert L.identify_languages(docs.where("doc_id is null")).first()["lang_pred"] == "und"
+
+
+def peak_mb(run):
+    tracemalloc.start()
+    try:
+        out = run()
+        return out, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_batch_becomes_python_texts_in_slices(spark):
+    """A batch of 10,000 texts, 20 MB, never lies as a whole in a worker's Python objects."""
+
+    class Lengths:
+        def prepare(self, texts):
+            return [len(t) for t in texts]
+
+    udf = P._arrow_udf(Lengths, lambda encoder, texts, split: pa.array([None if t is None else n for t, n in zip(texts, split, strict=True)]), "long")
+    texts = [None if i % 7 == 0 else f"{i:04d}" * (500 if i % 5 else 0) for i in range(10_000)]
+    part, empty = pa.array(texts), pa.array([], pa.string())
+    got, peak = peak_mb(lambda: [n for out in udf.func(iter([empty, part, part[:201], empty])) for n in out.to_pylist()])
+    want = [None if t is None else len(t) for t in texts]
+    assert got == want + want[:201]
+    assert peak < 6
+
+
+def test_chunks_are_learnt_in_steps():
+    """New chunks' lattices are made for few of them at a time, with the same best segmentations."""
+    chunks = [f" word{i}and{i * 7919}others{i * 31}" for i in range(10_000)]
+    stepped, at_once = P.Encoder(load_vocabulary()), P.Encoder(load_vocabulary())
+    at_once.STEP = len(chunks)
+    _, few = peak_mb(lambda: stepped.learn(chunks))
+    _, all_ = peak_mb(lambda: at_once.learn(chunks))
+    best = lambda e: [(e.blobs[e.known[c]], e.best[e.known[c]], e.gap[e.known[c]]) for c in chunks]
+    assert best(stepped) == best(at_once)
+    assert few < all_ / 2
