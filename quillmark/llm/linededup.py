@@ -64,8 +64,8 @@ def band_keys(df: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int =
 
     A band is rows MinHashes of the shingles of its bin, each with an order of its own: the shingle's hash
     times an odd number of its own, of which the middle bits count.  A bin's shingles are a sample of the
-    line's, so bands agree as often as they would over all shingles.  Copies of a line come down to a row
-    a bin in each task before the shuffle.
+    line's, so bands agree as often as they would over all shingles.  Where df is dealt by lid, as
+    distinct_lines() is, nothing is shuffled here.
     """
     x = shingles(df.select("lid", "line"), width)
     x = x.select(
@@ -93,6 +93,15 @@ def lines(docs: DataFrame) -> DataFrame:
     return split.withColumns({"lid": F.xxhash64("line"), "check": F.xxhash64(F.lit(1), "line")})
 
 
+def distinct_lines(docs: DataFrame) -> DataFrame:
+    """(lid, line) of docs' lines, each once and dealt by lid.
+
+    Of a line's copies one is kept in each task before the shuffle: all have the same text.  A line's shingles are
+    then all in one task, so what is found over them needs no shuffle of its own.
+    """
+    return lines(docs.select("doc_id", "text")).groupBy("lid").agg(F.max("line").alias("line"))
+
+
 def buckets(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(key, lid, n, centre) of the lines that share a band's bucket: its number of lines, and one line of it.
 
@@ -100,9 +109,10 @@ def buckets(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int =
     from shares more buckets than any of those.  Buckets are counted before the shuffle, and the joins may
     split a hot one.
     """
-    keyed = cut_lineage(band_keys(lines(docs.select("doc_id", "text")), width, bands, rows))
+    keyed = cut_lineage(band_keys(distinct_lines(docs), width, bands, rows))
     counts = cut_lineage(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    met = cut_lineage(keyed.join(counts, "key"))
+    # Most keys are of one line: hashing the few others spares sorting them all.
+    met = cut_lineage(keyed.join(counts.hint("shuffle_hash"), "key"))
     release(keyed, counts)
     shared = met.groupBy("lid").agg(F.sum("n").alias("shared"))
     best = met.join(shared, "lid").groupBy("key").agg(F.max(F.struct("shared", "lid")).alias("best"))
@@ -337,9 +347,9 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """
     n_lines, dropped, gone, parts, rid = fresh(docs.columns, "n_lines", "dropped", "_gone", "_parts", "_rid")
     places = dropped_lines(docs, **options).groupBy(F.col("rid").alias(rid)).agg(F.sort_array(F.collect_set("pos")).alias(gone))
-    # A row of places is within one document.  The parts are a column of their own: within the lambda, Spark would
+    # A row of places is within one document; they are hashed, so that no text is sorted.  The parts are a column of their own: within the lambda, Spark would
     # split the text for every part.
-    out = docs.withColumn(rid, row_id()).join(places, rid, "left").withColumn(parts, F.split("text", "\n"))
+    out = docs.withColumn(rid, row_id()).join(places.hint("shuffle_hash"), rid, "left").withColumn(parts, F.split("text", "\n"))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone)), lambda i: F.get(F.col(parts), i))
     text = F.when(F.col(gone).isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return out.select(

@@ -297,6 +297,18 @@ def test_bands_seldom_miss_short_lines(spark, size, most):
     assert missed <= most * len(longs)
 
 
+def test_copies_are_hashed_once_and_no_shingle_is_shuffled(spark):
+    """Each line goes from task to task as text, once; no exchange comes between its shingles and its keys."""
+    common = "a line that very many documents hold, word for word"
+    docs = spark.createDataFrame([(i, f"{common}\n {common}\t\nown line {i}\n\n") for i in range(200)] + [(200, None), (None, common)], "doc_id long, text string")
+    own = D.distinct_lines(docs)
+    assert sorted(r["line"] for r in own.collect()) == sorted([common] + [f"own line {i}" for i in range(200)])
+    keys = D.band_keys(own)
+    plan = keys._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and plan.index("explode(sequence") < plan.index("Exchange hashpartitioning(")
+    assert sorted(map(tuple, keys.collect())) == sorted(map(tuple, D.band_keys(D.lines(docs)).collect()))
+
+
 def test_sketches_differ_no_more_than_sets(spark):
     rng = random.Random(8)
     sets = {i: {rng.getrandbits(64) - 2**63 for _ in range(rng.randint(0, 60))} for i in range(12)}
