@@ -29,6 +29,9 @@ TILE, WORDS = 512, 32
 #: Pairs that share a copy of a text in the exact check, and shingles of a task there, about.
 SHARED, TASK_SHINGLES = 256, 500_000
 MOST_TASKS = 20_000
+#: Sets of shingles are made in so many times the tasks, as a group costs a third less in a map that fits a core's cache.  The few
+#: rows that come of it go on to the tasks' number, as opening a small file costs more than moving its rows.
+PARTS = 5
 #: Pairs left apart to a line from which on the nearest ones are checked before the others.
 MANY = 2
 
@@ -214,10 +217,15 @@ def slot_filter(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
 
 
 def tasks_for(total: int | None, df: DataFrame) -> int:
-    """Tasks for so many shingles: their sets should fit a core's cache, or at least its memory."""
+    """Tasks for so many shingles: the sets of a PARTS-th of one should fit a core's cache, and of all of it its memory."""
     return min(MOST_TASKS, max(-(-int(total or 0) // TASK_SHINGLES), df.sparkSession.sparkContext.defaultParallelism))
 
 
+def parts_of(tasks: int) -> int:
+    """Partitions to make sets of shingles in, for so many tasks by tasks_for()."""
+    return max(tasks, min(PARTS * tasks, MOST_TASKS))
+
+
 def alike(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """Those (a, b) of pairs whose texts' shingle sets have a Jaccard similarity of at least the threshold.
 
@@ -241,12 +249,15 @@ def alike(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, widt
     seconds = ends.select(F.col("end").alias("y"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("d") / SHARED).cast("int") - 1)).alias("copy"))
     seconds = seconds.join(own.select(F.col("lid").alias("y"), F.col("line").alias("ly")), "y")
     firsts = turned.join(own.select(F.col("lid").alias("x"), F.col("line").alias("lx")), "x")
-    both = firsts.repartition(tasks, "y", "copy").join(seconds.repartition(tasks, "y", "copy").hint("shuffle_hash"), ["y", "copy"])
+    parts = parts_of(tasks)
+    both = firsts.repartition(parts, "y", "copy").join(seconds.repartition(parts, "y", "copy").hint("shuffle_hash"), ["y", "copy"])
     sides = F.array(F.struct(F.lit(1).alias("side"), F.col("lx").alias("line")), F.struct(F.lit(2).alias("side"), F.col("ly").alias("line")))
     rows = shingles(both.select("y", "copy", "x", F.explode(sides).alias("s")).select("y", "copy", "x", "s.side", "s.line"), width)
     held = rows.groupBy("y", "copy", "x", "h").agg(F.bit_or("side").alias("sides"))
     sizes = held.groupBy("y", "copy", "x").agg(F.count("*").alias("n"), F.count_if(F.col("sides") == 3).alias("common"))
-    out = cut_lineage(sizes.where(F.col("common") >= threshold * F.col("n")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    found = sizes.where(F.col("common") >= threshold * F.col("n")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    # By both ends, so that no task gets all links of a line.
+    out = cut_lineage(found.repartition(tasks, "a", "b"))
     release(ends)
     return out
 
@@ -263,8 +274,9 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, ban
     # Of a line's copies one is kept in each task before the shuffle: all have the same text.  Texts travel, not
     # their shingles, which take eight times the room.
     texts = cut_lineage(few.groupBy("lid").agg(F.max("line").alias("line")).join(ids, "lid", "left_semi"))
-    dealt = texts.repartition(tasks_for(texts.agg(F.sum(F.length("line"))).first()[0], texts), "lid")
-    sketches = cut_lineage(with_sketch(shingles(dealt, width)))
+    tasks = tasks_for(texts.agg(F.sum(F.length("line"))).first()[0], texts)
+    dealt = texts.repartition(parts_of(tasks), "lid")
+    sketches = cut_lineage(with_sketch(shingles(dealt, width)).repartition(tasks, "lid"))
     out = linked(met, met, sketches, lambda pairs: alike(pairs, texts, threshold, width), threshold)
     release(met, texts, sketches)
     return out
