@@ -29,7 +29,7 @@ TILE, WORDS = 512, 32
 #: Pairs that share a copy of a text in the exact check, and shingles of a task there, about.
 SHARED, TASK_SHINGLES = 256, 500_000
 MOST_TASKS = 20_000
-#: Sets of shingles are made in so many times the tasks, as a group costs a third less in a map that fits a core's cache.  The few
+#: Sketches are made in so many times the tasks, as a group costs a third less in a map that fits a core's cache.  The few
 #: rows that come of it go on to the tasks' number, as opening a small file costs more than moving its rows.
 PARTS = 5
 #: Pairs left apart to a line from which on the nearest ones are checked before the others.
@@ -249,15 +249,12 @@ def alike(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, widt
     seconds = ends.select(F.col("end").alias("y"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("d") / SHARED).cast("int") - 1)).alias("copy"))
     seconds = seconds.join(own.select(F.col("lid").alias("y"), F.col("line").alias("ly")), "y")
     firsts = turned.join(own.select(F.col("lid").alias("x"), F.col("line").alias("lx")), "x")
-    parts = parts_of(tasks)
-    both = firsts.repartition(parts, "y", "copy").join(seconds.repartition(parts, "y", "copy").hint("shuffle_hash"), ["y", "copy"])
+    both = firsts.repartition(tasks, "y", "copy").join(seconds.repartition(tasks, "y", "copy").hint("shuffle_hash"), ["y", "copy"])
     sides = F.array(F.struct(F.lit(1).alias("side"), F.col("lx").alias("line")), F.struct(F.lit(2).alias("side"), F.col("ly").alias("line")))
     rows = shingles(both.select("y", "copy", "x", F.explode(sides).alias("s")).select("y", "copy", "x", "s.side", "s.line"), width)
     held = rows.groupBy("y", "copy", "x", "h").agg(F.bit_or("side").alias("sides"))
     sizes = held.groupBy("y", "copy", "x").agg(F.count("*").alias("n"), F.count_if(F.col("sides") == 3).alias("common"))
-    found = sizes.where(F.col("common") >= threshold * F.col("n")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    # By both ends, so that no task gets all links of a line.
-    out = cut_lineage(found.repartition(tasks, "a", "b"))
+    out = cut_lineage(sizes.where(F.col("common") >= threshold * F.col("n")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
     release(ends)
     return out
 
